@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatsift.settings import PY_WS_CLASS
+from threatsift.settings import PY_WS_CHARS, PY_WS_CLASS
 
 WS = f"[{PY_WS_CLASS}]"
 
@@ -44,9 +44,10 @@ def _c(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """str.strip(): remove leading/trailing Unicode whitespace (Spark's trim
-    only removes spaces)."""
-    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+\\z", "")
+    """str.strip(): remove leading/trailing Unicode whitespace. Uses trim with
+    an explicit character set, which only touches the two ends (a regex
+    anchored at the end would scan the whole text)."""
+    return F.trim(_c(c), F.lit(PY_WS_CHARS))
 
 
 def collapse_ws(c) -> Column:
@@ -141,10 +142,18 @@ def route_input(c) -> Column:
     ).otherwise(F.lit("email"))
 
 
+WORD_SPLIT = r"[^\p{L}\p{N}_]+"
+
+
+def all_words(c) -> Column:
+    """Word-character runs of the lowercased text (split once, no regex
+    word boundaries, whose Unicode meaning differs between engines)."""
+    return F.split(F.lower(F.coalesce(_c(c), F.lit(""))), WORD_SPLIT)
+
+
 def words(c) -> Column:
     """P5: lowercase words of three or more ASCII letters, in order."""
-    parts = F.split(F.lower(F.coalesce(_c(c), F.lit(""))), r"[^\p{L}\p{N}_]+")
-    return F.filter(parts, lambda w: w.rlike("^[a-z]{3,}$"))
+    return F.filter(all_words(c), lambda w: w.rlike("^[a-z]{3,}$"))
 
 
 def whitespace_words(c) -> Column:

@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatsift.functions.text import substring_count
+from threatsift.functions.text import all_words, char_count, substring_count
 from threatsift.settings import (
     DEFAULT,
-    EMAIL_CUES,
+    EMAIL_CUE_CHARS,
+    EMAIL_CUE_WORDS,
     EMAIL_PRIORS,
     MSG_PHISHING,
     MSG_SAFE,
@@ -53,15 +54,46 @@ def cue_count(c, cues) -> Column:
     return total
 
 
+PACK_BITS = 21  # per-class word count field; 3 classes fit one long
+
+
+def word_cue_counts(c, cue_words: dict) -> dict[str, Column]:
+    """Cue-word counts per class from ONE split of the text and ONE pass
+    over the words: each word adds 1 << (21 * class index) to a long, the
+    fields are unpacked afterwards (a text has < 2**21 words)."""
+    keys = list(cue_words)
+    if len(keys) * PACK_BITS > 63:
+        raise ValueError("too many classes to pack")
+
+    def weight(w):
+        e = None
+        for i, k in enumerate(keys):
+            e = (F.when(w.isin(*cue_words[k]), F.lit(1 << (PACK_BITS * i)))
+                 if e is None else e.when(w.isin(*cue_words[k]), F.lit(1 << (PACK_BITS * i))))
+        return e.otherwise(F.lit(0)).cast("long")
+
+    packed = F.aggregate(all_words(c), F.lit(0).cast("long"), lambda acc, w: acc + weight(w))
+    mask = (1 << PACK_BITS) - 1
+    return {k: F.shiftrightunsigned(packed, PACK_BITS * i).bitwiseAND(F.lit(mask)) for i, k in enumerate(keys)}
+
+
 def lexical_scores(c, kind: str = "email") -> dict[str, Column]:
-    """Rational class scores from cue counts: (prior_k + w*c_k) / sum."""
-    cues, priors, w = (EMAIL_CUES, EMAIL_PRIORS, 1) if kind == "email" else (URL_CUES, URL_PRIORS, URL_CUE_WEIGHT)
-    counts = {k: cue_count(c, cues[k]) for k in cues}
-    num = {k: F.lit(priors[k]) + F.lit(w) * counts[k] for k in cues}
+    """Rational class scores: (prior_k + w * cues_k) / sum over classes.
+    Email: cue words (one split) plus cue characters; URL: cue substrings."""
+    if kind == "email":
+        counts = word_cue_counts(c, EMAIL_CUE_WORDS)
+        for k, chars in EMAIL_CUE_CHARS.items():
+            for ch in chars:
+                counts[k] = counts[k] + char_count(c, ch)
+        priors, w = EMAIL_PRIORS, 1
+    else:
+        counts = {k: cue_count(c, URL_CUES[k]) for k in URL_CUES}
+        priors, w = URL_PRIORS, URL_CUE_WEIGHT
+    num = {k: F.lit(priors[k]) + F.lit(w) * counts[k] for k in counts}
     den = F.lit(0)
-    for k in cues:
+    for k in counts:
         den = den + num[k]
-    return {k: (num[k].cast("double") / den.cast("double")) for k in cues}
+    return {k: (num[k].cast("double") / den.cast("double")) for k in counts}
 
 
 def softmax(c) -> Column:

@@ -11,7 +11,8 @@ from threatsift.functions.text import URL_PATTERN, URL_TRAILING, UI_URL_PATTERN
 from threatsift.functions.urls import SPLIT_PATTERN
 from threatsift.settings import (
     DEFAULT,
-    EMAIL_CUES,
+    EMAIL_CUE_CHARS,
+    EMAIL_CUE_WORDS,
     EMAIL_PRIORS,
     MSG_ALLOWLIST,
     MSG_PHISHING,
@@ -20,6 +21,7 @@ from threatsift.settings import (
     MSG_UNKNOWN,
     MSG_URL_ONLY_DEFAULT,
     MSG_URL_OVERRIDE_NO_SCORES,
+    PY_WS_CHARS,
     PY_WS_CLASS,
     REASON_EMAIL,
     REASON_EMAIL_BODY,
@@ -52,7 +54,14 @@ def in_list(e: str, values) -> str:
 
 
 def strip(e: str) -> str:
-    return f"regexp_replace({e}, {lit(f'^{WS}+|{WS}+' + chr(92) + 'z')}, '', 'g')"
+    return f"trim({e}, {lit(PY_WS_CHARS)})"
+
+
+WORD_SPLIT = r"[^\p{L}\p{N}_]+"
+
+
+def all_words(e: str) -> str:
+    return f"string_split_regex(lower(coalesce({e}, '')), {lit(WORD_SPLIT)})"
 
 
 def collapse(e: str) -> str:
@@ -137,10 +146,20 @@ def allowlisted(e: str, settings: Settings = DEFAULT) -> str:
 
 
 def lexical_scores(e: str, kind: str = "email") -> dict[str, str]:
-    cues, priors, w = (EMAIL_CUES, EMAIL_PRIORS, 1) if kind == "email" else (URL_CUES, URL_PRIORS, URL_CUE_WEIGHT)
-    num = {k: f"({priors[k]} + {w} * ({' + '.join(substring_count(e, c) for c in cues[k])}))" for k in cues}
+    if kind == "email":
+        counts = {}
+        for k, ws in EMAIL_CUE_WORDS.items():
+            c = f"coalesce(list_sum(list_transform({all_words(e)}, lambda w: CASE WHEN {in_list('w', ws)} THEN 1 ELSE 0 END)), 0)"
+            for ch in EMAIL_CUE_CHARS[k]:
+                c += f" + {char_count(e, ch)}"
+            counts[k] = f"({c})"
+        priors, w = EMAIL_PRIORS, 1
+    else:
+        counts = {k: f"({' + '.join(substring_count(e, c) for c in URL_CUES[k])})" for k in URL_CUES}
+        priors, w = URL_PRIORS, URL_CUE_WEIGHT
+    num = {k: f"({priors[k]} + {w} * {counts[k]})" for k in counts}
     den = " + ".join(num.values())
-    return {k: f"(CAST({num[k]} AS DOUBLE) / CAST(({den}) AS DOUBLE))" for k in cues}
+    return {k: f"(CAST({num[k]} AS DOUBLE) / CAST(({den}) AS DOUBLE))" for k in counts}
 
 
 def decide_email(l: str, s: str, p: str, settings: Settings = DEFAULT) -> dict[str, str]:

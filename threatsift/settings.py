@@ -145,6 +145,12 @@ PY_WS_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 
+PY_WS_CHARS = "".join(
+    [chr(c) for c in range(0x9, 0xE)] + [chr(c) for c in range(0x1C, 0x21)]
+    + [chr(0x85), chr(0xA0), chr(0x1680)] + [chr(c) for c in range(0x2000, 0x200B)]
+    + [chr(0x2028), chr(0x2029), chr(0x202F), chr(0x205F), chr(0x3000)]
+)
+
 # Schemes for which an empty-host URL is rebuilt with "//" (stdlib urllib).
 USES_NETLOC = (
     "", "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file",
@@ -158,11 +164,13 @@ USES_NETLOC = (
 # for a trained model: counts of cue substrings become rational class scores.
 # ---------------------------------------------------------------------------
 
-EMAIL_CUES = {
-    "legitimate": ("meeting", "thanks", "regards", "schedule", "report", "attached", "team", "the ", " und ", " la "),
-    "spam": ("free", "offer", "winner", "prize", "discount", "cheap", "money", "unsubscribe", "spam", "!", "$"),
-    "phishing": ("verify", "password", "account", "login", "bank", "urgent", "suspend", "confirm", "phishing", "fake-bank", "http", "www."),
+EMAIL_CUE_WORDS = {
+    "legitimate": ("meeting", "thanks", "regards", "schedule", "report", "attached", "team", "the", "und", "la"),
+    "spam": ("free", "offer", "winner", "prize", "discount", "cheap", "money", "unsubscribe", "spam"),
+    "phishing": ("verify", "password", "account", "login", "bank", "urgent", "suspended", "confirm", "phishing",
+                 "http", "https", "www"),
 }
+EMAIL_CUE_CHARS = {"legitimate": (), "spam": ("!", "$"), "phishing": ()}
 EMAIL_PRIORS = {"legitimate": 2, "spam": 1, "phishing": 1}
 
 URL_CUES = {
