@@ -1 +1,150 @@
-"""Queries (filled in below)."""
+"""Queries for token explanations (W2-W4, J7) over conversations and messages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from threatsift.functions.text import UI_URL_PATTERN
+from threatsift.operators import explain as XP
+from threatsift.operators.scoring import LexicalScorer
+from threatsift.operators.verdict import verdict
+from threatsift.plans import sqltext as S
+from threatsift.plans.catalog import query
+from threatsift.plans.q_triage import oracle_triage_messages, sql_email_preds, sql_verdict_select
+from threatsift.plans.triage import email_predictions, triage_messages
+from threatsift.plans.views import sub, view
+from threatsift.settings import EMAIL_CUE_WORDS, TOP_IMPORTANCE_WORDS
+
+CONV_KEY = ["conv_id", "turn"]
+
+
+# ---------------------------------------------------------------- SQL mirrors
+
+def sql_tokens(e: str) -> str:
+    return f"regexp_extract_all(coalesce({e}, ''), {S.lit(XP.TOKEN_PATTERN)}, 0)"
+
+
+def sql_importance(tok: str, target: str) -> str:
+    w = f"lower(regexp_replace({tok}, '[^\\p{{L}}\\p{{N}}_]', '', 'g'))"
+    whens = " ".join(
+        f"WHEN {S.in_list(w, words)} THEN CASE WHEN {target} = {S.lit(cls)} THEN 1.0 ELSE -0.5 END"
+        for cls, words in EMAIL_CUE_WORDS.items())
+    return f"CAST(CASE {whens} ELSE 1.0 / CAST(length({tok}) + 1 AS DOUBLE) END AS DOUBLE)"
+
+
+def sql_target(label: str) -> str:
+    return f"CASE WHEN {label} = 'Phishing' THEN 'phishing' WHEN {label} = 'Spam' THEN 'spam' ELSE 'legitimate' END"
+
+
+def sql_spans(e: str) -> str:
+    """[start, end) list of URL matches, via split segments and prefix sums."""
+    x = f"coalesce({e}, '')"
+    urls = f"regexp_extract_all({x}, {S.lit(UI_URL_PATTERN)}, 0)"
+    segs = f"string_split_regex({x}, {S.lit(UI_URL_PATTERN)})"
+    start = (f"coalesce(list_sum(list_transform({segs}[1:k + 1], lambda s: length(s))), 0) + "
+             f"coalesce(list_sum(list_transform({urls}[1:k], lambda u: length(u))), 0)")
+    return (f"list_transform(range(len({urls})), lambda k: {{'start': {start}, "
+            f"'end': {start} + length({urls}[k + 1])}})")
+
+
+def sql_token_rows(src: str, key: str, text: str, extra: str = "") -> str:
+    """key, pos (0-based), token, spans, char_offset, importance inputs."""
+    t = (f"SELECT {key}{extra}, {sql_spans(text)} AS spans, generate_subscripts(tk, 1) - 1 AS pos, unnest(tk) AS token "
+         f"FROM (SELECT *, {sql_tokens(text)} AS tk FROM {src}) s")
+    return (f"SELECT *, coalesce(sum(length(token)) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+            f"AS char_offset FROM ({t}) t")
+
+
+def sql_conv_verdicts() -> str:
+    m = "(SELECT conv_id, turn, conv_id * 100000 + turn AS msg_id, " + S.strip("text") + " AS clean, text FROM conversations) c"
+    e = f"(SELECT * FROM ({sql_email_preds(m)}) ep)"
+    j = ("(SELECT e.*, CAST(NULL AS STRUCT(is_phishing BOOLEAN, confidence DOUBLE, message VARCHAR, p_phishing DOUBLE, "
+         "p_legitimate DOUBLE, url_pos INTEGER)) AS ovr, CAST(NULL AS STRUCT(is_phishing BOOLEAN, confidence DOUBLE, message VARCHAR, "
+         f"p_phishing DOUBLE, p_legitimate DOUBLE, url_pos INTEGER)) AS top FROM {e} e)")
+    return f"SELECT msg_id // 100000 AS conv_id, msg_id % 100000 AS turn, label, is_phishing FROM ({sql_verdict_select(j)}) v"
+
+
+def _conv_tokens(spark, sf_dir):
+    """Conversation turns with their email-model verdict, as token rows."""
+    conv = view(spark, sf_dir, "conversations")
+    keyed = conv.select("conv_id", "turn", "text", (F.col("conv_id") * 100000 + F.col("turn")).alias("msg_id"))
+    e = email_predictions(keyed, LexicalScorer("email"), "text")
+    v = verdict(e, None).select((F.col("msg_id") / 100000).cast("long").alias("conv_id"),
+                                (F.col("msg_id") % 100000).alias("turn"), "label", "is_phishing")
+    tok = XP.token_table(conv.join(v, CONV_KEY), CONV_KEY + ["label", "is_phishing"], "text")
+    return tok.withColumn("importance", XP.lexical_importance(F.col("token"), XP.target_class(F.col("label"))))
+
+
+def _sql_conv_tokens() -> str:
+    src = f"(SELECT c.*, v.label, v.is_phishing FROM conversations c JOIN ({sql_conv_verdicts()}) v USING (conv_id, turn)) cv"
+    rows = sql_token_rows(src, "conv_id, turn", "text", ", label, is_phishing")
+    return f"SELECT *, {sql_importance('token', sql_target('label'))} AS importance FROM ({rows}) r"
+
+
+@query("url_spans", lambda: (
+    f"SELECT msg_id, CAST(k AS INTEGER) AS url_idx, s['start'] AS start, s['end'] AS \"end\" FROM "
+    f"(SELECT msg_id, generate_subscripts(sp, 1) - 1 AS k, unnest(sp) AS s FROM "
+    f"(SELECT msg_id, {sql_spans('text')} AS sp FROM {sub('v_messages')} m) a) b"))
+def q_url_spans(spark, sf_dir):
+    """Character ranges of the URL matches of every message (J7's spans)."""
+    return XP.url_span_rows(view(spark, sf_dir, "v_messages"), ["msg_id"], "text").select(
+        "msg_id", "url_idx", F.col("start").cast("long"), F.col("end").cast("long"))
+
+
+@query("token_offsets", lambda: (
+    f"SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, length(token) AS token_len, CAST(char_offset AS BIGINT) AS char_offset "
+    f"FROM ({sql_token_rows('conversations', 'conv_id, turn', 'text')}) t"))
+def q_token_offsets(spark, sf_dir):
+    """Running character offset of every token of every turn."""
+    tok = XP.token_table(view(spark, sf_dir, "conversations"), CONV_KEY, "text")
+    return XP.with_offsets(tok, CONV_KEY).select(*CONV_KEY, "pos", F.length("token").alias("token_len"),
+                                                 F.col("char_offset").cast("long"))
+
+
+@query("top_importances", lambda: (
+    f"SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, token, round(importance, 6) AS importance, imp_rank FROM "
+    f"(SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY abs(importance) DESC, pos) AS imp_rank "
+    f"FROM ({_sql_conv_tokens()}) t) r WHERE imp_rank <= {TOP_IMPORTANCE_WORDS}"))
+def q_top_importances(spark, sf_dir):
+    """The 7 most important tokens of every turn (stable by position)."""
+    t = XP.with_top_flags(_conv_tokens(spark, sf_dir), CONV_KEY).filter(F.col("is_top"))
+    return t.select(*CONV_KEY, "pos", "token", F.round("importance", 6).alias("importance"), F.col("imp_rank"))
+
+
+def _msg_tokens(spark, sf_dir):
+    m = view(spark, sf_dir, "v_messages")
+    v = triage_messages(m).select("msg_id", "label", "is_phishing")
+    tok = XP.token_table(m.select("msg_id", "text").join(v, "msg_id"), ["msg_id", "label", "is_phishing"], "text")
+    return tok.withColumn("importance", XP.lexical_importance(F.col("token"), XP.target_class(F.col("label"))))
+
+
+def _sql_msg_tokens() -> str:
+    src = f"(SELECT m.msg_id, m.text, v.label, v.is_phishing FROM {sub('v_messages')} m JOIN ({oracle_triage_messages()}) v USING (msg_id)) mv"
+    rows = sql_token_rows(src, "msg_id", "text", ", label, is_phishing")
+    return f"SELECT *, {sql_importance('token', sql_target('label'))} AS importance FROM ({rows}) r"
+
+
+SQL_OVERLAP = "len(list_filter(spans, lambda s: char_offset < s['end'] AND char_offset + length(token) > s['start'])) > 0"
+
+
+@query("span_overlap", lambda: (
+    f"SELECT msg_id, CAST(pos AS INTEGER) AS pos, token, CAST(char_offset AS BIGINT) AS char_offset FROM "
+    f"({sql_token_rows(sub('v_messages'), 'msg_id', 'text')}) t WHERE {SQL_OVERLAP}"))
+def q_span_overlap(spark, sf_dir):
+    """Tokens whose character range overlaps a URL span of their message."""
+    tok = XP.with_offsets(XP.token_table(view(spark, sf_dir, "v_messages"), ["msg_id"], "text"), ["msg_id"])
+    t = tok.filter(XP.is_url_token(F.col("token")))
+    return t.select("msg_id", "pos", "token", F.col("char_offset").cast("long"))
+
+
+@query("highlight_tokens", lambda: (
+    f"SELECT msg_id, CAST(pos AS INTEGER) AS pos, token, round(importance, 6) AS importance, imp_rank <= {TOP_IMPORTANCE_WORDS} AS is_top, "
+    f"{SQL_OVERLAP} AS is_url, CASE WHEN is_phishing THEN 'red' ELSE 'green' END AS color FROM "
+    f"(SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY abs(importance) DESC, pos) AS imp_rank FROM ({_sql_msg_tokens()}) t) r "
+    f"WHERE imp_rank <= {TOP_IMPORTANCE_WORDS} OR {SQL_OVERLAP}"))
+def q_highlight_tokens(spark, sf_dir):
+    """Tokens to highlight per message (top-7 or inside a URL) and the
+    verdict colour."""
+    h = XP.highlight(_msg_tokens(spark, sf_dir), ["msg_id"])
+    return h.filter(F.col("flagged")).select("msg_id", "pos", "token", F.round("importance", 6).alias("importance"),
+                                             "is_top", "is_url", "color")
