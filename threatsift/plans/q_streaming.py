@@ -1 +1,63 @@
-"""Queries (filled in below)."""
+"""Queries for sliding-window limits and streaming scoring."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from threatsift.operators.history import read_history
+from threatsift.plans.catalog import query
+from threatsift.plans.views import sub, view
+from threatsift.session import fresh_path
+from threatsift.settings import Settings
+from threatsift.streaming import ratelimit as RL
+from threatsift.streaming.triage_stream import start_triage_stream
+
+# events at these scales: ~150 clients over 30 days, so the limiter is
+# exercised with 2 requests per day instead of 100 per minute
+DAILY = Settings(rate_limit=2, rate_window_seconds=86400)
+
+
+@query("trailing_request_count", lambda: (
+    f"SELECT event_id, client, count(*) OVER (PARTITION BY client ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING "
+    f"AND CURRENT ROW) AS trailing_count FROM {sub('v_requests')} r"))
+def q_trailing_request_count(spark, sf_dir):
+    """Requests per client in the trailing 60 s, accepted or not."""
+    r = view(spark, sf_dir, "v_requests")
+    return RL.trailing_request_count(r, "client", "ts", 60).select("event_id", "client", "trailing_count")
+
+
+@query("rate_limit_flags")
+def q_rate_limit_flags(spark, sf_dir):
+    """Allowed / rejected per request by the sequential limiter."""
+    r = view(spark, sf_dir, "v_requests")
+    return RL.rate_limit_flags(r, "client", "ts", "event_id", DAILY).select("event_id", "client", "allowed")
+
+
+@query("rate_limit_stream")
+def q_rate_limit_stream(spark, sf_dir):
+    """The limiter as streaming state over the events file."""
+    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
+    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    src = src.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client"))
+    out = RL.rate_limit_stream(src, "client", "ts", "event_id", "2 days", DAILY)
+    sink, ckpt = fresh_path(spark, "ratelimit"), fresh_path(spark, "ratelimit-ckpt")
+    q = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt) \
+        .outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(sink).select("event_id", "client", "allowed")
+
+
+@query("triage_stream")
+def q_triage_stream(spark, sf_dir):
+    """Messages arriving as a stream, scored per micro-batch and
+    appended to the history table."""
+    path = os.path.join(sf_dir, "documents.parquet")
+    schema = spark.read.parquet(path).schema
+    src = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    msgs = src.select(F.col("doc_id").alias("msg_id"), "text")
+    hist, ckpt = fresh_path(spark, "triage-history"), fresh_path(spark, "triage-ckpt")
+    q = start_triage_stream(msgs, hist, ckpt)
+    q.awaitTermination()
+    return read_history(spark, hist).drop("batch")
