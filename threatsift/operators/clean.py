@@ -36,8 +36,11 @@ def _c(c) -> Column:
 
 
 def file_name(path) -> Column:
-    """Last path segment."""
-    return F.regexp_extract(_c(path), r"([^/\\]*)\z", 1)
+    """Source file name: the last path segment, or for a Spark-written
+    dataset (``.../<name>/part-*``) the dataset folder's name."""
+    p = _c(path)
+    part_dir = F.regexp_extract(p, r"([^/\\]+)[/\\]part-[^/\\]*\z", 1)
+    return F.when(part_dir != "", part_dir).otherwise(F.regexp_extract(p, r"([^/\\]*)\z", 1))
 
 
 def _contains_any(x: Column, words) -> Column:

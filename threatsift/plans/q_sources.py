@@ -1 +1,169 @@
-"""Queries (filled in below)."""
+"""Queries for sources and sinks.
+
+Each query first writes files derived from the driver tables into a fresh
+folder below the shared work folder, then reads them back with the library's
+readers, so the work grows with the tables.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from threatsift.operators import clean as C
+from threatsift.operators import sample as SM
+from threatsift.plans.catalog import query
+from threatsift.plans.views import sub, view
+from threatsift.session import fresh_path
+from threatsift.settings import EMAIL_LABEL_MAP, PHISHING_SOURCE_KEYWORDS
+from threatsift.sources import corpus as SRC
+
+
+def prepare_email_corpus(spark, root: str):
+    """Entry A for emails: S1 scan -> R1 route / R2 exclude -> one read per
+    header group -> R4 resolve columns -> C1-C5 canonical rows -> C7 union
+    -> C8 first-wins dedup by text."""
+    listing = SRC.list_corpus(spark, root).filter(F.col("kind") == "email")
+    frames = []
+    for header, paths in SRC.header_groups(listing).items():
+        df = SRC.read_group(spark, paths)
+        cols = [c for c in df.columns if c not in ("path",)]
+        data_cols = [c for c in cols if c in header.split(",")] or cols
+        if len(data_cols) == 1:
+            lab = C.relabel_by_source(F.lit(2), F.col("path"))
+            canon = df.select("path", F.lower(F.col(data_cols[0])).alias("text"), lab.cast("int").alias("label"))
+            canon = canon.dropna(subset=["text"])
+        else:
+            text, label = C.resolve_columns(data_cols, C.distinct_counts_of(df.select(*data_cols)))
+            canon = C.canonical_email(df.select("path", text, label), text, label, "path", EMAIL_LABEL_MAP)
+        frames.append(canon.dropDuplicates(["path", "text", "label"])
+                      .withColumn("row_pos", F.monotonically_increasing_id()))
+    corpus = C.union_sources(frames)
+    return C.dedup_first(corpus, "text", ["path", "row_pos"], ["path", "text", "label"])
+
+
+def _write_raw_corpus(spark, sf_dir, root):
+    raw = view(spark, sf_dir, "v_raw_labels")
+    # per-source files below an "email datasets" folder; phishing corpora by folder name
+    phish = F.lower(F.col("path")).rlike("|".join(PHISHING_SOURCE_KEYWORDS))
+    raw = raw.withColumn("file", F.regexp_extract("path", r"([^/]*)\.csv$", 1))
+    SRC.write_table(raw.filter(~phish).select("file", "text", "raw_label"), os.path.join(root, "email datasets", "mixed"),
+                    "csv", ["file"])
+    SRC.write_table(raw.filter(phish).select("text", "raw_label"), os.path.join(root, "email datasets", "nazario_corpus"), "csv")
+    bench = view(spark, sf_dir, "benchmark").select(F.col("text").alias("body"))
+    SRC.write_table(bench, os.path.join(root, "email datasets", "fraud_blocklist"), "csv")
+
+
+@query("corpus_scan")
+def q_corpus_scan(spark, sf_dir):
+    """S1 (+R1, R2, R4, C1-C8): scan a raw CSV corpus built from the tables
+    and prepare the canonical, deduplicated email table."""
+    root = fresh_path(spark, "raw")
+    _write_raw_corpus(spark, sf_dir, root)
+    out = prepare_email_corpus(spark, root)
+    return out.select(F.md5("text").alias("text_md5"), "label")
+
+
+@query("tolerant_csv")
+def q_tolerant_csv(spark, sf_dir):
+    """Documents as quoted multi-line CSV, read back with the
+    too-many-fields rule."""
+    path = fresh_path(spark, "docs-csv")
+    docs = view(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text", "source")
+    SRC.write_table(docs, path, "csv")
+    return SRC.tolerant_csv(spark, path, ["doc_id", "text", "source"]).select("doc_id", "text", "source")
+
+
+@query("threat_feed_csv")
+def q_threat_feed_csv(spark, sf_dir):
+    """S3: page URLs as feed files with a comment preamble and a commented
+    header line; read back with the header-driven schema."""
+    path = fresh_path(spark, "feed")
+    pages = view(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("2024-01-01").alias("dateadded"),
+                                                 "url", F.lit("online").alias("url_status"))
+    SRC.write_threat_feed(pages, path, ["id", "dateadded", "url", "url_status"], ["threat feed", "generated from pages"])
+    return SRC.threat_feed_csv(spark, path).select("id", "dateadded", "url", "url_status")
+
+
+@query("ranked_list_source")
+def q_ranked_list_source(spark, sf_dir):
+    """Page hosts as a header-less rank,domain list (tranco form)."""
+    from threatsift.functions.urls import url_netloc
+    path = fresh_path(spark, "tranco")
+    hosts = view(spark, sf_dir, "pages").select(url_netloc(F.col("url")).alias("domain")).groupBy("domain").count()
+    ranked = SM.hash_rank(hosts, "domain", None, out="rank").select(F.col("rank").cast("string"), "domain")
+    ranked.write.mode("overwrite").option("header", "false").csv(path)
+    return SRC.ranked_list(spark, path, "tranco").select("url", "label")
+
+
+@query("blocklist_source")
+def q_blocklist_source(spark, sf_dir):
+    """Page URLs as a single-column blocklist; every row positive."""
+    path = fresh_path(spark, "blocklist")
+    SRC.write_table(view(spark, sf_dir, "pages").select("url"), path, "csv")
+    return SRC.blocklist(spark, path, label=1).select("text", "label")
+
+
+@query("pruned_label_scan", lambda: f"SELECT raw_label, count(*) AS n_rows FROM {sub('v_raw_labels')} r GROUP BY raw_label")
+def q_pruned_label_scan(spark, sf_dir):
+    """Label counts reading only the label column of a written table."""
+    path = fresh_path(spark, "raw-labels")
+    SRC.write_table(view(spark, sf_dir, "v_raw_labels"), path)
+    return SRC.label_column_scan(spark, path, "raw_label").groupBy("raw_label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _sql_lines() -> str:
+    from threatsift.plans import sqltext as S
+    return (f"SELECT {S.strip('l')} AS item FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) t "
+            f"WHERE length({S.strip('l')}) > 0")
+
+
+@query("text_line_source", _sql_lines)
+def q_text_line_source(spark, sf_dir):
+    """Document texts written as text files, read one item per line."""
+    path = fresh_path(spark, "lines")
+    view(spark, sf_dir, "documents").select("text").write.mode("overwrite").text(path)
+    return SRC.text_lines(spark, path)
+
+
+@query("csv_column_source", lambda: "SELECT url AS item FROM pages WHERE url IS NOT NULL")
+def q_csv_column_source(spark, sf_dir):
+    """One chosen column of an uploaded CSV."""
+    path = fresh_path(spark, "pages-csv")
+    SRC.write_table(view(spark, sf_dir, "pages").select("page_id", "url"), path, "csv")
+    return SRC.csv_column(spark, path, "url")
+
+
+@query("docx_paragraph_source")
+def q_docx_paragraph_source(spark, sf_dir):
+    """Every document as a Word file (one paragraph per line), read
+    back paragraph by paragraph."""
+    path = fresh_path(spark, "docx")
+    SRC.write_docx_files(view(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return SRC.docx_paragraphs(spark, path)
+
+
+@query("canonical_sink")
+def q_canonical_sink(spark, sf_dir):
+    """K1: unbalanced, balanced and email tables written and read back."""
+    base = fresh_path(spark, "canonical")
+    raw = view(spark, sf_dir, "v_raw_labels")
+    email = C.canonical_email(raw, "text", "raw_label", "path")
+    cleaned = C.dedup_first(email, "text", ["path", "doc_id"], ["doc_id", "text", "label"])
+    balanced = SM.balance_undersample(cleaned, "doc_id").drop("rank")
+    SRC.write_table(cleaned, os.path.join(base, "email_cleaned_unbalanced"))
+    SRC.write_table(balanced, os.path.join(base, "email_cleaned"))
+    a = spark.read.parquet(os.path.join(base, "email_cleaned_unbalanced")).withColumn("table", F.lit("unbalanced"))
+    b = spark.read.parquet(os.path.join(base, "email_cleaned")).withColumn("table", F.lit("balanced"))
+    return a.unionByName(b).select("table", "doc_id", "label")
+
+
+@query("split_sink")
+def q_split_sink(spark, sf_dir):
+    """K2: stratified splits written partitioned by split, read back."""
+    path = fresh_path(spark, "splits")
+    d = view(spark, sf_dir, "v_labelled").select("doc_id", "text", "label")
+    s = SM.stratified_split(d.withColumn("row_key", F.col("doc_id").cast("string")), "row_key").drop("row_key", "rank")
+    SRC.write_table(s, path, partition_by=["split"])
+    return spark.read.parquet(path).select("doc_id", "label", "split")
