@@ -20,6 +20,26 @@ SPLIT_PATTERN = r"(?s)^(?:([a-z][a-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([
 STRAY_PERCENT = r"%(?![0-9a-fA-F]{2})"
 
 
+def _ipv6_pattern() -> str:
+    """IPv6address of RFC 3986 (section 3.2.2), built from its grammar, plus
+    an optional zone id; lowercase hex (input is lowercased)."""
+    h16 = "[0-9a-f]{1,4}"
+    dec = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    ipv4 = rf"{dec}(?:\.{dec}){{3}}"
+    ls32 = f"(?:{h16}:{h16}|{ipv4})"
+    forms = [f"(?:{h16}:){{6}}{ls32}", f"::(?:{h16}:){{5}}{ls32}"]
+    for k in range(0, 7):  # [ *k( h16 ":" ) h16 ] "::" ...
+        pre = f"(?:(?:{h16}:){{0,{k}}}{h16})?" if k else f"(?:{h16})?"
+        tail = {0: f"(?:{h16}:){{4}}{ls32}", 1: f"(?:{h16}:){{3}}{ls32}", 2: f"(?:{h16}:){{2}}{ls32}",
+                3: f"{h16}:{ls32}", 4: ls32, 5: h16, 6: ""}[k]
+        forms.append(f"{pre}::{tail}")
+    return "^(?:" + "|".join(forms) + ")(?:%[^%]+)?\\z"
+
+
+IPV6_PATTERN = _ipv6_pattern()
+IPVFUTURE_PATTERN = r"^v[0-9a-f]+\..+\z"
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -113,11 +133,14 @@ def _assemble(scheme: Column, netloc: Column, path: Column, query: Column) -> Co
 
 
 def url_error(c) -> Column:
-    """Why a URL cannot be normalised (the stdlib raises); NULL when fine."""
+    """Why a URL cannot be normalised (the stdlib raises); NULL when fine.
+    Brackets must pair, and a bracketed host must be IPv6 or IPvFuture."""
     netloc = _part(prepare(c), 2)
-    return F.when(_c(c).isNull(), F.lit("null url")).when(
-        netloc.contains("[") != netloc.contains("]"), F.lit("Invalid IPv6 URL")
-    )
+    host = F.regexp_extract(netloc, r"^[^\[]*\[([^\]]*)", 1)
+    bracketed_ok = host.rlike(IPV6_PATTERN) | host.rlike(IPVFUTURE_PATTERN)
+    return (F.when(_c(c).isNull(), F.lit("null url"))
+            .when(netloc.contains("[") != netloc.contains("]"), F.lit("Invalid IPv6 URL"))
+            .when(netloc.contains("[") & ~bracketed_ok, F.lit("Invalid bracketed host")))
 
 
 def normalize_url(c, settings: Settings = DEFAULT) -> Column:

@@ -8,7 +8,7 @@ oracle for a query reads like its DataFrame plan.
 from __future__ import annotations
 
 from threatsift.functions.text import URL_PATTERN, URL_TRAILING, UI_URL_PATTERN
-from threatsift.functions.urls import SPLIT_PATTERN
+from threatsift.functions.urls import IPV6_PATTERN, IPVFUTURE_PATTERN, SPLIT_PATTERN
 from threatsift.settings import (
     DEFAULT,
     EMAIL_CUE_CHARS,
@@ -133,7 +133,10 @@ def normalize_url_select(src: str, keep: str, url_col: str, out: str = "norm_url
             f"WHEN starts_with(_path, '//') THEN '//' || _path "
             f"WHEN {in_list('_scheme', USES_NETLOC)} AND {rooted} THEN '//' || _path ELSE _path END")
     full = f"_scheme || ':' || {body} || CASE WHEN _query <> '' THEN '?' || _query ELSE '' END"
-    bad = "(_raw IS NULL OR (strpos(_netloc, '[') > 0) <> (strpos(_netloc, ']') > 0))"
+    host = "regexp_extract(_netloc, '^[^\\[]*\\[([^\\]]*)', 1)"
+    ok = f"(regexp_matches({host}, {lit(IPV6_PATTERN)}) OR regexp_matches({host}, {lit(IPVFUTURE_PATTERN)}))"
+    bad = (f"(_raw IS NULL OR (strpos(_netloc, '[') > 0) <> (strpos(_netloc, ']') > 0) "
+           f"OR (strpos(_netloc, '[') > 0 AND NOT {ok}))")
     return f"SELECT {keep}, _raw AS raw_url, CASE WHEN {bad} THEN NULL ELSE {full} END AS {out} FROM ({s3}) s3"
 
 
