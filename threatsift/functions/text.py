@@ -123,10 +123,18 @@ def clean_message(c, native: bool = True) -> Column:
     return py_strip(F.regexp_replace(F.when(is_html(x), conv).otherwise(x), f"{WS}+", " "))
 
 
+def may_contain_url(x: Column) -> Column:
+    """Cheap pre-test: a URL match needs 'http' or 'www.' in some case."""
+    return F.ilike(x, F.lit("%http%")) | F.ilike(x, F.lit("%www.%"))
+
+
 def extract_urls(c) -> Column:
-    """T4: ordered list of URLs in the text; NULL text gives []."""
-    found = F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(URL_PATTERN), 0)
-    return F.transform(found, lambda u: F.regexp_replace(u, URL_TRAILING, ""))
+    """T4: ordered list of URLs in the text; NULL text gives []. Texts
+    without 'http' / 'www.' skip the regex scan."""
+    x = F.coalesce(_c(c), F.lit(""))
+    found = F.regexp_extract_all(x, F.lit(URL_PATTERN), 0)
+    urls = F.transform(found, lambda u: F.regexp_replace(u, URL_TRAILING, ""))
+    return F.when(may_contain_url(x), urls).otherwise(F.array().cast("array<string>"))
 
 
 def extract_urls_ui(c) -> Column:
@@ -145,10 +153,11 @@ def route_input(c) -> Column:
 WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 
 
-def all_words(c) -> Column:
+def all_words(c, already_lower: bool = False) -> Column:
     """Word-character runs of the lowercased text (split once, no regex
     word boundaries, whose Unicode meaning differs between engines)."""
-    return F.split(F.lower(F.coalesce(_c(c), F.lit(""))), WORD_SPLIT)
+    x = F.coalesce(_c(c), F.lit(""))
+    return F.split(x if already_lower else F.lower(x), WORD_SPLIT)
 
 
 def words(c) -> Column:

@@ -2,8 +2,9 @@
 
 The normaliser follows the stdlib semantics the scoring path relies on
 (``urlsplit`` / ``unquote`` / ``quote`` / ``parse_qsl`` / ``urlencode`` /
-``urlunsplit`` of Python 3.13), but is written with Spark built-ins so it stays
-inside whole-stage codegen: no Python worker is involved.
+``urlunsplit`` of Python 3.13), but is written with Spark built-ins only: no
+Python worker is involved. Stages are bound once with ``let`` so the split
+regex and decoding run once per URL.
 """
 
 from __future__ import annotations
@@ -132,6 +133,19 @@ def _assemble(scheme: Column, netloc: Column, path: Column, query: Column) -> Co
                     F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a variable (a
+    one-element ``transform``); Spark does not share subexpressions inside
+    CASE branches, so this keeps staged work from being recomputed."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _bad_netloc(netloc: Column) -> Column:
+    host = F.regexp_extract(netloc, r"^[^\[]*\[([^\]]*)", 1)
+    bracketed_ok = host.rlike(IPV6_PATTERN) | host.rlike(IPVFUTURE_PATTERN)
+    return (netloc.contains("[") != netloc.contains("]")) | (netloc.contains("[") & ~bracketed_ok)
+
+
 def url_error(c) -> Column:
     """Why a URL cannot be normalised (the stdlib raises); NULL when fine.
     Brackets must pair, and a bracketed host must be IPv6 or IPvFuture."""
@@ -145,15 +159,22 @@ def url_error(c) -> Column:
 
 def normalize_url(c, settings: Settings = DEFAULT) -> Column:
     """Canonical form used for allowlisting and scoring. NULL for input
-    the stdlib would reject (see ``url_error``)."""
-    x = prepare(c)
-    scheme = _part(x, 1)
-    scheme = F.when(scheme == "", F.lit("https")).otherwise(scheme)
-    netloc = _part(x, 2)
-    path = recode_path(_part(x, 3))
-    query = strip_tracking(_part(x, 4), settings)
-    out = _assemble(scheme, netloc, path, query)
-    return F.when(url_error(c).isNull(), out)
+    the stdlib would reject (see ``url_error``). Each stage (prepared
+    string, split parts, recoded parts) is computed once."""
+    def recode(p):
+        scheme = F.when(p["scheme"] == "", F.lit("https")).otherwise(p["scheme"])
+        return F.struct(scheme.alias("scheme"), p["netloc"].alias("netloc"),
+                        recode_path(p["path"]).alias("path"), strip_tracking(p["query"], settings).alias("query"))
+
+    def finish(q):
+        return F.when(~_bad_netloc(q["netloc"]), _assemble(q["scheme"], q["netloc"], q["path"], q["query"]))
+
+    def from_prepared(x):
+        parts = F.struct(_part(x, 1).alias("scheme"), _part(x, 2).alias("netloc"),
+                         _part(x, 3).alias("path"), _part(x, 4).alias("query"))
+        return let(parts, lambda p: let(recode(p), finish))
+
+    return F.when(_c(c).isNotNull(), let(prepare(c), from_prepared))
 
 
 def url_netloc(c) -> Column:

@@ -57,7 +57,7 @@ def cue_count(c, cues) -> Column:
 PACK_BITS = 21  # per-class word count field; 3 classes fit one long
 
 
-def word_cue_counts(c, cue_words: dict) -> dict[str, Column]:
+def word_cue_counts(c, cue_words: dict, already_lower: bool = False) -> dict[str, Column]:
     """Cue-word counts per class from ONE split of the text and ONE pass
     over the words: each word adds 1 << (21 * class index) to a long, the
     fields are unpacked afterwards (a text has < 2**21 words)."""
@@ -72,16 +72,16 @@ def word_cue_counts(c, cue_words: dict) -> dict[str, Column]:
                  if e is None else e.when(w.isin(*cue_words[k]), F.lit(1 << (PACK_BITS * i))))
         return e.otherwise(F.lit(0)).cast("long")
 
-    packed = F.aggregate(all_words(c), F.lit(0).cast("long"), lambda acc, w: acc + weight(w))
+    packed = F.aggregate(all_words(c, already_lower), F.lit(0).cast("long"), lambda acc, w: acc + weight(w))
     mask = (1 << PACK_BITS) - 1
     return {k: F.shiftrightunsigned(packed, PACK_BITS * i).bitwiseAND(F.lit(mask)) for i, k in enumerate(keys)}
 
 
-def lexical_scores(c, kind: str = "email") -> dict[str, Column]:
+def lexical_scores(c, kind: str = "email", already_lower: bool = False) -> dict[str, Column]:
     """Rational class scores: (prior_k + w * cues_k) / sum over classes.
     Email: cue words (one split) plus cue characters; URL: cue substrings."""
     if kind == "email":
-        counts = word_cue_counts(c, EMAIL_CUE_WORDS)
+        counts = word_cue_counts(c, EMAIL_CUE_WORDS, already_lower)
         for k, chars in EMAIL_CUE_CHARS.items():
             for ch in chars:
                 counts[k] = counts[k] + char_count(c, ch)
@@ -145,6 +145,11 @@ class Scorer:
     def probabilities(self, df: DataFrame, text_col: str) -> DataFrame:
         raise NotImplementedError
 
+    def column_predict(self, text: Column, settings: Settings = DEFAULT) -> dict[str, Column] | None:
+        """Native scorers return the prediction as expressions over one
+        column (usable inside array lambdas); others return None."""
+        return None
+
     def predict(self, df: DataFrame, text_col: str, settings: Settings = DEFAULT) -> DataFrame:
         """Adds is_phishing, confidence, message and p_* columns."""
         probs = self.probabilities(df, text_col)
@@ -157,14 +162,24 @@ class Scorer:
 
 
 class LexicalScorer(Scorer):
-    def __init__(self, kind: str = "email"):
+    """``lowercased=True`` when the scored text is already lowercase (the
+    email path lowercases once, up front)."""
+
+    def __init__(self, kind: str = "email", lowercased: bool = False):
         self.kind = kind
+        self.lowercased = lowercased
         self.classes = EMAIL_CLASSES if kind == "email" else URL_CLASSES
 
     def probabilities(self, df, text_col):
-        sc = lexical_scores(F.col(text_col), self.kind)
+        sc = lexical_scores(F.col(text_col), self.kind, self.lowercased)
         return df.select("*", *[sc[k].alias(f"p_{k}") for k in self.classes])
 
+    def column_predict(self, text, settings=DEFAULT):
+        sc = lexical_scores(text, self.kind, self.lowercased)
+        if self.kind == "email":
+            return decide_email(sc["legitimate"], sc["spam"], sc["phishing"], settings)
+        return decide_url(sc["legitimate"], sc["phishing"], settings)
+
 
 class MockScorer(Scorer):
     """The test-suite stand-in: phishing iff the text mentions one of the
@@ -176,7 +191,11 @@ class MockScorer(Scorer):
         self.classes = EMAIL_CLASSES if kind == "email" else URL_CLASSES
 
     def predict(self, df, text_col, settings=DEFAULT):
-        t = F.lower(F.col(text_col))
+        cols = self.column_predict(F.col(text_col), settings)
+        return df.select("*", *[v.alias(k) for k, v in cols.items()])
+
+    def column_predict(self, text, settings=DEFAULT):
+        t = F.lower(text)
         hit = F.lit(False)
         for m in self.MARKERS:
             hit = hit | t.contains(m)
@@ -190,7 +209,7 @@ class MockScorer(Scorer):
         }
         if len(self.classes) == 3:
             cols["p_spam"] = F.lit(None).cast("double")
-        return df.select("*", *[v.alias(k) for k, v in cols.items()])
+        return cols
 
 
 class PandasScorer(Scorer):

@@ -54,7 +54,7 @@ def sql_url_preds(occ: str) -> str:
     d = S.decide_url("pl", "pp")
     a = S.allow_pred()
     cols = ", ".join(f"CASE WHEN allowlisted THEN {a[c]} ELSE {d[c]} END AS {c}" for c in S.URL_FIELDS)
-    return f"SELECT msg_id, url_pos, norm_url, allowlisted, {cols} FROM ({inner}) us"
+    return f"SELECT msg_id, url_pos, norm_url, allowlisted, {cols} FROM ({inner}) us WHERE norm_url IS NOT NULL"
 
 
 def sql_verdict_select(src: str) -> str:

@@ -2,28 +2,31 @@
 
 The same transforms serve batch tables and streaming micro-batches.
 
-Plan shape for ``triage_messages`` (one row per message in, one out):
-
-    scan -> project(strip, lower, URL list, email scores)       narrow
-         -> posexplode URLs -> normalise -> allowlist flag          narrow
-         -> [expensive scorer only] distinct URLs -> score -> join  2 shuffles
-         -> groupBy(msg_id) min_by/max_by (partial + final)         1 shuffle
-         -> left join with the message side on msg_id               1 shuffle
-
-Only fixed-width prediction columns cross the shuffles; message text never
-does. Skewed URLs are collapsed map-side by the distinct's partial
-aggregation; skewed messages by the partial min_by/max_by.
+Plan shapes for ``triage_messages`` (one row per message in, one out):
+
+* native scorers (default): ONE narrow projection over ONE scan. Every URL of
+  a message lives in that message's row, so the URL predictions are an
+  array built with ``transform`` and V1 / V4 are array reductions
+  (``filter`` + first element, and a running max). No shuffle, no sort, no
+  join; the stage is a single map task per input split.
+* expensive scorers (pandas UDF models): URL occurrences are exploded once
+  and reliably checkpointed; each distinct URL is scored once (J4) and the
+  predictions are joined back and reduced per message with partial
+  ``min_by`` / ``max_by`` aggregation, then joined to the email side.
+
+Only fixed-width prediction columns cross shuffles; message text never does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatsift.functions.text import extract_urls, trim_input
 from threatsift.functions.urls import is_allowlisted, normalize_url, url_domain
 from threatsift.operators.scoring import LexicalScorer, Scorer
-from threatsift.operators.verdict import email_columns, verdict
+from threatsift.operators.verdict import E_FIELDS, VERDICT_COLUMNS, email_columns, verdict, verdict_struct
+from threatsift.session import cut_lineage
 from threatsift.settings import DEFAULT, MSG_ALLOWLIST, Settings
 
 URL_PRED_COLUMNS = ("is_phishing", "confidence", "message", "p_phishing", "p_legitimate")
@@ -56,8 +59,9 @@ def url_predictions(occ: DataFrame, scorer: Scorer, key: str = "msg_id",
     their predictions are joined back; cheap native ones score in place."""
     dedupe = scorer.expensive if dedupe is None else dedupe
     allow = allowlisted_prediction(settings)
+    occ = occ.filter(F.col("norm_url").isNotNull())  # unparseable URLs are not scored
     if dedupe:
-        distinct_urls = occ.filter(~F.col("allowlisted") & F.col("norm_url").isNotNull()).select("norm_url").distinct()
+        distinct_urls = occ.filter(~F.col("allowlisted")).select("norm_url").distinct()
         scored = scorer.predict(distinct_urls, "norm_url", settings).select(
             "norm_url", *[F.col(c).alias(f"s_{c}") for c in URL_PRED_COLUMNS])
         joined = occ.join(scored, "norm_url", "left")
@@ -76,23 +80,80 @@ def email_predictions(df: DataFrame, scorer: Scorer, text_col: str = "text", key
     return preds.select(key, *email_columns(preds))
 
 
+def _prediction_from_norm(norm: Column, pos: Column, scorer: Scorer, settings: Settings) -> Column:
+    allow = is_allowlisted(url_domain(norm), settings)
+    d = scorer.column_predict(norm, settings)
+    a = allowlisted_prediction(settings)
+    fields = [F.when(allow, a[c]).otherwise(d[c]).alias(c) for c in URL_PRED_COLUMNS]
+    return F.struct(*fields, pos.cast("int").alias("url_pos"))
+
+
+def url_prediction_array(urls: Column, scorer: Scorer, settings: Settings = DEFAULT) -> Column:
+    """In-row URL predictions (T7 + T11 + J1 + M3) of an array of raw URLs,
+    in order; unparseable URLs are dropped. Normalisation runs once per URL
+    into a lambda variable that the scoring step then references, so the
+    expression is not copied per use."""
+    norms = F.transform(urls, lambda u, i: F.struct(normalize_url(u, settings).alias("norm"), i.alias("pos")))
+    valid = F.filter(norms, lambda n: n["norm"].isNotNull())
+    return F.transform(valid, lambda n: _prediction_from_norm(n["norm"], n["pos"], scorer, settings))
+
+
+def url_reductions(preds: Column, settings: Settings = DEFAULT) -> tuple[Column, Column]:
+    """V1 and V4 inputs from an in-row array of URL predictions: the first
+    qualifying phishing URL in order, and the highest-confidence URL (first
+    on ties)."""
+    thr = F.lit(settings.url_override_threshold)
+    conf = lambda p: F.coalesce(p["confidence"], F.lit(0.0))
+    ovr = F.try_element_at(F.filter(preds, lambda p: F.coalesce(p["is_phishing"], F.lit(False)) & (conf(p) >= thr)), F.lit(1))
+    first = F.try_element_at(preds, F.lit(1))
+    top = F.aggregate(F.slice(preds, 2, F.greatest(F.size(preds), F.lit(1))), first,
+                      lambda acc, p: F.when(conf(p) > conf(acc), p).otherwise(acc))
+    return ovr, top
+
+
+def _finish(df: DataFrame, key: str, e_present: Column, e: dict, settings: Settings) -> DataFrame:
+    """_preds -> (ovr, top) -> verdict, one projection each."""
+    ovr, top = url_reductions(F.col("_preds"), settings)
+    keep = [c for c in df.columns if c not in (key, "_preds")]
+    r = df.select(key, *keep, ovr.alias("_ovr"), top.alias("_top"))
+    v = verdict_struct(e_present, e, F.col("_ovr"), F.col("_top"))
+    r = r.select(key, v.alias("_v"))
+    return r.select(key, *[F.col("_v")[c].alias(c) for c in VERDICT_COLUMNS])
+
+
+def _narrow(scorer: Scorer | None) -> bool:
+    return scorer is not None and not scorer.expensive and scorer.column_predict(F.lit("")) is not None
+
+
 def triage_messages(df: DataFrame, email_scorer: Scorer | None = None, url_scorer: Scorer | None = None,
                     text_col: str = "text", key: str = "msg_id", settings: Settings = DEFAULT) -> DataFrame:
     """V7: verdict per message from its body and every URL in it.
     Output: key, label, confidence, is_phishing, reason."""
-    email_scorer = email_scorer or LexicalScorer("email")
+    email_scorer = email_scorer or LexicalScorer("email", lowercased=True)
     url_scorer = url_scorer or LexicalScorer("url")
     msgs = df.select(key, trim_input(F.col(text_col)).alias("_clean"))
+    if _narrow(url_scorer):
+        body = msgs.select(key, "_clean", F.lower(F.col("_clean")).alias("_body"))
+        e = email_scorer.predict(body, "_body", settings)
+        ecols = [c for c, _ in E_FIELDS]
+        # successive projections keep each intermediate a named column
+        e = e.select(key, *ecols, url_prediction_array(extract_urls(F.col("_clean")), url_scorer, settings).alias("_preds"))
+        return _finish(e, key, F.lit(True), {c: F.col(c) for c in ecols}, settings)
     e = email_predictions(msgs, email_scorer, "_clean", key, settings)
-    occ = url_occurrences(msgs, "_clean", key, settings)
+    occ = cut_lineage(url_occurrences(msgs, "_clean", key, settings))
     preds = url_predictions(occ, url_scorer, key, settings)
     return verdict(e, preds, settings, key)
 
 
 def triage_urls(df: DataFrame, url_scorer: Scorer | None = None, text_col: str = "text",
                 key: str = "msg_id", settings: Settings = DEFAULT) -> DataFrame:
-    """V8: each input is one URL; verdict from the URL model alone."""
+    """V8: each input is one URL; verdict from the URL model alone (narrow
+    for native scorers: one prediction per row, no grouping)."""
     url_scorer = url_scorer or LexicalScorer("url")
+    if _narrow(url_scorer):
+        one = url_prediction_array(F.array(trim_input(F.col(text_col))), url_scorer, settings)
+        u = df.select(key, one.alias("_preds"))
+        return _finish(u, key, F.lit(None).cast("boolean"), {c: F.lit(None).cast(t) for c, t in E_FIELDS}, settings)
     occ = df.select(key, F.lit(0).alias("url_pos"), F.col(text_col).alias("raw_url"))
     occ = occ.withColumn("norm_url", normalize_url(trim_input(F.col("raw_url")), settings))
     occ = occ.withColumn("domain", url_domain(F.col("norm_url")))
