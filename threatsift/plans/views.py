@@ -55,15 +55,45 @@ VIEWS = {
 }
 
 
+_REGISTERED: dict = {}
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
+    """Temp views of the tables (scans spread over the session's cores when
+    they arrive in too few splits, see ``session.spread``)."""
+    from threatsift.session import table
+    tag = (id(spark), sf_dir)
+    if _REGISTERED.get("tag") == tag:
+        return
     for name in names:
-        path = os.path.join(sf_dir, f"{name}.parquet")
-        spark.read.parquet(path).createOrReplaceTempView(name)
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    _REGISTERED["tag"] = tag
+
+
+def messages_view(spark: SparkSession) -> DataFrame:
+    """v_messages with the DataFrame API: the page count is taken once as a
+    scalar (one count job) instead of a correlated-free scalar subquery in
+    the join key; same rows as the SQL text."""
+    from pyspark.sql import functions as F
+    d, p, lab = spark.table("documents"), spark.table("pages"), spark.table("labels")
+    n_pages = p.count()
+    m = d.join(p.select("page_id", "url"), p["page_id"] == d["doc_id"] % F.lit(n_pages))
+    r = d["doc_id"] % 3
+    text = (F.when(r == 0, F.concat(d["text"], F.lit(" See ("), F.col("url"),
+                                    F.lit("). Or www.google.com/x?utm_source=a&id="), d["doc_id"].cast("string"), F.lit(";")))
+            .when(r == 1, F.concat(d["text"], F.lit(" Go to "), F.col("url"), F.lit("!")))
+            .otherwise(d["text"]))
+    m = m.join(lab.select(F.col("doc_id").alias("l_doc"), "quality", "toxic"), d["doc_id"] == F.col("l_doc"), "left")
+    label = (F.when(F.col("l_doc").isNull(), F.lit(None).cast("int")).when(F.col("toxic") == 1, F.lit(2))
+             .when(F.col("quality") == 0, F.lit(1)).otherwise(F.lit(0)))
+    return m.select(d["doc_id"].alias("msg_id"), text.alias("text"), d["source"], d["lang"], label.alias("label"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view (or a base table) as a DataFrame."""
     register_tables(spark, sf_dir)
+    if name == "v_messages":
+        return messages_view(spark)
     if name in VIEWS:
         return spark.sql(VIEWS[name])
     return spark.table(name)

@@ -84,5 +84,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+MIN_PARTITIONS_CONF = "threatsift.scan.minPartitions"
+# Tables whose rows carry whole texts: per-row work on them is CPU-heavy.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Parallelism guard for scans: when an input arrives in fewer splits
+    than the session can run at once (e.g. one big row group), hash-
+    repartition it by ``key`` so per-row work uses every core. On a cluster,
+    inputs already have many splits and this is a no-op (no extra shuffle)."""
+    spark = df.sparkSession
+    target = int(spark.conf.get(MIN_PARTITIONS_CONF, str(spark.sparkContext.defaultParallelism)))
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key or df.columns[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXT_TABLES else df
