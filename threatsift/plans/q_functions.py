@@ -199,3 +199,12 @@ def q_decide_url(spark, sf_dir):
     p = _probs(spark, sf_dir, 2)
     d = decide_url(F.col("p")[0], F.col("p")[1])
     return p.select("vec_id", *[v.alias(k) for k, v in d.items()])
+
+
+@query("sql_normalize_url", lambda: f"SELECT page_id, norm_url FROM ({S.normalize_url_select('pages', 'page_id', 'url')}) n")
+def q_sql_normalize_url(spark, sf_dir):
+    """2.11: the URL normaliser called from SQL (registered SQL function)."""
+    from threatsift.functions import sqlfuncs
+    view(spark, sf_dir, "pages")
+    sqlfuncs.register(spark)
+    return spark.sql("SELECT page_id, ts_normalize_url(url) AS norm_url FROM pages")
