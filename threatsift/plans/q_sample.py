@@ -14,14 +14,17 @@ LAB = sub("v_labelled")
 
 
 def _rows(spark, sf_dir):
-    """Whole-row dedup of (text, label); the key is text|label (unique)."""
-    d = view(spark, sf_dir, "v_labelled").select("text", "label").dropDuplicates()
-    return d.select(F.md5("text").alias("text_md5"), "label",
-                    F.concat(F.col("text"), F.lit("|"), F.col("label").cast("string")).alias("row_key"))
+    """Whole-row dedup of (text, label) on the text digest (only 32-byte
+    digests are shuffled, never texts); the key digest|label is unique. The
+    small result is checkpointed once: counts, offsets and ranks all read it."""
+    from threatsift.session import cut_lineage
+    d = view(spark, sf_dir, "v_labelled").select(F.md5("text").alias("text_md5"), "label").dropDuplicates()
+    d = d.select("text_md5", "label", F.concat(F.col("text_md5"), F.lit("|"), F.col("label").cast("string")).alias("row_key"))
+    return cut_lineage(d)
 
 
-SQL_ROWS = (f"(SELECT md5(text) AS text_md5, label, concat(text, '|', CAST(label AS VARCHAR)) AS row_key "
-            f"FROM (SELECT DISTINCT text, label FROM {LAB} l) d) r")
+SQL_ROWS = (f"(SELECT text_md5, label, concat(text_md5, '|', CAST(label AS VARCHAR)) AS row_key "
+            f"FROM (SELECT DISTINCT md5(text) AS text_md5, label FROM {LAB} l) d) r")
 
 
 def sql_rank(partition: str | None) -> str:
@@ -46,10 +49,6 @@ def q_balance_undersample(spark, sf_dir):
     return SM.balance_undersample(_rows(spark, sf_dir), "row_key").select("text_md5", "label", "rank")
 
 
-def _sql_split_cases(quota_sql: str) -> str:
-    return quota_sql
-
-
 def _split_sql() -> str:
     # quotas are computed from class counts exactly as split_quotas does
     counts = f"(SELECT label, count(*) AS n FROM {SQL_ROWS} GROUP BY label)"
