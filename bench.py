@@ -5,7 +5,8 @@ Runs every headline query of the registry over ``$BENCH_SF_DIR`` (default
 {"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}
 
 Each query is fully executed (written to the ``noop`` sink, so every row and
-column is produced) once to warm up and then timed.
+column is produced) once to warm up the JVM, then timed twice; the faster
+run is reported (plan construction included in each timing).
 """
 
 from __future__ import annotations
@@ -35,10 +36,14 @@ def main() -> None:
     for k in keys:
         fn = catalog.QUERIES[k]
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-        t0 = time.perf_counter()
-        df = fn(spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        timings[k] = round(time.perf_counter() - t0, 3)
+        best = None
+        for _ in range(2):
+            t0 = time.perf_counter()
+            df = fn(spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
+            dt = time.perf_counter() - t0
+            best = dt if best is None else min(best, dt)
+        timings[k] = round(best, 3)
         if k == "triage_messages":
             rows[k] = df.count()
     total = round(sum(timings.values()), 3)

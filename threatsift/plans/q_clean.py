@@ -238,17 +238,15 @@ def q_class_filter(spark, sf_dir):
 
 
 @query("unmapped_labels", lambda: (
-    f"SELECT path, array_to_string(list_sort(list_distinct(list(raw_label) FILTER (WHERE raw_label IS NOT NULL))), '|') AS raw_labels, "
-    f"array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE label IS NOT NULL))), '|') AS mapped_labels, "
-    f"CAST(count(*) FILTER (WHERE label IS NULL) AS BIGINT) AS n_unmapped FROM "
-    f"(SELECT path, raw_label, {sql_relabel(sql_map_label('raw_label', EMAIL_LABEL_MAP), 'path')} AS label FROM {RAW} r) t GROUP BY path"))
+    f"SELECT path, raw_label, label, count(*) AS n_rows FROM "
+    f"(SELECT path, raw_label, {sql_relabel(sql_map_label('raw_label', EMAIL_LABEL_MAP), 'path')} AS label FROM {RAW} r) t "
+    f"GROUP BY path, raw_label, label"))
 def q_unmapped_labels(spark, sf_dir):
-    """Distinct raw and mapped labels per source, and unmapped rows."""
+    """Raw labels per source with their mapped label (NULL = dropped as
+    unmapped) and row counts. One row per (source, raw, mapped): no per-source
+    set is gathered, so a source with millions of distinct raw values stays
+    spread over many rows."""
     r = _raw(spark, sf_dir)
     lab = C.relabel_by_source(C.map_label(F.col("raw_label"), EMAIL_LABEL_MAP), F.col("path"))
     t = r.select("path", "raw_label", lab.alias("label"))
-    return t.groupBy("path").agg(
-        F.array_join(F.array_sort(F.collect_set("raw_label")), "|").alias("raw_labels"),
-        F.array_join(F.array_sort(F.collect_set("label")), "|").alias("mapped_labels"),
-        F.count_if(F.col("label").isNull()).alias("n_unmapped"),
-    )
+    return t.groupBy("path", "raw_label", "label").agg(F.count(F.lit(1)).alias("n_rows"))
