@@ -49,9 +49,9 @@ def q_balance_undersample(spark, sf_dir):
     return SM.balance_undersample(_rows(spark, sf_dir), "row_key").select("text_md5", "label", "rank")
 
 
-def _split_sql() -> str:
+def _split_sql(rows: str = SQL_ROWS, id_col: str = "text_md5") -> str:
     # quotas are computed from class counts exactly as split_quotas does
-    counts = f"(SELECT label, count(*) AS n FROM {SQL_ROWS} GROUP BY label)"
+    counts = f"(SELECT label, count(*) AS n FROM {rows} GROUP BY label)"
     tot = f"(SELECT sum(n) AS n FROM {counts} c0)"
     # train allocation: floor + largest remainders (ties: lowest label)
     train = (f"(SELECT label, n, fl + CASE WHEN rnk <= need THEN 1 ELSE 0 END AS q FROM ("
@@ -65,8 +65,8 @@ def _split_sql() -> str:
            f"t.nval - sum(floor(c.n * t.nval / t.n)) OVER () AS need, "
            f"row_number() OVER (ORDER BY (c.n * t.nval / t.n) - floor(c.n * t.nval / t.n) DESC, c.label) AS rnk "
            f"FROM {temp} c, (SELECT n, n - CAST(ceil(0.5 * n) AS BIGINT) AS nval FROM (SELECT sum(n) AS n FROM {temp} x) y) t) a)")
-    ranked = f"(SELECT *, {sql_rank('label')} AS rk FROM {SQL_ROWS})"
-    return (f"SELECT r.text_md5, r.label, r.rk AS rank, CASE WHEN r.rk <= q.q_train THEN 'train' "
+    ranked = f"(SELECT *, {sql_rank('label')} AS rk FROM {rows})"
+    return (f"SELECT r.{id_col}, r.label, r.rk AS rank, CASE WHEN r.rk <= q.q_train THEN 'train' "
             f"WHEN r.rk <= q.q_train + q.q_val THEN 'validation' ELSE 'test' END AS split "
             f"FROM {ranked} r JOIN {val} q ON q.label = r.label")
 

@@ -55,7 +55,7 @@ def q_fixed_length_tokens(spark, sf_dir):
                     F.aggregate(mask, F.lit(0), lambda a, v: a + v).alias("n_attended"))
 
 
-@query("token_sink")
+@query("token_sink", lambda: f"SELECT DISTINCT text_md5, split, {EMAIL_MAX_TOKENS} AS n_ids FROM ({_split_sql()}) s")
 def q_token_sink(spark, sf_dir):
     """K3: tokenised splits written partitioned by split, read back."""
     s = _splits(spark, sf_dir).select("text_md5", "split")

@@ -65,7 +65,7 @@ def q_corpus_scan(spark, sf_dir):
     return out.select(F.md5("text").alias("text_md5"), "label")
 
 
-@query("tolerant_csv")
+@query("tolerant_csv", lambda: "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source FROM documents")
 def q_tolerant_csv(spark, sf_dir):
     """Documents as quoted multi-line CSV, read back with the
     too-many-fields rule."""
@@ -75,7 +75,7 @@ def q_tolerant_csv(spark, sf_dir):
     return SRC.tolerant_csv(spark, path, ["doc_id", "text", "source"]).select("doc_id", "text", "source")
 
 
-@query("threat_feed_csv")
+@query("threat_feed_csv", lambda: "SELECT CAST(page_id AS VARCHAR) AS id, '2024-01-01' AS dateadded, url, 'online' AS url_status FROM pages")
 def q_threat_feed_csv(spark, sf_dir):
     """S3: page URLs as feed files with a comment preamble and a commented
     header line; read back with the header-driven schema."""
@@ -86,7 +86,12 @@ def q_threat_feed_csv(spark, sf_dir):
     return SRC.threat_feed_csv(spark, path).select("id", "dateadded", "url", "url_status")
 
 
-@query("ranked_list_source")
+def _sql_hosts() -> str:
+    from threatsift.plans import sqltext as S
+    return f"SELECT DISTINCT {S.url_part('lower(url)', 2)} AS url, 0 AS label FROM pages"
+
+
+@query("ranked_list_source", _sql_hosts)
 def q_ranked_list_source(spark, sf_dir):
     """Page hosts as a header-less rank,domain list (tranco form)."""
     from threatsift.functions.urls import url_netloc
@@ -97,7 +102,7 @@ def q_ranked_list_source(spark, sf_dir):
     return SRC.ranked_list(spark, path, "tranco").select("url", "label")
 
 
-@query("blocklist_source")
+@query("blocklist_source", lambda: "SELECT url AS text, 1 AS label FROM pages")
 def q_blocklist_source(spark, sf_dir):
     """Page URLs as a single-column blocklist; every row positive."""
     path = fresh_path(spark, "blocklist")
@@ -135,16 +140,31 @@ def q_csv_column_source(spark, sf_dir):
     return SRC.csv_column(spark, path, "url")
 
 
-@query("docx_paragraph_source")
+def _sql_paragraphs() -> str:
+    from threatsift.plans import sqltext as S
+    lines = ("SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM "
+             "(SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS ls FROM documents) d")
+    return (f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS para_idx, "
+            f"{S.strip('l')} AS text FROM ({lines}) x WHERE length({S.strip('l')}) > 0")
+
+
+@query("docx_paragraph_source", _sql_paragraphs)
 def q_docx_paragraph_source(spark, sf_dir):
     """Every document as a Word file (one paragraph per line), read
-    back paragraph by paragraph."""
+    back paragraph by paragraph; the document id comes from the file name."""
     path = fresh_path(spark, "docx")
     SRC.write_docx_files(view(spark, sf_dir, "documents"), "doc_id", "text", path)
-    return SRC.docx_paragraphs(spark, path)
+    p = SRC.docx_paragraphs(spark, path)
+    return p.select(F.regexp_extract("path", r"([0-9]+)\.docx$", 1).cast("long").alias("doc_id"), "para_idx", "text")
+
+
+def _sql_canonical_sink() -> str:
+    from threatsift.plans.q_profile import _sql_balanced, _sql_cleaned
+    return (f"SELECT 'unbalanced' AS \"table\", doc_id, label FROM ({_sql_cleaned()}) a "
+            f"UNION ALL SELECT 'balanced', doc_id, label FROM ({_sql_balanced()}) b")
 
 
-@query("canonical_sink")
+@query("canonical_sink", _sql_canonical_sink)
 def q_canonical_sink(spark, sf_dir):
     """K1: unbalanced, balanced and email tables written and read back."""
     base = fresh_path(spark, "canonical")
@@ -159,7 +179,13 @@ def q_canonical_sink(spark, sf_dir):
     return a.unionByName(b).select("table", "doc_id", "label")
 
 
-@query("split_sink")
+def _sql_split_sink() -> str:
+    from threatsift.plans.q_sample import _split_sql
+    rows = f"(SELECT doc_id, label, CAST(doc_id AS VARCHAR) AS row_key FROM {sub('v_labelled')} l) r0"
+    return f"SELECT doc_id, label, split FROM ({_split_sql(rows, 'doc_id')}) s"
+
+
+@query("split_sink", _sql_split_sink)
 def q_split_sink(spark, sf_dir):
     """K2: stratified splits written partitioned by split, read back."""
     path = fresh_path(spark, "splits")

@@ -28,14 +28,30 @@ def q_trailing_request_count(spark, sf_dir):
     return RL.trailing_request_count(r, "client", "ts", 60).select("event_id", "client", "trailing_count")
 
 
-@query("rate_limit_flags")
+def _limiter_sql() -> str:
+    """Recursive replay: each iteration advances every client by one request
+    (event-time order), carrying the accepted timestamps of the window."""
+    w, lim = DAILY.rate_window_seconds * 1_000_000, DAILY.rate_limit
+    kept = f"list_filter(r.acc, lambda t: e.us - t < {w})"
+    return (
+        f"WITH RECURSIVE ev AS (SELECT client, event_id, epoch_us(ts) AS us, row_number() OVER "
+        f"(PARTITION BY client ORDER BY ts, event_id) AS rn FROM {sub('v_requests')} q), "
+        f"r(client, rn, event_id, allowed, acc) AS ("
+        f"SELECT client, rn, event_id, TRUE, [us] FROM ev WHERE rn = 1 UNION ALL "
+        f"SELECT e.client, e.rn, e.event_id, len({kept}) < {lim}, "
+        f"CASE WHEN len({kept}) < {lim} THEN list_append({kept}, e.us) ELSE {kept} END "
+        f"FROM r JOIN ev e ON e.client = r.client AND e.rn = r.rn + 1) "
+        f"SELECT event_id, client, allowed FROM r")
+
+
+@query("rate_limit_flags", _limiter_sql)
 def q_rate_limit_flags(spark, sf_dir):
     """Allowed / rejected per request by the sequential limiter."""
     r = view(spark, sf_dir, "v_requests")
     return RL.rate_limit_flags(r, "client", "ts", "event_id", DAILY).select("event_id", "client", "allowed")
 
 
-@query("rate_limit_stream")
+@query("rate_limit_stream", _limiter_sql)
 def q_rate_limit_stream(spark, sf_dir):
     """The limiter as streaming state over the events file."""
     schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
@@ -49,7 +65,14 @@ def q_rate_limit_stream(spark, sf_dir):
     return spark.read.parquet(sink).select("event_id", "client", "allowed")
 
 
-@query("triage_stream")
+def _stream_sql() -> str:
+    from threatsift.plans.q_triage import oracle_triage_messages
+    v = oracle_triage_messages("(SELECT doc_id AS msg_id, text FROM documents) d")
+    return (f"SELECT v.msg_id AS id, d.text AS input_text, 'email' AS input_type, v.label AS prediction_label, "
+            f"v.confidence, v.is_phishing, v.reason FROM ({v}) v JOIN documents d ON d.doc_id = v.msg_id")
+
+
+@query("triage_stream", _stream_sql)
 def q_triage_stream(spark, sf_dir):
     """Messages arriving as a stream, scored per micro-batch and
     appended to the history table."""
@@ -60,4 +83,5 @@ def q_triage_stream(spark, sf_dir):
     hist, ckpt = fresh_path(spark, "triage-history"), fresh_path(spark, "triage-ckpt")
     q = start_triage_stream(msgs, hist, ckpt)
     q.awaitTermination()
-    return read_history(spark, hist).drop("batch")
+    # the log's wall-clock timestamp is left out so the rows are comparable
+    return read_history(spark, hist).drop("batch", "timestamp")

@@ -26,8 +26,9 @@ VERDICT_OUT = ("msg_id", "label", "confidence", "is_phishing", "reason")
 # Shared oracle building blocks
 # --------------------------------------------------------------------------
 
-def sql_messages() -> str:
-    return f"SELECT msg_id, {S.strip('text')} AS clean FROM {sub('v_messages')} vm"
+def sql_messages(src: str | None = None) -> str:
+    src = src or f"{sub('v_messages')} vm"
+    return f"SELECT msg_id, {S.strip('text')} AS clean FROM {src}"
 
 
 def sql_email_preds(src: str) -> str:
@@ -63,9 +64,9 @@ def sql_verdict_select(src: str) -> str:
     return f"SELECT msg_id, {', '.join(f'{x} AS {k}' for k, x in v.items())} FROM {src}"
 
 
-def oracle_triage_messages() -> str:
+def oracle_triage_messages(src: str | None = None) -> str:
     return (
-        f"WITH m AS ({sql_messages()}), e AS ({sql_email_preds('m')}), "
+        f"WITH m AS ({sql_messages(src)}), e AS ({sql_email_preds('m')}), "
         f"occ AS ({sql_occurrences('m')}), p AS ({sql_url_preds('occ')}), "
         f"agg AS ({S.url_aggregates('p')}), j AS (SELECT e.*, agg.ovr, agg.top FROM e LEFT JOIN agg ON agg.msg_id = e.msg_id) "
         f"{sql_verdict_select('j')}"
