@@ -36,3 +36,21 @@ def test_accepted_count_on_events(spark):
     r = QS.q_rate_limit_flags(spark, "/root/testdata/sf0.01").groupBy("allowed").count().collect()
     got = {x.allowed: x["count"] for x in r}
     assert got == {True: 5658, False: 4342}
+
+
+def test_group_streamed_across_batches(spark):
+    """Tiny Arrow batches: one client's requests arrive in several batches and
+    the limiter state must carry across them."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, 1, t0 + timedelta(seconds=5 * i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, client long, ts timestamp")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        got = [r.allowed for r in RL.rate_limit_flags(df, settings=Settings(rate_limit=4, rate_window_seconds=60))
+               .orderBy("event_id").collect()]
+    finally:
+        spark.conf.set(key, old)
+    exp, _ = RL._limiter(4, 60 * RL.US, [5 * i * RL.US for i in range(40)])
+    assert got == exp and got.count(True) == 16

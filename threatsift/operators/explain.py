@@ -19,7 +19,6 @@ from threatsift.functions.text import UI_URL_PATTERN, WS
 from threatsift.settings import EMAIL_CUE_WORDS, TOP_IMPORTANCE_WORDS
 
 TOKEN_PATTERN = f"{WS}*[^{WS[1:-1]}]+"
-CLASS_OF_LABEL = {"Phishing": "phishing", "Spam": "spam"}
 
 
 def tokens(c) -> Column:

@@ -8,9 +8,12 @@
 * ``rate_limit_flags`` (X1): a request is allowed iff fewer than ``limit``
   *accepted* requests lie in the trailing window (rejected ones are not
   recorded). Acceptance depends on earlier acceptances, so each client's
-  sequence is processed in order by a small per-group pandas function. The
-  sequence is cut at idle gaps >= window, where the state is provably empty,
-  so independent segments run in parallel.
+  sequence is replayed in order by a small Python function that receives the
+  group as a stream of Arrow batches (secondary sort: partitioned by the
+  group, sorted by time inside), keeping only ``limit`` timestamps, so a hot
+  client never has to fit in memory. The sequence is cut at idle gaps >=
+  window, where the state is provably empty, so independent segments run in
+  parallel.
 * ``rate_limit_stream`` (X2): the same rule as Structured Streaming state,
   ``applyInPandasWithState`` keyed by client; the state holds at most
   ``limit`` accepted timestamps, and an event-time timeout evicts idle
@@ -82,11 +85,20 @@ def rate_limit_flags(df: DataFrame, key: str = "client", ts: str = "ts", order_c
                                                 .rowsBetween(Window.unboundedPreceding, 0)))
     x = x.drop("_gap")
     out_schema = T.StructType(list(x.schema.fields) + [T.StructField("allowed", T.BooleanType())])
+    # secondary sort: rows reach each group already in (time, id) order, so
+    # the group is streamed to Python in Arrow batches, never materialised
+    x = x.repartition(key, "_seg").sortWithinPartitions(key, "_seg", "_us", order_col)
 
-    def per_segment(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", order_col], kind="stable")
-        flags, _ = _limiter(limit, w_us, pdf["_us"].tolist())
-        return pdf.assign(allowed=flags)
+    def per_segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: deque = deque()
+        last = None
+        for pdf in batches:
+            us = pdf["_us"].tolist()
+            if us and ((last is not None and us[0] < last) or any(b < a for a, b in zip(us, us[1:]))):
+                raise RuntimeError("rate limiter input is not in event-time order")
+            flags, state = _limiter(limit, w_us, us, state)
+            last = us[-1] if us else last
+            yield pdf.assign(allowed=flags)
 
     res = x.groupBy(key, "_seg").applyInPandas(per_segment, schema=out_schema)
     return res.drop("_us", "_seg")
