@@ -6,6 +6,7 @@ operator is SQL-expressible) is a SQL string over the driver's table names.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -17,7 +18,14 @@ def query(key: str, oracle: Callable[[], str] | None = None, headline: bool = Fa
     def deco(fn):
         if key in QUERIES:
             raise ValueError(f"duplicate query {key}")
-        QUERIES[key] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            from threatsift.session import ship_package
+            ship_package(spark)  # executor Python workers need the package
+            return fn(spark, sf_dir)
+
+        QUERIES[key] = run
         if oracle is not None:
             ORACLE[key] = oracle
         if headline:
