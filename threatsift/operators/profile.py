@@ -49,7 +49,7 @@ def top_words(df: DataFrame, text_col: str, group_col: str, n: int = 10, salt_bu
     candidates per group."""
     w = word_rows(df, text_col, [group_col]).filter(~F.col("word").isin(*stop_words))
     counts = w.groupBy(group_col, "word").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("_s", F.abs(F.xxhash64("word")) % F.lit(salt_buckets))
+    counts = counts.withColumn("_s", F.pmod(F.xxhash64("word"), F.lit(salt_buckets)))
     order = [F.col("n").desc(), F.col("word").asc()]
     first = counts.withColumn("_r", F.row_number().over(Window.partitionBy(group_col, "_s").orderBy(*order)))
     cand = first.filter(F.col("_r") <= n).drop("_r", "_s")
