@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatsift.functions.text import all_words, char_count, substring_count
+from threatsift.functions.text import char_count, substring_count
 from threatsift.settings import (
     DEFAULT,
     EMAIL_CUE_CHARS,
@@ -57,13 +57,24 @@ def cue_count(c, cues) -> Column:
 PACK_BITS = 21  # per-class word count field; 3 classes fit one long
 
 
+def cue_word_pattern(words) -> str:
+    """Whole-word alternation: a cue matches only a complete run of word
+    characters (letters, digits, underscore), like a token of the word split."""
+    alts = "|".join(sorted(set(words), key=lambda w: (-len(w), w)))
+    return rf"(?<![\p{{L}}\p{{N}}_])(?:{alts})(?![\p{{L}}\p{{N}}_])"
+
+
 def word_cue_counts(c, cue_words: dict, already_lower: bool = False) -> dict[str, Column]:
-    """Cue-word counts per class from ONE split of the text and ONE pass
-    over the words: each word adds 1 << (21 * class index) to a long, the
-    fields are unpacked afterwards (a text has < 2**21 words)."""
+    """Cue-word counts per class in ONE regex pass over the text (only the
+    cue occurrences are materialised, not every word) and one fold over
+    them: each match adds 1 << (21 * class index) to a long, unpacked after
+    (a text has < 2**21 words). Equal to counting tokens of the word split."""
     keys = list(cue_words)
     if len(keys) * PACK_BITS > 63:
         raise ValueError("too many classes to pack")
+    x = F.coalesce(_c(c), F.lit(""))
+    x = x if already_lower else F.lower(x)
+    found = F.regexp_extract_all(x, F.lit(cue_word_pattern([w for ws in cue_words.values() for w in ws])), 0)
 
     def weight(w):
         e = None
@@ -72,7 +83,7 @@ def word_cue_counts(c, cue_words: dict, already_lower: bool = False) -> dict[str
                  if e is None else e.when(w.isin(*cue_words[k]), F.lit(1 << (PACK_BITS * i))))
         return e.otherwise(F.lit(0)).cast("long")
 
-    packed = F.aggregate(all_words(c, already_lower), F.lit(0).cast("long"), lambda acc, w: acc + weight(w))
+    packed = F.aggregate(found, F.lit(0).cast("long"), lambda acc, w: acc + weight(w))
     mask = (1 << PACK_BITS) - 1
     return {k: F.shiftrightunsigned(packed, PACK_BITS * i).bitwiseAND(F.lit(mask)) for i, k in enumerate(keys)}
 
