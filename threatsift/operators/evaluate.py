@@ -17,31 +17,58 @@ def confusion_counts(df: DataFrame, true_col: str = "label_true", pred_col: str
         F.count(F.lit(1)).alias("n"))
 
 
+# The count table has at most (distinct labels)^2 rows, so each report folds
+# it into one row (a short array of (label_true, pred, n) structs) and derives
+# every metric from that row with array functions. The data is scanned and
+# aggregated once per report; the per-class rows, totals and averages are
+# never joined or unioned back onto the count lineage (which would re-run the
+# whole upstream plan once per branch).
+
+def count_array(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys`` + ``_c``: the (label_true, pred, n) structs of each key."""
+    return counts.groupBy(*keys).agg(F.collect_list(F.struct("label_true", "pred", "n")).alias("_c"))
+
+
+def _total(arr, true_cls=None, pred_cls=None):
+    """Sum of ``n`` over the elements with the given true / predicted class."""
+    def cond(x):
+        c = F.lit(True)
+        if true_cls is not None:
+            c = c & (x["label_true"] == true_cls)
+        if pred_cls is not None:
+            c = c & (x["pred"] == pred_cls)
+        return c
+    return F.aggregate(F.filter(arr, cond), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+
+
+def class_stats(arr, classes: list[int]):
+    """array<struct<cls, tp, fp, fn, support>>, one element per class, from
+    a count array. FP counts every prediction of the class, whatever the
+    true label."""
+    out = []
+    for c in classes:
+        support = _total(arr, true_cls=c)
+        tp = _total(arr, true_cls=c, pred_cls=c)
+        predicted = _total(arr, pred_cls=c)
+        out.append(F.struct(F.lit(c).alias("cls"), tp.alias("tp"), (predicted - tp).alias("fp"),
+                            (support - tp).alias("fn"), support.alias("support")))
+    return F.array(*out)
+
+
 def confusion_matrix(counts: DataFrame, classes: list[int]) -> DataFrame:
     """One row per true class, one column per predicted class, zero
     cells kept (classes given explicitly so empty rows/columns exist)."""
-    spark = counts.sparkSession
-    cls = spark.createDataFrame([(c,) for c in classes], "label_true int")
-    piv = counts.groupBy("label_true").pivot("pred", classes).agg(F.sum("n"))
-    out = cls.join(piv, "label_true", "left")
-    return out.select("label_true", *[F.coalesce(F.col(str(c)), F.lit(0)).cast("long").alias(f"pred_{c}") for c in classes])
+    rows = F.array(*[
+        F.struct(F.lit(r).alias("label_true"),
+                 *[_total("_c", true_cls=r, pred_cls=c).alias(f"pred_{c}")
+                   for c in classes])
+        for r in classes])
+    return count_array(counts).select(F.inline(rows))
 
 
 def per_class(counts: DataFrame, classes: list[int]) -> DataFrame:
-    """TP/FP/FN/support per class (rows: classes), from the count table,
-    with equi-joins only (by true class and by predicted class)."""
-    spark = counts.sparkSession
-    cls = spark.createDataFrame([(c,) for c in classes], "cls int")
-    by_true = counts.groupBy(F.col("label_true").alias("cls")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("pred") == F.col("label_true"), F.col("n")).otherwise(F.lit(0))).alias("tp"))
-    by_pred = counts.groupBy(F.col("pred").alias("cls")).agg(F.sum("n").alias("predicted"))
-    j = cls.join(by_true, "cls", "left").join(by_pred, "cls", "left")
-    tp = F.coalesce(F.col("tp"), F.lit(0))
-    return j.select("cls", tp.alias("tp"),
-                    (F.coalesce(F.col("predicted"), F.lit(0)) - tp).alias("fp"),
-                    (F.coalesce(F.col("support"), F.lit(0)) - tp).alias("fn"),
-                    F.coalesce(F.col("support"), F.lit(0)).alias("support"))
+    """TP/FP/FN/support per class (rows: classes) from the count table."""
+    return count_array(counts).select(F.inline(class_stats("_c", classes)))
 
 
 def _ratio(a, b):
@@ -49,46 +76,68 @@ def _ratio(a, b):
     return F.when(b > 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
 
 
+def _field(name, weighted=False):
+    if weighted:
+        return lambda x: x[name] * x["support"]
+    return lambda x: x[name]
+
+
+def _sum(arr, f, zero):
+    return F.aggregate(arr, zero, lambda acc, x: acc + f(x))
+
+
+def report(stats: DataFrame, keys: tuple[str, ...] = (), digits: int = 6) -> DataFrame:
+    """Classification-report rows from ``keys`` + ``_s`` (a class_stats
+    array): per class precision, recall, F1, support, then accuracy, macro
+    and weighted averages (rows keyed by ``class``)."""
+    s = stats.select(*keys, F.transform("_s", lambda x: x.withField(
+        "precision", _ratio(x["tp"], x["tp"] + x["fp"])).withField(
+        "recall", _ratio(x["tp"], x["tp"] + x["fn"]))).alias("_s"))
+    s = s.select(*keys, F.transform("_s", lambda x: x.withField(
+        "f1", _ratio(2 * x["precision"] * x["recall"], x["precision"] + x["recall"]))).alias("_s"))
+    zero_l, zero_d = F.lit(0).cast("long"), F.lit(0.0)
+    k = F.size("_s").cast("double")
+    n = _sum("_s", lambda x: x["support"], zero_l)
+    s = s.select(*keys, "_s", n.alias("_n"), _sum("_s", lambda x: x["tp"], zero_l).alias("_tp"),
+                 *[_sum("_s", _field(m), zero_d).alias(f"_m_{m}") for m in ("precision", "recall", "f1")],
+                 *[_sum("_s", _field(m, weighted=True), zero_d).alias(f"_w_{m}")
+                   for m in ("precision", "recall", "f1")])
+
+    def row(cls, p, r, f1, sup):
+        return F.struct(cls.alias("class"), p.cast("double").alias("precision"), r.cast("double").alias("recall"),
+                        f1.cast("double").alias("f1"), sup.cast("long").alias("support"))
+
+    def weighted(m):
+        return F.when(F.col("_n") > 0, F.col(f"_w_{m}") / F.col("_n"))
+
+    null = F.lit(None).cast("double")
+    per = F.transform("_s", lambda x: row(x["cls"].cast("string"), x["precision"], x["recall"], x["f1"], x["support"]))
+    tail = F.array(
+        row(F.lit("accuracy"), null, null, _ratio(F.col("_tp"), F.col("_n")), F.col("_n")),
+        row(F.lit("macro avg"), *[F.col(f"_m_{m}") / k for m in ("precision", "recall", "f1")], F.col("_n")),
+        row(F.lit("weighted avg"), *[weighted(m) for m in ("precision", "recall", "f1")], F.col("_n")),
+    )
+    rows = s.select(*keys, F.inline(F.concat(per, tail)))
+    return rows.select(*keys, "class", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 def classification_report(counts: DataFrame, classes: list[int], digits: int = 6) -> DataFrame:
     """Precision, recall, F1, support per class, then accuracy, macro
     and weighted averages (rows keyed by ``class``)."""
-    pc = per_class(counts, classes)
-    pc = pc.select(
-        F.col("cls").cast("string").alias("class"), "support", "tp", "fp", "fn",
-        _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-        _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
-    )
-    pc = pc.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    tot = pc.agg(
-        F.sum("support").alias("n"), F.sum("tp").alias("tp"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
-    )
-    acc = tot.select(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"), _ratio(F.col("tp"), F.col("n")).alias("f1"),
-                     F.col("n").alias("support"))
-    macro = tot.select(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                       F.col("mf").alias("f1"), F.col("n").alias("support"))
-    weighted = tot.select(F.lit("weighted avg").alias("class"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
-                          F.col("wf").alias("f1"), F.col("n").alias("support"))
-    rows = pc.select("class", "precision", "recall", "f1", "support").unionByName(acc).unionByName(macro).unionByName(weighted)
-    return rows.select("class", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")],
-                       F.col("support").cast("long").alias("support"))
+    return report(count_array(counts).select(class_stats("_c", classes).alias("_s")), digits=digits)
 
 
 def error_rates(counts: DataFrame, classes: list[int], digits: int = 6) -> DataFrame:
     """Per-class false-negative rate FN/(TP+FN) and false-positive
-    rate FP/(FP+TN)."""
-    pc = per_class(counts, classes)
-    # the grand total as a one-row table joined on a constant key (tiny tables)
-    t = counts.agg(F.sum("n").alias("total")).withColumn("_k", F.lit(1))
-    j = pc.withColumn("_k", F.lit(1)).join(t, "_k").drop("_k")
-    tn = F.col("total") - F.col("tp") - F.col("fp") - F.col("fn")
-    return j.select(F.col("cls").cast("string").alias("class"),
-                    F.round(_ratio(F.col("fn"), F.col("tp") + F.col("fn")), digits).alias("fnr"),
-                    F.round(_ratio(F.col("fp"), F.col("fp") + tn), digits).alias("fpr"))
+    rate FP/(FP+TN); TN counts every row outside the class's TP/FP/FN."""
+    s = count_array(counts).select(class_stats("_c", classes).alias("_s"),
+                                   _sum("_c", lambda x: x["n"], F.lit(0).cast("long")).alias("_total"))
+    total = F.col("_total")
+    rows = F.transform("_s", lambda x: F.struct(
+        x["cls"].cast("string").alias("class"),
+        F.round(_ratio(x["fn"], x["tp"] + x["fn"]), digits).alias("fnr"),
+        F.round(_ratio(x["fp"], total - x["tp"] - x["fn"]), digits).alias("fpr")))
+    return s.select(F.inline(rows))
 
 
 def counts_from_matrix(spark: SparkSession, matrix: list[list[int]]) -> DataFrame:

@@ -268,15 +268,25 @@ def _sql_pipeline_metrics() -> str:
 def q_pipeline_metrics(spark, sf_dir):
     """Metrics of the email model, the URL (phishing vs not) view and
     the combined per-message verdicts against the message labels."""
-    preds = view(spark, sf_dir, "v_preds")
-    email = EV.classification_report(EV.confusion_counts(preds), EMAIL_CLASSES)
-    binary = preds.select((F.col("label_true") == 2).cast("int").alias("label_true"), (F.col("pred") == 2).cast("int").alias("pred"))
-    url = EV.classification_report(EV.confusion_counts(binary), [0, 1])
+    preds = view(spark, sf_dir, "v_preds").select("label_true", "pred")
     m = view(spark, sf_dir, "v_messages")
-    v = triage_messages(m).join(m.select("msg_id", F.col("label").alias("label_true")), "msg_id")
+    v = triage_messages(m.withColumnRenamed("label", "label_true"), carry=("label_true",))
     v = v.filter(F.col("label_true").isNotNull())
     code = (F.when(F.col("label") == "Legitimate", 0).when(F.col("label") == "Spam", 1)
             .when(F.col("label") == "Phishing", 2).otherwise(-1))
-    comb = EV.classification_report(EV.confusion_counts(v.select("label_true", code.alias("pred"))), EMAIL_CLASSES)
-    out = [df.select(F.lit(name).alias("pipeline"), "*") for name, df in (("email", email), ("url", url), ("combined", comb))]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    # both sources counted by one aggregation; each is scanned once
+    pairs = preds.select(F.lit("email").alias("pipeline"), "label_true", "pred").unionByName(
+        v.select(F.lit("combined").alias("pipeline"), "label_true", code.alias("pred")))
+    counts = pairs.groupBy("pipeline", "label_true", "pred").agg(F.count(F.lit(1)).alias("n"))
+    arr = EV.count_array(counts, ("pipeline",))
+    # the URL view (phishing vs not) re-labels the email model's counts
+    binary = F.transform("_c", lambda x: F.struct((x["label_true"] == 2).cast("int").alias("label_true"),
+                                                   (x["pred"] == 2).cast("int").alias("pred"), x["n"].alias("n")))
+    per_pipeline = F.when(F.col("pipeline") == "email", F.array(
+        F.struct(F.lit("email").alias("pipeline"), F.col("_c").alias("_c")),
+        F.struct(F.lit("url").alias("pipeline"), binary.alias("_c")),
+    )).otherwise(F.array(F.struct(F.col("pipeline").alias("pipeline"), F.col("_c").alias("_c"))))
+    arr = arr.select(F.inline(per_pipeline))
+    stats = arr.select("pipeline", F.when(F.col("pipeline") == "url", EV.class_stats("_c", [0, 1]))
+                       .otherwise(EV.class_stats("_c", EMAIL_CLASSES)).alias("_s"))
+    return EV.report(stats, ("pipeline",))

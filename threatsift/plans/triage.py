@@ -111,14 +111,15 @@ def url_reductions(preds: Column, settings: Settings = DEFAULT) -> tuple[Column,
     return ovr, top
 
 
-def _finish(df: DataFrame, key: str, e_present: Column, e: dict, settings: Settings) -> DataFrame:
+def _finish(df: DataFrame, key: str, e_present: Column, e: dict, settings: Settings,
+            carry: tuple[str, ...] = ()) -> DataFrame:
     """_preds -> (ovr, top) -> verdict, one projection each."""
     ovr, top = url_reductions(F.col("_preds"), settings)
-    keep = [c for c in df.columns if c not in (key, "_preds")]
-    r = df.select(key, *keep, ovr.alias("_ovr"), top.alias("_top"))
+    keep = [c for c in df.columns if c not in (key, "_preds", *carry)]
+    r = df.select(key, *carry, *keep, ovr.alias("_ovr"), top.alias("_top"))
     v = verdict_struct(e_present, e, F.col("_ovr"), F.col("_top"))
-    r = r.select(key, v.alias("_v"))
-    return r.select(key, *[F.col("_v")[c].alias(c) for c in VERDICT_COLUMNS])
+    r = r.select(key, *carry, v.alias("_v"))
+    return r.select(key, *[F.col("_v")[c].alias(c) for c in VERDICT_COLUMNS], *carry)
 
 
 def _narrow(scorer: Scorer | None) -> bool:
@@ -126,23 +127,30 @@ def _narrow(scorer: Scorer | None) -> bool:
 
 
 def triage_messages(df: DataFrame, email_scorer: Scorer | None = None, url_scorer: Scorer | None = None,
-                    text_col: str = "text", key: str = "msg_id", settings: Settings = DEFAULT) -> DataFrame:
+                    text_col: str = "text", key: str = "msg_id", settings: Settings = DEFAULT,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
     """V7: verdict per message from its body and every URL in it.
-    Output: key, label, confidence, is_phishing, reason."""
+    Output: key, label, confidence, is_phishing, reason, then the ``carry``
+    columns of the input passed through unchanged."""
     email_scorer = email_scorer or LexicalScorer("email", lowercased=True)
     url_scorer = url_scorer or LexicalScorer("url")
-    msgs = df.select(key, trim_input(F.col(text_col)).alias("_clean"))
+    carry = tuple(carry)
+    msgs = df.select(key, *carry, trim_input(F.col(text_col)).alias("_clean"))
     if _narrow(url_scorer):
-        body = msgs.select(key, "_clean", F.lower(F.col("_clean")).alias("_body"))
+        body = msgs.select(key, *carry, "_clean", F.lower(F.col("_clean")).alias("_body"))
         e = email_scorer.predict(body, "_body", settings)
         ecols = [c for c, _ in E_FIELDS]
         # successive projections keep each intermediate a named column
-        e = e.select(key, *ecols, url_prediction_array(extract_urls(F.col("_clean")), url_scorer, settings).alias("_preds"))
-        return _finish(e, key, F.lit(True), {c: F.col(c) for c in ecols}, settings)
-    e = email_predictions(msgs, email_scorer, "_clean", key, settings)
-    occ = cut_lineage(url_occurrences(msgs, "_clean", key, settings))
+        e = e.select(key, *carry, *ecols,
+                     url_prediction_array(extract_urls(F.col("_clean")), url_scorer, settings).alias("_preds"))
+        return _finish(e, key, F.lit(True), {c: F.col(c) for c in ecols}, settings, carry)
+    msgs_only = msgs.select(key, "_clean")
+    e = email_predictions(msgs_only, email_scorer, "_clean", key, settings)
+    occ = cut_lineage(url_occurrences(msgs_only, "_clean", key, settings))
     preds = url_predictions(occ, url_scorer, key, settings)
-    return verdict(e, preds, settings, key)
+    v = verdict(e, preds, settings, key)
+    # expensive scorers: the verdict is keyed by message; carried columns join back on the key
+    return v.join(df.select(key, *carry), key) if carry else v
 
 
 def triage_urls(df: DataFrame, url_scorer: Scorer | None = None, text_col: str = "text",
