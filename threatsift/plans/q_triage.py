@@ -179,6 +179,12 @@ def _verdict_inputs(spark, sf_dir):
     return msgs, e, preds
 
 
+def _narrow_triage(spark, sf_dir, with_email: bool = True):
+    """The branch queries run the single-scan triage projection (native
+    scorers: no URL explode, no join back) and keep one verdict branch."""
+    return triage_messages(view(spark, sf_dir, "v_messages"), with_email=with_email)
+
+
 def _oracle_branch(where: str, url_only: bool = False) -> str:
     base = (f"WITH m AS ({sql_messages()}), e AS ({sql_email_preds('m')}), occ AS ({sql_occurrences('m')}), "
             f"p AS ({sql_url_preds('occ')}), agg AS ({S.url_aggregates('p')}), ")
@@ -193,16 +199,13 @@ def _oracle_branch(where: str, url_only: bool = False) -> str:
 @query("url_override", lambda: _oracle_branch("reason LIKE 'High-confidence%'"))
 def q_url_override(spark, sf_dir):
     """V1: messages decided by a high-confidence phishing URL."""
-    msgs, e, preds = _verdict_inputs(spark, sf_dir)
-    v = verdict(e, preds)
-    return v.filter(F.col("reason").startswith("High-confidence"))
+    return _narrow_triage(spark, sf_dir).filter(F.col("reason").startswith("High-confidence"))
 
 
 @query("email_argmax", lambda: _oracle_branch("reason LIKE 'Email analysis%'"))
 def q_email_argmax(spark, sf_dir):
     """V2: messages decided by the email model's class scores."""
-    msgs, e, preds = _verdict_inputs(spark, sf_dir)
-    return verdict(e, preds).filter(F.col("reason").startswith("Email analysis"))
+    return _narrow_triage(spark, sf_dir).filter(F.col("reason").startswith("Email analysis"))
 
 
 def _oracle_fallback() -> str:
@@ -229,17 +232,13 @@ def q_email_fallback(spark, sf_dir):
 @query("url_only", lambda: _oracle_branch("reason NOT LIKE 'No valid%'", url_only=True))
 def q_url_only(spark, sf_dir):
     """V1/V4 without an email model: highest-confidence URL, first on ties."""
-    msgs, e, preds = _verdict_inputs(spark, sf_dir)
-    base = msgs.select("msg_id", *email_columns(None))
-    return verdict(base, preds).filter(~F.col("reason").startswith("No valid"))
+    return _narrow_triage(spark, sf_dir, with_email=False).filter(~F.col("reason").startswith("No valid"))
 
 
 @query("unknown_verdict", lambda: _oracle_branch("label = 'Unknown'", url_only=True))
 def q_unknown(spark, sf_dir):
     """V5: messages with neither an email prediction nor a URL."""
-    msgs, e, preds = _verdict_inputs(spark, sf_dir)
-    base = msgs.select("msg_id", *email_columns(None))
-    return verdict(base, preds).filter(F.col("label") == "Unknown")
+    return _narrow_triage(spark, sf_dir, with_email=False).filter(F.col("label") == "Unknown")
 
 
 @query("verdict", lambda: _oracle_branch("TRUE"))

@@ -119,7 +119,11 @@ def _finish(df: DataFrame, key: str, e_present: Column, e: dict, settings: Setti
     r = df.select(key, *carry, *keep, ovr.alias("_ovr"), top.alias("_top"))
     v = verdict_struct(e_present, e, F.col("_ovr"), F.col("_top"))
     r = r.select(key, *carry, v.alias("_v"))
-    return r.select(key, *[F.col("_v")[c].alias(c) for c in VERDICT_COLUMNS], *carry)
+    # The verdict columns come out of a one-row generator: a filter on them
+    # (e.g. one verdict branch) stays above it, instead of being pushed down
+    # and inlining the whole staged scoring expression into the predicate.
+    out = F.struct(*[F.col("_v")[c].alias(c) for c in VERDICT_COLUMNS])
+    return r.select(key, F.inline(F.array(out)), *carry)
 
 
 def _narrow(scorer: Scorer | None) -> bool:
@@ -128,14 +132,26 @@ def _narrow(scorer: Scorer | None) -> bool:
 
 def triage_messages(df: DataFrame, email_scorer: Scorer | None = None, url_scorer: Scorer | None = None,
                     text_col: str = "text", key: str = "msg_id", settings: Settings = DEFAULT,
-                    carry: tuple[str, ...] = ()) -> DataFrame:
+                    carry: tuple[str, ...] = (), with_email: bool = True) -> DataFrame:
     """V7: verdict per message from its body and every URL in it.
     Output: key, label, confidence, is_phishing, reason, then the ``carry``
-    columns of the input passed through unchanged."""
+    columns of the input passed through unchanged. ``with_email=False`` runs
+    the URL model alone (no email prediction: V1/V4/V5)."""
     email_scorer = email_scorer or LexicalScorer("email", lowercased=True)
     url_scorer = url_scorer or LexicalScorer("url")
     carry = tuple(carry)
     msgs = df.select(key, *carry, trim_input(F.col(text_col)).alias("_clean"))
+    if not with_email:
+        if not _narrow(url_scorer):
+            base = msgs.select(key, *email_columns(None))
+            preds = url_predictions(cut_lineage(url_occurrences(msgs.select(key, "_clean"), "_clean", key, settings)),
+                                    url_scorer, key, settings)
+            v = verdict(base, preds, settings, key)
+            return v.join(df.select(key, *carry), key) if carry else v
+        u = msgs.select(key, *carry,
+                        url_prediction_array(extract_urls(F.col("_clean")), url_scorer, settings).alias("_preds"))
+        return _finish(u, key, F.lit(None).cast("boolean"), {c: F.lit(None).cast(t) for c, t in E_FIELDS},
+                       settings, carry)
     if _narrow(url_scorer):
         body = msgs.select(key, *carry, "_clean", F.lower(F.col("_clean")).alias("_body"))
         e = email_scorer.predict(body, "_body", settings)
