@@ -28,8 +28,10 @@ HISTORY_SCHEMA = T.StructType([
 
 def history_rows(verdicts: DataFrame, inputs: DataFrame, input_type: str, key: str = "msg_id",
                  text_col: str = "text", ts_col: str | None = None) -> DataFrame:
-    """One history row per scored item: verdict + original input text."""
-    j = verdicts.join(inputs, key)
+    """One history row per scored item: verdict + original input text.
+    ``inputs=None`` when the verdicts already carry the text (and time)
+    columns, e.g. ``triage_messages(..., carry=(text, ts))``."""
+    j = verdicts.join(inputs, key) if inputs is not None else verdicts
     ts = F.col(ts_col).cast("timestamp") if ts_col else F.current_timestamp()
     return j.select(
         F.col(key).cast("long").alias("id"), F.col(text_col).alias("input_text"), F.lit(input_type).alias("input_type"),

@@ -113,8 +113,8 @@ def q_top_importances(spark, sf_dir):
 
 def _msg_tokens(spark, sf_dir):
     m = view(spark, sf_dir, "v_messages")
-    v = triage_messages(m).select("msg_id", "label", "is_phishing")
-    tok = XP.token_table(m.select("msg_id", "text").join(v, "msg_id"), ["msg_id", "label", "is_phishing"], "text")
+    v = triage_messages(m, carry=("text",)).select("msg_id", "text", "label", "is_phishing")
+    tok = XP.token_table(v, ["msg_id", "label", "is_phishing"], "text")
     return tok.withColumn("importance", XP.lexical_importance(F.col("token"), XP.target_class(F.col("label"))))
 
 

@@ -19,7 +19,7 @@ def history_with_ts(spark, sf_dir):
     m = view(spark, sf_dir, "v_messages")
     ev = view(spark, sf_dir, "events").select(F.col("event_id").alias("msg_id"), "ts")
     inputs = m.select("msg_id", "text").join(ev, "msg_id", "left")
-    return H.history_rows(triage_messages(m), inputs, "email", "msg_id", "text", "ts")
+    return H.history_rows(triage_messages(inputs, carry=("text", "ts")), None, "email", "msg_id", "text", "ts")
 
 
 def sql_history_ts() -> str:

@@ -155,12 +155,11 @@ def q_batch_summary(spark, sf_dir):
 def history_frame(spark, sf_dir):
     """Scoring history as it is logged: email verdicts of the messages and
     URL verdicts of the page URLs, with their input and type."""
-    m = view(spark, sf_dir, "v_messages")
-    e = triage_messages(m).join(m.select("msg_id", F.col("text").alias("input_text")), "msg_id")
-    e = e.withColumn("input_type", F.lit("email"))
-    p = view(spark, sf_dir, "pages").select(F.col("page_id").alias("msg_id"), F.col("url").alias("text"))
-    u = triage_urls(p).join(p.select("msg_id", F.col("text").alias("input_text")), "msg_id")
-    u = u.withColumn("input_type", F.lit("url"))
+    m = view(spark, sf_dir, "v_messages").withColumn("input_text", F.col("text"))
+    e = triage_messages(m, carry=("input_text",)).withColumn("input_type", F.lit("email"))
+    p = view(spark, sf_dir, "pages").select(F.col("page_id").alias("msg_id"), F.col("url").alias("text"),
+                                           F.col("url").alias("input_text"))
+    u = triage_urls(p, carry=("input_text",)).withColumn("input_type", F.lit("url"))
     return e.unionByName(u)
 
 

@@ -170,14 +170,19 @@ def triage_messages(df: DataFrame, email_scorer: Scorer | None = None, url_score
 
 
 def triage_urls(df: DataFrame, url_scorer: Scorer | None = None, text_col: str = "text",
-                key: str = "msg_id", settings: Settings = DEFAULT) -> DataFrame:
+                key: str = "msg_id", settings: Settings = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
     """V8: each input is one URL; verdict from the URL model alone (narrow
-    for native scorers: one prediction per row, no grouping)."""
+    for native scorers: one prediction per row, no grouping). ``carry``
+    columns pass through as in ``triage_messages``."""
     url_scorer = url_scorer or LexicalScorer("url")
+    carry = tuple(carry)
     if _narrow(url_scorer):
         one = url_prediction_array(F.array(trim_input(F.col(text_col))), url_scorer, settings)
-        u = df.select(key, one.alias("_preds"))
-        return _finish(u, key, F.lit(None).cast("boolean"), {c: F.lit(None).cast(t) for c, t in E_FIELDS}, settings)
+        u = df.select(key, *carry, one.alias("_preds"))
+        return _finish(u, key, F.lit(None).cast("boolean"), {c: F.lit(None).cast(t) for c, t in E_FIELDS},
+                       settings, carry)
+    if carry:
+        return triage_urls(df, url_scorer, text_col, key, settings).join(df.select(key, *carry), key)
     occ = df.select(key, F.lit(0).alias("url_pos"), F.col(text_col).alias("raw_url"))
     occ = occ.withColumn("norm_url", normalize_url(trim_input(F.col("raw_url")), settings))
     occ = occ.withColumn("domain", url_domain(F.col("norm_url")))

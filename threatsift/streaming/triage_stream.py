@@ -21,9 +21,11 @@ def start_triage_stream(stream: DataFrame, history_path: str, checkpoint: str, k
     """Start the query; returns the StreamingQuery."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        inputs = batch.select(key, text_col, *([ts_col] if ts_col else []))
-        verdicts = triage_messages(inputs, email_scorer, url_scorer, text_col, key, settings)
-        rows = history_rows(verdicts, inputs, "email", key, text_col, ts_col)
+        carry = (text_col, *([ts_col] if ts_col else []))
+        inputs = batch.select(key, *carry)
+        # the input text and time ride along with the verdict (no join back)
+        verdicts = triage_messages(inputs, email_scorer, url_scorer, text_col, key, settings, carry=carry)
+        rows = history_rows(verdicts, None, "email", key, text_col, ts_col)
         append_history(rows, history_path, "triage", batch_id)
 
     w = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
