@@ -38,3 +38,18 @@ def test_confusion_matrix_keeps_zero_cells(spark):
     counts = spark.createDataFrame([(0, 0, 5), (2, 2, 1)], "label_true int, pred int, n long")
     m = {r.label_true: r for r in EV.confusion_matrix(counts, [0, 1, 2]).collect()}
     assert m[1].pred_0 == 0 and m[1].pred_1 == 0 and m[0].pred_0 == 5
+
+
+def test_report_scans_its_source_once(spark):
+    """Each report aggregates the data once: no branch re-runs the source."""
+    import re
+    df = spark.range(0, 300).selectExpr("CAST(id % 3 AS INT) AS label_true", "CAST(id % 5 % 3 AS INT) AS pred")
+    for out in (EV.classification_report(EV.confusion_counts(df), [0, 1, 2]),
+                EV.error_rates(EV.confusion_counts(df), [0, 1, 2]),
+                EV.confusion_matrix(EV.confusion_counts(df), [0, 1, 2])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Range \(", plan)) == 1, plan
+    rep = {r["class"]: r for r in EV.classification_report(EV.confusion_counts(df), [0, 1, 2]).collect()}
+    pdf = df.toPandas()
+    acc = (pdf.label_true == pdf.pred).mean()
+    assert abs(rep["accuracy"]["f1"] - round(acc, 6)) < 1e-9 and rep["accuracy"]["support"] == 300

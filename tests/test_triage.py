@@ -44,3 +44,23 @@ def test_dedupe_plan_equals_in_place(spark):
     a = url_predictions(occ, LexicalScorer("url"), dedupe=True)
     b = url_predictions(occ, LexicalScorer("url"), dedupe=False)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_filter_on_verdict_and_carried_columns(spark):
+    """A filter on the verdict columns stays above the scoring projection
+    (native scorers); carried columns pass through unchanged; the URL-only
+    mode matches the URL path."""
+    from pyspark.sql import functions as F
+    msgs = spark.createDataFrame([
+        (1, "Verify your account password at http://login-secure.example/bank now", 7),
+        (2, "See https://google.com/search?q=test for details", 8),
+        (3, "Hello team, lunch at noon", None),
+    ], "msg_id long, text string, tag int")
+    full = {r.msg_id: r for r in triage_messages(msgs, carry=("tag",)).collect()}
+    assert {k: r.tag for k, r in full.items()} == {1: 7, 2: 8, 3: None}
+    phish = triage_messages(msgs).filter(F.col("label") == "Phishing").collect()
+    assert sorted(r.msg_id for r in phish) == sorted(k for k, r in full.items() if r.label == "Phishing")
+    plan = triage_messages(msgs).filter(F.col("label") == "Phishing")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate")  # the filter sits above the generator
+    unknown = triage_messages(msgs, with_email=False).filter(F.col("label") == "Unknown").collect()
+    assert [r.msg_id for r in unknown] == [3]
