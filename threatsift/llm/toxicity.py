@@ -10,7 +10,7 @@ so an unseen misspelling is scored by the n-grams it shares with known words.
 Documents are long and hold few toxic words, which a mean over the whole text
 dilutes. A document is therefore judged by the averages of several bags of it:
 its strongest single word, its five strongest words and the whole text; a
-logistic calibration on labelled rows kept out of the fit turns the three into
+logistic calibration, cross-fitted on the labelled rows, turns the three into
 one probability.
 """
 
@@ -36,6 +36,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1_000, 3_000, 10_000
 THRESHOLD = 0.3
 SCALE = 20.0
 TOP = 5
+FOCUS = 8
 
 
 @dataclass(frozen=True)
@@ -82,18 +83,30 @@ def words_of(texts: list[str]) -> Words:
     return Words(np.searchsorted(start, ws, side="right") - 1, word, grams, first)
 
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) of the mean of a text's words."""
-    w = words_of([text])
+def word_scores(w: Words, table: np.ndarray) -> np.ndarray:
+    """Mean contribution of the n-grams of every distinct word."""
+    total = np.concatenate([[0.0], np.cumsum(table[w.grams], dtype=float)])
+    return (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(np.diff(w.first), 1)
+
+
+def bag(w: Words, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, weights) of the mean of one text's words; with a ``table``,
+    of its ``FOCUS`` distinct words that score highest under it."""
     if not len(w.word):
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     size = np.diff(w.first)
-    share = np.bincount(w.word, minlength=len(size)) / len(w.word) / np.maximum(size, 1)
-    buckets, inverse = np.unique(w.grams, return_inverse=True)
-    return buckets, np.bincount(inverse, weights=np.repeat(share, size), minlength=len(buckets)).astype(np.float32)
-
-
-def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, epochs: int = 12,
+    if table is None:
+        share = np.bincount(w.word, minlength=len(size)) / len(w.word)
+    else:
+        best = np.argsort(-word_scores(w, table), kind="stable")[:FOCUS]
+        share = np.bincount(best, minlength=len(size)) / len(best)
+    share = np.repeat(share / np.maximum(size, 1), size)
+    kept = share > 0
+    buckets, inverse = np.unique(w.grams[kept], return_inverse=True)
+    return buckets, np.bincount(inverse, weights=share[kept], minlength=len(buckets)).astype(np.float32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, epochs: int = 8,
           batch: int = 64, rate: float = 0.05, seed: int = 3) -> np.ndarray:
     """Joint fit of n-gram vectors and softmax (adaptive gradient steps);
     returns the log-odds contribution of every n-gram. The intercept is left to
@@ -134,28 +147,36 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.n
     return (vectors @ (soft[:, 1] - soft[:, 0]) * SCALE).astype(np.float32)
 
 
+def _pool(w: Words, docs: int, table: np.ndarray) -> np.ndarray:
+    out = np.zeros((docs, 3))
+    if not len(w.word):
+        return out
+    score = word_scores(w, table)[w.word]
+    count = np.bincount(w.doc, minlength=docs)
+    order = np.lexsort((-score, w.doc))
+    doc, ranked = w.doc[order], score[order]
+    rank = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
+    top = rank < TOP
+    out[doc[rank == 0], 0] = ranked[rank == 0]
+    out[:, 1] = np.bincount(doc[top], weights=ranked[top], minlength=docs) / TOP
+    out[:, 2] = np.bincount(w.doc, weights=score, minlength=docs) / np.maximum(count, 1)
+    return out
+
+
 def pooled(texts: list[str], table: np.ndarray) -> np.ndarray:
     """(texts, 3) log odds of the strongest word, the mean of the strongest
     ``TOP`` words (counted with repetitions) and the whole text. No words: zeros."""
-    out = np.zeros((len(texts), 3))
-    for first, held in textbuf.blocks(texts):
-        w = words_of(held)
-        if not len(w.word):
-            continue
-        total = np.concatenate([[0.0], np.cumsum(table[w.grams], dtype=float)])
-        score = ((total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(np.diff(w.first), 1))[w.word]
-        docs = len(held)
-        count = np.bincount(w.doc, minlength=docs)
-        order = np.lexsort((-score, w.doc))
-        doc, ranked = w.doc[order], score[order]
-        rank = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
-        top = rank < TOP
-        best = np.zeros(docs)
-        best[doc[rank == 0]] = ranked[rank == 0]
-        out[first:first + docs, 0] = best
-        out[first:first + docs, 1] = np.bincount(doc[top], weights=ranked[top], minlength=docs) / TOP
-        out[first:first + docs, 2] = np.bincount(w.doc, weights=score, minlength=docs) / np.maximum(count, 1)
-    return out
+    parts = [_pool(words_of(held), len(held), table) for _, held in textbuf.blocks(texts)]
+    return np.concatenate(parts) if parts else np.zeros((0, 3))
+
+
+def train_focused(words: list[Words], y: np.ndarray) -> np.ndarray:
+    """Two joint fits: on the means of whole texts, then on the means of each
+    text's strongest words under the first fit, which the few toxic words of a
+    long text are no longer diluted in."""
+    even = np.ones(len(y))
+    first = train([bag(w) for w in words], y, even)
+    return train([bag(w, first) for w in words], y, even)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50, l2: float = 1.0) -> np.ndarray:
@@ -191,8 +212,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC,
                  chars: int = SAMPLE_CHARS) -> Model:
     """Fit on at most ``toxic`` + ``clean`` labelled rows outside the held-out
     fold whose text has at most ``chars`` characters, taken in the order of a
-    hash of the id. Three quarters fit the vectors, one quarter the calibration.
-    Weights restore the class shares of all labelled rows."""
+    hash of the id. The calibration sees each half of them through vectors fitted
+    on the other half; the vectors of the model are fitted on all. Weights restore the class shares of all labelled rows."""
     usable = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")))
     shares = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
@@ -209,15 +230,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC,
         rate = (n1 + 0.5) / (n + 1.0)
         return Model(np.zeros(TABLE, np.float32), np.array([0.0, 0.0, 0.0, np.log(rate / (1 - rate))]))
     weight = np.array([shares.get(c, 0) / max(have[c], 1) for c in (0, 1)])[y]
-    texts = rows["text"].tolist()
-    tail = np.zeros(len(y), dtype=bool)
-    for c in (0, 1):                       # every fourth row of a class
-        tail[np.flatnonzero(y == c)[3::4]] = True
-    head = np.flatnonzero(~tail)
-    table = train([bag(texts[i]) for i in head], y[head], np.ones(len(head)))
-    kept = np.flatnonzero(tail)
-    beta = calibrate(pooled([texts[i] for i in kept], table), y[kept].astype(float), weight[kept])
-    return Model(table, beta)
+    words = [words_of([t]) for t in rows["text"]]
+    half = np.zeros(len(y), dtype=np.int64)
+    for c in (0, 1):                       # halves with both classes
+        half[np.flatnonzero(y == c)[1::2]] = 1
+    x = np.zeros((len(y), 3))
+    for other in (0, 1):                   # each half is pooled by the other's fit
+        mine, rest = np.flatnonzero(half == other), np.flatnonzero(half != other)
+        table = train_focused([words[i] for i in rest], y[rest])
+        x[mine] = np.concatenate([_pool(words[i], 1, table) for i in mine])
+    beta = calibrate(x, y.astype(float), weight)
+    return Model(train_focused(words, y), beta)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
