@@ -46,3 +46,17 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows stay below the bound,
     else unchanged (Spark then shuffles it). For tables already written."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+_HASH_SPAN = 1 << 40
+
+
+def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About ``rows`` rows of ``df``, all if it has no more: those whose key hash
+    falls below a threshold set from the row count. The same rows on every run
+    and whatever the partitioning; nothing is sorted or sent to the driver."""
+    count = df.count()
+    if count <= rows:
+        return df
+    h = F.pmod(F.xxhash64(F.lit(29), *keys), F.lit(_HASH_SPAN))
+    return df.where(h < int(_HASH_SPAN * (rows / count)))

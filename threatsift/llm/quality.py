@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatsift.llm import gbdt, textbuf
-from threatsift.llm.common import held_out, staged
+from threatsift.llm.common import hash_sample, held_out, staged
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
@@ -125,17 +125,16 @@ def document_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def label_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, y): at most ``rows`` labelled rows outside the held-out fold, in
-    the order of a hash of the id; a document labelled twice counts once, with
-    its larger label."""
+    """(doc_id, y): about ``rows`` labelled rows outside the held-out fold, taken
+    by a hash of the id; a document labelled twice counts once, with its larger
+    label."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-    return (usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    return hash_sample(usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")), rows, "doc_id")
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> gbdt.Trees:
     sample = (stats.join(F.broadcast(label_sample(labels, "quality", sample_rows)), "doc_id")
-              .select("doc_id", "y", "_x").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(sample_rows).toPandas())
+              .select("doc_id", "y", "_x").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id"))
     x = np.array(sample["_x"].tolist(), dtype=float).reshape(len(sample), len(FEATURES))
     return gbdt.fit(x, sample["y"].to_numpy(dtype=float))
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatsift.llm import textbuf
-from threatsift.llm.common import held_out
+from threatsift.llm.common import hash_sample, held_out
 from threatsift.llm.gbdt import sigmoid
 
 TABLE = 1 << 17
@@ -210,19 +210,17 @@ class Model:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN,
                  chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on at most ``toxic`` + ``clean`` labelled rows outside the held-out
-    fold whose text has at most ``chars`` characters, taken in the order of a
-    hash of the id. The calibration sees each half of them through vectors fitted
+    """Fit on about ``toxic`` + ``clean`` labelled rows outside the held-out
+    fold whose text has at most ``chars`` characters, taken by a hash of the id. The calibration sees each half of them through vectors fitted
     on the other half; the vectors of the model are fitted on all. Weights restore the class shares of all labelled rows."""
     usable = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")))
     shares = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = (usable.where("y = 1").orderBy(*order).limit(toxic)
-           .unionByName(usable.where("y = 0").orderBy(*order).limit(clean)))
+    ids = (hash_sample(usable.where("y = 1"), toxic, "doc_id")
+           .unionByName(hash_sample(usable.where("y = 0"), clean, "doc_id")))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = (docs.where(F.length(text) <= chars).select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id")
-            .dropDuplicates(["doc_id"]).orderBy("doc_id").limit(toxic + clean).toPandas())
+            .dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id"))
     y = rows["y"].to_numpy(dtype=np.int64)
     have = np.bincount(y, minlength=2)
     if len(y) == 0 or have.min() < 4:
