@@ -174,7 +174,7 @@ def top_k(vectors: DataFrame, every: int, k: int = TOP, block_rows: int = BLOCK_
     index = _packed(rows, blocks, "topk-index")
     asked = _packed(queries, max(1, math.ceil(count / every / query_rows)), "topk-queries")
     pairs = (asked.select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
-                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("q_block"))
+                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("q_block"))
              .join(index, (F.col("q_block") == F.col("block")) & (F.col("q_dims") == F.col("dims"))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
