@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threatsift.llm import bitslice, mixing, packing, pii, quality, token_counts, toxicity, url_filters
+from threatsift.llm import bitslice, jaccard, mixing, packing, pii, quality, token_counts, toxicity, url_filters
 from threatsift.llm.common import read_table
 from threatsift.session import ship_package
 
@@ -41,6 +41,10 @@ def op7_bitsliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(read_table(spark, sf_dir, "embeddings"), QUERY_EVERY)
 
 
+def op8_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -51,7 +55,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-_ALL = (op1_pii, op2_toxicity, op4_best_fit_packing, op5_token_counts, op6_quality, op7_bitsliced_top_k, op9_url_filters, op10_source_mixing)
+_ALL = (op1_pii, op2_toxicity, op4_best_fit_packing, op5_token_counts, op6_quality, op7_bitsliced_top_k,
+        op8_parity_sketch_join, op9_url_filters, op10_source_mixing)
 
 
 def _shipped(fn: Callable) -> Callable:
