@@ -307,3 +307,19 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         labels = components(links.unionByName(more).unionByName(same_id))
     return (summary.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", F.col("doc_id").cast("long")).alias("component_id")))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, all columns: the one with the smallest
+    doc_id. Of rows that share a doc_id one stays; rows without doc_id stay.
+    Only ids are joined to the documents, never texts to texts."""
+    found = staged(jaccard_components(docs, width, percent), "jaccard-components")
+    dropped = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-dropped")
+    kept = docs.join(small_side(dropped), "doc_id", "left_anti").select(*docs.columns)
+    again = staged(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"),
+                   "jaccard-repeated")
+    if again.isEmpty():
+        return kept
+    again = small_side(again)
+    return (kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+            .unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)))

@@ -169,3 +169,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = BU
         (F.col("_whole") + F.when(F.col("_open") & F.lit(not whole_copies), F.lit(0))
          .otherwise((last / F.greatest(F.col("size"), F.lit(1))).cast("long"))).alias("copies"),
         (F.col("_whole") * F.col("size") + last.cast("long")).alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = BUDGET_SHARE,
+                max_copies: float = MAX_COPIES, seed: int = 17) -> DataFrame:
+    """Every row of ``docs``, all columns, as often as the mix takes it (whole
+    copies). Rows are matched by a hash of id, source and text; of m equal rows
+    each gets its share of their copies."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
+    mixed = mix(keyed.select(F.col("_row").alias("doc_id"), "source", "text"), weights, share, max_copies, seed, whole_copies=True)
+    copies = staged(mixed.groupBy(F.col("doc_id").alias("_row")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_m")), "mix-copies")
+    ranked = keyed.join(small_side(copies), "_row")
+    if not copies.where("_m > 1").isEmpty():
+        ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("_row").orderBy("_c")))
+    else:
+        ranked = ranked.withColumn("_r", F.lit(1))
+    n = F.floor(F.col("_c") / F.col("_m")) + (F.col("_r") <= F.col("_c") % F.col("_m")).cast("long")
+    return (ranked.withColumn("_n", n.cast("int")).where("_n > 0")
+            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threatsift.llm import bitslice, jaccard, mixing, packing, pii, quality, token_counts, toxicity, url_filters
+from threatsift.llm import bitslice, jaccard, mixing, packing, pii, projections, quality, token_counts, toxicity, url_filters
 from threatsift.llm.common import read_table
 from threatsift.session import ship_package
 
@@ -25,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-_ALL = (op1_pii, op2_toxicity, op4_best_fit_packing, op5_token_counts, op6_quality, op7_bitsliced_top_k,
+_ALL = (op1_pii, op2_toxicity, op3_embedding_near_dedup, op4_best_fit_packing, op5_token_counts, op6_quality, op7_bitsliced_top_k,
         op8_parity_sketch_join, op9_url_filters, op10_source_mixing)
 
 
