@@ -176,14 +176,14 @@ def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     """Every row of ``docs``, all columns, as often as the mix takes it (whole
     copies). Rows are matched by a hash of id, source and text; of m equal rows
     each gets its share of their copies."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
-    mixed = mix(keyed.select(F.col("_row").alias("doc_id"), "source", "text"), weights, share, max_copies, seed, whole_copies=True)
-    copies = staged(mixed.groupBy(F.col("doc_id").alias("_row")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_m")), "mix-copies")
-    ranked = keyed.join(small_side(copies), "_row")
-    if not copies.where("_m > 1").isEmpty():
-        ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("_row").orderBy("_c")))
+    keyed = docs.withColumn("__mix_row", F.xxhash64("doc_id", "source", "text"))
+    mixed = mix(keyed.select(F.col("__mix_row").alias("doc_id"), "source", "text"), weights, share, max_copies, seed, whole_copies=True)
+    copies = staged(mixed.groupBy(F.col("doc_id").alias("__mix_row")).agg(F.sum("copies").alias("__mix_c"), F.count("*").alias("__mix_m")), "mix-copies")
+    ranked = keyed.join(small_side(copies), "__mix_row")
+    if not copies.where("__mix_m > 1").isEmpty():
+        ranked = ranked.withColumn("__mix_r", F.row_number().over(Window.partitionBy("__mix_row").orderBy("__mix_c")))
     else:
-        ranked = ranked.withColumn("_r", F.lit(1))
-    n = F.floor(F.col("_c") / F.col("_m")) + (F.col("_r") <= F.col("_c") % F.col("_m")).cast("long")
-    return (ranked.withColumn("_n", n.cast("int")).where("_n > 0")
-            .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns))
+        ranked = ranked.withColumn("__mix_r", F.lit(1))
+    n = F.floor(F.col("__mix_c") / F.col("__mix_m")) + (F.col("__mix_r") <= F.col("__mix_c") % F.col("__mix_m")).cast("long")
+    return (ranked.withColumn("__mix_n", n.cast("int")).where("__mix_n > 0")
+            .withColumn("__mix_i", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*docs.columns))

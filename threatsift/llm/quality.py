@@ -110,18 +110,18 @@ def _block(texts: list[str]) -> np.ndarray:
     return np.stack(columns, axis=1).astype(np.float32)
 
 
-def document_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``_x``, the statistics of the whole text (null: empty)."""
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_x", T.ArrayType(T.FloatType()))])
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and ``_x``, the statistics of the whole text (null: empty)."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("_x", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = statistics(b.column(len(keep)).to_pylist())
+            x = statistics(b.column(1).to_pylist())
             cells = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]),
                                              pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], cells], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), cells], names=schema.names)
 
-    return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text")).mapInArrow(run, schema)
 
 
 def label_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
@@ -158,8 +158,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
-                  sample_rows: int = SAMPLE_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, held_out, score (probability of quality 1) and predicted.
+                  sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, held_out, score, predicted); score: probability of quality 1.
 
     ``docs`` needs doc_id and text, ``labels`` doc_id and quality; other
     columns are not read. A null text counts as empty; an empty text is scored
@@ -168,18 +168,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     without labels, or with one class only, every score is the smoothed share
     of good rows. An empty table gives an empty result.
     """
-    stats = staged(document_statistics(docs, tuple(dict.fromkeys(("doc_id", *keep)))), "quality-stats")
+    stats = staged(document_statistics(docs), "quality-stats")
     trees = fit_quality(stats, labels, sample_rows)
     held = docs.sparkSession.sparkContext.broadcast(trees)
-    out = [c for c in stats.columns if c != "_x"]
-    schema = T.StructType([*[stats.schema[c] for c in out], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([stats.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("_x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in out], pa.array(held.value.probability(x))],
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(held.value.probability(x))],
                                              names=schema.names)
 
     scored = stats.mapInArrow(run, schema)
-    return scored.select(*keep, held_out(F.col("doc_id")).alias("held_out"), "score",
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
