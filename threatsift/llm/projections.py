@@ -108,14 +108,14 @@ def sound_vectors(vectors: DataFrame) -> DataFrame:
 def _cell_links(x: np.ndarray, h: np.ndarray, cells: np.ndarray, ids: np.ndarray, many: np.ndarray, side: np.ndarray,
                 table: int, need: int, threshold: float):
     """Links of one cell: (weight of links per row, smallest id of each row's
-    connected part). ``side`` 0/1 marks the two chunks of a tile, whose rows
-    meet each other only; one chunk alone is all 0."""
+    connected part). ``side`` 1 and 2 mark the two chunks of a tile, whose rows
+    meet each other only; the tile of one chunk with itself is all 0."""
     n = len(ids)
     count = np.zeros((n, n), dtype=np.int16)
     for column in h.T:                                   # query-centred windows, one projection at a time
         count += np.abs(column[:, None] - column[None, :]) <= WINDOW
     pair = count >= need
-    if side.any():
+    if side[0]:
         pair &= side[:, None] != side[None, :]
     np.fill_diagonal(pair, False)
     a, b = np.nonzero(np.triu(pair))
@@ -203,7 +203,7 @@ def _links(reps: DataFrame, dims: int, rows: int, threshold: float) -> DataFrame
               .withColumn("_c", F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.col("_k")).cast("int"))
               .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
               .withColumn("tile", F.least("_c", "_o") * F.lit(1 << 20) + F.greatest("_c", "_o"))
-              .withColumn("side", F.when(F.col("_o") < F.col("_c"), 1).otherwise(0)))
+              .withColumn("side", F.when(F.col("_o") == F.col("_c"), 0).when(F.col("_o") > F.col("_c"), 1).otherwise(2)))
     tiled = (placed.select("cell", "tile", "side", "t", "rep", "many", "embedding")
              .repartition(F.col("cell"), F.col("tile")).sortWithinPartitions("cell", "tile"))
 

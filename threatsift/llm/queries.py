@@ -80,8 +80,8 @@ _REACH = """reach(a, b) AS (
 _NEAR_VECTORS = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR isnan(e) OR isinf(e))) = 0
-    AND len(list_filter(embedding, e -> e <> 0)) > 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
 links AS (
   SELECT s.vec_id AS a, t.vec_id AS b FROM v s JOIN v t ON s.vec_id <> t.vec_id AND len(s.x) = len(t.x)
   WHERE list_cosine_similarity(s.x, t.x) >= 0.95),
@@ -95,12 +95,12 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 
 _TOP_K = f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding::DOUBLE[], e -> floor(256 * e)::BIGINT) AS x FROM embeddings
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda e: floor(256 * e)::BIGINT) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, e -> e IS NULL OR isnan(e) OR isinf(e))) = 0),
+    AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         list_sum(list_transform(generate_series(1, len(q.x)), i -> q.x[i] * c.x[i]))::BIGINT AS score
+         list_sum(list_transform(generate_series(1, len(q.x)), lambda i: q.x[i] * c.x[i]))::BIGINT AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.x) = len(q.x) WHERE q.vec_id % {QUERY_EVERY} = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
@@ -110,10 +110,10 @@ _JACCARD = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
-           x -> x <> '') AS w FROM documents),
+           lambda x: x <> '') AS w FROM documents),
 g AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-           ELSE list_transform(generate_series(1, len(w) - 3), i -> array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+           ELSE list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
 t AS (SELECT doc_id, unnest(g) AS s, len(g) AS n FROM g),
 links AS (
   SELECT x.doc_id AS a, y.doc_id AS b FROM t x JOIN t y ON x.s = y.s AND x.doc_id <> y.doc_id
