@@ -4,7 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from threatsift.operators.scoring import (
-    EMAIL_CLASSES, LexicalScorer, MockScorer, PandasScorer, decide_email, decide_url, softmax)
+    EMAIL_CLASSES, LexicalScorer, RuleScorer, PandasScorer, decide_email, decide_url, softmax)
+
+MARKERS = ("fake-bank", "phishing")
 
 
 def test_softmax_and_decisions(spark):
@@ -29,7 +31,7 @@ def test_safe_confidence_is_distance_from_threat(spark):
 
 def test_mock_scorer(spark):
     df = spark.createDataFrame([(1, "visit fake-bank now"), (2, "hello")], "id long, t string")
-    r = {x.id: x for x in MockScorer().predict(df, "t").collect()}
+    r = {x.id: x for x in RuleScorer(MARKERS).predict(df, "t").collect()}
     assert r[1].is_phishing and r[1].confidence == 0.95 and r[1].p_phishing is None
     assert not r[2].is_phishing and r[2].confidence == 0.10
 

@@ -1,8 +1,10 @@
 """Whole scoring paths (V7 email, V8 URL) with the test-suite mock scorer."""
 
-from threatsift.operators.scoring import MockScorer
+from threatsift.operators.scoring import RuleScorer
 from threatsift.plans.triage import triage_messages, triage_urls
 
+MARKERS = ("fake-bank", "phishing")
+
 
 def test_email_path(spark):
     msgs = spark.createDataFrame([
@@ -11,7 +13,7 @@ def test_email_path(spark):
         (3, "  Hello team, lunch at noon  "),
         (4, ""),
     ], "msg_id long, text string")
-    v = {r.msg_id: r for r in triage_messages(msgs, MockScorer("email"), MockScorer("url")).collect()}
+    v = {r.msg_id: r for r in triage_messages(msgs, RuleScorer(MARKERS), RuleScorer(MARKERS, "url")).collect()}
     assert v[1].label == "Phishing" and v[1].confidence == 0.95
     assert v[1].reason == "High-confidence phishing URL detected in content."
     assert v[2].label == "Legitimate" and v[2].confidence == 0.10
@@ -26,7 +28,7 @@ def test_url_path_and_allowlist(spark):
         (3, "google.com"),
         (4, "https://google.www.com/"),
     ], "msg_id long, text string")
-    v = {r.msg_id: r for r in triage_urls(urls, MockScorer("url")).collect()}
+    v = {r.msg_id: r for r in triage_urls(urls, RuleScorer(MARKERS, "url")).collect()}
     assert (v[1].label, v[1].confidence) == ("Legitimate", 0.99) and "allowlist" in v[1].reason
     assert v[2].label == "Phishing"
     assert v[3].confidence == 0.10  # no scheme: not allowlisted, scored

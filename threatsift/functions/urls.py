@@ -9,6 +9,9 @@ regex and decoding run once per URL.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from threatsift.settings import DEFAULT, USES_NETLOC, Settings
 # first, then letters/digits/+/-/.); applied to lowercased input.
 SPLIT_PATTERN = r"(?s)^(?:([a-z][a-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
 STRAY_PERCENT = r"%(?![0-9a-fA-F]{2})"
+SURROGATE_BYTES = r"(?i)%ed%[ab][0-9a-f]%[89ab][0-9a-f]"
+REPLACEMENT = "%EF%BF%BD"
 
 
 def _ipv6_pattern() -> str:
@@ -72,6 +77,8 @@ def split_url(c) -> Column:
 
 
 def _decode(x: Column, plus_is_space: bool) -> Column:
+    # An escaped surrogate half is three undecodable bytes, one mark each.
+    x = F.regexp_replace(x, SURROGATE_BYTES, REPLACEMENT * 3)
     x = F.regexp_replace(x, STRAY_PERCENT, "%25")
     if not plus_is_space:
         x = F.replace(x, F.lit("+"), F.lit("%2B"))
@@ -140,21 +147,30 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _bad_netloc(netloc: Column) -> Column:
+@functools.lru_cache(maxsize=1)
+def delimiter_lookalikes() -> str:
+    """Regex class of the characters whose compatibility form (NFKC) holds a
+    URL delimiter: a host with one of them would change its meaning when
+    normalised, and is rejected."""
+    found = [c for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF
+             and any(d in unicodedata.normalize("NFKC", chr(c)) for d in "/?#@:")]
+    return "[" + "".join(f"\\x{{{c:X}}}" for c in found) + "]"
+
+
+def _netloc_problem(netloc: Column) -> Column:
+    """Reason a network location is rejected; NULL when it is fine."""
     host = F.regexp_extract(netloc, r"^[^\[]*\[([^\]]*)", 1)
     bracketed_ok = host.rlike(IPV6_PATTERN) | host.rlike(IPVFUTURE_PATTERN)
-    return (netloc.contains("[") != netloc.contains("]")) | (netloc.contains("[") & ~bracketed_ok)
+    return (F.when(netloc.contains("[") != netloc.contains("]"), F.lit("Invalid IPv6 URL"))
+            .when(netloc.contains("[") & ~bracketed_ok, F.lit("Invalid bracketed host"))
+            .when(netloc.rlike(delimiter_lookalikes()), F.lit("Invalid characters under NFKC")))
 
 
 def url_error(c) -> Column:
     """Why a URL cannot be normalised (the stdlib raises); NULL when fine.
-    Brackets must pair, and a bracketed host must be IPv6 or IPvFuture."""
-    netloc = _part(prepare(c), 2)
-    host = F.regexp_extract(netloc, r"^[^\[]*\[([^\]]*)", 1)
-    bracketed_ok = host.rlike(IPV6_PATTERN) | host.rlike(IPVFUTURE_PATTERN)
-    return (F.when(_c(c).isNull(), F.lit("null url"))
-            .when(netloc.contains("[") != netloc.contains("]"), F.lit("Invalid IPv6 URL"))
-            .when(netloc.contains("[") & ~bracketed_ok, F.lit("Invalid bracketed host")))
+    Brackets must pair, a bracketed host must be IPv6 or IPvFuture, and no
+    character may turn into a delimiter under NFKC."""
+    return F.coalesce(F.when(_c(c).isNull(), F.lit("null url")), _netloc_problem(_part(prepare(c), 2)))
 
 
 def normalize_url(c, settings: Settings = DEFAULT) -> Column:
@@ -167,7 +183,7 @@ def normalize_url(c, settings: Settings = DEFAULT) -> Column:
                         recode_path(p["path"]).alias("path"), strip_tracking(p["query"], settings).alias("query"))
 
     def finish(q):
-        return F.when(~_bad_netloc(q["netloc"]), _assemble(q["scheme"], q["netloc"], q["path"], q["query"]))
+        return F.when(_netloc_problem(q["netloc"]).isNull(), _assemble(q["scheme"], q["netloc"], q["path"], q["query"]))
 
     def from_prepared(x):
         parts = F.struct(_part(x, 1).alias("scheme"), _part(x, 2).alias("netloc"),

@@ -2,43 +2,75 @@
 (W2-W4, J7) plus a lexical saliency score.
 
 Tokens are whitespace-prefixed pieces (``\\s*\\S+``), so concatenating a
-message's tokens rebuilds its text, as with byte-level BPE pieces. Every
-step is per message: offsets and top-k are windows partitioned by the
-message key (bounded by the message length), URL spans are computed inside
-the row (split + running sums), and for whitespace pieces the overlap test
-reduces to a per-token pattern test, so no range join and no extra shuffle
-is needed.
+message's tokens rebuilds its text, as with byte-level BPE pieces. A message's
+tokens stay in its row as an array: offsets are running sums over the array,
+the top tokens a sort of it, URL tokens a filter, and only what is kept
+becomes rows. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatsift.functions.text import UI_URL_PATTERN, WS
+from threatsift.functions.urls import let
 from threatsift.settings import EMAIL_CUE_WORDS, TOP_IMPORTANCE_WORDS
 
 TOKEN_PATTERN = f"{WS}*[^{WS[1:-1]}]+"
+BLOCK = 64  # entries per block of a running sum
 
 
 def tokens(c) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN_PATTERN), 0)
 
 
-def url_span_rows(df: DataFrame, key: list[str], text_col: str, pattern: str = UI_URL_PATTERN) -> DataFrame:
-    """[start, end) character range of every URL match, one row each.
-    Linear: the text is split on the pattern (segments between matches) and
-    the starts are a running sum over (segment, match) lengths, a window
-    partitioned by the message."""
-    x = F.coalesce(F.col(text_col), F.lit(""))
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+def running_offsets(lengths: Column) -> Column:
+    """Sum of all earlier entries, for every entry of an array of numbers: sums
+    of whole blocks first, then the few entries before it in its own block."""
+    def starts_of(ls):
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor(F.greatest(F.size(ls) - 1, F.lit(0)) / BLOCK).cast("int")),
+            lambda b: _total(F.slice(ls, b * BLOCK + 1, F.lit(BLOCK))))
+        empty = F.struct(F.array().cast("array<bigint>").alias("at"), F.lit(0).cast("long").alias("sum"))
+        return F.aggregate(blocks, empty, lambda a, v: F.struct(F.concat(a["at"], F.array(a["sum"])).alias("at"),
+                                                                (a["sum"] + v).alias("sum")))["at"]
+
+    def within(ls, starts):
+        def one(_, i):
+            block = F.floor(i / BLOCK).cast("int")
+            return F.element_at(starts, block + 1) + _total(F.slice(ls, block * BLOCK + 1, i - block * BLOCK))
+        return F.transform(ls, one)
+
+    return let(F.transform(lengths, lambda n: n.cast("long")), lambda ls: let(starts_of(ls), lambda st: within(ls, st)))
+
+
+def url_spans(text: Column, pattern: str = UI_URL_PATTERN) -> Column:
+    """[start, end) of every URL match of a text, as an array: the text is split
+    on the pattern and the ends are running sums of segment and match lengths."""
+    def spans(pieces):
+        def one(p, off):
+            start = off + F.length(p["seg"])
+            return F.struct(start.cast("long").alias("start"), (start + F.length(p["url"])).cast("long").alias("end"))
+        lengths = F.transform(pieces, lambda p: F.length(p["seg"]) + F.length(p["url"]))
+        return F.zip_with(pieces, running_offsets(lengths), one)
+
+    x = F.coalesce(text, F.lit(""))
     urls = F.regexp_extract_all(x, F.lit(pattern), 0)
     segs = F.split(x, pattern, -1)
-    pieces = F.arrays_zip(F.slice(segs, 1, F.size(urls)).alias("seg"), urls.alias("url"))
-    rows = df.select(*key, F.posexplode(pieces).alias("url_idx", "p"))
-    rows = rows.select(*key, "url_idx", F.length("p.seg").alias("_sl"), F.length("p.url").alias("_ul"))
-    w = Window.partitionBy(*key).orderBy("url_idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(F.col("_sl") + F.col("_ul")).over(w))
-    return rows.select(*key, "url_idx", (F.col("end") - F.col("_ul")).alias("start"), "end")
+    pieces = let(urls, lambda u: F.arrays_zip(F.slice(segs, 1, F.size(u)).alias("seg"), u.alias("url")))
+    return F.when(F.size(urls) > 0, let(pieces, spans)).otherwise(
+        F.array().cast("array<struct<start:bigint,end:bigint>>"))
+
+
+def url_span_rows(df: DataFrame, key: list[str], text_col: str, pattern: str = UI_URL_PATTERN) -> DataFrame:
+    """One row per URL match with its character range."""
+    return (df.select(*key, F.posexplode(url_spans(F.col(text_col), pattern)).alias("url_idx", "s"))
+            .select(*key, "url_idx", F.col("s.start").alias("start"), F.col("s.end").alias("end")))
 
 
 def is_url_token(token) -> Column:
@@ -49,21 +81,27 @@ def is_url_token(token) -> Column:
     return token.rlike(UI_URL_PATTERN)
 
 
-def token_table(df: DataFrame, key: list[str], text_col: str) -> DataFrame:
-    """One row per token with its position."""
-    return df.select(*key, F.posexplode(tokens(F.col(text_col))).alias("pos", "token"))
+def overlapping(pieces: Column, spans: Column) -> Column:
+    """J7 general form, for tokenisers whose pieces may split a URL: the pieces
+    (structs with char_offset and token) that overlap any of the spans."""
+    def hit(p):
+        end = p["char_offset"] + F.length(p["token"])
+        return F.exists(spans, lambda s: (p["char_offset"] < s["end"]) & (end > s["start"]))
+    return F.filter(pieces, hit)
 
 
-def with_offsets(tok: DataFrame, key: list[str]) -> DataFrame:
-    """Running character offset of each token within its message."""
-    w = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return tok.withColumn("char_offset", F.coalesce(F.sum(F.length("token")).over(w), F.lit(0)))
+def pieces(text: Column) -> Column:
+    """Array of (pos, token, char_offset) of a text."""
+    def placed(ts):
+        off = running_offsets(F.transform(ts, lambda t: F.length(t)))
+        return F.zip_with(F.transform(ts, lambda t, i: F.struct(i.alias("pos"), t.alias("token"))), off,
+                          lambda p, o: F.struct(p["pos"].alias("pos"), p["token"].alias("token"), o.alias("char_offset")))
+    return let(tokens(text), placed)
 
 
-def in_url_span(offset: Column, length: Column, spans: Column) -> Column:
-    """J7 general form, for tokenisers whose pieces may split a URL: token
-    [off, off+len) overlaps any span [start, end) of the row's span array."""
-    return F.exists(spans, lambda s: (offset < s["end"]) & ((offset + length) > s["start"]))
+def piece_rows(df: DataFrame, key: list[str], text_col: str) -> DataFrame:
+    """One row per token with its position and running offset."""
+    return df.select(*key, F.inline(pieces(F.col(text_col))))
 
 
 def lexical_importance(token: Column, target: Column) -> Column:
@@ -84,15 +122,38 @@ def target_class(label: Column) -> Column:
             .otherwise(F.lit("legitimate")))
 
 
-def with_top_flags(tok: DataFrame, key: list[str], n: int = TOP_IMPORTANCE_WORDS) -> DataFrame:
-    """Rank tokens by |importance| desc (stable by position); top n."""
-    w = Window.partitionBy(*key).orderBy(F.abs(F.col("importance")).desc(), F.col("pos"))
-    return tok.withColumn("imp_rank", F.row_number().over(w)).withColumn("is_top", F.col("imp_rank") <= n)
+def scored(text: Column, target: Column) -> Column:
+    """Array of (neg, pos, token, importance) of a text's tokens; ``neg`` is
+    minus the absolute importance, so the natural order is W2's."""
+    def one(t, i):
+        imp = lexical_importance(t, target)
+        return F.struct((-F.abs(imp)).alias("neg"), i.alias("pos"), t.alias("token"), imp.alias("importance"))
+    return F.transform(tokens(text), one)
+
+
+def top_tokens(ranked: Column, n: int = TOP_IMPORTANCE_WORDS) -> Column:
+    """The n tokens of highest |importance|, stable by position."""
+    return F.slice(F.sort_array(ranked), 1, n)
+
+
+def top_rows(df: DataFrame, key: list[str], text_col: str, label_col: str, n: int = TOP_IMPORTANCE_WORDS) -> DataFrame:
+    """W2 as rows: key, imp_rank (from 1), pos, token, importance."""
+    top = top_tokens(scored(F.col(text_col), target_class(F.col(label_col))), n)
+    return (df.select(*key, F.posexplode(top).alias("_i", "_t"))
+            .select(*key, "_t.pos", "_t.token", "_t.importance", (F.col("_i") + 1).alias("imp_rank")))
+
 
+def highlight(df: DataFrame, key: list[str], text_col: str, label_col: str, is_phishing_col: str = "is_phishing",
+              n: int = TOP_IMPORTANCE_WORDS) -> DataFrame:
+    """The tokens to highlight (top n or inside a URL); colour follows the
+    verdict."""
+    def kept(ranked):
+        return let(F.transform(top_tokens(ranked, n), lambda t: t["pos"]), lambda at: F.filter(
+            F.transform(ranked, lambda t: F.struct(
+                t["pos"].alias("pos"), t["token"].alias("token"), t["importance"].alias("importance"),
+                F.array_contains(at, t["pos"]).alias("is_top"), is_url_token(t["token"]).alias("is_url"))),
+            lambda t: t["is_top"] | t["is_url"]))
 
-def highlight(tok: DataFrame, key: list[str], is_phishing_col: str = "is_phishing") -> DataFrame:
-    """flag = top-n token or URL token; colour follows the verdict."""
-    t = with_top_flags(with_offsets(tok, key), key)
-    t = t.withColumn("is_url", is_url_token(F.col("token")))
-    return t.withColumn("flagged", F.col("is_top") | F.col("is_url")).withColumn(
-        "color", F.when(F.col(is_phishing_col), F.lit("red")).otherwise(F.lit("green")))
+    rows = let(scored(F.col(text_col), target_class(F.col(label_col))), kept)
+    color = F.when(F.col(is_phishing_col), F.lit("red")).otherwise(F.lit("green"))
+    return df.select(*key, color.alias("color"), F.inline(rows))

@@ -54,9 +54,6 @@ def cue_count(c, cues) -> Column:
     return total
 
 
-PACK_BITS = 21  # per-class word count field; 3 classes fit one long
-
-
 def cue_word_pattern(words) -> str:
     """Whole-word alternation: a cue matches only a complete run of word
     characters (letters, digits, underscore), like a token of the word split."""
@@ -66,26 +63,24 @@ def cue_word_pattern(words) -> str:
 
 def word_cue_counts(c, cue_words: dict, already_lower: bool = False) -> dict[str, Column]:
     """Cue-word counts per class in ONE regex pass over the text (only the
-    cue occurrences are materialised, not every word) and one fold over
-    them: each match adds 1 << (21 * class index) to a long, unpacked after
-    (a text has < 2**21 words). Equal to counting tokens of the word split."""
+    cue occurrences are materialised, not every word) and one fold over them
+    with a long counter per class, so no text is too long for it. Equal to
+    counting tokens of the word split."""
     keys = list(cue_words)
-    if len(keys) * PACK_BITS > 63:
-        raise ValueError("too many classes to pack")
     x = F.coalesce(_c(c), F.lit(""))
     x = x if already_lower else F.lower(x)
     found = F.regexp_extract_all(x, F.lit(cue_word_pattern([w for ws in cue_words.values() for w in ws])), 0)
 
-    def weight(w):
-        e = None
-        for i, k in enumerate(keys):
-            e = (F.when(w.isin(*cue_words[k]), F.lit(1 << (PACK_BITS * i)))
-                 if e is None else e.when(w.isin(*cue_words[k]), F.lit(1 << (PACK_BITS * i))))
-        return e.otherwise(F.lit(0)).cast("long")
+    def owner(i, w):  # a word listed twice counts for its first class
+        hit = w.isin(*cue_words[keys[i]])
+        for earlier in keys[:i]:
+            hit = hit & ~w.isin(*cue_words[earlier])
+        return hit.cast("long")
 
-    packed = F.aggregate(found, F.lit(0).cast("long"), lambda acc, w: acc + weight(w))
-    mask = (1 << PACK_BITS) - 1
-    return {k: F.shiftrightunsigned(packed, PACK_BITS * i).bitwiseAND(F.lit(mask)) for i, k in enumerate(keys)}
+    zero = F.struct(*[F.lit(0).cast("long").alias(k) for k in keys])
+    counts = F.aggregate(found, zero, lambda acc, w: F.struct(
+        *[(acc[k] + owner(i, w)).alias(k) for i, k in enumerate(keys)]))
+    return {k: counts[k] for k in keys}
 
 
 def lexical_scores(c, kind: str = "email", already_lower: bool = False) -> dict[str, Column]:
@@ -192,35 +187,32 @@ class LexicalScorer(Scorer):
         return decide_url(sc["legitimate"], sc["phishing"], settings)
 
 
-class MockScorer(Scorer):
-    """The test-suite stand-in: phishing iff the text mentions one of the
-    marker words; confidence .95 / .10; no class scores."""
+class RuleScorer(Scorer):
+    """A model without class scores: phishing iff the text mentions one of the
+    markers. Its predictions take the branches of the verdict that read only
+    the flag and the message."""
 
-    MARKERS = ("fake-bank", "phishing")
-
-    def __init__(self, kind: str = "email"):
+    def __init__(self, markers: tuple[str, ...], kind: str = "email", hit: float = 0.95, miss: float = 0.10):
+        self.markers = tuple(m.lower() for m in markers)
         self.classes = EMAIL_CLASSES if kind == "email" else URL_CLASSES
+        self.hit, self.miss = hit, miss
 
     def predict(self, df, text_col, settings=DEFAULT):
         cols = self.column_predict(F.col(text_col), settings)
         return df.select("*", *[v.alias(k) for k, v in cols.items()])
 
     def column_predict(self, text, settings=DEFAULT):
-        t = F.lower(text)
-        hit = F.lit(False)
-        for m in self.MARKERS:
-            hit = hit | t.contains(m)
-        hit = F.coalesce(hit, F.lit(False))
+        low = F.lower(text)
+        found = F.lit(False)
+        for m in self.markers:
+            found = found | low.contains(m)
+        found = F.coalesce(found, F.lit(False))
         cols = {
-            "is_phishing": hit,
-            "confidence": F.when(hit, F.lit(0.95)).otherwise(F.lit(0.10)),
-            "message": F.when(hit, F.lit(MSG_PHISHING)).otherwise(F.lit(MSG_SAFE)),
-            "p_phishing": F.lit(None).cast("double"),
-            "p_legitimate": F.lit(None).cast("double"),
+            "is_phishing": found,
+            "confidence": F.when(found, F.lit(self.hit)).otherwise(F.lit(self.miss)),
+            "message": F.when(found, F.lit(MSG_PHISHING)).otherwise(F.lit(MSG_SAFE)),
         }
-        if len(self.classes) == 3:
-            cols["p_spam"] = F.lit(None).cast("double")
-        return cols
+        return cols | {f"p_{c}": F.lit(None).cast("double") for c in self.classes}
 
 
 class PandasScorer(Scorer):

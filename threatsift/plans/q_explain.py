@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threatsift.functions.text import UI_URL_PATTERN
+from threatsift.functions.text import UI_URL_PATTERN, trim_input
+from threatsift.functions.urls import let
 from threatsift.operators import explain as XP
 from threatsift.operators.scoring import LexicalScorer
-from threatsift.operators.verdict import verdict
+from threatsift.operators.verdict import E_FIELDS, URL_STRUCT, email_columns, verdict_struct
 from threatsift.plans import sqltext as S
 from threatsift.plans.catalog import query
 from threatsift.plans.q_triage import oracle_triage_messages, sql_email_preds, sql_verdict_select
-from threatsift.plans.triage import email_predictions, triage_messages
+from threatsift.plans.triage import triage_messages
 from threatsift.plans.views import sub, view
 from threatsift.settings import EMAIL_CUE_WORDS, TOP_IMPORTANCE_WORDS
 
@@ -56,23 +57,25 @@ def sql_token_rows(src: str, key: str, text: str, extra: str = "") -> str:
 
 
 def sql_conv_verdicts() -> str:
-    m = "(SELECT conv_id, turn, conv_id * 100000 + turn AS msg_id, " + S.strip("text") + " AS clean, text FROM conversations) c"
+    m = "(SELECT conv_id, turn, {'conv_id': conv_id, 'turn': turn} AS msg_id, " + S.strip("text") + " AS clean, text FROM conversations) c"
     e = f"(SELECT * FROM ({sql_email_preds(m)}) ep)"
     j = ("(SELECT e.*, CAST(NULL AS STRUCT(is_phishing BOOLEAN, confidence DOUBLE, message VARCHAR, p_phishing DOUBLE, "
          "p_legitimate DOUBLE, url_pos INTEGER)) AS ovr, CAST(NULL AS STRUCT(is_phishing BOOLEAN, confidence DOUBLE, message VARCHAR, "
          f"p_phishing DOUBLE, p_legitimate DOUBLE, url_pos INTEGER)) AS top FROM {e} e)")
-    return f"SELECT msg_id // 100000 AS conv_id, msg_id % 100000 AS turn, label, is_phishing FROM ({sql_verdict_select(j)}) v"
+    return f"SELECT msg_id.conv_id AS conv_id, msg_id.turn AS turn, label, is_phishing FROM ({sql_verdict_select(j)}) v"
 
 
-def _conv_tokens(spark, sf_dir):
-    """Conversation turns with their email-model verdict, as token rows."""
-    conv = view(spark, sf_dir, "conversations")
-    keyed = conv.select("conv_id", "turn", "text", (F.col("conv_id") * 100000 + F.col("turn")).alias("msg_id"))
-    e = email_predictions(keyed, LexicalScorer("email"), "text")
-    v = verdict(e, None).select((F.col("msg_id") / 100000).cast("long").alias("conv_id"),
-                                (F.col("msg_id") % 100000).alias("turn"), "label", "is_phishing")
-    tok = XP.token_table(conv.join(v, CONV_KEY), CONV_KEY + ["label", "is_phishing"], "text")
-    return tok.withColumn("importance", XP.lexical_importance(F.col("token"), XP.target_class(F.col("label"))))
+def _conv_verdicts(spark, sf_dir):
+    """Conversation turns with their email-model verdict, in one projection;
+    the pair of ids is the message key."""
+    conv = view(spark, sf_dir, "conversations").select(F.struct(*CONV_KEY).alias("msg_id"), "text")
+    e = conv.select("msg_id", "text", trim_input(F.col("text"), lowercase=True).alias("_body"))
+    preds = LexicalScorer("email", lowercased=True).predict(e, "_body")
+    rows = preds.select("msg_id", "text", *email_columns(preds))
+    nothing = F.lit(None).cast(URL_STRUCT)
+    v = verdict_struct(F.col("_e"), {c: F.col(f"e_{c}") for c, _ in E_FIELDS}, nothing, nothing)
+    return (rows.select("msg_id", "text", v.alias("v"))
+            .select("msg_id.conv_id", "msg_id.turn", "text", "v.label", "v.is_phishing"))
 
 
 def _sql_conv_tokens() -> str:
@@ -88,7 +91,7 @@ def _sql_conv_tokens() -> str:
 def q_url_spans(spark, sf_dir):
     """Character ranges of the URL matches of every message (J7's spans)."""
     return XP.url_span_rows(view(spark, sf_dir, "v_messages"), ["msg_id"], "text").select(
-        "msg_id", "url_idx", F.col("start").cast("long"), F.col("end").cast("long"))
+        "msg_id", "url_idx", "start", "end")
 
 
 @query("token_offsets", lambda: (
@@ -96,9 +99,8 @@ def q_url_spans(spark, sf_dir):
     f"FROM ({sql_token_rows('conversations', 'conv_id, turn', 'text')}) t"))
 def q_token_offsets(spark, sf_dir):
     """Running character offset of every token of every turn."""
-    tok = XP.token_table(view(spark, sf_dir, "conversations"), CONV_KEY, "text")
-    return XP.with_offsets(tok, CONV_KEY).select(*CONV_KEY, "pos", F.length("token").alias("token_len"),
-                                                 F.col("char_offset").cast("long"))
+    rows = XP.piece_rows(view(spark, sf_dir, "conversations"), CONV_KEY, "text")
+    return rows.select(*CONV_KEY, "pos", F.length("token").alias("token_len"), "char_offset")
 
 
 @query("top_importances", lambda: (
@@ -107,15 +109,8 @@ def q_token_offsets(spark, sf_dir):
     f"FROM ({_sql_conv_tokens()}) t) r WHERE imp_rank <= {TOP_IMPORTANCE_WORDS}"))
 def q_top_importances(spark, sf_dir):
     """The 7 most important tokens of every turn (stable by position)."""
-    t = XP.with_top_flags(_conv_tokens(spark, sf_dir), CONV_KEY).filter(F.col("is_top"))
-    return t.select(*CONV_KEY, "pos", "token", F.round("importance", 6).alias("importance"), F.col("imp_rank"))
-
-
-def _msg_tokens(spark, sf_dir):
-    m = view(spark, sf_dir, "v_messages")
-    v = triage_messages(m, carry=("text",)).select("msg_id", "text", "label", "is_phishing")
-    tok = XP.token_table(v, ["msg_id", "label", "is_phishing"], "text")
-    return tok.withColumn("importance", XP.lexical_importance(F.col("token"), XP.target_class(F.col("label"))))
+    t = XP.top_rows(_conv_verdicts(spark, sf_dir), CONV_KEY, "text", "label")
+    return t.select(*CONV_KEY, "pos", "token", F.round("importance", 6).alias("importance"), "imp_rank")
 
 
 def _sql_msg_tokens() -> str:
@@ -132,9 +127,9 @@ SQL_OVERLAP = "len(list_filter(spans, lambda s: char_offset < s['end'] AND char_
     f"({sql_token_rows(sub('v_messages'), 'msg_id', 'text')}) t WHERE {SQL_OVERLAP}"))
 def q_span_overlap(spark, sf_dir):
     """Tokens whose character range overlaps a URL span of their message."""
-    tok = XP.with_offsets(XP.token_table(view(spark, sf_dir, "v_messages"), ["msg_id"], "text"), ["msg_id"])
-    t = tok.filter(XP.is_url_token(F.col("token")))
-    return t.select("msg_id", "pos", "token", F.col("char_offset").cast("long"))
+    m = view(spark, sf_dir, "v_messages").select("msg_id", "text")
+    hit = let(XP.url_spans(F.col("text")), lambda spans: let(XP.pieces(F.col("text")), lambda p: XP.overlapping(p, spans)))
+    return m.select("msg_id", F.inline(hit))
 
 
 @query("highlight_tokens", lambda: (
@@ -145,6 +140,6 @@ def q_span_overlap(spark, sf_dir):
 def q_highlight_tokens(spark, sf_dir):
     """Tokens to highlight per message (top-7 or inside a URL) and the
     verdict colour."""
-    h = XP.highlight(_msg_tokens(spark, sf_dir), ["msg_id"])
-    return h.filter(F.col("flagged")).select("msg_id", "pos", "token", F.round("importance", 6).alias("importance"),
-                                             "is_top", "is_url", "color")
+    v = triage_messages(view(spark, sf_dir, "v_messages"), carry=("text",)).select("msg_id", "text", "label", "is_phishing")
+    h = XP.highlight(v, ["msg_id"], "text", "label")
+    return h.select("msg_id", "pos", "token", F.round("importance", 6).alias("importance"), "is_top", "is_url", "color")

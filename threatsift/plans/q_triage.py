@@ -223,9 +223,9 @@ def _oracle_fallback() -> str:
 def q_email_fallback(spark, sf_dir):
     """V3: email predictions without class scores (the mock scorer), no URL
     model: flag, then message text decide."""
-    from threatsift.operators.scoring import MockScorer
+    from threatsift.operators.scoring import RuleScorer
     msgs = view(spark, sf_dir, "v_messages").select("msg_id", trim_input(F.col("text")).alias("clean"))
-    e = email_predictions(msgs, MockScorer("email"), "clean")
+    e = email_predictions(msgs, RuleScorer(("fake-bank", "phishing")), "clean")
     return verdict(e, None)
 
 

@@ -22,6 +22,7 @@ MAX_PAYLOAD_BYTES = 5 * 1024 * 1024
 MAX_UPLOAD_BYTES = 20 * 1024 * 1024
 RATE_LIMIT_REQUESTS = 100
 RATE_LIMIT_WINDOW_SECONDS = 60
+RATE_LIMIT_EXEMPT_PATHS = ("/health", "/docs", "/openapi.json")
 ALLOWLIST_CONFIDENCE = 0.99
 HISTORY_DEFAULT_LIMIT = 100
 TOP_IMPORTANCE_WORDS = 7
@@ -118,10 +119,8 @@ TEXT_NAME_HINTS = ("text", "url", "body", "content", "message", "email", "domain
 BANNED_TEXT_NAME_PARTS = ("id", "file", "path", "rank", "index", "count", "ratio", "length", "len")
 
 THREAT_FEED_HEADER = "# id,dateadded,url"
-THREAT_FEED_MARKERS = ("id,dateadded,url", "url,url_status")
 THREAT_FEED_SCAN_LINES = 100
 
-SPLIT_FRACTIONS = (0.70, 0.15, 0.15)
 SEED = 42
 EMAIL_MAX_TOKENS = 512
 URL_MAX_TOKENS = 128
@@ -191,6 +190,7 @@ class Settings:
     max_upload_bytes: int = MAX_UPLOAD_BYTES
     rate_limit: int = RATE_LIMIT_REQUESTS
     rate_window_seconds: int = RATE_LIMIT_WINDOW_SECONDS
+    rate_exempt_paths: tuple = RATE_LIMIT_EXEMPT_PATHS
     allowlist_confidence: float = ALLOWLIST_CONFIDENCE
     safe_domains: tuple = KNOWN_SAFE_DOMAINS
     tracking_keys: tuple = TRACKING_KEYS

@@ -22,7 +22,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,39 +58,60 @@ def trailing_request_count(df: DataFrame, key: str = "client", ts: str = "ts", w
     return x.filter(F.col("_b") == F.col("_home")).drop("_us", "_b", "_home")
 
 
-def _limiter(limit: int, window_us: int, ts_us: list[int], state: deque | None = None) -> tuple[list[bool], deque]:
-    """Sequential rule: drop accepted stamps older than the window (strict
-    ``now - t < window`` keeps), reject when ``limit`` remain."""
-    acc = state if state is not None else deque()
+def _limiter(limit: int, window_us: int, ts_us: list[int], state: list[int] | None = None) -> tuple[list[bool], list[int]]:
+    """Sequential rule: accepted stamps at least a window older than a request
+    are dropped, and it is rejected when ``limit`` remain. The stamps are kept
+    sorted, so requests may arrive out of order."""
+    acc = sorted(state) if state else []
     out = []
     for t in ts_us:
-        while acc and t - acc[0] >= window_us:
-            acc.popleft()
+        del acc[:bisect.bisect_right(acc, t - window_us)]
         if len(acc) >= limit:
             out.append(False)
         else:
-            acc.append(t)
+            bisect.insort(acc, t)
             out.append(True)
     return out, acc
 
 
+def _segments(df: DataFrame, key: str, order_col: str, window_us: int, bucket_us: int) -> DataFrame:
+    """Adds ``_seg``: the start of the run of requests without an idle gap of a
+    window. Rows are compared within (client, time bucket), each bucket with
+    the last window of the one before as context; only one row per client and
+    bucket takes part in the running maximum over a whole client."""
+    b = F.floor(F.col("_us") / F.lit(bucket_us)).cast("long")
+    tail = (F.col("_us") - b * F.lit(bucket_us)) >= F.lit(bucket_us - window_us)
+    x = df.withColumn("_home", b).withColumn("_b", F.explode(F.when(tail, F.array(b, b + 1)).otherwise(F.array(b))))
+    order = Window.partitionBy(key, "_b").orderBy("_us", order_col)
+    prev = F.lag("_us").over(order)
+    x = x.withColumn("_start", F.when(prev.isNull() | ((F.col("_us") - prev) >= F.lit(window_us)), F.col("_us")))
+    x = x.withColumn("_start", F.when(F.col("_b") == F.col("_home"), F.col("_start")))
+    x = x.withColumn("_local", F.max("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.filter(F.col("_b") == F.col("_home"))
+    last = x.groupBy(F.col(key).alias("_k"), F.col("_home").alias("_h")).agg(F.max("_start").alias("_last"))
+    before = Window.partitionBy("_k").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("_k", "_h", F.max("_last").over(before).alias("_carried"))
+    x = x.join(last, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_home") == F.col("_h")))
+    return x.withColumn("_seg", F.coalesce("_local", "_carried")).drop("_home", "_b", "_start", "_local", "_k", "_h", "_carried")
+
+
 def rate_limit_flags(df: DataFrame, key: str = "client", ts: str = "ts", order_col: str = "event_id",
-                     settings: Settings = DEFAULT) -> DataFrame:
-    """X1 over a table: adds ``allowed`` (replay in event-time order)."""
+                     settings: Settings = DEFAULT, path_col: str | None = None, bucket_seconds: int = 3600) -> DataFrame:
+    """X1 over a table: adds ``allowed`` (replay in event-time order). With
+    ``path_col``, requests to the exempt paths are allowed and not counted."""
+    if path_col:
+        exempt = F.coalesce(F.col(path_col).isin(*settings.rate_exempt_paths), F.lit(False))
+        limited = rate_limit_flags(df.filter(~exempt), key, ts, order_col, settings, None, bucket_seconds)
+        return limited.unionByName(df.filter(exempt).withColumn("allowed", F.lit(True)))
     limit, w_us = settings.rate_limit, settings.rate_window_seconds * US
-    x = df.withColumn("_us", _micros(ts))
-    prev = F.lag("_us").over(Window.partitionBy(key).orderBy("_us", order_col))
-    x = x.withColumn("_gap", F.when(prev.isNull() | ((F.col("_us") - prev) >= F.lit(w_us)), 1).otherwise(0))
-    x = x.withColumn("_seg", F.sum("_gap").over(Window.partitionBy(key).orderBy("_us", order_col)
-                                                .rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.drop("_gap")
+    x = _segments(df.withColumn("_us", _micros(ts)), key, order_col, w_us, max(bucket_seconds * US, w_us))
     out_schema = T.StructType(list(x.schema.fields) + [T.StructField("allowed", T.BooleanType())])
     # secondary sort: rows reach each group already in (time, id) order, so
     # the group is streamed to Python in Arrow batches, never materialised
     x = x.repartition(key, "_seg").sortWithinPartitions(key, "_seg", "_us", order_col)
 
     def per_segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: deque = deque()
+        state: list[int] = []
         last = None
         for pdf in batches:
             us = pdf["_us"].tolist()
@@ -108,31 +129,40 @@ STATE_SCHEMA = "stamps array<long>"
 
 
 def rate_limit_stream(stream: DataFrame, key: str = "client", ts: str = "ts", id_col: str = "event_id",
-                      watermark: str = "1 hour", settings: Settings = DEFAULT) -> DataFrame:
-    """Streaming limiter; output (id, key, ts, allowed) per request.
-    Within a micro-batch requests are replayed in event-time order; late
-    rows beyond the watermark are dropped by Spark."""
+                      watermark: str = "1 hour", settings: Settings = DEFAULT, path_col: str | None = None) -> DataFrame:
+    """Streaming limiter; output (id, key, ts, allowed) per request, with
+    the input's types. Within a micro-batch a client's requests are replayed in
+    event-time order; a request of a later batch is judged on arrival against
+    the stamps that its own time has not expired, however it is ordered.
+    Contract for late rows: rows older than the watermark are dropped by Spark
+    and get no output (Spark counts them in the query progress as
+    ``numRowsDroppedByWatermark``); choose ``watermark`` accordingly. With
+    ``path_col``, requests to the exempt paths are allowed and not counted."""
     limit, w_us = settings.rate_limit, settings.rate_window_seconds * US
-    src = stream.withWatermark(ts, watermark).select(id_col, key, ts, _micros(ts).alias("_us"))
+    exempt = F.coalesce(F.col(path_col).isin(*settings.rate_exempt_paths), F.lit(False)) if path_col else F.lit(False)
+    src = stream.withWatermark(ts, watermark).select(id_col, key, ts, _micros(ts).alias("_us"), exempt.alias("_exempt"))
 
     def step(k, batches: Iterator[pd.DataFrame], state):
         if state.hasTimedOut:
             state.remove()
             return
-        stamps = deque(state.get[0]) if state.exists else deque()
-        parts = []
-        for pdf in batches:
-            parts.append(pdf)
+        stamps = list(state.get[0]) if state.exists else []
+        parts = list(batches)
         if not parts:
             return
         pdf = pd.concat(parts).sort_values(["_us", id_col], kind="stable")
-        flags, stamps = _limiter(limit, w_us, pdf["_us"].tolist(), stamps)
-        state.update((list(stamps),))
-        last = int(pdf["_us"].max())
-        state.setTimeoutTimestamp(last // 1000 + settings.rate_window_seconds * 1000)
-        yield pdf.assign(allowed=flags)[[id_col, key, ts, "allowed"]]
-
-    out_schema = f"{id_col} long, {key} long, {ts} timestamp, allowed boolean"
+        allowed = pdf["_exempt"].to_numpy(dtype=bool).copy()
+        counted = ~allowed
+        flags, stamps = _limiter(limit, w_us, pdf["_us"][counted].tolist(), stamps)
+        allowed[counted] = flags
+        state.update((stamps,))
+        # idle clients are evicted once the watermark passes their last window;
+        # a timeout must lie beyond the current watermark
+        last = int(max([pdf["_us"].max(), *stamps[-1:]])) // 1000 + settings.rate_window_seconds * 1000
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        yield pdf.assign(allowed=allowed)[[id_col, key, ts, "allowed"]]
+
+    out_schema = T.StructType([*[src.schema[c] for c in (id_col, key, ts)], T.StructField("allowed", T.BooleanType())])
     return src.groupBy(key).applyInPandasWithState(
         step, outputStructType=out_schema, stateStructType=STATE_SCHEMA,
         outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
