@@ -54,3 +54,72 @@ def test_group_streamed_across_batches(spark):
         spark.conf.set(key, old)
     exp, _ = RL._limiter(4, 60 * RL.US, [5 * i * RL.US for i in range(40)])
     assert got == exp and got.count(True) == 16
+
+
+def test_out_of_order_state_and_string_clients():
+    """A later batch may hold an older request; expired stamps leave wherever
+    they stand."""
+    flags, state = RL._limiter(2, 60, [115], [100, 50])
+    assert flags == [True] and state == [100, 115]
+    flags, state = RL._limiter(1, 60, [200, 150, 215, 260], [])
+    assert flags == [True, False, False, True] and state == [260]
+
+
+def test_exempt_paths_and_bucketed_segments_equal_replay(spark):
+    import random
+
+    rng = random.Random(5)
+    t0 = datetime(2024, 1, 1)
+    rows, clock = [], {}
+    for i in range(1500):
+        c = rng.choice(["10.0.0.1", "10.0.0.2", None, "10.0.0.3"])
+        clock[c] = clock.get(c, 0) + rng.choice([0, 1, 5, 20, 61, 400])
+        rows.append((i, c, t0 + timedelta(seconds=clock[c]), rng.choice(["/api", "/api", "/health", None])))
+    df = spark.createDataFrame(rows, "event_id long, client string, ts timestamp, path string").repartition(4)
+    st = Settings(rate_limit=3, rate_window_seconds=60)
+    got = {r.event_id: r.allowed for r in RL.rate_limit_flags(df, settings=st, path_col="path", bucket_seconds=120).collect()}
+    want, state = {}, {}
+    for i, c, ts, path in sorted(rows, key=lambda r: (r[2], r[0])):
+        if path == "/health":
+            want[i] = True
+            continue
+        live = [s for s in state.get(c, []) if (ts - s).total_seconds() < 60]
+        want[i] = len(live) < 3
+        state[c] = live + [ts] if want[i] else live
+    assert got == want
+
+
+def test_stream_over_several_batches_with_late_rows(spark, tmp_path):
+    """String clients, one file per micro-batch, an older request in a later
+    batch, a row beyond the watermark, and eviction of an idle client."""
+    schema = "event_id long, client string, ts timestamp"
+    t0 = datetime(2024, 1, 1)
+    batches = [
+        [(1, "a", 0), (2, "a", 10), (3, "b", 5)],
+        [(4, "a", 20), (5, "a", 65), (6, "b", 30)],
+        [(7, "a", 40), (8, "c", 4000)],                  # 7 arrives late, inside the watermark
+        [(9, "a", 4100), (10, "b", 4100)],
+        [(11, "c", 1), (12, "c", 4200)],                 # 11 lies beyond the watermark of the batch before
+    ]
+    src = tmp_path / "in"
+    src.mkdir()
+    import os
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(i, c, t0 + timedelta(seconds=s)) for i, c, s in rows], schema)
+        part = str(tmp_path / f"part{k}")
+        df.coalesce(1).write.parquet(part)
+        name = next(n for n in os.listdir(part) if n.startswith("part-"))
+        target = src / f"{k}.parquet"
+        os.link(os.path.join(part, name), target)
+        os.utime(target, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    st = Settings(rate_limit=2, rate_window_seconds=60)
+    out = RL.rate_limit_stream(stream, settings=st, watermark="10 minutes")
+    sink, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    q = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt) \
+        .outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.event_id: r.allowed for r in spark.read.parquet(sink).collect()}
+    # a: 0 and 10 accepted, 20 rejected, 65 accepted (0 expired); 40 is judged
+    # against the stamps 10 and 65 its time has not expired, and rejected
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: True, 6: True, 7: False, 8: True, 9: True, 10: True, 12: True}

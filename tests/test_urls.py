@@ -1,26 +1,12 @@
-"""URL normaliser: the reference's table of cases, plus a differential test
-against the Python standard library on generated strings."""
+"""URL normaliser: stated cases, and URLs composed from parts whose normal form
+is stated for each part."""
 
 import random
-import urllib.parse as up
 
 import pytest
 from pyspark.sql import functions as F
 
 from threatsift.functions import urls as U
-from threatsift.settings import TRACKING_KEYS
-
-
-def stdlib_normalize(url):
-    """Independent model of the normaliser built from stdlib calls."""
-    c = url.strip().lower()
-    if c.startswith("www."):
-        c = "https://" + c
-    parts = up.urlsplit(c)
-    pairs = [(k, v) for k, v in up.parse_qsl(parts.query, keep_blank_values=True)
-             if k.lower() not in TRACKING_KEYS and not k.lower().startswith("utm_")]
-    return up.urlunsplit((parts.scheme or "https", parts.netloc, up.quote(up.unquote(parts.path), safe="/:%"),
-                          up.urlencode(pairs, doseq=True), ""))
 
 
 def run(spark, values, fn):
@@ -66,27 +52,41 @@ def test_domain_and_allowlist_parity(spark):
     assert [r.a for r in rows] == [True, False, True, False, True]
 
 
-def _random_urls(n, seed=7):
-    rng = random.Random(seed)
-    alphabet = "abcXYZ019-._~:/?#[]@!$&'()*+,;=% ü"
-    out = ["http://a.com/%zz%/%252f?x=a+b&&y&=z&*~=%7e", "  https://x.com/\tpath ", "https:/x", "ftp:", "mailto:A@B.com",
-           "https://h/p?%55tm_source=1&k=%2B"]
-    for _ in range(n):
-        scheme = rng.choice(["http://", "https://", "www.", "", "HTTP://", "ftp://"])
-        body = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))
-        out.append(scheme + body)
-    return out
-
-
-def test_differential_against_stdlib(spark):
-    vals = _random_urls(400)
-    got = run(spark, vals, U.normalize_url)
-    mismatches = []
-    for v, g in zip(vals, got):
-        try:
-            e = stdlib_normalize(v)
-        except ValueError:
-            e = None
-        if g != e:
-            mismatches.append((v, g, e))
-    assert not mismatches, mismatches[:5]
+def _composed(rng):
+    """One URL from parts whose normal form is stated part by part."""
+    scheme, scheme_out = rng.choice([("http://", "http://"), ("HTTPS://", "https://"), ("ftp://", "ftp://"), ("www.", "https://www.")])
+    host, host_out = rng.choice([("Example.COM", "example.com"), ("a.b:8080", "a.b:8080"), ("user:pw@h.org", "user:pw@h.org"),
+                                 ("bücher.de", "bücher.de"), ("[::1]", "[::1]"), ("[2001:db8::7]:80", "[2001:db8::7]:80")])
+    path, path_out = "", ""
+    for _ in range(rng.randint(0, 4)):
+        seg, out = rng.choice([("/Ab", "/ab"), ("/a b", "/a%20b"), ("/%41", "/A"), ("/%zz", "/%zz"), ("/é", "/%C3%A9"), ("/%ed%a0%80",
+                               "/%EF%BF%BD%EF%BF%BD%EF%BF%BD"), ("/%ff", "/%EF%BF%BD"), ("/a%252fb", "/a%2fb"), ("/x+y", "/x%2By"),
+                               ("/~*", "/~%2A"), ("/a:b", "/a:b"), ("/%2f", "//"), ("/👍", "/%F0%9F%91%8D")])
+        path, path_out = path + seg, path_out + out
+    query, query_out = [], []
+    for _ in range(rng.randint(0, 4)):
+        part, out = rng.choice([("k=v", "k=v"), ("K=V", "k=v"), ("utm_source=x", None), ("UTM_x=", None), ("gclid=1", None), ("e", "e="),
+                                ("a=b+c", "a=b+c"), ("a=%20", "a=+"), ("q=é", "q=%C3%A9"), ("x=%ed%bf%bf", "x=%EF%BF%BD%EF%BF%BD%EF%BF%BD"),
+                                ("", None), ("p=a=b", "p=a%3Db"), ("%75tm_id=3", None), ("s=*~", "s=%2A~")])
+        query.append(part)
+        if out is not None:
+            query_out.append(out)
+    url = scheme + host + path + ("?" + "&".join(query) if query else "") + rng.choice(["", "#Frag", "#"])
+    out = scheme_out + host_out + path_out + ("?" + "&".join(query_out) if query_out else "")
+    return rng.choice(["", " ", "\t"]) + url + rng.choice(["", "  "]), out
+
+
+def test_composed_urls(spark):
+    rng = random.Random(7)
+    pairs = [_composed(rng) for _ in range(1500)]
+    got = run(spark, [u for u, _ in pairs], U.normalize_url)
+    wrong = [(u, g, w) for (u, w), g in zip(pairs, got) if g != w]
+    assert not wrong, wrong[:5]
+
+
+def test_hosts_that_change_under_nfkc_are_rejected(spark):
+    values = ["http://a\u2100b.com/x", "http://a\uff03b.com", "https://h\u2048/x", "http://a.com/\u2100", "http://ｅxample.com/", "http://b\u00fc.de"]
+    df = spark.createDataFrame([(v,) for v in values], "u string")
+    rows = df.select(U.normalize_url("u").alias("n"), U.url_error("u").alias("e")).collect()
+    assert [r.n is None for r in rows] == [True, True, True, False, False, False]
+    assert [r.e is None for r in rows] == [False, False, False, True, True, True]

@@ -19,7 +19,15 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from threatsift.functions.text import URL_PATTERN, URL_TRAILING, html_to_text_udf
-from threatsift.functions.urls import IPV6_PATTERN, IPVFUTURE_PATTERN, SPLIT_PATTERN, STRAY_PERCENT
+from threatsift.functions.urls import (
+    IPV6_PATTERN,
+    IPVFUTURE_PATTERN,
+    REPLACEMENT,
+    SPLIT_PATTERN,
+    STRAY_PERCENT,
+    SURROGATE_BYTES,
+    delimiter_lookalikes,
+)
 from threatsift.settings import DEFAULT, PY_WS_CHARS, USES_NETLOC, Settings
 
 
@@ -40,8 +48,11 @@ def definitions(settings: Settings = DEFAULT) -> list[str]:
     def enc_q(x):
         return f"replace(replace(url_encode({x}), '*', '%2A'), '%7E', '~')"
 
+    def whole(x):
+        return f"regexp_replace(regexp_replace({x}, {_q(SURROGATE_BYTES)}, '{REPLACEMENT * 3}'), {stray}, '%25')"
+
     def dec(x):
-        return f"url_decode(regexp_replace({x}, {stray}, '%25'))"
+        return f"url_decode({whole(x)})"
 
     key = "substring_index(s, '=', 1)"
     val = "CASE WHEN instr(s, '=') > 0 THEN substring(s, instr(s, '=') + 1) ELSE '' END"
@@ -61,7 +72,7 @@ def definitions(settings: Settings = DEFAULT) -> list[str]:
         f"regexp_extract(x, {_q(SPLIT_PATTERN)}, i)",
         "CREATE OR REPLACE TEMPORARY FUNCTION ts_recode_path(p STRING) RETURNS STRING RETURN "
         "replace(replace(replace(replace(replace(replace(url_encode(url_decode(replace("
-        f"regexp_replace(p, {stray}, '%25'), '+', '%2B'))), '+', '%20'), '*', '%2A'), '%7E', '~'), "
+        f"{whole('p')}, '+', '%2B'))), '+', '%20'), '*', '%2A'), '%7E', '~'), "
         "'%2F', '/'), '%3A', ':'), '%25', '%')",
         "CREATE OR REPLACE TEMPORARY FUNCTION ts_strip_tracking(q STRING) RETURNS STRING RETURN array_join(transform(filter("
         "transform(filter(split(q, '&'), s -> s != ''), s -> named_struct("
@@ -70,7 +81,8 @@ def definitions(settings: Settings = DEFAULT) -> list[str]:
         "CREATE OR REPLACE TEMPORARY FUNCTION ts_bad_netloc(n STRING) RETURNS BOOLEAN RETURN "
         "(contains(n, '[') != contains(n, ']')) OR (contains(n, '[') AND NOT ("
         rf"regexp_extract(n, r'^[^\[]*\[([^\]]*)', 1) RLIKE {_q(IPV6_PATTERN)} OR "
-        rf"regexp_extract(n, r'^[^\[]*\[([^\]]*)', 1) RLIKE {_q(IPVFUTURE_PATTERN)}))",
+        rf"regexp_extract(n, r'^[^\[]*\[([^\]]*)', 1) RLIKE {_q(IPVFUTURE_PATTERN)})) "
+        f"OR n RLIKE {_q(delimiter_lookalikes())}",
         "CREATE OR REPLACE TEMPORARY FUNCTION ts_assemble(sc STRING, n STRING, p STRING, q STRING) RETURNS STRING RETURN "
         "concat(sc, ':', CASE WHEN n != '' THEN concat('//', n, CASE WHEN p = '' OR startswith(p, '/') THEN p ELSE concat('/', p) END) "
         "WHEN startswith(p, '//') THEN concat('//', p) "

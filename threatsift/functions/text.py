@@ -1,13 +1,12 @@
 """Text, HTML and word functions as native Column expressions.
 
-All of these compile into whole-stage codegen; only ``html_to_text_udf`` (the
-general HTML form with the full entity table) crosses into Python, through an
-Arrow-batched pandas UDF.
+All are built-in functions; those with array lambdas (URL extraction, words)
+run interpreted inside the JVM, the others in whole-stage codegen. Only HTML
+that is not simple markup crosses into Python, through an Arrow-batched UDF.
 """
 
 from __future__ import annotations
 
-import html as _html
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,7 +25,8 @@ URL_TRAILING = r"[).,;\]]+\z"
 # UI variant: also stops at a single quote and keeps trailing punctuation.
 UI_URL_PATTERN = rf"""(?i)(?:https?://|www\.)[^{PY_WS_CLASS}<>"']+"""
 
-# HTML entities decoded by the native HTML form, '&amp;' last (fixed values).
+# Entities the JVM form decodes, '&amp;' last (fixed values); a value with any
+# other goes to the parser, which knows all of them.
 NATIVE_ENTITIES = (
     ("&lt;", "<"),
     ("&gt;", ">"),
@@ -67,67 +67,91 @@ def is_html(c) -> Column:
     return F.lower(x).contains("<html") | x.contains("</")
 
 
-def html_to_text(c) -> Column:
-    """T1 (native form): drop script/style blocks, comments and tags, decode
-    the common entities, collapse whitespace."""
-    x = _c(c)
-    x = F.regexp_replace(x, r"(?is)<script\b[^>]*>.*?</script\s*>", " ")
-    x = F.regexp_replace(x, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
-    x = F.regexp_replace(x, r"<[!/?a-zA-Z][^>]*>", " ")
+# Markup whose meaning does not depend on parser state: script and style
+# up to their end tag, comments without angle brackets or a double hyphen,
+# declarations, and tags whose attribute values hold no angle brackets. All
+# repetitions of groups are bounded (the regex engine recurses on them).
+def _simple_raw(tag: str) -> str:
+    return rf"""(?i)<{tag}(?:\s[^<>"'`]*+(?:"[^"<>]*+"[^<>"'`]*+){{0,50}})?>[^<]*+(?:<(?!/\s*{tag})[^<]*+){{0,200}}+</{tag}>"""
+
+
+_SIMPLE_COMMENT = r"<!--(?!>)(?!->)[^<>-]*+(?:-(?!-)[^<>-]*+){0,200}+-->"
+_SIMPLE_DECLARATION = r"(?i)<!doctype [^<>\"']*>"
+_SIMPLE_TAG = (r"""(?i)</?(?!(?:script|style)\b)[a-z][a-z0-9]*+"""
+               r"""(?:\s++[a-z][a-z0-9-]*+(?:="[^"<>]*+"|='[^'<>]*+')?+){0,100}+\s*+/?>""")
+_SIMPLE_STEPS = (_simple_raw("script"), _simple_raw("style"), _SIMPLE_COMMENT, _SIMPLE_DECLARATION, _SIMPLE_TAG)
+
+
+def _without_simple_markup(x: Column) -> Column:
+    for pattern in _SIMPLE_STEPS:
+        x = F.regexp_replace(x, pattern, " ")
+    return x
+
+
+def is_simple_html(c) -> Column:
+    """True when removing simple markup and the entities of the native table
+    leaves no '<', '>' or '&': the native chain then equals the parser."""
+    x = _without_simple_markup(_c(c))
+    for ent, _ in NATIVE_ENTITIES:
+        x = F.replace(x, F.lit(ent), F.lit(""))
+    return ~x.rlike("[<>&]")
+
+
+def simple_html_to_text(c) -> Column:
+    """T1 for simple markup, all in the JVM."""
+    x = _without_simple_markup(_c(c))
     for ent, ch in NATIVE_ENTITIES:
         x = F.replace(x, F.lit(ent), F.lit(ch))
     return collapse_ws(x)
 
 
-RAW_TEXT_ELEMENTS = frozenset({"script", "style"})
-
-
-class _VisibleText(HTMLParser):
-    """Collects character data outside raw-text elements; entities are
-    decoded by the parser (full HTML5 table)."""
+class _Visible(HTMLParser):
+    """Text outside script and style, which the parser itself tracks as its
+    raw-text state; character references are decoded by the parser."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open_raw: list[str] = []
-        self.chunks: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in RAW_TEXT_ELEMENTS:
-            self.open_raw.append(tag)
+        self.found: list[str] = []
 
-    def handle_endtag(self, tag):
-        if tag in self.open_raw:
-            # close the innermost open element of that name (and anything inside it)
-            del self.open_raw[len(self.open_raw) - 1 - self.open_raw[::-1].index(tag):]
+    def handle_data(self, data: str) -> None:
+        if self.cdata_elem not in ("script", "style"):
+            self.found.append(data)
 
-    def handle_data(self, data):
-        if not self.open_raw:
-            self.chunks.append(data)
 
-
-def html_to_text_py(markup: str | None) -> str | None:
-    """Per-value helper of the general form."""
+def visible_text(markup: str | None) -> str | None:
+    """T1 of one document by the HTML rules (any markup, all entities)."""
     if markup is None:
         return None
-    parser = _VisibleText()
-    parser.feed(markup)
-    parser.close()
-    return " ".join(" ".join(parser.chunks).split())
+    page = _Visible()
+    page.feed(markup)
+    page.close()
+    return " ".join(word for part in page.found for word in part.split())
 
 
 @F.pandas_udf(T.StringType())
 def html_to_text_udf(s: pd.Series) -> pd.Series:
-    """T1 general form: Arrow-batched, one parser per value."""
-    return s.map(html_to_text_py)
+    """T1, Arrow-batched; one parser per value."""
+    return s.map(visible_text, na_action="ignore")
+
+
+def html_to_text(c) -> Column:
+    """Visible text with entities decoded and whitespace collapsed. Simple
+    markup is converted in the JVM; only the other values reach the parser (the
+    rest pass it as nulls)."""
+    x = _c(c)
+    simple = is_simple_html(x)
+    return F.coalesce(F.when(simple, simple_html_to_text(x)), html_to_text_udf(F.when(~simple, x)))
 
 
-def clean_message(c, native: bool = True) -> Column:
+def clean_message(c) -> Column:
     """HTML-to-text when the value looks like HTML, then collapse
     whitespace and strip."""
     x = _c(c)
-    conv = html_to_text(x) if native else html_to_text_udf(x)
-    return py_strip(F.regexp_replace(F.when(is_html(x), conv).otherwise(x), f"{WS}+", " "))
+    html = is_html(x)
+    simple = is_simple_html(x)
+    text = F.when(~html, x).otherwise(F.coalesce(F.when(simple, simple_html_to_text(x)),
+                                                 html_to_text_udf(F.when(html & ~simple, x))))
+    return py_strip(F.regexp_replace(text, f"{WS}+", " "))
 
 
 def may_contain_url(x: Column) -> Column:
@@ -188,7 +212,3 @@ def substring_count(c, needle: str) -> Column:
     """Non-overlapping occurrences of a literal substring."""
     x = F.coalesce(_c(c), F.lit(""))
     return ((F.length(x) - F.length(F.replace(x, F.lit(needle), F.lit("")))) / F.lit(len(needle))).cast("long")
-
-
-def py_unescape(s: str) -> str:
-    return _html.unescape(s)

@@ -37,7 +37,7 @@ def sql_clean_message(e: str) -> str:
 
 @query("html_to_text", lambda: f"SELECT page_id, {sql_html_to_text('html')} AS text FROM pages", headline=True)
 def q_html_to_text(spark, sf_dir):
-    """Visible text of every page (native regex chain)."""
+    """Visible text of every page."""
     return view(spark, sf_dir, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
