@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +64,24 @@ def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
         return df
     h = F.pmod(F.xxhash64(F.lit(29), *keys), F.lit(_HASH_SPAN))
     return df.where(h < int(_HASH_SPAN * (rows / count)))
+
+
+def tiles_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows with equal ``keys`` from batches sorted by them, one table
+    each; only the run at a batch's end waits for the next batch."""
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([b])
+        if held is not None:
+            table = pa.concat_tables([held, table]).combine_chunks()
+        change = np.zeros(table.num_rows - 1, dtype=bool)
+        for k in keys:
+            change |= np.diff(table.column(k).to_numpy()) != 0
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield table.slice(lo, hi - lo)
+        held = table.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held

@@ -17,9 +17,11 @@ equal on both sides (pigeonhole), and equal bands are found by a hash join.
   A document with an empty band therefore joins on the other band of the pair,
   as it is and with each of its bits left out, instead of on the empty one.
 * Rows of one key are streamed in order of key and id; each is paired with the
-  first (smallest) id only. These pairs are verified exactly. Where a key's
-  documents do not end up in one component, its other pairs that cross
-  components are verified too, so no link that matters for a component is lost.
+  first (smallest) id only. Pairs whose whole sketches (as many bits as tokens)
+  differ in more than ``d`` bits are dropped, the others verified on the sets.
+  Where a key's documents do not end up in one component, its other pairs that
+  cross components are compared by sketch in blocks and verified too, so no link
+  that matters for a component is lost.
 
 Documents with equal sets are collapsed before, by a 128-bit fingerprint of the
 set. Texts never cross a shuffle except those of documents that have a
@@ -35,9 +37,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threatsift.llm import shingles, textbuf
-from threatsift.llm.common import small_side, staged
+from threatsift.llm.common import small_side, staged, tiles_of
 from threatsift.llm.components import components
 
 WIDTH = 4
@@ -45,6 +48,7 @@ PERCENT = 85
 CLASS_RATIO = 1.25
 BAND_BITS = 16
 SEEN_LIMIT = 500_000
+CHUNK = 1_024
 MAX_SIZE = 1 << 40
 
 
@@ -89,26 +93,106 @@ def _text_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def sketch_bits(size: np.ndarray) -> np.ndarray:
+    """Bits of the whole-set sketch: the power of two at or above the size, at
+    least 64. A longer sketch folds onto a shorter one (positions are low bits)."""
+    bits = np.int64(1) << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+    return np.maximum(bits, 64)
+
+
+def _sketches(owner: np.ndarray, h: np.ndarray, count: np.ndarray) -> list[bytes]:
+    bits = np.where(count > 0, sketch_bits(count), 0)
+    base = np.cumsum(bits) - bits
+    at = base[owner] + ((h >> np.uint64(8)).astype(np.int64) & (bits[owner] - 1))
+    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(bool)
+    packed = np.packbits(odd, bitorder="little")
+    return [packed[x // 8:(x + n) // 8].tobytes() for x, n in zip(base.tolist(), bits.tolist())]
+
+
 def set_summaries(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2): size and 128-bit fingerprint of every set."""
+    """(doc_id, n_shingles, f1, f2, sketch): size, 128-bit fingerprint and
+    parity sketch of every set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, f1, f2 = (np.zeros(b.num_rows, np.int64), *(np.zeros(b.num_rows, np.uint64) for _ in range(2)))
+            sketches: list[bytes] = []
             for first, rows, owner, h in shingles.blocks(b.column(1), width):
                 count = np.bincount(owner, minlength=rows)
                 n[first:first + rows] = count
+                sketches += _sketches(owner, h, count)
                 at = np.flatnonzero(count)
                 if len(at):
                     begin = (np.cumsum(count) - count)[at]
                     f1[first + at] = np.add.reduceat(textbuf.mix64(h ^ np.uint64(0xA0761D6478BD642F)), begin)
                     f2[first + at] = np.add.reduceat(textbuf.mix64(h ^ np.uint64(0xE7037ED1A0B428DB)), begin)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))],
-                                             names=["doc_id", "n_shingles", "f1", "f2"])
-    schema = _text_rows(docs).select("doc_id", F.lit(0).cast("long").alias("n_shingles"),
-                                     F.lit(0).cast("long").alias("f1"), F.lit(0).cast("long").alias("f2")).schema
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+                                              pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sketch"])
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "f1", "f2")],
+                           T.StructField("sketch", T.BinaryType())])
     return _text_rows(docs).mapInArrow(run, schema)
 
 
+def _folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """(sketches, words): every sketch folded by XOR to the given length."""
+    out = np.empty((len(sketches), words), dtype=np.uint64)
+    for i, s in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, dtype=np.uint64).reshape(-1, words), axis=0)
+    return out
+
+
+def near_sketches(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the rows (a, b, na, nb, sa, sb) whose sketches differ in no
+    more bits than sets of these sizes at the threshold can."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = np.zeros(b.num_rows, dtype=bool)
+            for i, (na, nb, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")))):
+                p, q = _folded([x, y], min(len(x), len(y)) // 8)
+                good[i] = int(np.bitwise_count(p ^ q).sum()) <= max_difference(na + nb, percent)
+            mask = pa.array(good)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): within every tile of (key, tile, side, id, c, n, sketch), the
+    pairs of different components whose sizes and sketches allow a link. Pairs
+    are compared in memory, a tile (two chunks of a key) at a time; only those
+    that pass leave the task."""
+    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray] | None:
+        c, n, side = (t.column(x).to_numpy() for x in ("c", "n", "side"))
+        if (c == c[0]).all():
+            return None
+        ids = t.column("id").to_numpy()
+        sketches = t.column("sketch").to_pylist()
+        x = _folded(sketches, min(map(len, sketches)) // 8)
+        left, right = [], []
+        for i in range(len(ids) - 1):
+            total = n[i] + n[i + 1:]
+            maybe = (c[i + 1:] != c[i]) & (100 * np.minimum(n[i], n[i + 1:]) >= percent * np.maximum(n[i], n[i + 1:]))
+            if side[i]:
+                maybe &= side[i + 1:] != side[i]
+            j = np.flatnonzero(maybe)
+            if len(j):
+                j = j[np.bitwise_count(x[i + 1 + j] ^ x[i]).sum(1) <= (100 - percent) * total[j] // (100 + percent)]
+                left.append(np.full(len(j), ids[i]))
+                right.append(ids[i + 1 + j])
+        if not left:
+            return None
+        p, q = np.concatenate(left), np.concatenate(right)
+        return np.minimum(p, q), np.maximum(p, q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in tiles_of(batches, ("key", "tile")):
+            got = compare(tile) if tile.num_rows > 1 else None
+            if got is not None and len(got[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+
+    return (rows.select("key", "tile", "side", "id", "c", "n", "sketch").repartition(F.col("key"), F.col("tile"))
+            .sortWithinPartitions("key", "tile").mapInArrow(run, "a long, b long"))
+
+
 def _band_keys(owner: np.ndarray, h: np.ndarray, klass: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, key) of all band keys; klass and bands are given per token (of
     its owner's join). Tokens are grouped by owner."""
@@ -252,10 +336,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             .mapInArrow(run, "a long, b long"))
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                        ratio: float = CLASS_RATIO) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
@@ -270,38 +350,47 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     summary = staged(set_summaries(docs, width), "jaccard-sets")
     usable = summary.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     reps = usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").cast("long").alias("rep"))
-    of_row = staged(usable.join(reps, ["f1", "f2", "n_shingles"]).select(F.col("doc_id").cast("long").alias("id"), "rep", "n_shingles"),
-                    "jaccard-copies")
+    of_row = (usable.select("doc_id", "f1", "f2", "n_shingles").join(reps, ["f1", "f2", "n_shingles"])
+              .select(F.col("doc_id").cast("long").alias("id"), "rep"))
+    of_row = staged(of_row, "jaccard-copies")
+    one = of_row.groupBy("id").agg(F.min("rep").alias("rep"))        # rows that share an id are one document
+    facts = (usable.select(F.col("doc_id").cast("long").alias("rep"), F.col("n_shingles").alias("n"), "sketch")
+             .join(of_row.where("id = rep").select("rep"), "rep", "left_semi").dropDuplicates(["rep"]))
+    facts = staged(facts, "jaccard-facts")
     star = staged(star_pairs(band_rows(docs, width, percent, ratio)), "jaccard-star")
 
-    def as_reps(pairs: DataFrame, a: str, b: str, *keep: str) -> DataFrame:
-        """Pairs of ids as pairs of representatives of the right sizes."""
-        x = of_row.select(F.col("id").alias(a), F.col("rep").alias("_ra"), F.col("n_shingles").alias("_na")).dropDuplicates([a])
-        y = of_row.select(F.col("id").alias(b), F.col("rep").alias("_rb"), F.col("n_shingles").alias("_nb")).dropDuplicates([b])
-        return (pairs.join(x, a).join(y, b).where("_ra <> _rb")
-                .where(100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb"))
-                .select(*_ordered("_ra", "_rb"), *keep).distinct())
-
-    first = staged(as_reps(star.select("leader", "doc_id").distinct(), "leader", "doc_id"), "jaccard-pairs")
+    # The leader of a key against its other documents.
+    met = (star.select("leader", "doc_id").distinct()
+           .join(one.select(F.col("id").alias("leader"), F.col("rep").alias("_x")), "leader")
+           .join(one.select(F.col("id").alias("doc_id"), F.col("rep").alias("_y")), "doc_id")
+           .where("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct())
+    sized = (met.join(facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+             .join(facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+             .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    first = staged(near_sketches(sized, percent), "jaccard-pairs")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
+        ids = staged(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "jaccard-ids")
         return staged(token_sets(docs, small_side(ids), width), "jaccard-tokens")
 
     links = staged(verified(first, sets_of(first), percent), "jaccard-links")
     same_id = of_row.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     labels = components(links.unionByName(same_id))
-    # Keys whose documents are in more than one component: the pairs besides the leader's.
+
+    # Keys whose documents are in more than one component: all their pairs across components.
     member = (star.select("key", F.col("leader").alias("id")).distinct()
               .unionByName(star.select("key", F.col("doc_id").alias("id")))
-              .join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")))
-    mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
-    rest = member.join(mixed.select("key"), "key", "left_semi").groupBy("key", "id").agg(F.min("c").alias("c"))
-    rest = staged(rest, "jaccard-mixed")
-    x = rest.select("key", F.col("id").alias("ia"), F.col("c").alias("ca"))
-    y = rest.select("key", F.col("id").alias("ib"), F.col("c").alias("cb"))
-    cross = x.join(y, "key").where("ia < ib and ca <> cb").select("ia", "ib").distinct()
-    second = staged(as_reps(cross, "ia", "ib").join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+              .join(one, "id").join(labels, "id", "left")
+              .groupBy("key", "rep").agg(F.min(F.coalesce("component", "rep")).alias("c")))
+    member = staged(member, "jaccard-members")
+    mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2")
+    rows = (member.join(mixed.select("key", "m"), "key").join(facts, "rep").withColumnRenamed("rep", "id")
+            .withColumn("_k", F.ceil(F.col("m") / CHUNK).cast("int"))
+            .withColumn("_c", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("_k")).cast("int"))
+            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+            .withColumn("tile", F.least("_c", "_o") * F.lit(1 << 20) + F.greatest("_c", "_o"))
+            .withColumn("side", F.when(F.col("_o") == F.col("_c"), 0).when(F.col("_o") > F.col("_c"), 1).otherwise(2)))
+    second = staged(cross_pairs(rows, percent).distinct().join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
     if not second.isEmpty():
         more = staged(verified(second, sets_of(second), percent), "jaccard-links")
         labels = components(links.unionByName(more).unionByName(same_id))
