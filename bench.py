@@ -28,7 +28,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k]
     spark = get_spark(f"local[{cpus}]", app_name="threatsift-bench", shuffle_partitions=int(cpus) * 2,
-                      extra={"spark.driver.memory": "16g"})
+                      extra={"spark.driver.memory": "16g", "threatsift.scan.minPartitions": cpus})
     catalog.load_all()
     keys = only or list(catalog.HEADLINE)
     timings: dict[str, float] = {}

@@ -15,7 +15,7 @@ def write(path, text):
 
 def test_tolerant_csv_drops_long_rows_keeps_short(spark, tmp_dir):
     p = os.path.join(tmp_dir, "a.csv")
-    write(p, 'text,label\n"multi\nline, ""quoted""",spam\ntoo,many,fields\nshort\nok,ham\n')
+    write(p, 'text,label\n"multi\nline, ""quoted""",spam\ntoo,many,fields\nshort\nlong,spam,,x\nlong,spam,\n"a, ""b""",spam,"",""\nok,ham\n')
     rows = SRC.tolerant_csv(spark, p, ["text", "label"]).select("text", "label").collect()
     assert [(r.text, r.label) for r in rows] == [('multi\nline, "quoted"', "spam"), ("short", None), ("ok", "ham")]
 
@@ -23,9 +23,12 @@ def test_tolerant_csv_drops_long_rows_keeps_short(spark, tmp_dir):
 def test_threat_feed(spark, tmp_dir):
     p = os.path.join(tmp_dir, "feed", "urlhaus.csv")
     write(p, '# a comment\n# more\n# id,dateadded,url,url_status\n"1","2024-01-01","http://x.y/a","online"\n'
-             '"2","2024-01-02","http://z.w/b","offline"\n')
+             '"2","2024-01-02", "http://z.w/?q=""a"",b" ,"offline"\n"3","2024-01-03","u","online","sixth",\n"4","2024-01-04"\n')
     rows = SRC.threat_feed_csv(spark, p).select("id", "url", "url_status").collect()
-    assert [(r.id, r.url) for r in rows] == [("1", "http://x.y/a"), ("2", "http://z.w/b")]
+    assert [(r.id, r.url) for r in rows] == [("1", "http://x.y/a"), ("2", 'http://z.w/?q="a",b'), ("4", None)]
+    late = os.path.join(tmp_dir, "late", "feed.csv")
+    write(late, "".join(f"# line {i}\n" for i in range(120)) + "# id,dateadded,url\n1,2,3\n")
+    assert SRC.threat_feed_header(spark, late) is None and SRC.threat_feed_header(spark, late, 200) == ["id", "dateadded", "url"]
 
 
 def test_ranked_and_blocklist(spark, tmp_dir):
@@ -36,14 +39,14 @@ def test_ranked_and_blocklist(spark, tmp_dir):
     write(m, "GlobalRank,Domain\n1,a.com\n")
     assert [r.url for r in SRC.ranked_list(spark, m, "majestic").collect()] == ["a.com"]
     b = os.path.join(tmp_dir, "phishtank.csv")
-    write(b, "url\nhttp://bad.example\n")
-    assert [(r.text, r.label) for r in SRC.blocklist(spark, b).collect()] == [("http://bad.example", 1)]
+    write(b, 'url\nhttp://bad.example\n"two\nlines"\na,b\n')
+    assert [(r.text, r.label) for r in SRC.blocklist(spark, b).collect()] == [("http://bad.example", 1), ("two\nlines", 1)]
 
 
 def test_text_lines_and_docx(spark, tmp_dir):
     p = os.path.join(tmp_dir, "items.txt")
-    write(p, "  one \n\n two\r\n   \nthree")
-    assert sorted(r.item for r in SRC.text_lines(spark, p).collect()) == ["one", "three", "two"]
+    write(p, "  one \n\n two\r\n   \nthree\rfour")
+    assert sorted(r.item for r in SRC.text_lines(spark, p).collect()) == ["one", "three\rfour", "two"]
     d = os.path.join(tmp_dir, "docs")
     os.makedirs(d)
     with open(os.path.join(d, "a.docx"), "wb") as fh:
@@ -51,7 +54,22 @@ def test_text_lines_and_docx(spark, tmp_dir):
     with open(os.path.join(d, "broken.docx"), "wb") as fh:
         fh.write(b"not a zip")
     rows = SRC.docx_paragraphs(spark, d).orderBy("para_idx").collect()
-    assert [r.text for r in rows] == ["First", "Second <b> & more"]
+    assert [r.text for r in rows if r.error is None] == ["First", "Second <b> & more"]
+    assert [os.path.basename(r.path) for r in rows if r.error] == ["broken.docx"]
+    assert all(r.error for r in SRC.docx_paragraphs(spark, d, max_bytes=5).collect())
+
+
+def test_docx_tabs_breaks_and_tables():
+    import io
+    import zipfile
+
+    body = ("<w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:br/><w:t>c</w:t></w:r><w:hyperlink><w:r><w:t>d</w:t></w:r></w:hyperlink></w:p>"
+            "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p/>")
+    xml = f'<w:document xmlns:w="{SRC.W_NS[1:-1]}"><w:body>{body}</w:body></w:document>'
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", xml)
+    assert SRC.docx_paragraph_texts(buf.getvalue()) == ["a\tb\ncd", ""]
 
 
 def test_corpus_listing_routes_and_excludes(spark, tmp_dir):
@@ -60,7 +78,41 @@ def test_corpus_listing_routes_and_excludes(spark, tmp_dir):
     write(os.path.join(tmp_dir, "other", "iscx-url-2016.csv"), "f1,f2\n1,2\n")
     rows = {os.path.basename(r.path): r for r in SRC.list_corpus(spark, tmp_dir).collect()}
     assert rows["u.csv"].kind == "url" and rows["nazario.csv"].kind == "email"
-    assert rows["iscx-url-2016.csv"].excluded and rows["u.csv"].header == "url,type"
+    assert rows["iscx-url-2016.csv"].excluded and not rows["u.csv"].excluded
+    paths = [r.path for r in rows.values()]
+    assert set(SRC.header_groups(spark, paths)) == {"url,type", "body,label", "f1,f2"}
+
+
+def test_first_occurrence_decides_within_and_across_files(spark, tmp_dir):
+    """Many texts, each first spam then ham in one file, and again in a later one."""
+    from threatsift.plans.prepare import prepare_email_corpus
+
+    lines = "".join(f"text {i},spam\n" for i in range(400)) + "".join(f"Text {i},ham\n" for i in range(400))
+    write(os.path.join(tmp_dir, "email datasets", "a.csv"), "body,label\n" + lines)
+    write(os.path.join(tmp_dir, "email datasets", "b.csv"), "label,body\n" + "".join(f"ham,text {i}\n" for i in range(500)))
+    write(os.path.join(tmp_dir, "email datasets", "c.csv"), "")
+    rows = prepare_email_corpus(spark, tmp_dir).collect()
+    assert {r.text: r.label for r in rows} == {f"text {i}": 1 if i < 400 else 0 for i in range(500)} and len(rows) == 500
+
+
+def test_url_preparation_and_label_override(spark, tmp_dir):
+    from threatsift.plans.prepare import prepare_url_corpus, write_corpora
+
+    base = os.path.join(tmp_dir, "raw", "url datasets")
+    write(os.path.join(base, "a.csv"), "url,type\nhttp://A/1,benign\nhttp://b,phishing\nhttp://c,phishing,\nhttp://d,odd\n")
+    write(os.path.join(base, "majestic.csv"), "GlobalRank,Domain\n1,Good.org\n")
+    write(os.path.join(base, "top-1m.csv"), "1,first.org\n2,good.org\n")
+    write(os.path.join(base, "blocked.csv"), "link\nhttp://b\nhttp://e\n")
+    write(os.path.join(base, "urlhaus.csv"), "# note\n# id,dateadded,url,url_status\n1,2024,http://f,online\n")
+    got = {r.url: r.label for r in prepare_url_corpus(spark, os.path.join(tmp_dir, "raw")).collect()}
+    assert got == {"http://a/1": 0, "http://b": 1, "http://e": 1, "good.org": 0, "first.org": 0}
+    forced = {r.url: r.label for r in prepare_url_corpus(spark, os.path.join(tmp_dir, "raw"), {"urlhaus": 1}).collect()}
+    assert forced == got | {"http://f": 1}
+    out = os.path.join(tmp_dir, "out")
+    write_corpora(spark, os.path.join(tmp_dir, "raw"), out)
+    balanced = spark.read.parquet(f"{out}/url_cleaned").groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in balanced} == {0: 2, 1: 2}
+    assert spark.read.parquet(f"{out}/email_cleaned").count() == 0
 
 
 def test_resolve_columns_rules():

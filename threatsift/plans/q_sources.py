@@ -7,62 +7,112 @@ readers, so the work grows with the tables.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
-from threatsift.operators import clean as C
 from threatsift.operators import sample as SM
+from threatsift.plans import prepare as PREP
+from threatsift.plans import sqltext as S
 from threatsift.plans.catalog import query
+from threatsift.plans.q_clean import sql_map_label, sql_relabel
 from threatsift.plans.views import sub, view
 from threatsift.session import fresh_path
-from threatsift.settings import EMAIL_LABEL_MAP, PHISHING_SOURCE_KEYWORDS
+from threatsift.settings import EMAIL_LABEL_MAP, SEED, URL_LABEL_MAP
 from threatsift.sources import corpus as SRC
 
+# Raw corpora derived from the tables. Bodies hold line breaks, commas and
+# doubled quotes; the same text comes under several labels (also in one file);
+# some records have too many fields, the last ones empty.
+BODY = ("concat(text, CASE WHEN doc_id % 4 = 0 THEN concat(chr(10), 'said \"yes, ok\"') WHEN doc_id % 4 = 1 THEN ', \"' ELSE '' END)")
+REPEATED = f"SELECT doc_id, doc_id * 2 AS ord, path, {BODY} AS body, raw_label FROM {sub('v_raw_labels')} r"
+AGAIN = (f"SELECT doc_id, doc_id * 2 + 1, path, {BODY}, CASE WHEN raw_label = 'spam' THEN 'ham' ELSE 'spam' END "
+         f"FROM {sub('v_raw_labels')} r2 WHERE doc_id % 3 = 0")
+SOURCE = "regexp_extract(path, '([^/]*)[.]csv$', 1)"
+RAW_MAILS = f"SELECT doc_id, ord, {SOURCE} AS file, body, raw_label FROM ({REPEATED} UNION ALL {AGAIN}) raw_mails"
+
+
+def _write_per_file(df, path, file_col, order_col):
+    """One CSV file per value of ``file_col``, rows in the given order."""
+    w = df.repartition(F.col(file_col)).sortWithinPartitions(file_col, order_col).drop(order_col)
+    w.write.mode("overwrite").option("header", "true").option("escape", '"').partitionBy(file_col).csv(path)
+
+
+def _write_raw_lines(df, path, line, header):
+    """Lines as they are, below a header (for records a CSV writer would mend)."""
+    (df.select(line.alias(header)).write.mode("overwrite").option("header", "true").option("sep", "\u0001")
+     .option("escapeQuotes", "false").csv(path))
+
+
+def _write_email_corpus(spark, sf_dir, root):
+    view(spark, sf_dir, "documents")
+    mails = spark.sql(RAW_MAILS)
+    _write_per_file(mails.select("file", "ord", "body", "raw_label"), f"{root}/email datasets/corpora", "file", "ord")
+    bench = view(spark, sf_dir, "benchmark").select(F.concat(F.col("text"), F.lit("\nsecond, line")).alias("body"))
+    SRC.write_table(bench, f"{root}/email datasets/fraud_list", "csv")
+    docs = view(spark, sf_dir, "documents")
+    line = F.concat(F.lit("long "), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, F.lit(",spam,,")).otherwise(F.lit(",spam")))
+    _write_raw_lines(docs.where("doc_id % 5 = 0"), f"{root}/email datasets/zz_records", line, "body,label")
+
+
+def _sql_email_corpus() -> str:
+    name = "concat('corpora/file=', file)"
+    lab = sql_relabel(sql_map_label("raw_label", EMAIL_LABEL_MAP), "concat('x/', file)")
+    rows = (f"SELECT {name} AS src, ord, lower(body) AS text, {lab} AS label FROM ({RAW_MAILS}) m UNION ALL "
+            f"SELECT 'fraud_list', item_id, lower(concat(text, chr(10), 'second, line')), 2 FROM benchmark UNION ALL "
+            f"SELECT 'zz_records', doc_id, concat('long ', doc_id), 1 FROM documents WHERE doc_id % 5 = 0 AND doc_id % 2 = 1")
+    return (f"SELECT text, label FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY src, ord) AS rn FROM ({rows}) c "
+            f"WHERE text IS NOT NULL AND label IS NOT NULL) d WHERE rn = 1")
+
 
-def prepare_email_corpus(spark, root: str):
-    """Entry A for emails: S1 scan -> R1 route / R2 exclude -> one read per
-    header group -> R4 resolve columns -> C1-C5 canonical rows -> C7 union
-    -> C8 first-wins dedup by text."""
-    listing = SRC.list_corpus(spark, root).filter(F.col("kind") == "email")
-    frames = []
-    for header, paths in SRC.header_groups(listing).items():
-        df = SRC.read_group(spark, paths)
-        cols = [c for c in df.columns if c not in ("path",)]
-        data_cols = [c for c in cols if c in header.split(",")] or cols
-        if len(data_cols) == 1:
-            lab = C.relabel_by_source(F.lit(2), F.col("path"))
-            canon = df.select("path", F.lower(F.col(data_cols[0])).alias("text"), lab.cast("int").alias("label"))
-            canon = canon.dropna(subset=["text"])
-        else:
-            text, label = C.resolve_columns(data_cols, C.distinct_counts_of(df.select(*data_cols)))
-            canon = C.canonical_email(df.select("path", text, label), text, label, "path", EMAIL_LABEL_MAP)
-        frames.append(canon.dropDuplicates(["path", "text", "label"])
-                      .withColumn("row_pos", F.monotonically_increasing_id()))
-    corpus = C.union_sources(frames)
-    return C.dedup_first(corpus, "text", ["path", "row_pos"], ["path", "text", "label"])
-
-
-def _write_raw_corpus(spark, sf_dir, root):
-    raw = view(spark, sf_dir, "v_raw_labels")
-    # per-source files below an "email datasets" folder; phishing corpora by folder name
-    phish = F.lower(F.col("path")).rlike("|".join(PHISHING_SOURCE_KEYWORDS))
-    raw = raw.withColumn("file", F.regexp_extract("path", r"([^/]*)\.csv$", 1))
-    SRC.write_table(raw.filter(~phish).select("file", "text", "raw_label"), os.path.join(root, "email datasets", "mixed"),
-                    "csv", ["file"])
-    SRC.write_table(raw.filter(phish).select("text", "raw_label"), os.path.join(root, "email datasets", "nazario_corpus"), "csv")
-    bench = view(spark, sf_dir, "benchmark").select(F.col("text").alias("body"))
-    SRC.write_table(bench, os.path.join(root, "email datasets", "fraud_blocklist"), "csv")
-
-
-@query("corpus_scan")
+@query("corpus_scan", lambda: f"SELECT md5(text) AS text_md5, label FROM ({_sql_email_corpus()}) e")
 def q_corpus_scan(spark, sf_dir):
-    """S1 (+R1, R2, R4, C1-C8): scan a raw CSV corpus built from the tables
-    and prepare the canonical, deduplicated email table."""
+    """S1 (+R1, R2, R4, S2, S5, C1-C8): scan a raw CSV corpus built from the
+    tables and prepare the canonical, deduplicated email table."""
     root = fresh_path(spark, "raw")
-    _write_raw_corpus(spark, sf_dir, root)
-    out = prepare_email_corpus(spark, root)
-    return out.select(F.md5("text").alias("text_md5"), "label")
+    _write_email_corpus(spark, sf_dir, root)
+    return PREP.prepare_email_corpus(spark, root).select(F.md5("text").alias("text_md5"), "label")
+
+
+URL_ROWS = ("SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN 'phishing' WHEN 1 THEN ' Benign ' WHEN 2 THEN '1' "
+            "WHEN 3 THEN 'unheard of' ELSE 'legitimate' END AS kind FROM pages")
+
+
+def _write_url_corpus(spark, sf_dir, root):
+    view(spark, sf_dir, "pages")
+    base = f"{root}/url datasets"
+    rows = spark.sql(URL_ROWS)
+    marked = rows.select(F.lit("a").alias("file"), "page_id", F.concat("url", F.lit('?q="x, y"')).alias("url"), F.col("kind").alias("type"))
+    _write_per_file(marked, f"{base}/marked_urls", "file", "page_id")
+    ranked = rows.where("page_id % 4 = 0").select(F.col("page_id").cast("string").alias("r"), F.concat(F.lit("D"), "page_id", F.lit(".ORG")).alias("d"))
+    ranked.write.mode("overwrite").option("header", "false").csv(f"{base}/tranco_list")
+    top = rows.where("page_id % 4 = 1").select(F.col("page_id").alias("GlobalRank"), F.concat(F.lit("d"), F.col("page_id") - 1, F.lit(".org")).alias("Domain"))
+    SRC.write_table(top, f"{base}/majestic_million", "csv")
+    SRC.write_table(rows.where("page_id % 3 = 0").select(F.concat("url", F.lit('?q="x, y"')).alias("link")), f"{base}/zz_blocked", "csv")
+    _write_raw_lines(rows.where("page_id % 6 = 0"), f"{base}/zzz_records",
+                     F.concat(F.lit("http://r/"), F.col("page_id"), F.when(F.col("page_id") % 12 == 0, F.lit(",phishing,,")).otherwise(F.lit(",phishing"))),
+                     "url,verified")
+    feed = F.concat_ws(",", F.col("page_id"), F.lit("2024-01-01"), F.concat(F.lit('"http://feed/'), "page_id", F.lit('?q=""a"""')), F.lit("online"))
+    _write_raw_lines(rows, f"{base}/feed", feed, "# id,dateadded,url,url_status")
+
+
+def _sql_url_corpus() -> str:
+    u = "lower(concat(url, '?q=\"x, y\"'))"
+    rows = (f"SELECT 'marked_urls' AS src, page_id AS ord, {u} AS url, {sql_map_label('kind', URL_LABEL_MAP)} AS label FROM ({URL_ROWS}) p "
+            f"UNION ALL SELECT 'tranco_list', page_id, concat('d', page_id, '.org'), 0 FROM pages WHERE page_id % 4 = 0 "
+            f"UNION ALL SELECT 'majestic_million', page_id, concat('d', page_id - 1, '.org'), 0 FROM pages WHERE page_id % 4 = 1 "
+            f"UNION ALL SELECT 'zz_blocked', page_id, {u}, 1 FROM pages WHERE page_id % 3 = 0 "
+            f"UNION ALL SELECT 'zzz_records', page_id, concat('http://r/', page_id), 1 FROM pages WHERE page_id % 6 = 0 AND page_id % 12 <> 0")
+    return (f"SELECT url, label FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY src, ord) AS rn FROM ({rows}) c "
+            f"WHERE url IS NOT NULL AND label IS NOT NULL) d WHERE rn = 1")
+
+
+@query("corpus_scan_url", _sql_url_corpus)
+def q_corpus_scan_url(spark, sf_dir):
+    """URL half of the preparation: labelled sets, ranked lists, blocklists,
+    a feed (whose online / offline labels map to nothing) and records with too
+    many fields; first occurrence per URL."""
+    root = fresh_path(spark, "raw-urls")
+    _write_url_corpus(spark, sf_dir, root)
+    return PREP.prepare_url_corpus(spark, root).select("url", "label")
 
 
 @query("tolerant_csv", lambda: "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source FROM documents")
@@ -150,33 +200,36 @@ def _sql_paragraphs() -> str:
 
 @query("docx_paragraph_source", _sql_paragraphs)
 def q_docx_paragraph_source(spark, sf_dir):
-    """Every document as a Word file (one paragraph per line), read
-    back paragraph by paragraph; the document id comes from the file name."""
+    """Every document as a Word file (one paragraph per line) in a table of
+    files, read back paragraph by paragraph; the id comes from the file name."""
     path = fresh_path(spark, "docx")
-    SRC.write_docx_files(view(spark, sf_dir, "documents"), "doc_id", "text", path)
-    p = SRC.docx_paragraphs(spark, path)
+    SRC.docx_table(view(spark, sf_dir, "documents"), "doc_id", "text").write.mode("overwrite").parquet(path)
+    files = spark.read.parquet(path)
+    p = SRC.docx_rows(files.withColumn("length", F.octet_length("content"))).where(F.col("error").isNull())
     return p.select(F.regexp_extract("path", r"([0-9]+)\.docx$", 1).cast("long").alias("doc_id"), "para_idx", "text")
 
 
 def _sql_canonical_sink() -> str:
-    from threatsift.plans.q_profile import _sql_balanced, _sql_cleaned
-    return (f"SELECT 'unbalanced' AS \"table\", doc_id, label FROM ({_sql_cleaned()}) a "
-            f"UNION ALL SELECT 'balanced', doc_id, label FROM ({_sql_balanced()}) b")
+    urls, mails = f"({_sql_url_corpus()})", f"({_sql_email_corpus()})"
+    least = f"(SELECT min(n) FROM (SELECT count(*) AS n FROM {urls} u2 GROUP BY label) m)"
+    return (f"SELECT 'url_cleaned_unbalanced' AS \"table\", md5(url) AS key_md5, label FROM {urls} a UNION ALL "
+            f"SELECT 'url_cleaned', md5(url), label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat(url, '|{SEED}')), url) "
+            f"AS rk FROM {urls} b) c WHERE rk <= {least} UNION ALL SELECT 'email_cleaned', md5(text), label FROM {mails} d")
 
 
 @query("canonical_sink", _sql_canonical_sink)
 def q_canonical_sink(spark, sf_dir):
-    """K1: unbalanced, balanced and email tables written and read back."""
-    base = fresh_path(spark, "canonical")
-    raw = view(spark, sf_dir, "v_raw_labels")
-    email = C.canonical_email(raw, "text", "raw_label", "path")
-    cleaned = C.dedup_first(email, "text", ["path", "doc_id"], ["doc_id", "text", "label"])
-    balanced = SM.balance_undersample(cleaned, "doc_id").drop("rank")
-    SRC.write_table(cleaned, os.path.join(base, "email_cleaned_unbalanced"))
-    SRC.write_table(balanced, os.path.join(base, "email_cleaned"))
-    a = spark.read.parquet(os.path.join(base, "email_cleaned_unbalanced")).withColumn("table", F.lit("unbalanced"))
-    b = spark.read.parquet(os.path.join(base, "email_cleaned")).withColumn("table", F.lit("balanced"))
-    return a.unionByName(b).select("table", "doc_id", "label")
+    """K1: the three tables of the preparation written and read back: URLs
+    unbalanced and balanced, emails in seeded order."""
+    root, base = fresh_path(spark, "raw-both"), fresh_path(spark, "canonical")
+    _write_email_corpus(spark, sf_dir, root)
+    _write_url_corpus(spark, sf_dir, root)
+    PREP.write_corpora(spark, root, base)
+    out = None
+    for name, key in (("url_cleaned_unbalanced", "url"), ("url_cleaned", "url"), ("email_cleaned", "text")):
+        t = spark.read.parquet(f"{base}/{name}").select(F.lit(name).alias("table"), F.md5(key).alias("key_md5"), "label")
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 def _sql_split_sink() -> str:

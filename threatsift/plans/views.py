@@ -55,19 +55,15 @@ VIEWS = {
 }
 
 
-_REGISTERED: dict = {}
-
-
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Temp views of the tables (scans spread over the session's cores when
-    they arrive in too few splits, see ``session.spread``)."""
+    """Temp views of the tables, remembered on the session itself (see
+    ``session.spread`` for scans of few splits)."""
     from threatsift.session import table
-    tag = (id(spark), sf_dir)
-    if _REGISTERED.get("tag") == tag:
+    if getattr(spark, "_threatsift_tables", None) == sf_dir:
         return
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
-    _REGISTERED["tag"] = tag
+    spark._threatsift_tables = sf_dir
 
 
 def messages_view(spark: SparkSession) -> DataFrame:

@@ -46,15 +46,12 @@ def get_spark(master: str | None = None, app_name: str = "threatsift",
     return spark
 
 
-_SHIPPED: set = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``threatsift`` importable in executor Python workers (pandas UDFs,
     mapInPandas, applyInPandas): zip the package once and add it with
     ``addPyFile``, which Spark distributes with the job. Once per context."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if getattr(sc, "_threatsift_shipped", False):
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -67,18 +64,21 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(target)
-    _SHIPPED.add(id(sc))
+    sc._threatsift_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if unset
-    (local tests). Cluster jobs must set spark.checkpoint.dir to shared storage."""
+    """Return the shared checkpoint folder. One is created in the machine's
+    temporary folder only for a local master (tests); any other session must
+    set spark.checkpoint.dir to shared storage."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="threatsift-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -115,15 +115,14 @@ TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Parallelism guard for scans: when an input arrives in fewer splits
-    than the session can run at once (e.g. one big row group), hash-
-    repartition it by ``key`` so per-row work uses every core. On a cluster,
-    inputs already have many splits and this is a no-op (no extra shuffle)."""
-    spark = df.sparkSession
-    target = int(spark.conf.get(MIN_PARTITIONS_CONF, str(spark.sparkContext.defaultParallelism)))
-    if df.rdd.getNumPartitions() >= target:
+    """Opt-in parallelism for tables stored in few splits: with
+    ``threatsift.scan.minPartitions`` set, a scan of fewer partitions is hash-
+    repartitioned by ``key`` (only the columns a query reads cross that
+    shuffle). Unset, the default, scans stay as they are."""
+    target = df.sparkSession.conf.get(MIN_PARTITIONS_CONF, None)
+    if not target or df.rdd.getNumPartitions() >= int(target):
         return df
-    return df.repartition(target, key or df.columns[0])
+    return df.repartition(int(target), key or df.columns[0])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,120 +1,153 @@
 """Raw corpus sources and sinks.
 
 Readers return DataFrames with string columns plus the source path (from
-``_metadata.file_path``); nothing is read on the driver except file headers,
-which come back from one distributed job as one small row per file.
+``_metadata.file_path``) and the position of the row in its scan. The driver
+sees file names and first lines only.
 """
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatsift.operators.clean import is_excluded, route_source
-from threatsift.settings import THREAT_FEED_HEADER
+from threatsift.settings import MAX_UPLOAD_BYTES, THREAT_FEED_HEADER, THREAT_FEED_SCAN_LINES
+
+RECORD = "_record"
 
 
 def file_path() -> F.Column:
     """The row's source file as a plain path (``_metadata.file_path`` is a
     percent-encoded URI; '+' is literal in paths, so it is protected)."""
-    return F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return _plain_path(F.col("_metadata.file_path"))
+
+
+def _plain_path(uri: Column) -> Column:
+    return F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
 # ---------------------------------------------------------------- S1
 
 def list_corpus(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
-    """Every matching file below ``root`` (recursive) with its size,
-    route (url / email), exclusion flag and header line. File contents are
-    not read beyond the first split of each file."""
-    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
-             .select(file_path().alias("path"), F.col("_metadata.file_size").alias("length"),
-                     F.col("_metadata.file_block_start").alias("_start"), "value",
-                     F.monotonically_increasing_id().alias("_i")))
-    first = lines.filter(F.col("_start") == 0)
-    out = first.groupBy("path").agg(F.max("length").alias("length"), F.min_by("value", "_i").alias("header"))
-    return out.select("path", "length", route_source(F.col("path")).alias("kind"),
-                      is_excluded(F.col("path")).alias("excluded"), "header")
-
-
-def header_groups(listing: DataFrame) -> dict[str, list[str]]:
-    """Files grouped by identical header line (one read per schema group).
-    Returns metadata only: one entry per file."""
+    """Every matching file below ``root`` (recursive) with its size, route
+    (url / email) and exclusion flag. A listing: no content is read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+             .select(_plain_path(F.col("path")).alias("path"), "length"))
+    kind = route_source(F.col("path"))
+    excluded = F.when(kind == "url", is_excluded(F.col("path"), "url")).otherwise(is_excluded(F.col("path"), "email"))
+    return files.select("path", "length", kind.alias("kind"), excluded.alias("excluded"))
+
+
+def first_lines(spark: SparkSession, path: str, n: int = 1) -> list[str]:
+    """The first ``n`` lines of one file; a limit on the scan, so no more of the
+    file is read than they need."""
+    rows = spark.read.option("lineSep", "\n").text(path).limit(n).collect()
+    lines = [r["value"].rstrip("\r") for r in rows]
+    return [lines[0].lstrip("\ufeff"), *lines[1:]] if lines else []
+
+
+def header_groups(spark: SparkSession, paths: list[str], threads: int = 16) -> dict[str, list[str]]:
+    """Paths grouped by their header (one read per group): the first line, or
+    for a threat feed the commented header within its first lines. Files
+    without a header line are left out."""
+    def header(path: str) -> str | None:
+        lines = first_lines(spark, path)
+        if lines and lines[0].startswith("#"):
+            lines = [x for x in first_lines(spark, path, THREAT_FEED_SCAN_LINES) if x.strip().startswith(THREAT_FEED_HEADER)][:1]
+        return lines[0] if lines else None
+
     groups: dict[str, list[str]] = {}
-    for r in listing.filter(~F.col("excluded")).select("path", "header").collect():
-        groups.setdefault(r["header"] or "", []).append(r["path"])
+    with ThreadPoolExecutor(threads) as pool:
+        for path, line in zip(paths, pool.map(header, paths)):
+            if line is not None:
+                groups.setdefault(line, []).append(path)
     return groups
 
 
-def read_group(spark: SparkSession, paths: list[str], multiline: bool = True) -> DataFrame:
-    """One schema group: header CSV, all columns string, with the path."""
-    r = (spark.read.option("header", "true").option("multiLine", str(multiline).lower())
-         .option("escape", '"').option("mode", "PERMISSIVE").csv(paths))
-    return r.withColumn("path", file_path())
+def column_names(header: str) -> list[str]:
+    """Names of a header line; a repeated name gets a numbered suffix, so the
+    first column of that name keeps it."""
+    names = [c.strip() for c in next(csv.reader([header.lstrip("#")]), [])]
+    return [c if c not in names[:i] else f"{c}__{i}" for i, c in enumerate(names)]
 
 
 # ---------------------------------------------------------------- S2
 
-def tolerant_csv(spark: SparkSession, paths, columns: list[str], header: bool = True,
-                 multiline: bool = True) -> DataFrame:
+def field_count(record: Column) -> Column:
+    """Fields of a raw CSV record: commas outside quoted stretches, plus one (a
+    doubled quote is two stretches side by side)."""
+    bare = F.regexp_replace(record, '"[^"]*+"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def tolerant_csv(spark: SparkSession, paths, columns: list[str], header: bool = True, multiline: bool = True,
+                 **options: str) -> DataFrame:
     """Rows with too MANY fields are skipped, short rows are kept
-    null-filled, undecodable bytes are tolerated. Reads with one extra
-    column and keeps rows whose extra column is NULL."""
-    extra = "_overflow"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField(extra, T.StringType())])
-    r = (spark.read.schema(schema).option("header", str(header).lower()).option("multiLine", str(multiline).lower())
-         .option("escape", '"').option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(paths))
-    return r.filter(F.col(extra).isNull()).drop(extra).withColumn("path", file_path())
+    null-filled, undecodable bytes are tolerated. The reader flags every record
+    whose field count differs; the flagged ones are counted. Adds ``path`` and
+    ``row_pos``, which grows along each file."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, RECORD]])
+    r = spark.read.schema(schema).options(
+        header=str(header).lower(), multiLine=str(multiline).lower(), escape='"', mode="PERMISSIVE", encoding="UTF-8",
+        columnNameOfCorruptRecord=RECORD, **options).csv(paths)
+    r = r.select(*columns, RECORD, file_path().alias("path"), F.monotonically_increasing_id().alias("row_pos"))
+    return r.filter(F.col(RECORD).isNull() | (field_count(F.col(RECORD)) <= len(columns))).drop(RECORD)
+
+
+def read_group(spark: SparkSession, paths: list[str], header: str) -> DataFrame:
+    """One header group by the tolerant rules, all columns string."""
+    if header.startswith("#"):
+        return threat_feed_rows(spark, paths, column_names(header))
+    return tolerant_csv(spark, paths, column_names(header))
 
 
 # ---------------------------------------------------------------- S3
 
-def threat_feed_header(spark: SparkSession, path: str, scan_lines: int = 100) -> list[str] | None:
-    """The '# id,dateadded,url,...' line of a feed (first match only)."""
-    lines = spark.read.text(path).filter(F.col("value").startswith(THREAT_FEED_HEADER)).limit(1).collect()
-    if not lines:
-        return None
-    return [c.strip() for c in lines[0]["value"].lstrip("#").split(",")]
+def threat_feed_header(spark: SparkSession, path: str, scan_lines: int = THREAT_FEED_SCAN_LINES) -> list[str] | None:
+    """Column names from the '# id,dateadded,url,...' line within the first
+    lines of a feed."""
+    for line in first_lines(spark, path, scan_lines):
+        if line.strip().startswith(THREAT_FEED_HEADER):
+            return column_names(line.strip())
+    return None
 
 
-def threat_feed_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3: comment block skipped, schema from the commented header line,
-    fields trimmed."""
-    cols = threat_feed_header(spark, path)
-    if cols is None:
-        return read_group(spark, [path], multiline=False)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-    r = (spark.read.schema(schema).option("comment", "#").option("header", "false")
-         .option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").csv(path))
-    return r.withColumn("path", file_path())
+def threat_feed_rows(spark: SparkSession, paths, columns: list[str]) -> DataFrame:
+    """Rows below the comment block, by the tolerant rules, fields trimmed."""
+    return tolerant_csv(spark, paths, columns, header=False, comment="#", ignoreLeadingWhiteSpace="true",
+                        ignoreTrailingWhiteSpace="true")
 
 
-def write_threat_feed(df: DataFrame, path: str, columns: list[str], preamble: list[str]) -> None:
-    """Writes one feed file per partition: comment preamble, commented
-    header, then quoted CSV rows (used to build feeds from tables)."""
-    header = "# " + ",".join(columns)
+def threat_feed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """S3: comment block skipped, schema from the commented header line; a file
+    without one is read as a plain CSV."""
+    columns = threat_feed_header(spark, path)
+    if columns is None:
+        return read_group(spark, [path], first_lines(spark, path)[0])
+    return threat_feed_rows(spark, path, columns)
 
-    def fmt(v):
-        s = "" if v is None else str(v)
-        return '"' + s.replace('"', '""') + '"'
 
-    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
-        for pdf in batches:
-            lines = [",".join(fmt(v) for v in row) for row in pdf[columns].itertuples(index=False)]
-            if first:
-                lines = [f"# {p}" for p in preamble] + [header] + lines
-                first = False
-            yield pd.DataFrame({"value": lines})
+def write_threat_feed(df: DataFrame, path: str, columns: list[str], preamble: list[str]) -> None:
+    """Writes feed files: a comment preamble, the commented header, then quoted
+    CSV rows. The row text is built by built-in functions; every file starts
+    with the preamble because it is part of its first row."""
+    def cell(c: str) -> Column:
+        return F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
-    df.select(*columns).mapInPandas(per_partition, "value string").write.mode("overwrite").text(path)
+    head = "\n".join([*[f"# {p}" for p in preamble], "# " + ",".join(columns)]) + "\n"
+    line = F.concat_ws(",", *[cell(c) for c in columns])
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0     # first row of a partition
+    df.select(F.when(first, F.concat(F.lit(head), line)).otherwise(line).alias("value")).write.mode("overwrite").text(path)
 
 
 # ---------------------------------------------------------------- S4 / S5
@@ -124,17 +157,18 @@ def ranked_list(spark: SparkSession, path: str, kind: str = "tranco") -> DataFra
     header with a Domain column; 'tranco' / 'top-1m' are header-less
     rank,domain files (the first domain is kept)."""
     if kind == "majestic":
-        r = spark.read.option("header", "true").csv(path).select(F.col("Domain").alias("url"))
+        first = path[0] if isinstance(path, list) else path
+        r = tolerant_csv(spark, path, column_names(first_lines(spark, first)[0])).withColumnRenamed("Domain", "url")
     else:
-        r = spark.read.option("header", "false").csv(path).select(F.col("_c1").alias("url"))
-    return r.select("url", F.lit(0).alias("label"), file_path().alias("path"))
+        r = tolerant_csv(spark, path, ["rank", "url"], header=False)
+    return r.select("url", F.lit(0).alias("label"), "path", "row_pos")
 
 
 def blocklist(spark: SparkSession, path: str, label: int = 1, header: bool = True) -> DataFrame:
-    """Single-column list; every row is positive (URL 1, email 2)."""
-    r = spark.read.option("header", str(header).lower()).csv(path)
-    first = r.columns[0]
-    return r.select(F.col(first).alias("text"), F.lit(label).alias("label"), file_path().alias("path"))
+    """Single-column list; every row is positive (URL 1, email 2). A quoted
+    item may span lines; rows of several fields are skipped."""
+    r = tolerant_csv(spark, path, ["text"], header=header)
+    return r.select("text", F.lit(label).alias("label"), "path", "row_pos")
 
 
 # ---------------------------------------------------------------- S6-S8
@@ -147,7 +181,7 @@ def label_column_scan(spark: SparkSession, path: str, label_col: str, fmt: str =
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """One item per line, stripped, blanks dropped."""
     from threatsift.functions.text import py_strip
-    r = spark.read.text(path).select(py_strip(F.col("value")).alias("item"))
+    r = spark.read.option("lineSep", "\n").text(path).select(py_strip(F.col("value")).alias("item"))
     return r.filter(F.length("item") > 0)
 
 
@@ -162,39 +196,59 @@ def csv_column(spark: SparkSession, path: str, column: str) -> DataFrame:
 W_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def _run_text(node) -> str:
+    """Text of a paragraph's runs in order: tabs and breaks included, the
+    paragraphs of embedded boxes not."""
+    out = []
+    for child in node:
+        tag = child.tag.removeprefix(W_NS)
+        if tag == "t":
+            out.append(child.text or "")
+        elif tag == "tab":
+            out.append("\t")
+        elif tag in ("br", "cr"):
+            out.append("\n")
+        elif tag in ("r", "hyperlink", "ins", "smartTag", "sdt", "sdtContent"):
+            out.append(_run_text(child))
+    return "".join(out)
+
+
 def docx_paragraph_texts(data: bytes) -> list[str]:
-    """Paragraph texts of a .docx (stdlib zip + XML)."""
+    """Texts of the paragraphs of a .docx body (not those of table cells)."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = ElementTree.fromstring(z.read("word/document.xml"))
-    out = []
-    for p in root.iter(f"{W_NS}p"):
-        out.append("".join(t.text or "" for t in p.iter(f"{W_NS}t")))
-    return out
+    body = root.find(f"{W_NS}body")
+    return [_run_text(p) for p in body.findall(f"{W_NS}p")] if body is not None else []
 
 
-def docx_paragraphs(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """Stripped, non-blank paragraphs of every .docx below ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
-    if max_bytes:
-        files = files.filter(F.col("length") <= max_bytes)
+def docx_paragraphs(spark: SparkSession, path: str, max_bytes: int | None = MAX_UPLOAD_BYTES) -> DataFrame:
+    """S9 for every .docx below ``path``, see ``docx_rows``."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
+             .select("path", "content", "length"))
+    return docx_rows(files, max_bytes)
+
+
+def docx_rows(files: DataFrame, max_bytes: int | None = MAX_UPLOAD_BYTES) -> DataFrame:
+    """(path, para_idx, text, error) from rows (path, content, length): stripped,
+    non-blank paragraphs. A file that cannot be read, or is longer than
+    ``max_bytes``, is one row with its error and no text."""
+    limit = F.lit(max_bytes if max_bytes is not None else (1 << 62))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for p, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    paras = docx_paragraph_texts(bytes(content))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    continue
-                idx = 0
-                for text in paras:
-                    s = text.strip()
-                    if s:
-                        rows.append((p, idx, s))
-                        idx += 1
-            yield pd.DataFrame(rows, columns=["path", "para_idx", "text"])
+                    if content is None:
+                        raise ValueError("file too large")
+                    kept = [t for t in (x.strip() for x in docx_paragraph_texts(bytes(content))) if t]
+                    rows += [(p, i, t, None) for i, t in enumerate(kept)]
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError) as e:
+                    rows.append((p, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "para_idx", "text", "error"]).astype({"para_idx": "Int32"})
 
-    return files.select("path", "content").mapInPandas(parse, "path string, para_idx int, text string")
+    sized = files.select("path", F.when(F.col("length") <= limit, F.col("content")).alias("content"))
+    return sized.mapInPandas(parse, "path string, para_idx int, text string, error string")
 
 
 def docx_bytes(paragraphs: list[str]) -> bytes:
@@ -217,25 +271,14 @@ def docx_bytes(paragraphs: list[str]) -> bytes:
     return buf.getvalue()
 
 
-def write_docx_files(df: DataFrame, key: str, text_col: str, folder: str) -> None:
-    """Writes one .docx per row (paragraph = line) into a shared folder,
-    from the executors (a fixture builder for S9)."""
-    from threatsift.session import local_path
-
-    target = local_path(folder)
-
+def docx_table(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(path, content): one .docx per row (paragraph = line) as bytes."""
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        os.makedirs(target, exist_ok=True)
         for pdf in batches:
-            n = 0
-            for k, text in zip(pdf[key], pdf[text_col]):
-                with open(os.path.join(target, f"{k}.docx"), "wb") as fh:
-                    fh.write(docx_bytes(re.split(r"\r\n|\r|\n", text or "")))
-                n += 1
-            yield pd.DataFrame({"n": [n]})
-
-    df.select(key, text_col).mapInPandas(build, "n long").agg(F.sum("n")).collect()
+            content = [docx_bytes(re.split(r"\r\n|\r|\n", t or "")) for t in pdf["t"]]
+            yield pd.DataFrame({"path": [f"{k}.docx" for k in pdf["k"]], "content": content})
+
+    return df.select(F.col(key).alias("k"), F.col(text_col).alias("t")).mapInPandas(build, "path string, content binary")
 
 
 # ---------------------------------------------------------------- K1-K3
