@@ -128,6 +128,14 @@ def dedup_first(df: DataFrame, key_col: str, order_cols: list[str], keep_cols: l
     return agg.select(*[F.col("_w")[c].alias(c) for c in keep_cols])
 
 
+def distinct_rows(df: DataFrame, text_col: str) -> DataFrame:
+    """Whole-row distinct with the text's digest as its key, so that only
+    one copy of each text per task crosses the shuffle and none is compared."""
+    others = [c for c in df.columns if c != text_col]
+    out = df.groupBy(text_key(text_col).alias("_k"), *others).agg(F.first(text_col).alias(text_col))
+    return out.select(*df.columns)
+
+
 def label_conflicts(df: DataFrame, key_col: str, label_col: str = "label") -> DataFrame:
     """Keys seen with more than one label."""
     g = df.groupBy(key_col).agg(F.countDistinct(label_col).alias("n_labels"), F.count(F.lit(1)).alias("n_rows"))
@@ -179,6 +187,7 @@ def resolve_columns(columns: list[str], distinct_counts=None, profile: bool = Fa
 def distinct_counts_of(df: DataFrame):
     """R5 helper: exact distinct counts of two columns in one aggregate."""
     def counts(c1, c2):
-        r = df.agg(F.countDistinct(F.col(c1)).alias("a"), F.countDistinct(F.col(c2)).alias("b")).first()
+        r = df.select(text_key(F.col(c1).cast("string")).alias("x"), text_key(F.col(c2).cast("string")).alias("y")).agg(
+            F.countDistinct("x").alias("a"), F.countDistinct("y").alias("b")).first()
         return r["a"], r["b"]
     return counts

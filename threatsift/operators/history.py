@@ -7,7 +7,7 @@ micro-batch replaces its own rows instead of duplicating them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,7 @@ HISTORY_SCHEMA = T.StructType([
 ])
 
 
-def history_rows(verdicts: DataFrame, inputs: DataFrame, input_type: str, key: str = "msg_id",
+def history_rows(verdicts: DataFrame, inputs: DataFrame | None, input_type: str | Column, key: str = "msg_id",
                  text_col: str = "text", ts_col: str | None = None) -> DataFrame:
     """One history row per scored item: verdict + original input text.
     ``inputs=None`` when the verdicts already carry the text (and time)
@@ -34,7 +34,7 @@ def history_rows(verdicts: DataFrame, inputs: DataFrame, input_type: str, key: s
     j = verdicts.join(inputs, key) if inputs is not None else verdicts
     ts = F.col(ts_col).cast("timestamp") if ts_col else F.current_timestamp()
     return j.select(
-        F.col(key).cast("long").alias("id"), F.col(text_col).alias("input_text"), F.lit(input_type).alias("input_type"),
+        F.col(key).cast("long").alias("id"), F.col(text_col).alias("input_text"), (F.lit(input_type) if isinstance(input_type, str) else input_type).alias("input_type"),
         F.col("label").alias("prediction_label"), F.col("confidence"), F.col("is_phishing"),
         F.col("reason"), F.date_trunc("second", ts).alias("timestamp"))
 

@@ -3,7 +3,8 @@
 ``hash_rank`` gives every row a 1-based rank inside its class in the order of
 ``md5(key|seed)``, without any window spanning a whole class:
 
-1. ``h = md5(key|seed)``, bucket ``b`` = first ``k`` hex digits;
+1. ``h = md5(key|seed)``, bucket ``b`` = first ``k`` hex digits, k from the
+   number of rows;
 2. per-(class, bucket) counts (at most classes x 16^k rows) and their
    running offsets, computed on that small table;
 3. rank = offset(class, b) + row_number() over (class, b ordered by h, key).
@@ -28,18 +29,35 @@ def seeded_hash(key, seed: int = DEFAULT.seed) -> Column:
     return F.md5(F.concat(k.cast("string"), F.lit(f"|{seed}")))
 
 
+BUCKET_ROWS = 50_000
+MAX_BUCKET_DIGITS = 8
+
+
+def bucket_digits_for(rows: int) -> int:
+    """Hex digits of the bucket, so that a bucket holds about ``BUCKET_ROWS``."""
+    return min(MAX_BUCKET_DIGITS, max(2, math.ceil(math.log(max(rows / BUCKET_ROWS, 1), 16))))
+
+
 def hash_rank(df: DataFrame, key: str, class_col: str | None = "label", seed: int = DEFAULT.seed,
-              bucket_digits: int = 3, settings: Settings = DEFAULT, out: str = "rank") -> DataFrame:
-    """Adds ``out`` (1-based rank within class) and ``_h`` (the hash)."""
+              bucket_digits: int | None = None, settings: Settings = DEFAULT, out: str = "rank",
+              below: int | None = None) -> DataFrame:
+    """Adds ``out`` (1-based rank within class) and ``_h`` (the hash). The number
+    of buckets follows the row count. With ``below``, only rows of at most that
+    rank are returned, and buckets that start beyond it are dropped before any
+    row is shuffled or sorted."""
     cls = [class_col] if class_col else []
-    h = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", F.substring("_h", 1, bucket_digits))
+    digits = bucket_digits or bucket_digits_for(df.count())
+    h = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
     counts = h.groupBy(*cls, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*cls).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).drop("_n")
-    max_rows = 16 ** bucket_digits * 64
-    offsets = checked_broadcast(offsets, min(max_rows, settings.broadcast_row_limit))
+    if below is not None:
+        offsets = offsets.filter(F.col("_off") < below)
+    offsets = checked_broadcast(offsets, min(16 ** digits * 64, settings.broadcast_row_limit))
     j = h.join(offsets, [*cls, "_b"], "inner")
     w = Window.partitionBy(*cls, "_b").orderBy("_h", key)
+    if below is not None:
+        return (j.withColumn(out, F.col("_off") + F.row_number().over(w)).filter(F.col(out) <= below).drop("_b", "_off"))
     return j.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_b", "_off")
 
 
@@ -50,16 +68,24 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = DEFAULT.seed) -> DataFra
     return r.orderBy("_h", key)
 
 
+MAX_CLASSES = 10_000
+
+
 def class_counts(df: DataFrame, class_col: str = "label") -> dict:
-    """Per-class row counts: a tiny aggregate returned to the driver."""
-    return {r[0]: r[1] for r in df.groupBy(class_col).count().collect()}
+    """Per-class row counts, returned to the driver; a column with more than
+    ``MAX_CLASSES`` values is no class column and an error."""
+    rows = df.groupBy(class_col).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{class_col} has more than {MAX_CLASSES} values")
+    return {r[0]: r[1] for r in rows}
 
 
 def balance_undersample(df: DataFrame, key: str, class_col: str = "label", seed: int = DEFAULT.seed) -> DataFrame:
     """C11: exactly n = min class count rows per class."""
     counts = class_counts(df, class_col)
     n = min(counts.values()) if counts else 0
-    return hash_rank(df, key, class_col, seed).filter(F.col("rank") <= F.lit(n)).drop("_h")
+    digits = bucket_digits_for(sum(counts.values()))
+    return hash_rank(df, key, class_col, seed, digits, below=n).drop("_h")
 
 
 def approximate_mode(counts: dict, n_draws: int) -> dict:
@@ -92,10 +118,11 @@ def split_quotas(counts: dict, test_size: float = 0.30, second_test_size: float
 
 def stratified_split(df: DataFrame, key: str, class_col: str = "label", seed: int = DEFAULT.seed) -> DataFrame:
     """70/15/15 with exact label-proportional counts; adds ``split``."""
-    quotas = split_quotas(class_counts(df, class_col))
+    counts = class_counts(df, class_col)
+    quotas = split_quotas(counts)
     tr = F.create_map(*[x for k, q in quotas.items() for x in (F.lit(k), F.lit(q[0]))])
     va = F.create_map(*[x for k, q in quotas.items() for x in (F.lit(k), F.lit(q[0] + q[1]))])
-    r = hash_rank(df, key, class_col, seed)
+    r = hash_rank(df, key, class_col, seed, bucket_digits_for(sum(counts.values())))
     split = (F.when(F.col("rank") <= tr[F.col(class_col)], F.lit("train"))
              .when(F.col("rank") <= va[F.col(class_col)], F.lit("validation"))
              .otherwise(F.lit("test")))

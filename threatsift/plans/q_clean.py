@@ -101,7 +101,8 @@ def q_raw_count_router(spark, sf_dir):
 def q_nunique_fallback(spark, sf_dir):
     """Fewer distinct values marks the label column (ties: 2nd)."""
     d = _raw(spark, sf_dir).select("text", "raw_label")
-    agg = d.agg(F.countDistinct("text").alias("n_text"), F.countDistinct("raw_label").alias("n_label"))
+    keys = d.select(C.text_key("text").alias("text"), C.text_key("raw_label").alias("raw_label"))
+    agg = keys.agg(F.countDistinct("text").alias("n_text"), F.countDistinct("raw_label").alias("n_label"))
     first_is_label = F.col("n_text") < F.col("n_label")
     return agg.select("n_text", "n_label",
                       F.when(first_is_label, F.lit("text")).otherwise(F.lit("raw_label")).alias("label_col"),
@@ -168,7 +169,7 @@ def q_drop_unlabelled(spark, sf_dir):
 @query("distinct_rows", lambda: f"SELECT DISTINCT path, text, label FROM ({sql_canonical_email()}) c")
 def q_distinct_rows(spark, sf_dir):
     """Per-source exact-row dedup of (text, label)."""
-    return canonical_email(spark, sf_dir).select("path", "text", "label").dropDuplicates()
+    return C.distinct_rows(canonical_email(spark, sf_dir).select("path", "text", "label"), "text")
 
 
 def _benchmark_blocklist(spark, sf_dir):
@@ -197,10 +198,9 @@ def q_dedup_first_text(spark, sf_dir):
 
 
 def _url_rows(spark, sf_dir):
-    m = view(spark, sf_dir, "v_messages")
-    occ = url_occurrences(m.select("msg_id", "label", trim_input(F.col("text")).alias("clean")), "clean")
-    lab = m.select("msg_id", "label")
-    return occ.join(lab, "msg_id").select("msg_id", "url_pos", F.lower("raw_url").alias("url"), "label").dropna(subset=["url", "label"])
+    m = view(spark, sf_dir, "v_messages").dropna(subset=["label"])
+    occ = url_occurrences(m.select("msg_id", "label", trim_input(F.col("text")).alias("clean")), "clean", carry=("label",))
+    return occ.select("msg_id", "url_pos", F.lower("raw_url").alias("url"), "label").dropna(subset=["url"])
 
 
 def sql_url_rows() -> str:

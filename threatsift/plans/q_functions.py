@@ -159,10 +159,11 @@ def q_url_domain(spark, sf_dir):
     return p.select("page_id", U.url_domain(U.normalize_url(F.col("url"))).alias("domain"))
 
 
-# ---------------------------------------------------------------- M1-M3 over embeddings as logits
+# ---------------------------------------------------------------- M1-M3: class k's logit is the
+# sum of the vector's components k, k + n, k + 2n, ... (every component counts)
 
 def sql_softmax(n: int) -> dict[int, str]:
-    xs = [f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(n)]
+    xs = [f"round(list_sum(list_transform(embedding[{i + 1}:len(embedding):{n}], lambda e: CAST(e AS DOUBLE))), 9)" for i in range(n)]
     m = f"greatest({', '.join(xs)})"
     es = [f"exp({x} - {m})" for x in xs]
     tot = " + ".join(es)
@@ -171,12 +172,15 @@ def sql_softmax(n: int) -> dict[int, str]:
 
 def _probs(spark, sf_dir, n):
     e = view(spark, sf_dir, "embeddings")
-    return e.select("vec_id", softmax(F.slice(F.col("embedding"), 1, n)).alias("p"))
+    def logit(k):
+        part = F.filter("embedding", lambda _, i: i % n == k)
+        return F.round(F.aggregate(part, F.lit(0.0), lambda a, v: a + v.cast("double")), 9)
+    return e.select("vec_id", softmax(F.array(*[logit(k) for k in range(n)])).alias("p"))
 
 
 @query("softmax", lambda: "SELECT vec_id, " + ", ".join(f"round({x}, 6) AS p{i}" for i, x in sql_softmax(3).items()) + " FROM embeddings")
 def q_softmax(spark, sf_dir):
-    """M1: softmax of the first three embedding values taken as logits."""
+    """M1: softmax of three logits summed from the whole embedding."""
     p = _probs(spark, sf_dir, 3)
     return p.select("vec_id", *[F.round(F.col("p")[i], 6).alias(f"p{i}") for i in range(3)])
 

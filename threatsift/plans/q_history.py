@@ -48,19 +48,32 @@ def q_history_windowed(spark, sf_dir):
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "label", "n")
 
 
-@query("history_append")
+LOGGED = ("id", "input_text", "input_type", "prediction_label", "confidence", "is_phishing", "reason")
+
+
+def _logged(df):
+    return df.select(*LOGGED, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("logged_at"))
+
+
+def _sql_logged() -> str:
+    return (f"SELECT v.msg_id AS id, m.text AS input_text, 'email' AS input_type, v.label AS prediction_label, v.confidence, v.is_phishing, "
+            f"v.reason, strftime(date_trunc('second', e.ts), '%Y-%m-%d %H:%M:%S') AS logged_at FROM ({oracle_triage_messages()}) v "
+            f"JOIN {sub('v_messages')} m ON m.msg_id = v.msg_id LEFT JOIN events e ON e.event_id = v.msg_id")
+
+
+@query("history_append", _sql_logged)
 def q_history_append(spark, sf_dir):
     """K5: append scored messages to a history table; read it back."""
     path = fresh_path(spark, "history")
     H.append_history(history_with_ts(spark, sf_dir), path, "batch", 0)
     H.append_history(history_with_ts(spark, sf_dir), path, "batch", 0)  # a retried batch replaces itself
-    return H.read_history(spark, path).drop("batch")
+    return _logged(H.read_history(spark, path))
 
 
-@query("history_clear")
+@query("history_clear", lambda: f"SELECT * FROM ({_sql_logged()}) h WHERE FALSE")
 def q_history_clear(spark, sf_dir):
     """K6: clear a populated history table (same schema, no rows)."""
     path = fresh_path(spark, "history")
     H.append_history(history_with_ts(spark, sf_dir), path, "batch", 0)
     H.clear_history(spark, path)
-    return H.read_history(spark, path).drop("batch")
+    return _logged(H.read_history(spark, path))

@@ -122,8 +122,11 @@ def _sql_balanced() -> str:
     f"SELECT 'balanced', label, count(*) FROM ({_sql_balanced()}) c GROUP BY label) s"))
 def q_class_shares(spark, sf_dir):
     """Class counts and shares after mapping, after dedup, after balancing."""
-    original = canonical_email(spark, sf_dir)
-    cleaned = C.dedup_first(original, "text", ["path", "doc_id"], ["doc_id", "label"])
+    from threatsift.session import cut_lineage
+    # ids, digests and labels once; every stage reads that table, no text again
+    keys = canonical_email(spark, sf_dir).select("doc_id", "path", C.text_key("text").alias("text"), "label")
+    original = cut_lineage(keys)
+    cleaned = cut_lineage(C.dedup_first(original, "text", ["path", "doc_id"], ["doc_id", "label"]))
     balanced = SM.balance_undersample(cleaned, "doc_id")
     return PR.stage_shares({"original": original, "cleaned": cleaned, "balanced": balanced})
 

@@ -15,7 +15,7 @@ from threatsift.plans.q_sample import _rows, _split_sql
 from threatsift.plans.triage import triage_messages
 from threatsift.plans.views import view
 from threatsift.session import fresh_path
-from threatsift.settings import EMAIL_MAX_TOKENS
+from threatsift.settings import EMAIL_MAX_TOKENS, URL_MAX_TOKENS
 
 
 def _splits(spark, sf_dir):
@@ -47,25 +47,45 @@ def _oracle_fixed_length() -> str:
 def q_fixed_length_tokens(spark, sf_dir):
     """F9 (+K3 layout): 512-long id sequences and masks of every split row."""
     s = _splits(spark, sf_dir).select("text_md5", "split")
-    texts = view(spark, sf_dir, "v_labelled").select(F.md5("text").alias("text_md5"), "text").dropDuplicates(["text_md5"])
-    t = s.join(texts, "text_md5").withColumn("ids", MD.token_ids(F.col("text")))
+    t = s.join(_text_of_digest(spark, sf_dir), "text_md5").withColumn("ids", MD.token_ids(F.col("text")))
     input_ids, mask = MD.fixed_length(F.col("ids"), EMAIL_MAX_TOKENS)
     return t.select("text_md5", "split", F.size("ids").alias("n_tokens"),
                     F.array_join(input_ids, " ").alias("input_ids"),
                     F.aggregate(mask, F.lit(0), lambda a, v: a + v).alias("n_attended"))
 
 
-@query("token_sink", lambda: f"SELECT DISTINCT text_md5, split, {EMAIL_MAX_TOKENS} AS n_ids FROM ({_split_sql()}) s")
+@query("token_sink", lambda: f"SELECT text_md5, label, split, {EMAIL_MAX_TOKENS} AS n_ids FROM ({_split_sql()}) s")
 def q_token_sink(spark, sf_dir):
-    """K3: tokenised splits written partitioned by split, read back."""
-    s = _splits(spark, sf_dir).select("text_md5", "split")
-    texts = view(spark, sf_dir, "v_labelled").select(F.md5("text").alias("text_md5"), "text", "label").dropDuplicates(["text_md5", "label"])
-    t = s.join(texts.drop("label"), "text_md5").dropDuplicates(["text_md5", "split"])
+    """K3: tokenised splits with their labels, written partitioned by split and
+    read back (a text under two labels is two rows)."""
+    s = _splits(spark, sf_dir).select("text_md5", "label", "split")
+    t = s.join(_text_of_digest(spark, sf_dir), "text_md5")
     input_ids, mask = MD.fixed_length(MD.token_ids(F.col("text")), EMAIL_MAX_TOKENS)
-    out = t.select("text_md5", "split", input_ids.alias("input_ids"), mask.alias("attention_mask"))
+    out = t.select("text_md5", "label", "split", input_ids.alias("input_ids"), mask.alias("attention_mask"))
     path = fresh_path(spark, "tokens")
     out.write.mode("overwrite").partitionBy("split").parquet(path)
-    return spark.read.parquet(path).select("text_md5", "split", F.size("input_ids").alias("n_ids"))
+    return spark.read.parquet(path).select("text_md5", "label", "split", F.size("input_ids").alias("n_ids"))
+
+
+def _text_of_digest(spark, sf_dir):
+    """One text per digest; map-side, a task keeps one copy of each."""
+    d = view(spark, sf_dir, "v_labelled").select(F.md5("text").alias("text_md5"), "text")
+    return d.groupBy("text_md5").agg(F.first("text").alias("text"))
+
+
+def _sql_url_tokens() -> str:
+    seq = f"list_concat([{MD.BOS_ID}], ids[1:{URL_MAX_TOKENS - 2}], [{MD.EOS_ID}])"
+    return (f"SELECT page_id, array_to_string(list_resize({seq}, {URL_MAX_TOKENS}, {MD.PAD_ID}), ' ') AS input_ids, "
+            f"CAST(len({seq}) AS INTEGER) AS n_attended FROM (SELECT page_id, {sql_token_ids('url')} AS ids FROM pages) t")
+
+
+@query("url_tokens", _sql_url_tokens)
+def q_url_tokens(spark, sf_dir):
+    """F9 for URLs: sequences of 128 ids and their masks."""
+    p = view(spark, sf_dir, "pages").select("page_id", MD.token_ids(F.col("url")).alias("ids"))
+    input_ids, mask = MD.fixed_length(F.col("ids"), URL_MAX_TOKENS)
+    return p.select("page_id", F.array_join(input_ids, " ").alias("input_ids"),
+                    F.aggregate(mask, F.lit(0), lambda a, v: a + v).alias("n_attended"))
 
 
 @query("score_batch")

@@ -242,7 +242,10 @@ def _sql_split_sink() -> str:
 def q_split_sink(spark, sf_dir):
     """K2: stratified splits written partitioned by split, read back."""
     path = fresh_path(spark, "splits")
+    from threatsift.session import cut_lineage
     d = view(spark, sf_dir, "v_labelled").select("doc_id", "text", "label")
-    s = SM.stratified_split(d.withColumn("row_key", F.col("doc_id").cast("string")), "row_key").drop("row_key", "rank")
-    SRC.write_table(s, path, partition_by=["split"])
+    keys = cut_lineage(d.select("doc_id", "label", F.col("doc_id").cast("string").alias("row_key")))
+    split = SM.stratified_split(keys, "row_key").select("doc_id", "split")
+    # ranks are taken on keys; the texts join the finished split once
+    SRC.write_table(d.join(split, "doc_id"), path, partition_by=["split"])
     return spark.read.parquet(path).select("doc_id", "label", "split")

@@ -66,22 +66,25 @@ def q_rate_limit_stream(spark, sf_dir):
 
 
 def _stream_sql() -> str:
-    from threatsift.plans.q_triage import oracle_triage_messages
+    from threatsift.plans.q_triage import oracle_triage_messages, oracle_triage_urls
     v = oracle_triage_messages("(SELECT doc_id AS msg_id, text FROM documents) d")
-    return (f"SELECT v.msg_id AS id, d.text AS input_text, 'email' AS input_type, v.label AS prediction_label, "
-            f"v.confidence, v.is_phishing, v.reason FROM ({v}) v JOIN documents d ON d.doc_id = v.msg_id")
+    cols = "v.label AS prediction_label, v.confidence, v.is_phishing, v.reason"
+    return (f"SELECT v.msg_id AS id, d.text AS input_text, 'email' AS input_type, {cols} "
+            f"FROM ({v}) v JOIN documents d ON d.doc_id = v.msg_id UNION ALL "
+            f"SELECT v.msg_id, p.url, 'url', {cols} FROM ({oracle_triage_urls()}) v JOIN pages p ON p.page_id = v.msg_id")
 
 
 @query("triage_stream", _stream_sql)
 def q_triage_stream(spark, sf_dir):
-    """Messages arriving as a stream, scored per micro-batch and
-    appended to the history table."""
-    path = os.path.join(sf_dir, "documents.parquet")
-    schema = spark.read.parquet(path).schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    msgs = src.select(F.col("doc_id").alias("msg_id"), "text")
+    """Requests of both input types arriving as a stream of several
+    micro-batches, scored and appended to the history table."""
+    docs = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), "text", F.lit("email").alias("input_type"))
+    pages = view(spark, sf_dir, "pages").select(F.col("page_id").alias("msg_id"), F.col("url").alias("text"), F.lit("url").alias("input_type"))
+    arriving = fresh_path(spark, "triage-requests")
+    docs.unionByName(pages).write.parquet(arriving)
+    src = spark.readStream.schema("msg_id long, text string, input_type string").option("maxFilesPerTrigger", 4).parquet(arriving)
     hist, ckpt = fresh_path(spark, "triage-history"), fresh_path(spark, "triage-ckpt")
-    q = start_triage_stream(msgs, hist, ckpt)
+    q = start_triage_stream(src, hist, ckpt, type_col="input_type")
     q.awaitTermination()
     # the log's wall-clock timestamp is left out so the rows are comparable
     return read_history(spark, hist).drop("batch", "timestamp")

@@ -12,6 +12,7 @@ from threatsift.plans.catalog import query
 from threatsift.plans.triage import (
     email_predictions,
     triage_messages,
+    triage_requests,
     triage_urls,
     url_occurrences,
     url_predictions,
@@ -99,6 +100,42 @@ def q_triage_urls(spark, sf_dir):
     return triage_urls(pages)
 
 
+# Requests of both input types, some asking for an explanation, some invalid.
+def requests(spark, sf_dir):
+    m = view(spark, sf_dir, "v_messages").select("msg_id", "text")
+    kind = F.when(F.col("msg_id") % 10 == 9, "sms").otherwise("email")
+    mails = m.select(F.col("msg_id") * 2, "text", kind.alias("input_type"), (F.col("msg_id") % 3 == 0).alias("explain"))
+    urls = view(spark, sf_dir, "pages").select(F.col("page_id") * 2 + 1, F.col("url").alias("text"), F.lit("url").alias("input_type"),
+                                               (F.col("page_id") % 2 == 0).alias("explain"))
+    return mails.toDF("msg_id", "text", "input_type", "explain").unionByName(urls.toDF("msg_id", "text", "input_type", "explain"))
+
+
+def _oracle_requests() -> str:
+    from threatsift.plans.q_explain import sql_importance, sql_target, sql_tokens
+    m, mails, urls = f"{sub('v_messages')} vm", oracle_triage_messages(), oracle_triage_urls()
+    unknown = "'Unknown' AS label, CAST(0.0 AS DOUBLE) AS confidence, FALSE AS is_phishing, 'No valid text or URLs provided to analyze.' AS reason"
+    cols = "label, confidence, is_phishing, reason"
+    of_v = "v.label, v.confidence, v.is_phishing, v.reason"
+    rows = (f"SELECT v.msg_id * 2 AS msg_id, vm.text, 'email' AS input_type, v.msg_id % 3 = 0 AS explain, {of_v} FROM ({mails}) v JOIN {m} USING (msg_id) "
+            f"WHERE v.msg_id % 10 <> 9 UNION ALL "
+            f"SELECT vm.msg_id * 2, vm.text, 'sms', vm.msg_id % 3 = 0, {unknown} FROM {m} WHERE vm.msg_id % 10 = 9 UNION ALL "
+            f"SELECT v.msg_id * 2 + 1, p.url, 'url', v.msg_id % 2 = 0, {of_v} FROM ({urls}) v JOIN pages p ON p.page_id = v.msg_id")
+    imp = sql_importance("t", sql_target("label")).replace("CAST(CASE", "(CAST(CASE", 1) + ")"
+    return (f"SELECT msg_id, input_type, {cols}, CASE WHEN explain THEN CAST(len({sql_tokens('text')}) AS INTEGER) END AS n_words, "
+            f"CASE WHEN explain THEN round(coalesce(list_sum(list_transform({sql_tokens('text')}, lambda t: {imp})), 0.0), 6) END AS importance_sum "
+            f"FROM ({rows}) r")
+
+
+@query("triage_requests", _oracle_requests)
+def q_triage_requests(spark, sf_dir):
+    """One request transform over both input types, with explanations."""
+    v = triage_requests(requests(spark, sf_dir), explain_col="explain", carry=("input_type",))
+    total = F.aggregate("word_importances", F.lit(0.0), lambda a, w: a + w["importance"])
+    return v.select("msg_id", "input_type", "label", "confidence", "is_phishing", "reason",
+                    F.size("word_importances").alias("n_words"), F.round(total, 6).alias("importance_sum")) \
+        .withColumn("n_words", F.when(F.col("importance_sum").isNotNull(), F.col("n_words")))
+
+
 # --------------------------------------------------------------------------
 # Allowlist join forms, regather, distinct-then-join scoring
 # --------------------------------------------------------------------------
@@ -147,7 +184,8 @@ def _oracle_preds() -> str:
 def q_score_dedup(spark, sf_dir):
     """Each distinct URL scored once, predictions joined back to every
     occurrence (the plan used for expensive scorers)."""
-    preds = url_predictions(_occ(spark, sf_dir), LexicalScorer("url"), dedupe=True)
+    from threatsift.session import cut_lineage
+    preds = url_predictions(cut_lineage(_occ(spark, sf_dir)), LexicalScorer("url"), dedupe=True)
     return preds.select("msg_id", "url_pos", "norm_url", "is_phishing", "confidence", "message")
 
 

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from threatsift.functions.text import extract_urls, trim_input
 from threatsift.functions.urls import is_allowlisted, normalize_url, url_domain
+from threatsift.operators.explain import scored, target_class
 from threatsift.operators.scoring import LexicalScorer, Scorer
-from threatsift.operators.verdict import E_FIELDS, VERDICT_COLUMNS, email_columns, verdict, verdict_struct
+from threatsift.operators.verdict import E_FIELDS, URL_STRUCT, VERDICT_COLUMNS, email_columns, verdict, verdict_struct
 from threatsift.session import cut_lineage
 from threatsift.settings import DEFAULT, MSG_ALLOWLIST, Settings
 
@@ -33,10 +34,11 @@ URL_PRED_COLUMNS = ("is_phishing", "confidence", "message", "p_phishing", "p_leg
 
 
 def url_occurrences(df: DataFrame, text_col: str = "text", key: str = "msg_id",
-                    settings: Settings = DEFAULT) -> DataFrame:
+                    settings: Settings = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
     """T4 + T5 + T7 + T11 + J1: one row per URL occurrence with its
-    position, normalised form, domain and allowlist flag."""
-    occ = df.select(key, F.posexplode(extract_urls(F.col(text_col))).alias("url_pos", "raw_url"))
+    position, normalised form, domain and allowlist flag, and the ``carry``
+    columns of its message."""
+    occ = df.select(key, *carry, F.posexplode(extract_urls(F.col(text_col))).alias("url_pos", "raw_url"))
     occ = occ.withColumn("norm_url", normalize_url(F.col("raw_url"), settings))
     occ = occ.withColumn("domain", url_domain(F.col("norm_url")))
     return occ.withColumn("allowlisted", is_allowlisted(F.col("domain"), settings))
@@ -64,9 +66,11 @@ def url_predictions(occ: DataFrame, scorer: Scorer, key: str = "msg_id",
         distinct_urls = occ.filter(~F.col("allowlisted")).select("norm_url").distinct()
         scored = scorer.predict(distinct_urls, "norm_url", settings).select(
             "norm_url", *[F.col(c).alias(f"s_{c}") for c in URL_PRED_COLUMNS])
-        joined = occ.join(scored, "norm_url", "left")
-        cols = [F.when(F.col("allowlisted"), allow[c]).otherwise(F.col(f"s_{c}")).alias(c) for c in URL_PRED_COLUMNS]
-        return joined.select(key, "url_pos", "norm_url", "allowlisted", *cols)
+        # known-safe occurrences go around the join: their domains are its hottest keys
+        joined = occ.filter(~F.col("allowlisted")).join(scored, "norm_url", "left")
+        known = occ.filter(F.col("allowlisted")).select(key, "url_pos", "norm_url", "allowlisted", *[allow[c].alias(c) for c in URL_PRED_COLUMNS])
+        return joined.select(key, "url_pos", "norm_url", "allowlisted",
+                             *[F.col(f"s_{c}").alias(c) for c in URL_PRED_COLUMNS]).unionByName(known)
     scored = scorer.predict(occ, "norm_url", settings)
     cols = [F.when(F.col("allowlisted"), allow[c]).otherwise(F.col(c)).alias(c) for c in URL_PRED_COLUMNS]
     return scored.select(key, "url_pos", "norm_url", "allowlisted", *cols)
@@ -169,6 +173,44 @@ def triage_messages(df: DataFrame, email_scorer: Scorer | None = None, url_score
     return v.join(df.select(key, *carry), key) if carry else v
 
 
+def triage_requests(df: DataFrame, email_scorer: Scorer | None = None, url_scorer: Scorer | None = None,
+                    text_col: str = "text", key: str = "msg_id", type_col: str = "input_type", explain_col: str | None = None,
+                    settings: Settings = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Verdict per request of either input type, in one projection for native
+    scorers: a ``url`` request is one URL judged by the URL model, an ``email``
+    request a message judged with every URL in it; another type gets the
+    Unknown verdict. With ``explain_col``, requests that ask for it carry
+    ``word_importances``: every token of the text in order with its importance
+    toward the verdict's class (null for the others)."""
+    email_scorer = email_scorer or LexicalScorer("email", lowercased=True)
+    url_scorer = url_scorer or LexicalScorer("url")
+    carry = tuple(dict.fromkeys([*carry, *([text_col, explain_col] if explain_col else [])]))
+    kind = F.coalesce(F.col(type_col), F.lit(""))
+    if _narrow(url_scorer) and not email_scorer.expensive:
+        body = df.select(key, *carry, kind.alias("_kind"), trim_input(F.col(text_col)).alias("_clean"))
+        body = body.withColumn("_body", F.lower("_clean"))
+        e = email_scorer.predict(body, "_body", settings)
+        ecols = [c for c, _ in E_FIELDS]
+        urls = (F.when(F.col("_kind") == "url", F.array(F.col("_clean"))).when(F.col("_kind") == "email", extract_urls(F.col("_clean")))
+                .otherwise(F.array().cast("array<string>")))
+        is_email = F.col("_kind") == "email"
+        e = e.select(key, *carry, *[F.when(is_email, F.col(c)).alias(c) for c in ecols], is_email.alias("_is_email"),
+                     url_prediction_array(urls, url_scorer, settings).alias("_preds"))
+        out = _finish(e, key, F.col("_is_email"), {c: F.col(c) for c in ecols}, settings, carry)
+    else:
+        parts = [triage_messages(df.filter(kind == "email"), email_scorer, url_scorer, text_col, key, settings, carry),
+                 triage_urls(df.filter(kind == "url"), url_scorer, text_col, key, settings, carry)]
+        rest = df.filter(~kind.isin("email", "url"))
+        parts.append(_finish(rest.select(key, *carry, F.array().cast(f"array<{URL_STRUCT}>").alias("_preds")), key,
+                             F.lit(False), {c: F.lit(None).cast(t) for c, t in E_FIELDS}, settings, carry))
+        out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if not explain_col:
+        return out
+    words = F.transform(scored(F.col(text_col), target_class(F.col("label"))),
+                        lambda t: F.struct(t["token"].alias("word"), t["importance"].alias("importance")))
+    return out.withColumn("word_importances", F.when(F.col(explain_col), words))
+
+
 def triage_urls(df: DataFrame, url_scorer: Scorer | None = None, text_col: str = "text",
                 key: str = "msg_id", settings: Settings = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
     """V8: each input is one URL; verdict from the URL model alone (narrow
