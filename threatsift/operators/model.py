@@ -14,12 +14,13 @@ import hashlib
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import HashingTF, IDF, SQLTransformer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatsift.functions.text import WORD_SPLIT, all_words
+from threatsift.functions.text import all_words
 from threatsift.operators.joins import checked_broadcast
+from threatsift.session import cut_lineage
 
 # Fixed values of the token layout: sequence start, padding, sequence end,
 # and the vocabulary size of the encoder family being fed.
@@ -48,11 +49,30 @@ def fixed_length(ids: Column, max_len: int) -> tuple[Column, Column]:
 
 # ---------------------------------------------------------------- M5
 
+# Features are hashes of a token's md5 (32 ASCII characters): on strings whose
+# length is a multiple of four, SQL's hash() and the feature hasher agree, so
+# the index of any token can be computed in a query (tested).
+WORD_TOKENS = ("transform(filter(split(lower(coalesce(text, '')), '[^\\\\p{L}\\\\p{N}_]+'), w -> w <> ''), w -> md5(w))")
+NGRAM = 3
+
+
+def ngram_tokens(n: int = NGRAM) -> str:
+    """Character n-grams of the lowercased text (a shorter text is one token)."""
+    return (f"transform(sequence(1, greatest(length(coalesce(text, '')) - {n - 1}, 1)), "
+            f"i -> md5(substring(lower(coalesce(text, '')), i, {n})))")
+
+
+def feature_index(token: Column, num_features: int) -> Column:
+    """Index of a (plain) token in the hashed feature vector."""
+    return F.pmod(F.hash(F.md5(token)), F.lit(num_features))
+
+
 def text_pipeline(num_features: int = 1 << 18, weight_col: str | None = "weight", label_col: str = "label",
-                  max_iter: int = 50, reg: float = 0.01) -> Pipeline:
+                  max_iter: int = 50, reg: float = 0.01, tokens: str = WORD_TOKENS) -> Pipeline:
     """Tokenise -> hashed term frequencies -> IDF -> multinomial logistic
-    regression (class-weighted)."""
-    tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=WORD_SPLIT, toLowercase=True, minTokenLength=1)
+    regression (class-weighted). ``tokens`` is the SQL of the token array:
+    words for messages, character n-grams for URLs."""
+    tok = SQLTransformer(statement=f"SELECT *, {tokens} AS tokens FROM __THIS__")
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
     idf = IDF(inputCol="tf", outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol=label_col, family="multinomial",
@@ -62,6 +82,11 @@ def text_pipeline(num_features: int = 1 << 18, weight_col: str | None = "weight"
     return Pipeline(stages=[tok, tf, idf, lr])
 
 
+def url_pipeline(num_features: int = 1 << 16, **kw) -> Pipeline:
+    """M5 for URLs: two classes on character n-grams."""
+    return text_pipeline(num_features, tokens=ngram_tokens(), **kw)
+
+
 def with_class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
     """M6 weights n / (k * count) attached to every row (tiny join)."""
     from threatsift.operators.sample import class_weights
@@ -69,9 +94,10 @@ def with_class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
     return df.join(w, label_col)
 
 
-def train_classifier(train: DataFrame, **kw):
-    """M5: fit the pipeline; returns the PipelineModel."""
-    return text_pipeline(**kw).fit(with_class_weights(train))
+def train_classifier(train: DataFrame, pipeline=text_pipeline, **kw):
+    """M5: fit a pipeline; returns the PipelineModel. The rows are written once:
+    weights, IDF and the iterations of the fit all read them."""
+    return pipeline(**kw).fit(cut_lineage(with_class_weights(cut_lineage(train))))
 
 
 # ---------------------------------------------------------------- M7
@@ -87,21 +113,19 @@ def coefficient_table(model, spark) -> DataFrame:
     return spark.createDataFrame(rows, "class int, idx int, coef double, idf double")
 
 
-def token_importance(model, df: DataFrame, key: str, text_col: str, target_col: str, top_n: int = 7) -> DataFrame:
-    """M7: |coef[target, token] x tf-idf(token)| per distinct token of each
-    message, top ``top_n`` per message. Token indices use the same Murmur3
-    hash (seed 42) as HashingTF, so they match the model's features."""
-    spark = df.sparkSession
+def token_importance(model, df: DataFrame, key: str, text_col: str, target_col: str) -> DataFrame:
+    """M7: (key, pos, token, importance) for every word of every message, in
+    order: the change of the target class's logit when that word is taken out,
+    |coefficient x IDF| of its feature. Words without a coefficient have 0."""
     num_features = model.stages[1].getNumFeatures()
-    coefs = checked_broadcast(coefficient_table(model, spark), 10_000_000)
-    toks = df.select(key, target_col, F.explode(F.filter(all_words(F.col(text_col)), lambda w: w != "")).alias("token"))
-    tf = toks.groupBy(key, target_col, "token").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.withColumn("idx", F.pmod(F.hash("token"), F.lit(num_features)))
-    j = tf.join(coefs, (tf["idx"] == coefs["idx"]) & (tf[target_col] == coefs["class"])).drop(coefs["idx"])
-    j = j.withColumn("importance", F.abs(F.col("coef") * F.col("tf") * F.col("idf")))
-    w = Window.partitionBy(key).orderBy(F.col("importance").desc(), F.col("token"))
-    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n).select(
-        key, "token", "importance", "rank")
+    classes = model.stages[-1].numClasses
+    coefs = checked_broadcast(coefficient_table(model, df.sparkSession), classes * num_features)
+    words = F.filter(all_words(F.col(text_col)), lambda w: w != "")
+    toks = df.select(key, target_col, F.posexplode(words).alias("pos", "token"))
+    toks = toks.withColumn("idx", feature_index(F.col("token"), num_features))
+    hit = (toks["idx"] == coefs["idx"]) & (toks[target_col] == coefs["class"])
+    j = toks.join(coefs, hit, "left")
+    return j.select(key, "pos", "token", F.coalesce(F.abs(F.col("coef") * F.col("idf")), F.lit(0.0)).alias("importance"))
 
 
 # ---------------------------------------------------------------- M4 demo model

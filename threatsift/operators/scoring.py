@@ -62,25 +62,17 @@ def cue_word_pattern(words) -> str:
 
 
 def word_cue_counts(c, cue_words: dict, already_lower: bool = False) -> dict[str, Column]:
-    """Cue-word counts per class in ONE regex pass over the text (only the
-    cue occurrences are materialised, not every word) and one fold over them
-    with a long counter per class, so no text is too long for it. Equal to
-    counting tokens of the word split."""
-    keys = list(cue_words)
+    """Cue-word counts per class: whole-word matches counted by the regex
+    engine, nothing is materialised and no text is too long. A word listed for
+    two classes counts for the first. Equal to counting tokens of the word split."""
     x = F.coalesce(_c(c), F.lit(""))
     x = x if already_lower else F.lower(x)
-    found = F.regexp_extract_all(x, F.lit(cue_word_pattern([w for ws in cue_words.values() for w in ws])), 0)
-
-    def owner(i, w):  # a word listed twice counts for its first class
-        hit = w.isin(*cue_words[keys[i]])
-        for earlier in keys[:i]:
-            hit = hit & ~w.isin(*cue_words[earlier])
-        return hit.cast("long")
-
-    zero = F.struct(*[F.lit(0).cast("long").alias(k) for k in keys])
-    counts = F.aggregate(found, zero, lambda acc, w: F.struct(
-        *[(acc[k] + owner(i, w)).alias(k) for i, k in enumerate(keys)]))
-    return {k: counts[k] for k in keys}
+    out, seen = {}, set()
+    for k, words in cue_words.items():
+        own = [w for w in words if w not in seen]
+        seen.update(own)
+        out[k] = F.regexp_count(x, F.lit(cue_word_pattern(own))).cast("long")
+    return out
 
 
 def lexical_scores(c, kind: str = "email", already_lower: bool = False) -> dict[str, Column]:

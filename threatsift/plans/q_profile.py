@@ -13,6 +13,7 @@ from threatsift.plans.catalog import query
 from threatsift.plans.q_clean import canonical_email, sql_canonical_email, sql_map_label, sql_relabel
 from threatsift.plans.q_triage import oracle_triage_messages, oracle_triage_urls
 from threatsift.plans.triage import triage_messages, triage_urls
+from threatsift.session import fresh_path
 from threatsift.plans.views import sub, view
 from threatsift.settings import EMAIL_LABEL_MAP, NEGATIVE_CLASS_NAMES, POSITIVE_CLASS_NAMES, SEED, STOP_WORDS
 
@@ -180,14 +181,22 @@ def q_history_summary(spark, sf_dir):
 
 
 @query("result_export", lambda: (
-    f"SELECT msg_id AS item, input_type, CASE WHEN label = 'Legitimate' THEN 'Safe' ELSE label END AS verdict, "
-    f"round(confidence * 100, 2) AS confidence_pct, is_phishing, reason AS details FROM ({sql_history()}) h"))
+    f"SELECT CAST(msg_id AS VARCHAR) AS item, input_type, CASE WHEN label = 'Legitimate' THEN 'Safe' ELSE label END AS verdict, "
+    f"round(confidence * 100, 2) AS confidence_pct, CAST(is_phishing AS VARCHAR) AS is_phishing, reason AS details, input_text AS input "
+    f"FROM ({sql_history()}) h"))
 def q_result_export(spark, sf_dir):
-    """K4: export view of results (renamed columns, display label)."""
+    """K4: results with their input text as CSV files (renamed columns, display
+    label), read back."""
+    from threatsift.sources import corpus as SRC
     h = history_frame(spark, sf_dir)
-    return h.select(F.col("msg_id").alias("item"), "input_type", PR.display_label("label").alias("verdict"),
-                    F.round(F.col("confidence") * 100, 2).alias("confidence_pct"), "is_phishing",
-                    F.col("reason").alias("details"))
+    out = h.select(F.col("msg_id").alias("item"), "input_type", PR.display_label("label").alias("verdict"),
+                   F.round(F.col("confidence") * 100, 2).alias("confidence_pct"), "is_phishing",
+                   F.col("reason").alias("details"), F.col("input_text").alias("input"))
+    path = fresh_path(spark, "export")
+    SRC.write_table(out, path, "csv")
+    back = SRC.tolerant_csv(spark, path, out.columns)
+    return back.select("item", "input_type", "verdict", F.col("confidence_pct").cast("double").alias("confidence_pct"),
+                       "is_phishing", "details", "input")
 
 
 # ---------------------------------------------------------------- metrics
@@ -258,7 +267,9 @@ VERDICT_CODE = "CASE v.label WHEN 'Legitimate' THEN 0 WHEN 'Spam' THEN 1 WHEN 'P
 
 def _sql_pipeline_metrics() -> str:
     email = sql_report(sql_counts(PREDS), EMAIL_CLASSES)
-    url = sql_report(sql_counts(PREDS, "CAST(label_true = 2 AS INTEGER)", "CAST(pred = 2 AS INTEGER)"), [0, 1])
+    url_src = (f"(SELECT l.label AS label_true, CAST(coalesce(v.is_phishing, FALSE) AS INTEGER) AS pred FROM ({oracle_triage_urls()}) v "
+               f"JOIN {sub('v_url_labels')} l ON l.msg_id = v.msg_id) ub")
+    url = sql_report(sql_counts(url_src), [0, 1])
     comb_src = (f"(SELECT m.label AS label_true, {VERDICT_CODE} AS pred FROM ({oracle_triage_messages()}) v "
                 f"JOIN {MSG} m ON m.msg_id = v.msg_id WHERE m.label IS NOT NULL) cb")
     comb = sql_report(sql_counts(comb_src), EMAIL_CLASSES)
@@ -268,27 +279,22 @@ def _sql_pipeline_metrics() -> str:
 
 @query("pipeline_metrics", _sql_pipeline_metrics)
 def q_pipeline_metrics(spark, sf_dir):
-    """Metrics of the email model, the URL (phishing vs not) view and
-    the combined per-message verdicts against the message labels."""
+    """Metrics of the email model, of the URL verdicts over labelled page
+    URLs, and of the combined per-message verdicts."""
     preds = view(spark, sf_dir, "v_preds").select("label_true", "pred")
+    urls = view(spark, sf_dir, "v_url_labels").select("msg_id", F.col("url").alias("text"), F.col("label").alias("label_true"))
+    u = triage_urls(urls, carry=("label_true",)).select("label_true", F.coalesce("is_phishing", F.lit(False)).cast("int").alias("pred"))
     m = view(spark, sf_dir, "v_messages")
     v = triage_messages(m.withColumnRenamed("label", "label_true"), carry=("label_true",))
     v = v.filter(F.col("label_true").isNotNull())
     code = (F.when(F.col("label") == "Legitimate", 0).when(F.col("label") == "Spam", 1)
             .when(F.col("label") == "Phishing", 2).otherwise(-1))
-    # both sources counted by one aggregation; each is scanned once
-    pairs = preds.select(F.lit("email").alias("pipeline"), "label_true", "pred").unionByName(
-        v.select(F.lit("combined").alias("pipeline"), "label_true", code.alias("pred")))
+    # all sources counted by one aggregation; each is scanned once
+    pairs = (preds.select(F.lit("email").alias("pipeline"), "label_true", "pred")
+             .unionByName(u.select(F.lit("url").alias("pipeline"), "label_true", "pred"))
+             .unionByName(v.select(F.lit("combined").alias("pipeline"), "label_true", code.alias("pred"))))
     counts = pairs.groupBy("pipeline", "label_true", "pred").agg(F.count(F.lit(1)).alias("n"))
     arr = EV.count_array(counts, ("pipeline",))
-    # the URL view (phishing vs not) re-labels the email model's counts
-    binary = F.transform("_c", lambda x: F.struct((x["label_true"] == 2).cast("int").alias("label_true"),
-                                                   (x["pred"] == 2).cast("int").alias("pred"), x["n"].alias("n")))
-    per_pipeline = F.when(F.col("pipeline") == "email", F.array(
-        F.struct(F.lit("email").alias("pipeline"), F.col("_c").alias("_c")),
-        F.struct(F.lit("url").alias("pipeline"), binary.alias("_c")),
-    )).otherwise(F.array(F.struct(F.col("pipeline").alias("pipeline"), F.col("_c").alias("_c"))))
-    arr = arr.select(F.inline(per_pipeline))
     stats = arr.select("pipeline", F.when(F.col("pipeline") == "url", EV.class_stats("_c", [0, 1]))
                        .otherwise(EV.class_stats("_c", EMAIL_CLASSES)).alias("_s"))
     return EV.report(stats, ("pipeline",))

@@ -14,7 +14,7 @@ from threatsift.plans.catalog import query
 from threatsift.plans.q_sample import _rows, _split_sql
 from threatsift.plans.triage import triage_messages
 from threatsift.plans.views import view
-from threatsift.session import fresh_path
+from threatsift.session import cut_lineage, fresh_path
 from threatsift.settings import EMAIL_MAX_TOKENS, URL_MAX_TOKENS
 
 
@@ -98,9 +98,8 @@ def q_score_batch(spark, sf_dir):
 
 
 def _trained(spark, sf_dir):
-    d = view(spark, sf_dir, "v_labelled").select(F.md5("text").alias("text_md5"), "text", "label")
-    s = _splits(spark, sf_dir).select("text_md5", "label", "split")
-    rows = s.join(d.dropDuplicates(["text_md5", "label"]), ["text_md5", "label"])
+    rows = _splits(spark, sf_dir).select("text_md5", "label", "split").join(_text_of_digest(spark, sf_dir), "text_md5")
+    rows = cut_lineage(rows)
     model = MD.train_classifier(rows.filter(F.col("split") == "train"), max_iter=30)
     return model, rows
 
@@ -116,12 +115,24 @@ def q_train_classifier(spark, sf_dir):
     return preds.select("text_md5", "split", "label", "is_phishing", "confidence", "p_phishing", "p_spam", "p_legitimate")
 
 
+@query("train_url_classifier")
+def q_train_url_classifier(spark, sf_dir):
+    """M5 for URLs: two classes on character n-grams, trained on a stratified
+    split of the page URLs; predictions of the held-out rows."""
+    urls = view(spark, sf_dir, "v_url_labels").select(F.col("url").alias("text"), "label").dropDuplicates()
+    rows = SM.stratified_split(cut_lineage(urls), "text").drop("rank")
+    model = MD.train_classifier(rows.filter(F.col("split") == "train"), MD.url_pipeline, max_iter=30)
+    held = rows.filter(F.col("split") != "train")
+    preds = SparkMLScorer(model, URL_CLASSES, input_col="text").predict(held, "text")
+    return preds.select("text", "split", "label", "is_phishing", "confidence", "p_phishing", "p_legitimate")
+
+
 @query("token_importance")
 def q_token_importance(spark, sf_dir):
-    """M7: top tokens per held-out message toward its predicted class,
-    |coef x tf-idf| of the trained linear model."""
+    """M7: importance of every word of the held-out messages toward the
+    predicted class of the trained linear model."""
     model, rows = _trained(spark, sf_dir)
     held = rows.filter(F.col("split") != "train")
     pred = model.transform(held.withColumn("weight", F.lit(1.0))).select(
-        "text_md5", "text", F.col("prediction").cast("int").alias("target"))
+        "text_md5", "label", "text", F.col("prediction").cast("int").alias("target"))
     return MD.token_importance(model, pred, "text_md5", "text", "target")

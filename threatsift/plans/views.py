@@ -46,7 +46,14 @@ V_LABELLED = (
     "FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
 )
 
+# Page URLs with a class: hosts that name an unwanted trade are 1.
+V_URL_LABELS = (
+    "SELECT page_id AS msg_id, url, CASE WHEN url LIKE '%casino%' OR url LIKE '%bets%' OR url LIKE '%pills%' OR url LIKE '%spam%' "
+    "OR url LIKE '%ads-%' OR url LIKE '%adult%' THEN 1 ELSE 0 END AS label FROM pages"
+)
+
 VIEWS = {
+    "v_url_labels": V_URL_LABELS,
     "v_messages": V_MESSAGES,
     "v_raw_labels": V_RAW_LABELS,
     "v_preds": V_PREDS,
