@@ -2,16 +2,13 @@
 an oracle matches DuckDB there (the driver repeats this at sf0.01)."""
 
 import math
-import os
 
 import duckdb
-import pytest
 
 import __spark_entry__ as E
 from threatsift.plans.views import TABLES
 
 SF = "/root/testdata/sf0.001"
-FULL = os.environ.get("THREATSIFT_FULL") == "1"
 
 
 def norm(rows, cols):
@@ -30,7 +27,6 @@ def test_entry(spark):
     assert df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
-@pytest.mark.skipif(not FULL, reason="set THREATSIFT_FULL=1 (about 8 minutes); scripts/check_oracle.py does the same at sf0.01")
 def test_all_queries_against_oracle(spark):
     con = duckdb.connect()
     for t in TABLES:

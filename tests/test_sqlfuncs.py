@@ -21,5 +21,8 @@ def test_sql_functions_match_columns(spark):
         X.extract_urls(F.col("u")).alias("e"), X.is_html(F.col("u")).alias("h"), X.py_strip(F.col("u")).alias("s")).collect()
     key = lambda r: (r.u is None, r.u or "")
     assert sorted(got, key=key) == sorted(exp, key=key)
+    rows = spark.sql("SELECT i.u, t.url_pos, t.url FROM sqlf_in i, LATERAL ts_explode_urls(i.u) t").collect()
+    want = spark.table("sqlf_in").select("u", F.posexplode(X.extract_urls(F.col("u")))).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, want)) and rows
     r = spark.sql("SELECT ts_html_to_text('<p>caf&eacute;</p>') AS t, ts_allowlisted('google.com') AS a").first()
     assert r.t == "café" and r.a is True

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threatsift.functions import urls as U
+from threatsift.settings import Settings
 
 
 def run(spark, values, fn):
@@ -90,3 +91,13 @@ def test_hosts_that_change_under_nfkc_are_rejected(spark):
     rows = df.select(U.normalize_url("u").alias("n"), U.url_error("u").alias("e")).collect()
     assert [r.n is None for r in rows] == [True, True, True, False, False, False]
     assert [r.e is None for r in rows] == [False, False, False, True, True, True]
+
+
+def test_host_options(spark):
+    st = Settings(bare_host=True, strict_host=True)
+    values = ["google.com", "google.com:443/x", "HTTP://user@google.com/", "https://google.www.com/", "mailto:a@b.org", "x/y.com", "http://[abc/"]
+    df = spark.createDataFrame([(v,) for v in values], "u string")
+    n = U.normalize_url(F.col("u"), st)
+    rows = df.select(n.alias("n"), U.is_allowlisted(U.url_domain(n, st.strict_host), st).alias("a")).collect()
+    assert [r.n for r in rows[:2]] == ["https://google.com", "https://google.com:443/x"]
+    assert [r.a for r in rows] == [True, True, True, False, False, False, False]

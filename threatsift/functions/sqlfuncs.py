@@ -64,6 +64,8 @@ def definitions(settings: Settings = DEFAULT) -> list[str]:
         "RETURN contains(lower(s), '<html') OR contains(s, '</')",
         "CREATE OR REPLACE TEMPORARY FUNCTION ts_extract_urls(s STRING) RETURNS ARRAY<STRING> RETURN "
         f"transform(regexp_extract_all(coalesce(s, ''), {_q(URL_PATTERN)}, 0), u -> regexp_replace(u, {_q(URL_TRAILING)}, ''))",
+        "CREATE OR REPLACE TEMPORARY FUNCTION ts_explode_urls(s STRING) RETURNS TABLE (url_pos INT, url STRING) RETURN "
+        "SELECT pos, col FROM (SELECT posexplode(u) FROM (SELECT ts_extract_urls(s) AS u))",
         "CREATE OR REPLACE TEMPORARY FUNCTION ts_prepare_url(u STRING) RETURNS STRING RETURN "
         "regexp_replace(regexp_replace(CASE WHEN startswith(lower(ts_strip(u)), 'www.') "
         "THEN concat('https://', lower(ts_strip(u))) ELSE lower(ts_strip(u)) END, "

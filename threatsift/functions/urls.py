@@ -54,11 +54,16 @@ def _part(x: Column, idx: int) -> Column:
     return F.regexp_extract(x, SPLIT_PATTERN, idx)
 
 
-def prepare(c) -> Column:
-    """strip + lowercase, 'www.' gets https://, then the splitter's own
+BARE_HOST = r"^(?:[^/?#:@\s\[\]]+\.)+[a-z]{2,}(?::[0-9]+)?(?:[/?#]|$)"
+
+
+def prepare(c, bare_host: bool = False) -> Column:
+    """strip + lowercase, 'www.' gets https:// (with ``bare_host``, so does a
+    dotted host without a scheme, port or not), then the splitter's own
     cleaning (leading C0/space removed, tab/CR/LF dropped)."""
     x = F.lower(py_strip(c))
-    x = F.when(x.startswith("www."), F.concat(F.lit("https://"), x)).otherwise(x)
+    hostlike = x.startswith("www.") | x.rlike(BARE_HOST) if bare_host else x.startswith("www.")
+    x = F.when(hostlike, F.concat(F.lit("https://"), x)).otherwise(x)
     x = F.regexp_replace(x, r"^[\x{0}-\x{20}]+", "")
     return F.regexp_replace(x, r"[\t\r\n]", "")
 
@@ -190,7 +195,7 @@ def normalize_url(c, settings: Settings = DEFAULT) -> Column:
                          _part(x, 3).alias("path"), _part(x, 4).alias("query"))
         return let(parts, lambda p: let(recode(p), finish))
 
-    return F.when(_c(c).isNotNull(), let(prepare(c), from_prepared))
+    return F.when(_c(c).isNotNull(), let(prepare(c, settings.bare_host), from_prepared))
 
 
 def url_netloc(c) -> Column:
@@ -198,8 +203,12 @@ def url_netloc(c) -> Column:
     return _part(F.lower(_c(c)), 2)
 
 
-def url_domain(normalized) -> Column:
-    """Netloc of the normalised URL with every 'www.' removed."""
+def url_domain(normalized, strict: bool = False) -> Column:
+    """Netloc of the normalised URL with every 'www.' removed. ``strict``
+    closes the gaps of that rule: userinfo and port go, and only a leading
+    'www.' is removed."""
+    if strict:
+        return strict_domain(normalized)
     return F.replace(_part(_c(normalized), 2), F.lit("www."), F.lit(""))
 
 

@@ -91,9 +91,12 @@ def relabel_by_source(label, path) -> Column:
 
 
 def canonical_email(df: DataFrame, text_col: str, label_col: str, path_col: str | None = "path",
-                    mapping: dict = EMAIL_LABEL_MAP) -> DataFrame:
+                    mapping: dict = EMAIL_LABEL_MAP, null_text: str | None = None) -> DataFrame:
     """C1-C5 for one email source: project, lowercase, map, relabel, drop
-    unlabelled; lineage columns are kept."""
+    unlabelled; lineage columns are kept. Null texts are dropped, or stand as
+    the ``null_text`` literal (string casts elsewhere make it "nan")."""
+    if null_text is not None:
+        df = df.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit(null_text)))
     lab = map_label(F.col(label_col), mapping)
     if path_col:
         lab = relabel_by_source(lab, F.col(path_col))

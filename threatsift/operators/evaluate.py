@@ -24,8 +24,13 @@ def confusion_counts(df: DataFrame, true_col: str = "label_true", pred_col: str
 # never joined or unioned back onto the count lineage (which would re-run the
 # whole upstream plan once per branch).
 
-def count_array(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``keys`` + ``_c``: the (label_true, pred, n) structs of each key."""
+def count_array(counts: DataFrame, keys: tuple[str, ...] = (), classes: list[int] | None = None) -> DataFrame:
+    """``keys`` + ``_c``: the (label_true, pred, n) structs of each key. With
+    ``classes``, labels outside them are folded into one (null) first, so the
+    array has at most (classes + 1)^2 entries whatever the columns hold."""
+    if classes is not None:
+        known = {c: F.when(F.col(c).isin(*classes), F.col(c)).alias(c) for c in ("label_true", "pred")}
+        counts = counts.groupBy(*keys, *known.values()).agg(F.sum("n").alias("n"))
     return counts.groupBy(*keys).agg(F.collect_list(F.struct("label_true", "pred", "n")).alias("_c"))
 
 
@@ -63,12 +68,7 @@ def confusion_matrix(counts: DataFrame, classes: list[int]) -> DataFrame:
                  *[_total("_c", true_cls=r, pred_cls=c).alias(f"pred_{c}")
                    for c in classes])
         for r in classes])
-    return count_array(counts).select(F.inline(rows))
-
-
-def per_class(counts: DataFrame, classes: list[int]) -> DataFrame:
-    """TP/FP/FN/support per class (rows: classes) from the count table."""
-    return count_array(counts).select(F.inline(class_stats("_c", classes)))
+    return count_array(counts, (), classes).select(F.inline(rows))
 
 
 def _ratio(a, b):

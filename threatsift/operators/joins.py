@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from threatsift.settings import DEFAULT, Settings
 
 
+MAX_BROADCAST_BYTES = 64 << 20
+
+
 def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint ``df`` as broadcast only after proving it has at most
-    ``max_rows`` rows (a bounded ``limit(n+1).count()``); otherwise return it
-    unchanged and let the planner / AQE pick a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Hint ``df`` as broadcast only after counting at most ``max_rows`` rows
+    whose fixed-width size stays below ``MAX_BROADCAST_BYTES``; otherwise return
+    it unchanged and let the planner / AQE pick a shuffle join."""
+    width = sum(f.dataType.simpleString() in ("string", "binary") and 64 or 16 for f in df.schema.fields)
+    rows = min(max_rows, MAX_BROADCAST_BYTES // max(width, 1))
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def allowlist_table(spark: SparkSession, settings: Settings = DEFAULT) -> DataFrame:
@@ -29,10 +33,3 @@ def semi_by_allowlist(df: DataFrame, allow: DataFrame, col: str = "domain", how:
     return df.join(allow, df[col] == allow["_allow"], how)
 
 
-def flag_by_allowlist(df: DataFrame, allow: DataFrame, col: str = "domain", out: str = "allowlisted",
-                      settings: Settings = DEFAULT) -> DataFrame:
-    """J1 for an allowlist given as a table: left join -> boolean flag."""
-    a = checked_broadcast(allow.select(F.col(allow.columns[0]).alias("_allow")).distinct(),
-                          settings.broadcast_row_limit)
-    j = df.join(a, df[col] == a["_allow"], "left")
-    return j.withColumn(out, F.col("_allow").isNotNull()).drop("_allow")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatsift.functions.text import char_count, whitespace_words, words
-from threatsift.settings import STOP_WORDS
+from threatsift.operators.clean import map_label, relabel_by_source
+from threatsift.settings import EMAIL_LABEL_MAP, LEGACY_EMAIL_LABEL_MAP, STOP_WORDS
 
 
 def label_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -57,6 +58,14 @@ def top_words(df: DataFrame, text_col: str, group_col: str, n: int = 10, salt_bu
     return ranked.filter(F.col("rank") <= n)
 
 
+def mapped_label_counts(df: DataFrame, label_col: str = "raw_label", path_col: str = "path", legacy: bool = False) -> DataFrame:
+    """Mapped label counts per source with totals. ``legacy`` uses the
+    profiler's own, drifted vocabulary."""
+    lab = relabel_by_source(map_label(F.col(label_col), LEGACY_EMAIL_LABEL_MAP if legacy else EMAIL_LABEL_MAP), F.col(path_col))
+    t = df.select(path_col, lab.alias("label")).filter(F.col("label").isNotNull())
+    return t.rollup(path_col, "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def stage_shares(stages: dict[str, DataFrame], label_col: str = "label") -> DataFrame:
     """Counts and percentage per class at each named stage."""
     parts = [df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("stage", F.lit(name))

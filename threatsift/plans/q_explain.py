@@ -136,7 +136,7 @@ def q_span_overlap(spark, sf_dir):
     f"SELECT msg_id, CAST(pos AS INTEGER) AS pos, token, round(importance, 6) AS importance, imp_rank <= {TOP_IMPORTANCE_WORDS} AS is_top, "
     f"{SQL_OVERLAP} AS is_url, CASE WHEN is_phishing THEN 'red' ELSE 'green' END AS color FROM "
     f"(SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY abs(importance) DESC, pos) AS imp_rank FROM ({_sql_msg_tokens()}) t) r "
-    f"WHERE imp_rank <= {TOP_IMPORTANCE_WORDS} OR {SQL_OVERLAP}"))
+    f"WHERE imp_rank <= {TOP_IMPORTANCE_WORDS} OR {SQL_OVERLAP}"), headline=True)
 def q_highlight_tokens(spark, sf_dir):
     """Tokens to highlight per message (top-7 or inside a URL) and the
     verdict colour."""

@@ -13,9 +13,9 @@ from threatsift.plans.catalog import query
 from threatsift.plans.q_clean import canonical_email, sql_canonical_email, sql_map_label, sql_relabel
 from threatsift.plans.q_triage import oracle_triage_messages, oracle_triage_urls
 from threatsift.plans.triage import triage_messages, triage_urls
-from threatsift.session import fresh_path
 from threatsift.plans.views import sub, view
-from threatsift.settings import EMAIL_LABEL_MAP, NEGATIVE_CLASS_NAMES, POSITIVE_CLASS_NAMES, SEED, STOP_WORDS
+from threatsift.session import fresh_path
+from threatsift.settings import EMAIL_LABEL_MAP, LEGACY_EMAIL_LABEL_MAP, NEGATIVE_CLASS_NAMES, POSITIVE_CLASS_NAMES, SEED, STOP_WORDS
 
 MSG = sub("v_messages")
 RAW = sub("v_raw_labels")
@@ -120,7 +120,7 @@ def _sql_balanced() -> str:
     f"SELECT stage, label, n_rows, round(n_rows * 100.0 / sum(n_rows) OVER (PARTITION BY stage), 6) AS pct FROM ("
     f"SELECT 'original' AS stage, label, count(*) AS n_rows FROM ({sql_canonical_email()}) a GROUP BY label UNION ALL "
     f"SELECT 'cleaned', label, count(*) FROM ({_sql_cleaned()}) b GROUP BY label UNION ALL "
-    f"SELECT 'balanced', label, count(*) FROM ({_sql_balanced()}) c GROUP BY label) s"))
+    f"SELECT 'balanced', label, count(*) FROM ({_sql_balanced()}) c GROUP BY label) s"), headline=True)
 def q_class_shares(spark, sf_dir):
     """Class counts and shares after mapping, after dedup, after balancing."""
     from threatsift.session import cut_lineage
@@ -132,15 +132,22 @@ def q_class_shares(spark, sf_dir):
     return PR.stage_shares({"original": original, "cleaned": cleaned, "balanced": balanced})
 
 
-@query("raw_label_counts", lambda: (
-    f"SELECT path, label, count(*) AS n_rows FROM (SELECT path, {sql_relabel(sql_map_label('raw_label', EMAIL_LABEL_MAP), 'path')} AS label "
-    f"FROM {RAW} r) t WHERE label IS NOT NULL GROUP BY ROLLUP (path, label)"))
+def _sql_label_counts(legacy: bool) -> str:
+    lab = sql_relabel(sql_map_label("raw_label", LEGACY_EMAIL_LABEL_MAP if legacy else EMAIL_LABEL_MAP), "path")
+    return (f"SELECT path, label, count(*) AS n_rows FROM (SELECT path, {lab} AS label FROM {RAW} r) t "
+            f"WHERE label IS NOT NULL GROUP BY ROLLUP (path, label)")
+
+
+@query("raw_label_counts", lambda: _sql_label_counts(False))
 def q_raw_label_counts(spark, sf_dir):
     """Mapped label counts per source, with per-source and grand totals."""
-    r = view(spark, sf_dir, "v_raw_labels")
-    lab = C.relabel_by_source(C.map_label(F.col("raw_label"), EMAIL_LABEL_MAP), F.col("path"))
-    t = r.select("path", lab.alias("label")).filter(F.col("label").isNotNull())
-    return t.rollup("path", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+    return PR.mapped_label_counts(view(spark, sf_dir, "v_raw_labels"))
+
+
+@query("raw_label_counts_legacy", lambda: _sql_label_counts(True))
+def q_raw_label_counts_legacy(spark, sf_dir):
+    """P8 with the profiler's own vocabulary."""
+    return PR.mapped_label_counts(view(spark, sf_dir, "v_raw_labels"), legacy=True)
 
 
 def _sql_summary(src: str, by: str | None = None) -> str:
@@ -294,7 +301,7 @@ def q_pipeline_metrics(spark, sf_dir):
              .unionByName(u.select(F.lit("url").alias("pipeline"), "label_true", "pred"))
              .unionByName(v.select(F.lit("combined").alias("pipeline"), "label_true", code.alias("pred"))))
     counts = pairs.groupBy("pipeline", "label_true", "pred").agg(F.count(F.lit(1)).alias("n"))
-    arr = EV.count_array(counts, ("pipeline",))
+    arr = EV.count_array(counts, ("pipeline",), EMAIL_CLASSES)
     stats = arr.select("pipeline", F.when(F.col("pipeline") == "url", EV.class_stats("_c", [0, 1]))
                        .otherwise(EV.class_stats("_c", EMAIL_CLASSES)).alias("_s"))
     return EV.report(stats, ("pipeline",))

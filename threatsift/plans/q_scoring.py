@@ -104,7 +104,7 @@ def _trained(spark, sf_dir):
     return model, rows
 
 
-@query("train_classifier")
+@query("train_classifier", headline=True)
 def q_train_classifier(spark, sf_dir):
     """M5: class-weighted TF-IDF + multinomial logistic regression trained
     on the train split; predictions of the held-out rows."""

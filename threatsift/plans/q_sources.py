@@ -63,7 +63,7 @@ def _sql_email_corpus() -> str:
             f"WHERE text IS NOT NULL AND label IS NOT NULL) d WHERE rn = 1")
 
 
-@query("corpus_scan", lambda: f"SELECT md5(text) AS text_md5, label FROM ({_sql_email_corpus()}) e")
+@query("corpus_scan", lambda: f"SELECT md5(text) AS text_md5, label FROM ({_sql_email_corpus()}) e", headline=True)
 def q_corpus_scan(spark, sf_dir):
     """S1 (+R1, R2, R4, S2, S5, C1-C8): scan a raw CSV corpus built from the
     tables and prepare the canonical, deduplicated email table."""

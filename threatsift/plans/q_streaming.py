@@ -44,7 +44,7 @@ def _limiter_sql() -> str:
         f"SELECT event_id, client, allowed FROM r")
 
 
-@query("rate_limit_flags", _limiter_sql)
+@query("rate_limit_flags", _limiter_sql, headline=True)
 def q_rate_limit_flags(spark, sf_dir):
     """Allowed / rejected per request by the sequential limiter."""
     r = view(spark, sf_dir, "v_requests")

@@ -40,7 +40,7 @@ def url_occurrences(df: DataFrame, text_col: str = "text", key: str = "msg_id",
     columns of its message."""
     occ = df.select(key, *carry, F.posexplode(extract_urls(F.col(text_col))).alias("url_pos", "raw_url"))
     occ = occ.withColumn("norm_url", normalize_url(F.col("raw_url"), settings))
-    occ = occ.withColumn("domain", url_domain(F.col("norm_url")))
+    occ = occ.withColumn("domain", url_domain(F.col("norm_url"), settings.strict_host))
     return occ.withColumn("allowlisted", is_allowlisted(F.col("domain"), settings))
 
 
@@ -85,7 +85,7 @@ def email_predictions(df: DataFrame, scorer: Scorer, text_col: str = "text", key
 
 
 def _prediction_from_norm(norm: Column, pos: Column, scorer: Scorer, settings: Settings) -> Column:
-    allow = is_allowlisted(url_domain(norm), settings)
+    allow = is_allowlisted(url_domain(norm, settings.strict_host), settings)
     d = scorer.column_predict(norm, settings)
     a = allowlisted_prediction(settings)
     fields = [F.when(allow, a[c]).otherwise(d[c]).alias(c) for c in URL_PRED_COLUMNS]
@@ -227,7 +227,7 @@ def triage_urls(df: DataFrame, url_scorer: Scorer | None = None, text_col: str =
         return triage_urls(df, url_scorer, text_col, key, settings).join(df.select(key, *carry), key)
     occ = df.select(key, F.lit(0).alias("url_pos"), F.col(text_col).alias("raw_url"))
     occ = occ.withColumn("norm_url", normalize_url(trim_input(F.col("raw_url")), settings))
-    occ = occ.withColumn("domain", url_domain(F.col("norm_url")))
+    occ = occ.withColumn("domain", url_domain(F.col("norm_url"), settings.strict_host))
     occ = occ.withColumn("allowlisted", is_allowlisted(F.col("domain"), settings))
     preds = url_predictions(occ, url_scorer, key, settings)
     msgs = df.select(key, *email_columns(None))

@@ -196,6 +196,10 @@ class Settings:
     tracking_keys: tuple = TRACKING_KEYS
     tracking_prefixes: tuple = TRACKING_PREFIXES
     seed: int = SEED
+    # Host rules beyond parity: scheme-less hosts are hosts; userinfo, port and
+    # inner "www." do not change the allowlist lookup.
+    bare_host: bool = False
+    strict_host: bool = False
     # Largest side (rows) this library will ever hint as broadcast.
     broadcast_row_limit: int = 1_000_000
     extra: dict = field(default_factory=dict)
