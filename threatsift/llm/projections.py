@@ -12,8 +12,8 @@ projections, a pair of strangers only on some.
   per table grows with the logarithm of the rows, so the vectors that meet by
   chance stay few; the number of tables follows from the wanted recall at
   exactly the threshold (pairs above it are found more surely).
-* Counting: of two vectors that meet, the collisions over *all* projections are
-  counted; the count that a pair at the threshold reaches with probability
+* Counting: of two vectors that meet, the collisions over ``COUNTED`` projections
+  are counted; the count that a pair at the threshold reaches with probability
   ``COUNT_RECALL`` (binomial) must be passed. Then the cosine is computed in
   double precision.
 * A pair is used in the first table only in which it meets, so link counts add
@@ -44,7 +44,8 @@ SLOT = 2.0
 WINDOW = 0.8
 TABLE_RECALL = 0.985
 COUNT_RECALL = 0.999
-MEET = 32               # vectors that may meet by chance in one cell
+MEET = 8                # vectors that may meet by chance in one cell
+COUNTED = 48            # projections whose collisions are counted
 CHUNK = 512
 SEED = 5
 
@@ -62,7 +63,7 @@ def plan(rows: int, threshold: float = THRESHOLD) -> tuple[int, int, int]:
     near, far = same_slot(sigma), same_slot(math.sqrt(2))
     per_table = max(2, math.ceil(math.log(max(rows / MEET, 2)) / -math.log(far)))
     tables = max(2, math.ceil(math.log(1 - TABLE_RECALL) / math.log(1 - near ** per_table)))
-    n = tables * per_table
+    n = min(COUNTED, tables * per_table)
     p = math.erf(WINDOW / sigma / math.sqrt(2))
     cumulative, need = 0.0, 0
     for k in range(n + 1):          # largest count below which at most 1 - COUNT_RECALL of such pairs fall
@@ -112,7 +113,7 @@ def _cell_links(x: np.ndarray, h: np.ndarray, cells: np.ndarray, ids: np.ndarray
     meet each other only; the tile of one chunk with itself is all 0."""
     n = len(ids)
     count = np.zeros((n, n), dtype=np.int16)
-    for column in h.T:                                   # query-centred windows, one projection at a time
+    for column in h[:, :COUNTED].T:                      # query-centred windows, one projection at a time
         count += np.abs(column[:, None] - column[None, :]) <= WINDOW
     pair = count >= need
     if side[0]:
