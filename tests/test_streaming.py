@@ -27,7 +27,27 @@ def test_triage_stream_equals_batch(spark):
     from threatsift.plans.triage import triage_messages
     from threatsift.plans.views import view
     sf = "/root/testdata/sf0.001"
-    s = q_triage_stream(spark, sf).select("id", "prediction_label", "confidence")
+    out = q_triage_stream(spark, sf)
+    s = out.where("input_type = 'email'").select("id", "prediction_label", "confidence")
     d = view(spark, sf, "documents").select(F.col("doc_id").alias("msg_id"), "text")
     b = triage_messages(d).select(F.col("msg_id").alias("id"), F.col("label").alias("prediction_label"), "confidence")
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+    from threatsift.plans.triage import triage_urls
+    p = view(spark, sf, "pages").select(F.col("page_id").alias("msg_id"), F.col("url").alias("text"))
+    u = triage_urls(p).select(F.col("msg_id").alias("id"), F.col("label").alias("prediction_label"), "confidence")
+    streamed = out.where("input_type = 'url'").select("id", "prediction_label", "confidence")
+    assert streamed.exceptAll(u).count() == 0 and u.exceptAll(streamed).count() == 0
+
+
+def test_requests_of_both_types_and_explanations(spark):
+    from threatsift.operators.scoring import RuleScorer
+    from threatsift.plans.triage import triage_requests
+    rows = [(1, "please VERIFY your account", "email", True), (2, "http://evil.example.net/login", "url", False), (3, "x", "sms", True),
+            (4, None, "email", True), (5, "", "url", False), (6, "hi", None, False)]
+    df = spark.createDataFrame(rows, "msg_id long, text string, input_type string, explain boolean")
+    got = {r.msg_id: r for r in triage_requests(df, explain_col="explain").collect()}
+    assert [w.word.strip() for w in got[1].word_importances] == ["please", "VERIFY", "your", "account"]
+    assert got[2].word_importances is None and got[2].label in ("Phishing", "Legitimate") and got[4].word_importances == []
+    assert got[3].label == got[6].label == "Unknown" and got[3].confidence == 0.0
+    flagged = triage_requests(df, RuleScorer(("verify",)), RuleScorer(("evil",), "url")).collect()
+    assert {r.msg_id: r.label for r in flagged if r.msg_id < 3} == {1: "Phishing", 2: "Phishing"}
