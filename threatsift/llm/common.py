@@ -9,12 +9,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatsift.session import fresh_path
+from threatsift.session import fresh_path, ship_package
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 LABEL_FOLDS = 4
 HELD_OUT_FOLD = 2
 
+# Arrow batches between the JVM and Python tasks: whole texts are long, and the
+# default (64 MB, 10,000 rows) holds several such buffers off the heap per task.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+               "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000")}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable in Python tasks and bound the Arrow batches,
+    unless the session sets its own."""
+    ship_package(spark)
+    for key, (default, ours) in ARROW_BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark's own reader (any file system)."""

@@ -11,8 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threatsift.llm import bitslice, jaccard, mixing, packing, pii, projections, quality, token_counts, toxicity, url_filters
-from threatsift.llm.common import read_table
-from threatsift.session import ship_package
+from threatsift.llm.common import prepare, read_table
 
 QUERY_EVERY = 50
 
@@ -65,7 +64,7 @@ _ALL = (op1_pii, op2_toxicity, op3_embedding_near_dedup, op4_best_fit_packing, o
 
 def _shipped(fn: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
     run.__name__ = fn.__name__
     return run

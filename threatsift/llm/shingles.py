@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from threatsift.llm import textbuf
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _lowered = np.arange(256, dtype=np.uint64)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 SEPARATOR = "\x00"
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
