@@ -16,37 +16,36 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from threatsift.llm import jaccard, mixing, packing, pii, quality  # noqa: E402
-from threatsift.llm.common import read_table, staged  # noqa: E402
-from threatsift.session import ship_package  # noqa: E402
+from threatsift.llm.common import prepare, read_table, staged  # noqa: E402
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    ship_package(spark)
+    prepare(spark)
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near-duplicates."""
-    ship_package(spark)
+    prepare(spark)
     return jaccard.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by marks."""
-    ship_package(spark)
+    prepare(spark)
     return pii.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out to meet the sources' target shares."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.repeat_rows(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of bounded length."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 
