@@ -39,7 +39,7 @@ WORD_RX = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BUDGET_SHARE = 1.5
 MAX_COPIES = 2.0
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 FAN = 64
 EPS = 1e-9
 
