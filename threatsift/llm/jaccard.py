@@ -349,9 +349,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """
     summary = staged(set_summaries(docs, width), "jaccard-sets")
     usable = summary.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    reps = usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").cast("long").alias("rep"))
-    of_row = (usable.select("doc_id", "f1", "f2", "n_shingles").join(reps, ["f1", "f2", "n_shingles"])
-              .select(F.col("doc_id").cast("long").alias("id"), "rep"))
+    copies = (usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").cast("long").alias("rep"), F.count("*").alias("c"))
+              .where("c > 1").drop("c"))
+    copies = small_side(staged(copies, "jaccard-groups"))             # groups of equal sets only
+    of_row = (usable.select("doc_id", "f1", "f2", "n_shingles").join(copies, ["f1", "f2", "n_shingles"], "left")
+              .select(F.col("doc_id").cast("long").alias("id"), F.coalesce("rep", F.col("doc_id").cast("long")).alias("rep")))
     of_row = staged(of_row, "jaccard-copies")
     one = of_row.groupBy("id").agg(F.min("rep").alias("rep"))        # rows that share an id are one document
     facts = (usable.select(F.col("doc_id").cast("long").alias("rep"), F.col("n_shingles").alias("n"), "sketch")
