@@ -343,7 +343,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     Documents link when 100 * intersection >= ``percent`` * union of their
     shingle sets; component_id is the smallest doc_id reachable by links, the
     own one included. Texts without words (null, empty, blank) have empty sets
-    and link with nothing. Rows that share a doc_id are one document. Rows
+    and link with nothing. Rows that share a doc_id are one document; should
+    their texts differ, one of them stands for it in links. Rows
     without doc_id take part in no link and have a null component. Other columns
     are ignored; an empty table gives an empty result.
     """
