@@ -43,6 +43,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a variable (a
+    one-element ``transform``); Spark does not share subexpressions inside
+    CASE branches, so this keeps staged work from being recomputed."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def py_strip(c) -> Column:
     """str.strip(): remove leading/trailing Unicode whitespace. Uses trim with
     an explicit character set, which only touches the two ends (a regex
@@ -88,21 +95,16 @@ def _without_simple_markup(x: Column) -> Column:
     return x
 
 
-def is_simple_html(c) -> Column:
-    """True when removing simple markup and the entities of the native table
-    leaves no '<', '>' or '&': the native chain then equals the parser."""
-    x = _without_simple_markup(_c(c))
-    for ent, _ in NATIVE_ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(""))
-    return ~x.rlike("[<>&]")
-
-
 def simple_html_to_text(c) -> Column:
-    """T1 for simple markup, all in the JVM."""
-    x = _without_simple_markup(_c(c))
-    for ent, ch in NATIVE_ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return collapse_ws(x)
+    """T1 in the JVM, or NULL: when removing simple markup and the entities of
+    the native table leaves no '<', '>' or '&', the result equals the parser's."""
+    def convert(stripped):
+        rest, text = stripped, stripped
+        for ent, ch in NATIVE_ENTITIES:
+            rest = F.replace(rest, F.lit(ent), F.lit(""))
+            text = F.replace(text, F.lit(ent), F.lit(ch))
+        return F.when(~rest.rlike("[<>&]"), collapse_ws(text))
+    return let(_without_simple_markup(_c(c)), convert)
 
 
 class _Visible(HTMLParser):
@@ -139,8 +141,8 @@ def html_to_text(c) -> Column:
     markup is converted in the JVM; only the other values reach the parser (the
     rest pass it as nulls)."""
     x = _c(c)
-    simple = is_simple_html(x)
-    return F.coalesce(F.when(simple, simple_html_to_text(x)), html_to_text_udf(F.when(~simple, x)))
+    native = simple_html_to_text(x)
+    return F.coalesce(native, html_to_text_udf(F.when(native.isNull(), x)))
 
 
 def clean_message(c) -> Column:
@@ -148,10 +150,8 @@ def clean_message(c) -> Column:
     whitespace and strip."""
     x = _c(c)
     html = is_html(x)
-    simple = is_simple_html(x)
-    text = F.when(~html, x).otherwise(F.coalesce(F.when(simple, simple_html_to_text(x)),
-                                                 html_to_text_udf(F.when(html & ~simple, x))))
-    return py_strip(F.regexp_replace(text, f"{WS}+", " "))
+    native = F.when(html, simple_html_to_text(x)).otherwise(x)
+    return collapse_ws(F.coalesce(native, html_to_text_udf(F.when(native.isNull(), x))))
 
 
 def may_contain_url(x: Column) -> Column:

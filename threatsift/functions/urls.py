@@ -15,7 +15,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from threatsift.functions.text import py_strip
+from threatsift.functions.text import let, py_strip
 from threatsift.settings import DEFAULT, USES_NETLOC, Settings
 
 # RFC 3986 appendix-B style split, with the stdlib's scheme rule (letters
@@ -145,13 +145,6 @@ def _assemble(scheme: Column, netloc: Column, path: Column, query: Column) -> Co
                     F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` as a variable (a
-    one-element ``transform``); Spark does not share subexpressions inside
-    CASE branches, so this keeps staged work from being recomputed."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 @functools.lru_cache(maxsize=1)
 def delimiter_lookalikes() -> str:
     """Regex class of the characters whose compatibility form (NFKC) holds a

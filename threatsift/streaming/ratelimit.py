@@ -8,10 +8,10 @@
 * ``rate_limit_flags`` (X1): a request is allowed iff fewer than ``limit``
   *accepted* requests lie in the trailing window (rejected ones are not
   recorded). Acceptance depends on earlier acceptances, so each client's
-  sequence is replayed in order by a small Python function that receives the
-  group as a stream of Arrow batches (secondary sort: partitioned by the
-  group, sorted by time inside), keeping only ``limit`` timestamps, so a hot
-  client never has to fit in memory. The sequence is cut at idle gaps >=
+  sequence is replayed in order by a small Python function over a stream of
+  Arrow batches (secondary sort: partitioned by client and segment, sorted by
+  time inside), keeping only ``limit`` timestamps, so a hot client never has to
+  fit in memory. The sequence is cut at idle gaps >=
   window, where the state is provably empty, so independent segments run in
   parallel.
 * ``rate_limit_stream`` (X2): the same rule as Structured Streaming state,
@@ -62,7 +62,7 @@ def _limiter(limit: int, window_us: int, ts_us: list[int], state: list[int] | No
     """Sequential rule: accepted stamps at least a window older than a request
     are dropped, and it is rejected when ``limit`` remain. The stamps are kept
     sorted, so requests may arrive out of order."""
-    acc = sorted(state) if state else []
+    acc = state or []
     out = []
     for t in ts_us:
         del acc[:bisect.bisect_right(acc, t - window_us)]
@@ -105,24 +105,28 @@ def rate_limit_flags(df: DataFrame, key: str = "client", ts: str = "ts", order_c
         return limited.unionByName(df.filter(exempt).withColumn("allowed", F.lit(True)))
     limit, w_us = settings.rate_limit, settings.rate_window_seconds * US
     x = _segments(df.withColumn("_us", _micros(ts)), key, order_col, w_us, max(bucket_seconds * US, w_us))
-    out_schema = T.StructType(list(x.schema.fields) + [T.StructField("allowed", T.BooleanType())])
-    # secondary sort: rows reach each group already in (time, id) order, so
-    # the group is streamed to Python in Arrow batches, never materialised
-    x = x.repartition(key, "_seg").sortWithinPartitions(key, "_seg", "_us", order_col)
+    # secondary sort: every run of one client and segment lies in one partition,
+    # in (time, id) order, and is replayed as the batches stream by
+    run = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\x00")), "_seg")
+    x = x.withColumn("_run", run).repartition(key, "_seg").sortWithinPartitions(key, "_seg", "_us", order_col)
+    out_schema = T.StructType([*x.schema.fields, T.StructField("allowed", T.BooleanType())])
 
-    def per_segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: list[int] = []
-        last = None
+        current, last = None, None
         for pdf in batches:
-            us = pdf["_us"].tolist()
-            if us and ((last is not None and us[0] < last) or any(b < a for a, b in zip(us, us[1:]))):
-                raise RuntimeError("rate limiter input is not in event-time order")
-            flags, state = _limiter(limit, w_us, us, state)
-            last = us[-1] if us else last
-            yield pdf.assign(allowed=flags)
+            allowed = []
+            for group, seg, t in zip(pdf["_run"].tolist(), pdf["_seg"].tolist(), pdf["_us"].tolist()):
+                if (group, seg) != current:
+                    current, state = (group, seg), []
+                elif t < last:
+                    raise RuntimeError("rate limiter input is not in event-time order")
+                last = t
+                flags, state = _limiter(limit, w_us, [t], state)
+                allowed += flags
+            yield pdf.assign(allowed=allowed)
 
-    res = x.groupBy(key, "_seg").applyInPandas(per_segment, schema=out_schema)
-    return res.drop("_us", "_seg")
+    return x.mapInPandas(replay, out_schema).drop("_us", "_seg", "_run")
 
 
 STATE_SCHEMA = "stamps array<long>"
@@ -146,7 +150,7 @@ def rate_limit_stream(stream: DataFrame, key: str = "client", ts: str = "ts", id
         if state.hasTimedOut:
             state.remove()
             return
-        stamps = list(state.get[0]) if state.exists else []
+        stamps = sorted(state.get[0]) if state.exists else []
         parts = list(batches)
         if not parts:
             return
