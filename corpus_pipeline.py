@@ -26,9 +26,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates."""
+    """One document of every group of near-duplicates: shingles of five words,
+    similarity 0.8 or more (the query op8 has its own, narrower constants)."""
     prepare(spark)
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, width=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

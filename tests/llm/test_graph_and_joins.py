@@ -217,3 +217,27 @@ def test_projections_query_and_recall(spark):
 def test_projection_plan_is_calibrated(rows):
     tables, per_table, need = P.plan(rows)
     assert 0 < need <= tables * per_table
+
+
+def test_pairs_at_four_fifths_share_a_band_key():
+    """At 80 percent the larger partner can be CLASS_RATIO times as large."""
+    rng = np.random.default_rng(7)
+    classes = J.size_classes(80)
+    def keys(tokens, k, nb):
+        tokens = np.sort(tokens)
+        zero = np.zeros(len(tokens), np.int64)
+        return set(J._band_keys(zero, tokens, zero + k, zero + nb)[1].tolist())
+    largest = 0
+    for a in [*range(4, 90)] * 8:
+        more = int(rng.integers(0, a // 4 + 1)) if rng.random() < 0.5 else a // 4
+        out = int(rng.integers(0, J.max_difference(2 * a, 80) + 1)) if more < a // 4 else 0
+        pool = rng.integers(0, 1 << 63, size=a + more, dtype=np.int64).astype(np.uint64)
+        x, y = pool[:a], pool[out:]
+        common = a - out
+        if 100 * common < 80 * (len(x) + len(y) - common) or set(x) == set(y):
+            continue
+        joins = set(J.join_bands(len(x), 80, classes)) & set(J.join_bands(len(y), 80, classes))
+        assert joins, (len(x), len(y))
+        assert any(keys(x, k, nb) & keys(y, k, nb) for k, nb in joins)
+        largest += 4 * len(y) == 5 * len(x)
+    assert largest > 50

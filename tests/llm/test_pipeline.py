@@ -75,3 +75,11 @@ def test_stages_on_hard_tables(spark, make, monkeypatch):
 def test_near_duplicate_stage_keeps_one_row_of_repeated_ids(spark):
     kept = jaccard.keep_one(hard_docs(spark)).where("doc_id = 6")
     assert kept.count() == 1
+
+
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(50)]
+    near = [*words[:25], "other", *words[26:]]        # 41 of 51 shingles of five words, 43 of 51 of four
+    far = [*words[:15], "x", *words[16:30], "y", *words[31:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 3]
