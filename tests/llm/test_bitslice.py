@@ -60,3 +60,17 @@ def test_selection_keeps_the_boundary():
     assert sorted(B.select_top(planes, allowed, 2)) == [0, 2, 7]
     assert sorted(B.select_top(planes, allowed, 3)) == [0, 2, 7]
     assert sorted(B.select_top(planes, allowed, 100)) == list(range(8))
+
+
+def test_components_far_apart(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(int(i), np.round(rng.normal(size=4), 2).tolist()) for i in range(60)]
+    vectors += [(70, [1e9, -1.0, 0.0, 0.5]), (71, [0.25, 1e12, -3e10, 0.0]), (75, [-4e5, 0.0, 7e4, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    for block_rows in (16, 8192):
+        assert {tuple(r) for r in B.top_k(df, 10, block_rows=block_rows).collect()} == brute(vectors, 10)
+    values = np.array([[-2 ** 63, 5], [2 ** 63 - 1, -5], [0, 0]])
+    slices, shift = B.slices_of(values)
+    planes, offset = B.score_slices(slices, shift, np.array([-3, 2]))
+    score = [sum((int(p[0]) >> r & 1) << w for w, p in enumerate(planes)) + offset for r in range(3)]
+    assert score == [-3 * int(a) + 2 * int(b) for a, b in values]

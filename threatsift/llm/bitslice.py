@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatsift.llm.common import staged
@@ -33,55 +33,60 @@ from threatsift.llm.common import staged
 BLOCK_ROWS = 8_192
 QUERY_ROWS = 256
 SCALE = 256
-MAX_BITS = 24          # bits of a quantised component; a wider range is an error
 TOP = 5
 
 
+def _whole(v: Column) -> Column:
+    scaled = v * F.lit(float(SCALE))
+    fits = (scaled >= F.lit(-2.0 ** 63)) & (scaled < F.lit(2.0 ** 63))
+    return F.when(fits, F.floor(scaled)).otherwise(F.raise_error(F.lit("a component times 256 does not fit 64 bits")).cast("long"))
+
+
 def quantised(vectors: DataFrame) -> DataFrame:
     """(vec_id, _v array<long>): floor(256 * x) of every component as double.
     Vectors that are null, empty or hold a null or non-finite component take no
     part, nor do rows without an id; of rows with the same id the smallest
-    vector stays."""
+    vector stays. Components and scores are 64-bit integers, as in the SQL form;
+    a component beyond them is an error."""
     x = F.col("embedding").cast("array<double>")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return (vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound & (F.size("embedding") > 0))
-            .select("vec_id", F.transform(x, lambda v: F.floor(v * F.lit(float(SCALE)))).alias("_v"))
+            .select("vec_id", F.transform(x, _whole).alias("_v"))
             .groupBy("vec_id").agg(F.min("_v").alias("_v")))
 
 
-def slices_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slices (dims, bits, words) uint64, shift per dim) of integer rows."""
+def slices_of(values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(slices (bits, words) uint64 of every attribute, as many as its range
+    needs; shift per attribute) of integer rows."""
     rows, dims = values.shape
     shift = values.min(axis=0)
-    spread = int((values.max(axis=0) - shift).max()) if rows else 0
-    bits = max(1, spread.bit_length())
-    if bits > MAX_BITS:
-        raise ValueError(f"components spread over {bits} bits; at most {MAX_BITS} are supported")
     words = (rows + 63) // 64
-    unsigned = np.zeros((words * 64, dims), dtype=np.uint32)
-    unsigned[:rows] = (values - shift).astype(np.uint32)
-    out = np.empty((dims, bits, words), dtype=np.uint64)
-    for b in range(bits):
-        plane = np.packbits((unsigned >> np.uint32(b)) & np.uint32(1) != 0, axis=0, bitorder="little")
-        out[:, b] = np.ascontiguousarray(plane.T).view(np.uint64)
+    unsigned = np.zeros((words * 64, dims), dtype=np.uint64)
+    unsigned[:rows] = values.astype(np.uint64) - shift.astype(np.uint64)      # modulo 2**64, so of any range
+    wide = [max(1, int(m).bit_length()) for m in unsigned.max(axis=0)]
+    out = [np.empty((bits, words), dtype=np.uint64) for bits in wide]
+    for b in range(max(wide)):
+        at = [d for d in range(dims) if b < wide[d]]
+        plane = np.packbits((unsigned[:, at] >> np.uint64(b)) & np.uint64(1) != 0, axis=0, bitorder="little")
+        for d, bitmap in zip(at, np.ascontiguousarray(plane.T).view(np.uint64)):
+            out[d][b] = bitmap
     return out, shift
 
 
-def score_slices(slices: np.ndarray, shift: np.ndarray, query: np.ndarray) -> tuple[list[np.ndarray], int]:
+def score_slices(slices: list[np.ndarray], shift: np.ndarray, query: np.ndarray) -> tuple[list[np.ndarray], int]:
     """Bitmaps of score - offset, least significant first, and the offset."""
-    dims, bits, words = slices.shape
+    words = slices[0].shape[1]
     offset = 0
     by_weight: dict[int, list[np.ndarray]] = {}
-    full = (1 << bits) - 1
-    for d in range(dims):
+    for d, planes in enumerate(slices):
         q = int(query[d])
         offset += q * int(shift[d])
         if q == 0:
             continue
-        planes = slices[d]
+        bits = len(planes)
         if q < 0:
             planes = ~planes                     # full - u: q*u = |q|*(full - u) + q*full
-            offset += q * full
+            offset += q * ((1 << bits) - 1)
             q = -q
         for c in range(q.bit_length()):
             if q >> c & 1:
@@ -138,7 +143,7 @@ def select_top(slices: list[np.ndarray], allowed: np.ndarray, k: int) -> np.ndar
     return np.concatenate([_positions(sure), _positions(equal)])
 
 
-def search_block(ids: np.ndarray, slices: np.ndarray, shift: np.ndarray, query_id: int,
+def search_block(ids: np.ndarray, slices: list[np.ndarray], shift: np.ndarray, query_id: int,
                  query: np.ndarray, k: int) -> list[tuple[int, int]]:
     """(score, id) of the block's k best rows but the query's own; ties: smaller id."""
     allowed = np.packbits(np.pad(ids != query_id, (0, -len(ids) % 64)), bitorder="little").view(np.uint64)
