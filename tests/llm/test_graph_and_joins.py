@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from threatsift.llm import jaccard as J
 from threatsift.llm import projections as P
@@ -241,3 +242,10 @@ def test_pairs_at_four_fifths_share_a_band_key():
         assert any(keys(x, k, nb) & keys(y, k, nb) for k, nb in joins)
         largest += 4 * len(y) == 5 * len(x)
     assert largest > 50
+
+
+def test_tile_numbers_of_many_chunks(spark):
+    from threatsift.llm.common import tile_of
+    chunks = [(2047, 2048), (2048, 2048), (4096, 4096), (0, 4096), (4096, 0), (4096, 8191)]
+    got = [r[0] for r in spark.createDataFrame(chunks, "a int, b int").select(tile_of(F.col("a"), F.col("b"))).collect()]
+    assert got == [min(c) * 2 ** 20 + max(c) for c in chunks]

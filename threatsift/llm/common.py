@@ -80,6 +80,11 @@ def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.where(h < int(_HASH_SPAN * (rows / count)))
 
 
+def tile_of(chunk: Column, other: Column) -> Column:
+    """Number of the tile of two chunks, in either order; 64-bit."""
+    return F.least(chunk, other).cast("long") * F.lit(1 << 20) + F.greatest(chunk, other)
+
+
 def tiles_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """Runs of rows with equal ``keys`` from batches sorted by them, one table
     each; only the run at a batch's end waits for the next batch."""

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatsift.llm import shingles, textbuf
-from threatsift.llm.common import small_side, staged, tiles_of
+from threatsift.llm.common import small_side, staged, tile_of, tiles_of
 from threatsift.llm.components import components
 
 WIDTH = 4
@@ -391,7 +391,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             .withColumn("_k", F.ceil(F.col("m") / CHUNK).cast("int"))
             .withColumn("_c", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("_k")).cast("int"))
             .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-            .withColumn("tile", F.least("_c", "_o") * F.lit(1 << 20) + F.greatest("_c", "_o"))
+            .withColumn("tile", tile_of(F.col("_c"), F.col("_o")))
             .withColumn("side", F.when(F.col("_o") == F.col("_c"), 0).when(F.col("_o") > F.col("_c"), 1).otherwise(2)))
     second = staged(cross_pairs(rows, percent).distinct().join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
     if not second.isEmpty():

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatsift.llm import textbuf
-from threatsift.llm.common import staged
+from threatsift.llm.common import staged, tile_of
 from threatsift.llm.components import components
 
 THRESHOLD = 0.95
@@ -203,7 +203,7 @@ def _links(reps: DataFrame, dims: int, rows: int, threshold: float) -> DataFrame
               .withColumn("_k", F.ceil(F.col("count") / CHUNK).cast("int"))
               .withColumn("_c", F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.col("_k")).cast("int"))
               .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-              .withColumn("tile", F.least("_c", "_o") * F.lit(1 << 20) + F.greatest("_c", "_o"))
+              .withColumn("tile", tile_of(F.col("_c"), F.col("_o")))
               .withColumn("side", F.when(F.col("_o") == F.col("_c"), 0).when(F.col("_o") > F.col("_c"), 1).otherwise(2)))
     tiled = (placed.select("cell", "tile", "side", "t", "rep", "many", "embedding")
              .repartition(F.col("cell"), F.col("tile")).sortWithinPartitions("cell", "tile"))
