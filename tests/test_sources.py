@@ -123,3 +123,22 @@ def test_resolve_columns_rules():
     assert resolve_columns(["a", "b"], lambda x, y: (5, 2)) == ("a", "b")
     assert resolve_columns(["a", "b"], lambda x, y: (2, 5)) == ("b", "a")
     assert resolve_columns(["only"]) == ("only", "only")
+
+
+def test_one_source_is_written_as_several_files_in_row_order(spark, tmp_dir):
+    from threatsift.plans.q_sources import _write_per_file
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("file"),
+                                    (3999 - F.col("id")).alias("ord"), (3999 - F.col("id")).alias("body"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        _write_per_file(rows, os.path.join(tmp_dir, "out"), "file", "ord")
+    finally:
+        spark.conf.set(key, before)
+    folder = os.path.join(tmp_dir, "out", "file=a")
+    parts = sorted(f for f in os.listdir(folder) if f.endswith(".csv"))
+    lines = [open(os.path.join(folder, p)).read().split() for p in parts]
+    assert len(parts) > 1 and all(x[0] == "body" for x in lines)
+    assert [int(v) for x in lines for v in x[1:]] == [o for o in range(4000) if (3999 - o) % 5]

@@ -31,8 +31,9 @@ RAW_MAILS = f"SELECT doc_id, ord, {SOURCE} AS file, body, raw_label FROM ({REPEA
 
 
 def _write_per_file(df, path, file_col, order_col):
-    """One CSV file per value of ``file_col``, rows in the given order."""
-    w = df.repartition(F.col(file_col)).sortWithinPartitions(file_col, order_col).drop(order_col)
+    """CSV files per value of ``file_col``, one per range of ``order_col``; their
+    names sort in row order, as part numbers follow the ranges."""
+    w = df.repartitionByRange(F.col(file_col), F.col(order_col)).sortWithinPartitions(file_col, order_col).drop(order_col)
     w.write.mode("overwrite").option("header", "true").option("escape", '"').partitionBy(file_col).csv(path)
 
 
