@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threatsift.llm import bitslice, jaccard, mixing, packing, pii, projections, quality, token_counts, toxicity, url_filters
+from threatsift.llm import bitslice, jaccard, mixing, packing, pii, projections, quality, secret_scan, token_counts, toxicity, url_filters
 from threatsift.llm.common import prepare, read_table
 
 QUERY_EVERY = 50
@@ -58,8 +58,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
+
+
 _ALL = (op1_pii, op2_toxicity, op3_embedding_near_dedup, op4_best_fit_packing, op5_token_counts, op6_quality, op7_bitsliced_top_k,
-        op8_parity_sketch_join, op9_url_filters, op10_source_mixing)
+        op8_parity_sketch_join, op9_url_filters, op10_source_mixing, op11_secret_scan)
 
 
 def _shipped(fn: Callable) -> Callable:
@@ -130,4 +134,5 @@ ORACLE: dict[str, str] = {
     "op7_bitsliced_top_k": _TOP_K,
     "op8_parity_sketch_join": _JACCARD,
     "op9_url_filters": url_filters.ORACLE,
+    "op11_secret_scan": secret_scan.ORACLE,
 }
