@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threatsift.llm import bitslice, jaccard, mixing, packing, pii, projections, quality, secret_scan, token_counts, toxicity, url_filters
+from threatsift.llm import bitslice, conversation_repair, jaccard, mixing, packing, pii, projections, quality, secret_scan, token_counts, toxicity, url_filters
 from threatsift.llm.common import prepare, read_table
 
 QUERY_EVERY = 50
@@ -62,8 +62,14 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.audit_conversations(conversations, conversation_repair.damaged(conversations))
+
+
 _ALL = (op1_pii, op2_toxicity, op3_embedding_near_dedup, op4_best_fit_packing, op5_token_counts, op6_quality, op7_bitsliced_top_k,
-        op8_parity_sketch_join, op9_url_filters, op10_source_mixing, op11_secret_scan)
+        op8_parity_sketch_join, op9_url_filters, op10_source_mixing, op11_secret_scan,
+        op12_conversation_repair)
 
 
 def _shipped(fn: Callable) -> Callable:
