@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threatsift.llm import bitslice, conversation_repair, jaccard, mixing, packing, pii, projections, quality, secret_scan, token_counts, toxicity, url_filters
+from threatsift.llm import bitslice, collocations, conversation_repair, jaccard, mixing, packing, pii, projections, quality, secret_scan, token_counts, toxicity, url_filters
 from threatsift.llm.common import prepare, read_table
 
 QUERY_EVERY = 50
@@ -67,9 +67,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audit_conversations(conversations, conversation_repair.damaged(conversations))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 _ALL = (op1_pii, op2_toxicity, op3_embedding_near_dedup, op4_best_fit_packing, op5_token_counts, op6_quality, op7_bitsliced_top_k,
         op8_parity_sketch_join, op9_url_filters, op10_source_mixing, op11_secret_scan,
-        op12_conversation_repair)
+        op12_conversation_repair, op13_collocations)
 
 
 def _shipped(fn: Callable) -> Callable:
@@ -134,6 +138,34 @@ SELECT doc_id, len(g)::BIGINT AS n_shingles, least(doc_id, coalesce(c.m, doc_id)
 FROM g LEFT JOIN c ON c.a = g.doc_id
 """
 
+_COLLOCATIONS = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+f AS (
+  SELECT lang, [a] AS w, count(*) AS f FROM t GROUP BY ALL
+  UNION ALL SELECT lang, [a, b], count(*) FROM t WHERE b IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, [a, b, c], count(*) FROM t WHERE c IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+c AS (SELECT lang, w, f AS a FROM f WHERE len(w) > 1 AND f >= 10),
+g AS MATERIALIZED (SELECT lang, array_to_string(w, ' ') AS p, f FROM f WHERE f >= 10),
+h AS MATERIALIZED (SELECT lang, w, a, k, array_to_string(w[1:k], ' ') AS pl, array_to_string(w[k + 1:], ' ') AS pr
+      FROM (SELECT *, unnest(range(1, len(w))) AS k FROM c)),
+s AS (
+  SELECT h.lang, h.w, h.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * h.a * h.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM h JOIN g x ON x.lang = h.lang AND x.p = h.pl JOIN g y ON y.lang = h.lang AND y.p = h.pr
+  QUALIFY row_number() OVER (PARTITION BY h.lang, h.w ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, unnest([w[1:2], w[2:3]]) AS w, a FROM c WHERE len(w) = 3),
+m AS (SELECT lang, w, max(a) AS m FROM inner_ GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(s.w, ' ') COLLATE "BINARY")::BIGINT AS rank,
+       array_to_string(s.w, ' ') AS phrase, a, l, r, n, score
+FROM s JOIN n ON n.lang = s.lang LEFT JOIN m ON m.lang = s.lang AND m.w = s.w
+WHERE m.m IS NULL OR 100 * m.m < 50 * a
+QUALIFY rank <= 2000
+"""
+
 # The other operators are trained, random or depend on a tokenizer file.
 ORACLE: dict[str, str] = {
     "op3_embedding_near_dedup": _NEAR_VECTORS,
@@ -141,4 +173,5 @@ ORACLE: dict[str, str] = {
     "op8_parity_sketch_join": _JACCARD,
     "op9_url_filters": url_filters.ORACLE,
     "op11_secret_scan": secret_scan.ORACLE,
+    "op13_collocations": _COLLOCATIONS,
 }
