@@ -1,10 +1,14 @@
 """Readers on small files written into a fresh temporary folder."""
 
 import os
+import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from threatsift.sources import corpus as SRC
+from threatsift.sources.split_csv import CsvBlocks, ends_inside
 
 
 def write(path, text):
@@ -142,3 +146,88 @@ def test_one_source_is_written_as_several_files_in_row_order(spark, tmp_dir):
     lines = [open(os.path.join(folder, p)).read().split() for p in parts]
     assert len(parts) > 1 and all(x[0] == "body" for x in lines)
     assert [int(v) for x in lines for v in x[1:]] == [o for o in range(4000) if (3999 - o) % 5]
+
+
+def hard_csv(n=400, seed=5):
+    """Records with line breaks, commas and doubled quotes, short and long ones,
+    stray quotes, empty lines, bytes that are no UTF-8."""
+    rnd = random.Random(seed)
+    out = [b"text,label,more\n"]
+    for i in range(n):
+        cells = []
+        for _ in range(rnd.choice([1, 2, 3, 3, 3, 4, 5])):
+            body = "".join(rnd.choice(["a", "bb", " ", ",", "\n", "\r\n", '""', "#", "\u00e9", "\n\n"]) for _ in range(rnd.randint(0, 9)))
+            cells.append(f'"{body}"' if rnd.random() < 0.6 else rnd.choice(["x", "", " y ", 'in"ch', "5", 'a "b" c']))
+        out.append(",".join(cells).encode() + rnd.choice([b"\n", b"\n", b"\n\n"]))
+        if rnd.random() < 0.03:
+            out.append(b"bad \xff byte,1,2\n")
+    return b"".join(out) + b'"open to the end\nof the file'
+
+
+def by_whole_file_parser(spark, path, columns):
+    """The same rules with Spark's own multi-line reader: one task per file."""
+    schema = ", ".join(f"{c} string" for c in [*columns, "_record"])
+    r = spark.read.schema(schema).options(header="true", multiLine="true", escape='"', mode="PERMISSIVE", encoding="UTF-8",
+                                          columnNameOfCorruptRecord="_record").csv(path)
+    rows = r.select(*columns, "_record", F.monotonically_increasing_id().alias("n")).collect()
+    many = [r for r in rows if r["_record"] is None or spark_count(r["_record"]) <= len(columns)]
+    return [tuple(r)[:len(columns)] for r in sorted(many, key=lambda r: r["n"])]
+
+
+def spark_count(record):
+    return re.sub('"[^"]*"', "", record).count(",") + 1
+
+
+@pytest.mark.parametrize("block", ["37", "256", "4096", "134217728"])
+def test_records_do_not_depend_on_the_blocks(spark, tmp_dir, block):
+    names = ["text", "label", "more"]
+    paths = []
+    for i in range(3):
+        paths.append(os.path.join(tmp_dir, f"f {i}+%41.csv"))
+        with open(paths[-1], "wb") as fh:
+            fh.write(hard_csv(seed=i, n=25 if block == "37" else 300))
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = SRC.tolerant_csv(spark, paths, names)
+        got = [tuple(r) for r in df.orderBy("path", "row_pos").select(*names).collect()]
+        assert df.select("path", "row_pos").distinct().count() == len(got)
+        if block != "134217728":
+            assert CsvBlocks(spark, paths).table.count() >= len(paths) * 2
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == [row for p in paths for row in by_whole_file_parser(spark, p, names)]
+
+
+@pytest.mark.parametrize("line,inside,feed,want", [
+    (b"a,b", False, False, False), (b"a,b", True, False, True), (b'"a', False, False, True), (b'a",b', True, False, False),
+    (b'"a""', False, False, True), (b'"a"""', False, False, False), (b'in"ch', False, False, False), (b'x,"y', False, False, True),
+    (b' "y', False, False, False), (b' "y', False, True, True), (b'# "', False, True, False), (b'# "', True, True, False),
+    (b'"a" b", "c', False, False, False), (b'"a" b",", "', False, False, False), (b'""', False, False, False), (b'",""","', False, False, True)])
+def test_state_behind_a_line(line, inside, feed, want):
+    assert ends_inside(line, inside, feed) is want
+
+
+def test_either_line_break_ends_a_record(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "crlf.csv")
+    with open(p, "wb") as fh:
+        fh.write(b'\xef\xbb\xbftext,label\r\n"a\r\nb",1\r\n\r\nc,2\nd,3\r\n')
+    rows = SRC.tolerant_csv(spark, p, ["text", "label"]).orderBy("row_pos").collect()
+    assert [(r.text, r.label) for r in rows] == [("a\r\nb", "1"), ("c", "2"), ("d", "3")]
+
+
+def test_ranked_lists_with_their_own_headers(spark, tmp_dir):
+    a, b = os.path.join(tmp_dir, "majestic_a.csv"), os.path.join(tmp_dir, "majestic_b.csv")
+    write(a, "GlobalRank,Domain\n1,a.org\n")
+    write(b, "Domain,GlobalRank\nb.org,2\n")
+    assert sorted(r.url for r in SRC.ranked_list(spark, [a, b], "majestic").collect()) == ["a.org", "b.org"]
+
+
+def test_headers_come_from_one_job(spark, tmp_dir):
+    paths = [os.path.join(tmp_dir, f"{i}.csv") for i in range(30)]
+    for i, p in enumerate(paths):
+        write(p, f"h{i % 3},x\n1,2\n" if i else "")
+    groups = SRC.header_groups(spark, paths)
+    assert {h: len(p) for h, p in groups.items()} == {"h0,x": 9, "h1,x": 10, "h2,x": 10}

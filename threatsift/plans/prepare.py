@@ -46,8 +46,9 @@ def _labelled(df: DataFrame, header: str, rename: str) -> tuple[DataFrame, str,
 def prepare_email_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(text, label, path, row_pos) of the first occurrence of every text."""
     frames = []
-    for header, paths in SRC.header_groups(spark, _files(spark, root, "email")).items():
-        df = SRC.read_group(spark, paths, header)
+    blocks = SRC.CsvBlocks(spark, _files(spark, root, "email"))
+    for header, paths in SRC.header_groups(spark, blocks.paths, blocks).items():
+        df = SRC.read_group(spark, paths, header, blocks)
         if len(SRC.column_names(header)) == 1:      # a list of phishing mails
             only = SRC.column_names(header)[0]
             frames.append(df.select(F.lower(F.col(only)).alias("text"), F.lit(2).alias("label"), *ORDER).dropna(subset=["text"]))
@@ -69,7 +70,8 @@ def prepare_url_corpus(spark: SparkSession, root: str, label_override: dict[str,
     ranked: dict[str, list[str]] = {"majestic": [], "tranco": []}
     plain: list[str] = []
     forced: dict[str, int] = {}
-    for path, name in _named(_files(spark, root, "url")):
+    blocks = SRC.CsvBlocks(spark, _files(spark, root, "url"))
+    for path, name in _named(blocks.paths):
         if "majestic" in name:
             ranked["majestic"].append(path)
         elif "tranco" in name or "top-1m" in name:
@@ -77,12 +79,12 @@ def prepare_url_corpus(spark: SparkSession, root: str, label_override: dict[str,
         else:
             plain.append(path)
             forced.update({path: v for k, v in overrides.items() if k in name})
-    frames = [SRC.ranked_list(spark, paths, kind).select(F.lower("url").alias("url"), "label", *ORDER).dropna(subset=["url"])
+    frames = [SRC.ranked_list(spark, paths, kind, blocks).select(F.lower("url").alias("url"), "label", *ORDER).dropna(subset=["url"])
               for kind, paths in ranked.items() if paths]
     for label in [None, *sorted(set(forced.values()))]:
         mine = [p for p in plain if forced.get(p) == label]
-        for header, paths in SRC.header_groups(spark, mine).items():
-            df = SRC.read_group(spark, paths, header)
+        for header, paths in SRC.header_groups(spark, mine, blocks).items():
+            df = SRC.read_group(spark, paths, header, blocks)
             names = SRC.column_names(header)
             if label is not None or len(names) == 1:
                 url = names[0] if len(names) == 1 else C.resolve_columns(names)[0]

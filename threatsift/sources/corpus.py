@@ -8,11 +8,11 @@ sees file names and first lines only.
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import re
 import zipfile
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -22,27 +22,18 @@ from pyspark.sql import types as T
 
 from threatsift.operators.clean import is_excluded, route_source
 from threatsift.settings import MAX_UPLOAD_BYTES, THREAT_FEED_HEADER, THREAT_FEED_SCAN_LINES
+from threatsift.sources.split_csv import CsvBlocks, csv_records, plain_path
 
 RECORD = "_record"
 
 
-def file_path() -> F.Column:
-    """The row's source file as a plain path (``_metadata.file_path`` is a
-    percent-encoded URI; '+' is literal in paths, so it is protected)."""
-    return _plain_path(F.col("_metadata.file_path"))
-
-
-def _plain_path(uri: Column) -> Column:
-    return F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-
-
 # ---------------------------------------------------------------- S1
 
 def list_corpus(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
     """Every matching file below ``root`` (recursive) with its size, route
     (url / email) and exclusion flag. A listing: no content is read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-             .select(_plain_path(F.col("path")).alias("path"), "length"))
+             .select(plain_path(F.col("path")).alias("path"), "length"))
     kind = route_source(F.col("path"))
     excluded = F.when(kind == "url", is_excluded(F.col("path"), "url")).otherwise(is_excluded(F.col("path"), "email"))
     return files.select("path", "length", kind.alias("kind"), excluded.alias("excluded"))
@@ -56,21 +47,24 @@ def first_lines(spark: SparkSession, path: str, n: int = 1) -> list[str]:
     return [lines[0].lstrip("\ufeff"), *lines[1:]] if lines else []
 
 
-def header_groups(spark: SparkSession, paths: list[str], threads: int = 16) -> dict[str, list[str]]:
-    """Paths grouped by their header (one read per group): the first line, or
-    for a threat feed the commented header within its first lines. Files
-    without a header line are left out."""
-    def header(path: str) -> str | None:
-        lines = first_lines(spark, path)
-        if lines and lines[0].startswith("#"):
-            lines = [x for x in first_lines(spark, path, THREAT_FEED_SCAN_LINES) if x.strip().startswith(THREAT_FEED_HEADER)][:1]
-        return lines[0] if lines else None
+def _below_store(path: str) -> str:
+    """A path without scheme and host: listings and scans spell these differently."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)
 
+
+def header_groups(spark: SparkSession, paths: list[str], blocks: CsvBlocks | None = None) -> dict[str, list[str]]:
+    """Paths grouped by their header (one read per group): the first line, or
+    for a threat feed the commented header within its first lines. All headers
+    come from the one job that looked at the files' blocks. Files without a
+    header line are left out."""
     groups: dict[str, list[str]] = {}
-    with ThreadPoolExecutor(threads) as pool:
-        for path, line in zip(paths, pool.map(header, paths)):
-            if line is not None:
-                groups.setdefault(line, []).append(path)
+    heads = {_below_store(p): lines for p, lines in (blocks or CsvBlocks(spark, paths)).heads().items()}
+    for path in paths:
+        lines = heads.get(_below_store(path), [])
+        if lines and lines[0].startswith("#"):
+            lines = [x for x in lines[:THREAT_FEED_SCAN_LINES] if x.strip().startswith(THREAT_FEED_HEADER)][:1]
+        if lines:
+            groups.setdefault(lines[0].lstrip("\ufeff"), []).append(path)
     return groups
 
 
@@ -90,25 +84,30 @@ def field_count(record: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
-def tolerant_csv(spark: SparkSession, paths, columns: list[str], header: bool = True, multiline: bool = True,
-                 **options: str) -> DataFrame:
+def tolerant_csv(spark: SparkSession, paths, columns: list[str], header: bool = True, feed: bool = False,
+                 blocks: CsvBlocks | None = None) -> DataFrame:
     """Rows with too MANY fields are skipped, short rows are kept
-    null-filled, undecodable bytes are tolerated. The reader flags every record
+    null-filled, undecodable bytes are tolerated. The parser flags every record
     whose field count differs; the flagged ones are counted. Adds ``path`` and
-    ``row_pos``, which grows along each file."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, RECORD]])
-    r = spark.read.schema(schema).options(
-        header=str(header).lower(), multiLine=str(multiline).lower(), escape='"', mode="PERMISSIVE", encoding="UTF-8",
-        columnNameOfCorruptRecord=RECORD, **options).csv(paths)
-    r = r.select(*columns, RECORD, file_path().alias("path"), F.monotonically_increasing_id().alias("row_pos"))
-    return r.filter(F.col(RECORD).isNull() | (field_count(F.col(RECORD)) <= len(columns))).drop(RECORD)
-
-
-def read_group(spark: SparkSession, paths: list[str], header: str) -> DataFrame:
+    ``row_pos``, which grows along each file. Every file is read by as many
+    tasks as it has blocks (``split_csv``); ``blocks`` is the job that looked at
+    them, if there was one. A ``feed`` has comment lines and blanks around fields."""
+    files = [paths] if isinstance(paths, str) else list(paths)
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*columns, RECORD])
+    trim = str(feed).lower()
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RECORD, "multiLine": "true",
+               "ignoreLeadingWhiteSpace": trim, "ignoreTrailingWhiteSpace": trim}
+    records = csv_records(blocks or CsvBlocks(spark, files), files, feed, header)
+    r = records.select(F.from_csv("record", schema, options).alias("_c"), "path", "row_pos")
+    few = F.col(f"_c.{RECORD}").isNull() | (field_count(F.col(f"_c.{RECORD}")) <= len(columns))
+    return r.where(few).select(*[F.col("_c")[c].alias(c) for c in columns], "path", "row_pos")
+
+
+def read_group(spark: SparkSession, paths: list[str], header: str, blocks: CsvBlocks | None = None) -> DataFrame:
     """One header group by the tolerant rules, all columns string."""
     if header.startswith("#"):
-        return threat_feed_rows(spark, paths, column_names(header))
-    return tolerant_csv(spark, paths, column_names(header))
+        return threat_feed_rows(spark, paths, column_names(header), blocks)
+    return tolerant_csv(spark, paths, column_names(header), blocks=blocks)
 
 
 # ---------------------------------------------------------------- S3
@@ -122,10 +121,9 @@ def threat_feed_header(spark: SparkSession, path: str, scan_lines: int = THREAT_
     return None
 
 
-def threat_feed_rows(spark: SparkSession, paths, columns: list[str]) -> DataFrame:
+def threat_feed_rows(spark: SparkSession, paths, columns: list[str], blocks: CsvBlocks | None = None) -> DataFrame:
     """Rows below the comment block, by the tolerant rules, fields trimmed."""
-    return tolerant_csv(spark, paths, columns, header=False, comment="#", ignoreLeadingWhiteSpace="true",
-                        ignoreTrailingWhiteSpace="true")
+    return tolerant_csv(spark, paths, columns, header=False, feed=True, blocks=blocks)
 
 
 def threat_feed_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -152,15 +150,19 @@ def write_threat_feed(df: DataFrame, path: str, columns: list[str], preamble: li
 
 # ---------------------------------------------------------------- S4 / S5
 
-def ranked_list(spark: SparkSession, path: str, kind: str = "tranco") -> DataFrame:
-    """Ranked domain lists are legitimate (label 0). 'majestic' has a
-    header with a Domain column; 'tranco' / 'top-1m' are header-less
-    rank,domain files (the first domain is kept)."""
+def ranked_list(spark: SparkSession, path, kind: str = "tranco", blocks: CsvBlocks | None = None) -> DataFrame:
+    """Ranked domain lists are legitimate (label 0). 'majestic' lists have a
+    header with a Domain column, each file its own; 'tranco' / 'top-1m' are
+    header-less rank,domain files (the first domain is kept)."""
     if kind == "majestic":
-        first = path[0] if isinstance(path, list) else path
-        r = tolerant_csv(spark, path, column_names(first_lines(spark, first)[0])).withColumnRenamed("Domain", "url")
+        files = [path] if isinstance(path, str) else list(path)
+        blocks = blocks or CsvBlocks(spark, files)
+        groups = header_groups(spark, files, blocks)
+        parts = [tolerant_csv(spark, paths, column_names(header), blocks=blocks).select(F.col("Domain").alias("url"), "path", "row_pos")
+                 for header, paths in groups.items()]
+        r = functools.reduce(DataFrame.unionByName, parts) if parts else tolerant_csv(spark, [], ["url"], blocks=blocks)
     else:
-        r = tolerant_csv(spark, path, ["rank", "url"], header=False)
+        r = tolerant_csv(spark, path, ["rank", "url"], header=False, blocks=blocks)
     return r.select("url", F.lit(0).alias("label"), "path", "row_pos")
 
 
