@@ -1,12 +1,15 @@
 """Hashed word shingles of whole texts, straight from Arrow string buffers.
 
 Words are maximal runs of bytes other than space and the ASCII controls 9-13
-(no byte of a multi-byte character is one of these); A-Z are lowered. Word and
-shingle hashes come from prefix sums over a block of texts.
+(no byte of a multi-byte character is one of these); A-Z are lowered. A word's
+hash is a chain of bijective mixing steps over its length and its bytes, eight
+at a time, all words of a block at once; longer words than ``LONG_WORD`` are
+hashed by BLAKE2. No algebra relates the hashes of related words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +20,10 @@ from threatsift.llm import textbuf
 BLOCK_BYTES = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_lowered = np.arange(256, dtype=np.uint64)
-_lowered[65:91] += np.uint64(32)
-_BYTE = textbuf.mix64(_lowered + np.uint64(0x5851F42D4C957F2D))      # one 64-bit number per (lowered) byte
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
+LONG_WORD = 1_024
+_START, _STEP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9FB21C651E98DF25)
 
 
 def byte_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,10 +48,21 @@ def word_hashes(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nda
     cut[n] = True
     begins = np.flatnonzero(word & (np.concatenate([[True], ~word[:-1]]) | cut[:-1]))
     ends = np.flatnonzero(word & (np.concatenate([~word[1:], [True]]) | cut[1:])) + 1
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * textbuf._power_table(n, textbuf._BASE), out=prefix[1:])
-    h = (prefix[ends] - prefix[begins]) * textbuf._power_table(n, textbuf._INVERSE)[begins]
-    h = textbuf.mix64(h ^ ((ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    low = np.concatenate([_LOWERED[data], np.zeros(8, np.uint8)])
+    size = ends - begins
+    h = textbuf.mix64(size.astype(np.uint64) + _START)
+    left = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(left):
+        at, rest = begins[left] + done, size[left] - done
+        chunk = np.zeros(len(left), dtype=np.uint64)
+        for k in range(min(8, int(rest.max()))):
+            chunk |= np.where(rest > k, low[at + k], 0).astype(np.uint64) << np.uint64(8 * k)
+        h[left] = textbuf.mix64((h[left] ^ chunk) * _STEP + _START)
+        done += 8
+        left = left[rest > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(low[begins[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
     return np.searchsorted(start, begins, side="right") - 1, h
 
 
