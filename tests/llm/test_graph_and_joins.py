@@ -249,3 +249,64 @@ def test_tile_numbers_of_many_chunks(spark):
     chunks = [(2047, 2048), (2048, 2048), (4096, 4096), (0, 4096), (4096, 0), (4096, 8191)]
     got = [r[0] for r in spark.createDataFrame(chunks, "a int, b int").select(tile_of(F.col("a"), F.col("b"))).collect()]
     assert got == [min(c) * 2 ** 20 + max(c) for c in chunks]
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_without_a_common_shingle_never_link(spark):
+    """Words whose letters form complementary Thue-Morse sequences cancel in every
+    polynomial modulo a power of two; long words go another way than short ones."""
+    rows = []
+    for n in (64, 256, 1_000, 1_024, 1_025, 2_048, 4_096, 8_192):
+        rows += [(len(rows), thue_morse(n)), (len(rows) + 1, thue_morse(n, "ba"))]
+    rows += [(100, "AbCdEfGhI"), (101, "aBcDeFgHi"), (102, "abcdefgh"), (103, "abcdefghj")]
+    got = {r["doc_id"]: r["component_id"] for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (100 if i == 101 else i) for i, _ in rows}
+
+
+def test_strangers_rarely_share_a_key():
+    """Rows in keys of more than one document stay in proportion to the table."""
+    rng = np.random.default_rng(8)
+    shares = []
+    for docs in (1_000, 8_000):
+        for size in (30, 120):
+            k, bands = J.join_bands(size, 80, J.size_classes(80))[0]
+            owner = np.repeat(np.arange(docs), size)
+            h = rng.integers(0, 1 << 63, size=docs * size, dtype=np.int64).astype(np.uint64)
+            _, keys = J._band_keys(owner, h, np.full(len(h), k), np.full(len(h), bands))
+            _, count = np.unique(keys, return_counts=True)
+            shares.append(count[count > 1].sum() / docs)
+            assert count.max() <= 3
+    assert max(shares) < 0.001
+
+
+def test_long_documents_have_few_keys():
+    """Keys grow with the number of bands, however many pairs are poor."""
+    rng = np.random.default_rng(9)
+    for size in (3_000, 30_000, 300_000):
+        k, bands = J.join_bands(size, 80, J.size_classes(80))[0]
+        h = rng.integers(0, 1 << 63, size=size, dtype=np.int64).astype(np.uint64)
+        zero = np.zeros(size, np.int64)
+        assert len(J._band_keys(zero, h, zero + k, zero + bands)[1]) < 6 * bands
+
+
+@pytest.mark.parametrize("size,cut", [(12, 2), (16, 3), (20, 4), (40, 8), (6_000, 1_200)])
+def test_linked_sets_share_a_key_however_empty_their_bands(size, cut):
+    """Random pairs at the threshold, many of them with nearly empty band pairs."""
+    rng = np.random.default_rng(size)
+    classes = J.size_classes(80)
+    for _ in range(400 if size < 100 else 15):
+        x = rng.integers(0, 1 << 63, size=size, dtype=np.int64).astype(np.uint64)
+        y = np.unique(x)[:size - cut]
+        if 100 * len(y) < 80 * size:
+            continue
+        keys = []
+        for s in (np.unique(x), y):
+            found = set()
+            for k, bands in J.join_bands(len(s), 80, classes):
+                zero = np.zeros(len(s), np.int64)
+                found |= set(J._band_keys(zero, s, zero + k, zero + bands)[1].tolist())
+            keys.append(found)
+        assert keys[0] & keys[1]

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatsift.llm.common import staged
+from threatsift.llm.common import release, staged
 
 
 def _order(node: Column) -> Column:
@@ -34,8 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         steps.append(step)
         moved = (current.join(step.select(F.col("id").alias("a"), F.col("to").alias("a2")), "a")
                  .join(step.select(F.col("id").alias("b"), F.col("to").alias("b2")), "b"))
-        current = staged(moved.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
+        before, current = current, staged(moved.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
                          .distinct(), "cc-edges")
+        release(before)
     if not steps:
         return current.select(F.col("a").alias("id"), F.col("b").alias("component"))
     at = steps[-1]
@@ -43,5 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
         nxt = at.select(F.col("id").alias("to"), F.col("to").alias("_end"))
         at = earlier.join(nxt, "to", "left").select("id", F.coalesce("_end", "to").alias("to"))
     at = staged(at, "cc-ends")
+    release(current, *steps)
     smallest = at.groupBy("to").agg(F.min("id").alias("component"))
     return at.join(smallest, "to").select("id", "component")

@@ -10,12 +10,19 @@ equal on both sides (pigeonhole), and equal bands are found by a hash join.
 * Size bands: sizes fall into classes of a fixed ratio. Within class k and
   towards class k+1 one ``d`` and one number of bands hold. A document enters
   the join of its class and, if it can be the larger partner, of the one below.
-* A band of 2**16 bits is kept as the XOR of 64-bit numbers of its set bits,
-  which is its join key. Tokens choose their band by hash.
+* A band of 2**40 bits is never laid out: it is kept as the XOR of 64-bit
+  numbers of its set bits, which is its join key, so its width costs nothing and
+  strangers do not share bits. Tokens choose their band by hash.
 * A band without set bits would join strangers. Bands form pairs, and with
   ``d + 1`` bands (rounded up to even) some *pair* differs in at most one bit.
   A document with an empty band therefore joins on the other band of the pair,
   as it is and with each of its bits left out, instead of on the empty one.
+* A pair with at most one bit would still join strangers, so such a *poor* pair
+  gives no key. There are ``spare`` more pairs than needed: a document with no
+  more poor pairs than that agrees with each partner in another pair as well.
+  The few with more are dealt to bands again by another hash (their partners
+  with more are too). Those with too many in every dealing join on the numbers
+  of their poor pairs in all of them together.
 * Rows of one key are streamed in order of key and id; each is paired with the
   first (smallest) id only. Pairs whose whole sketches (as many bits as tokens)
   differ in more than ``d`` bits are dropped, the others verified on the sets.
@@ -31,6 +38,7 @@ candidate partner.
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +48,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatsift.llm import shingles, textbuf
-from threatsift.llm.common import small_side, staged, tile_of, tiles_of
+from threatsift.llm.common import release, small_side, staged, tile_of, tiles_of
 from threatsift.llm.components import components
 
 WIDTH = 4
 PERCENT = 85
 CLASS_RATIO = 1.25
-BAND_BITS = 16
+BAND_BITS = 40
+DEALINGS = 4
+WIDE = 8                    # a wide sketch's bits, in sketches
+POOR_SHARE = 0.004          # of all pairs, about
 SEEN_LIMIT = 500_000
 CHUNK = 1_024
 MAX_SIZE = 1 << 40
@@ -85,10 +96,20 @@ def join_bands(size: int, percent: int, classes: list[int]) -> list[tuple[int, i
             continue
         d = max_difference(small + large, percent)
         if d >= 1:
-            out.append((c, 2 * ((d + 2) // 2)))
+            pairs = need = (d + 2) // 2
+            while pairs - spare(pairs) < need:
+                pairs += 1
+            out.append((c, 2 * pairs))
     return out
 
 
+def spare(pairs: int) -> int:
+    """Poor pairs that a document of so many pairs may have without being dealt
+    again; few have more. Where they are rare at all, none."""
+    poor = POOR_SHARE * pairs
+    return 0 if poor < 0.05 else math.ceil(poor + 2.5 * math.sqrt(poor))
+
+
 def _text_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
@@ -100,8 +121,8 @@ def sketch_bits(size: np.ndarray) -> np.ndarray:
     return np.maximum(bits, 64)
 
 
-def _sketches(owner: np.ndarray, h: np.ndarray, count: np.ndarray) -> list[bytes]:
-    bits = np.where(count > 0, sketch_bits(count), 0)
+def _sketches(owner: np.ndarray, h: np.ndarray, count: np.ndarray, factor: int = 1) -> list[bytes]:
+    bits = np.where(count > 0, sketch_bits(count) * factor, 0)
     base = np.cumsum(bits) - bits
     at = base[owner] + ((h >> np.uint64(8)).astype(np.int64) & (bits[owner] - 1))
     odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(bool)
@@ -110,25 +131,28 @@ def _sketches(owner: np.ndarray, h: np.ndarray, count: np.ndarray) -> list[bytes
 
 
 def set_summaries(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, sketch): size, 128-bit fingerprint and
-    parity sketch of every set."""
+    """(doc_id, n_shingles, f1, f2, sketch, wide): size, 128-bit fingerprint and
+    parity sketches of every set, the wide one of ``WIDE`` times as many bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, f1, f2 = (np.zeros(b.num_rows, np.int64), *(np.zeros(b.num_rows, np.uint64) for _ in range(2)))
             sketches: list[bytes] = []
+            wide: list[bytes] = []
             for first, rows, owner, h in shingles.blocks(b.column(1), width):
                 count = np.bincount(owner, minlength=rows)
                 n[first:first + rows] = count
                 sketches += _sketches(owner, h, count)
+                wide += _sketches(owner, h, count, WIDE)
                 at = np.flatnonzero(count)
                 if len(at):
                     begin = (np.cumsum(count) - count)[at]
                     f1[first + at] = np.add.reduceat(textbuf.mix64(h ^ np.uint64(0xA0761D6478BD642F)), begin)
                     f2[first + at] = np.add.reduceat(textbuf.mix64(h ^ np.uint64(0xE7037ED1A0B428DB)), begin)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
-                                              pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sketch"])
+                                              pa.array(sketches, pa.binary()), pa.array(wide, pa.binary())],
+                                             names=["doc_id", "n_shingles", "f1", "f2", "sketch", "wide"])
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "f1", "f2")],
-                           T.StructField("sketch", T.BinaryType())])
+                           T.StructField("sketch", T.BinaryType()), T.StructField("wide", T.BinaryType())])
     return _text_rows(docs).mapInArrow(run, schema)
 
 
@@ -159,7 +183,8 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): within every tile of (key, tile, side, id, c, n, sketch), the
     pairs of different components whose sizes and sketches allow a link. Pairs
     are compared in memory, a tile (two chunks of a key) at a time; only those
-    that pass leave the task."""
+    that pass leave the task. The sketches are wide ones here: nearly no pair
+    below the threshold passes, so outliers of a large group give no pairs."""
     def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray] | None:
         c, n, side = (t.column(x).to_numpy() for x in ("c", "n", "side"))
         if (c == c[0]).all():
@@ -175,13 +200,14 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 maybe &= side[i + 1:] != side[i]
             j = np.flatnonzero(maybe)
             if len(j):
-                j = j[np.bitwise_count(x[i + 1 + j] ^ x[i]).sum(1) <= (100 - percent) * total[j] // (100 + percent)]
-                left.append(np.full(len(j), ids[i]))
-                right.append(ids[i + 1 + j])
+                bits = np.bitwise_count(x[i + 1 + j] ^ x[i]).sum(1)
+                near = bits <= (100 - percent) * total[j] // (100 + percent)
+                left.append(np.full(int(near.sum()), i))
+                right.append(i + 1 + j[near])
         if not left:
             return None
         p, q = np.concatenate(left), np.concatenate(right)
-        return np.minimum(p, q), np.maximum(p, q)
+        return np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in tiles_of(batches, ("key", "tile")):
@@ -193,11 +219,23 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
             .sortWithinPartitions("key", "tile").mapInArrow(run, "a long, b long"))
 
 
-def _band_keys(owner: np.ndarray, h: np.ndarray, klass: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, key) of all band keys; klass and bands are given per token (of
-    its owner's join). Tokens are grouped by owner."""
-    band = (h >> np.uint64(20)) % bands.astype(np.uint64)
-    value = textbuf.mix64((h & np.uint64((1 << BAND_BITS) - 1)) + np.uint64(0x2545F4914F6CDD1D))
+def dealings(bands: np.ndarray) -> np.ndarray:
+    """How often documents of a join with so many bands are dealt at most: fewer
+    times where poor pairs are many, so that their combinations stay fewer than
+    the bands. It depends on the join only, so partners agree on it."""
+    poor = np.maximum(2 * POOR_SHARE * bands / 2, 1.0)
+    out = np.full(len(bands), DEALINGS)
+    for n in range(DEALINGS, 1, -1):
+        out[(out == n) & (poor ** n > bands)] = n - 1
+    return out
+
+
+def _dealt(owner: np.ndarray, h: np.ndarray, klass: np.ndarray, bands: np.ndarray, deal: int):
+    """One dealing: ((owner, key) of all band keys, (owner, number) of all poor
+    pairs). Tokens are grouped by owner."""
+    own = textbuf.mix64(h + np.uint64(0x632BE59BD9B4E019 * deal & (1 << 64) - 1)) if deal else h
+    band = (own >> np.uint64(20)) % bands.astype(np.uint64)
+    value = textbuf.mix64((own & np.uint64((1 << BAND_BITS) - 1)) + np.uint64(0x2545F4914F6CDD1D))
     # one slot per (owner, band): owners' bands laid out one after the other
     first_token = np.concatenate([[True], owner[1:] != owner[:-1]])
     index = np.cumsum(first_token) - 1
@@ -205,29 +243,54 @@ def _band_keys(owner: np.ndarray, h: np.ndarray, klass: np.ndarray, bands: np.nd
     base = np.cumsum(bands[heads]) - bands[heads]
     slot = base[index] + band.astype(np.int64)
     slots = int(bands[heads].sum())
+    tokens = np.bincount(slot, minlength=slots)
     order = np.argsort(slot, kind="stable")
     ordered = slot[order]
     xor = np.zeros(slots, dtype=np.uint64)
     begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     xor[ordered[begin]] = np.bitwise_xor.reduceat(value[order], begin)
     slot_head = np.repeat(heads, bands[heads])
-    slot_owner = owner[slot_head]
-    slot_band = (np.arange(slots) - np.repeat(base, bands[heads])).astype(np.uint64)
-    salt = textbuf.mix64(klass[slot_head].astype(np.uint64) * np.uint64(1 << 32) + slot_band + np.uint64(1))
-    full = xor != 0
-    owners, keys = [slot_owner[full]], [textbuf.mix64(xor[full] ^ salt[full])]
-    empty = np.flatnonzero(~full)
-    if len(empty):
-        other = empty + 1 - 2 * (slot_band[empty].astype(np.int64) % 2)      # the other band of the pair
-        both = empty[xor[other] == 0]
-        owners.append(slot_owner[both])
-        keys.append(textbuf.mix64(salt[both]))
-        lone = np.zeros(slots, dtype=bool)
-        lone[other] = True
-        probe = np.flatnonzero(lone[slot])                                   # tokens of the other band, each left out
-        owners.append(owner[probe])
-        keys.append(textbuf.mix64((xor[slot[probe]] ^ value[probe]) ^ salt[slot[probe]]))
-    return np.concatenate(owners), np.concatenate(keys)
+    slot_band = np.arange(slots) - np.repeat(base, bands[heads])
+    salt = textbuf.mix64((klass[slot_head].astype(np.uint64) * np.uint64(1 << 32) + slot_band.astype(np.uint64) + np.uint64(1))
+                         ^ np.uint64(0x9E6C63D0876A9A47 * deal & (1 << 64) - 1))
+    other = np.arange(slots) + 1 - 2 * (slot_band % 2)                       # the other band of the pair
+    full = tokens > 0
+    beside = (tokens[other[slot]] == 0) & (tokens[slot] > 1)                 # beside an empty band: each token left out
+    at = slot[beside]
+    keys = (np.concatenate([owner[slot_head[full]], owner[beside]]),
+            np.concatenate([textbuf.mix64(xor[full] ^ salt[full]), textbuf.mix64((xor[at] ^ value[beside]) ^ salt[at])]))
+    poor = np.flatnonzero((tokens + tokens[other] <= 1) & (slot_band % 2 == 0))
+    return keys, (owner[slot_head[poor]], salt[poor])
+
+
+def _band_keys(owner: np.ndarray, h: np.ndarray, klass: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, key) of all band keys; klass and bands are given per token (of
+    its owner's join). Tokens are grouped by owner."""
+    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    ids, most = owner[heads], dealings(bands[heads])
+    enough = np.array([spare(n) for n in (bands[heads] // 2).tolist()])
+    at = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(owner))))
+    who, mark = np.arange(len(heads)), np.zeros(len(heads), dtype=np.uint64)    # poor pairs met so far, combined
+    out = []
+    for deal in range(DEALINGS):
+        (o, key), (poor, number) = _dealt(at, h, klass, bands, deal)
+        out.append((ids[o], key))
+        count = np.bincount(poor, minlength=len(ids))
+        times = np.where(count > enough, count, 0)[who]
+        if not times.sum():
+            break
+        pick = np.repeat((np.cumsum(count) - count)[who] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        who, mark = np.repeat(who, times), textbuf.mix64(np.repeat(mark, times) * np.uint64(0x9FB21C651E98DF25) + number[pick])
+        done = most[who] == deal + 1
+        out.append((ids[who[done]], mark[done]))
+        who, mark = who[~done], mark[~done]
+        on = np.zeros(len(ids), dtype=bool)
+        on[who] = True
+        on = on[at]
+        if not on.any():
+            break
+        at, h, klass, bands = at[on], h[on], klass[on], bands[on]
+    return np.concatenate([o for o, _ in out]), np.concatenate([k for _, k in out])
 
 
 def band_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, ratio: float = CLASS_RATIO) -> DataFrame:
@@ -336,6 +399,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             .mapInArrow(run, "a long, b long"))
 
 
+def _mixed_tiles(member: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows (key, tile, side, id, c, n, sketch) of the keys whose documents are in
+    more than one component, cut into tiles of two chunks."""
+    of = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    mixed = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2")
+    return (of.join(mixed.select("key", "m"), "key").join(facts.select("rep", "n", F.col("wide").alias("sketch")), "rep").withColumnRenamed("rep", "id")
+            .withColumn("_k", F.ceil(F.col("m") / CHUNK).cast("int"))
+            .withColumn("_c", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("_k")).cast("int"))
+            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+            .withColumn("tile", tile_of(F.col("_c"), F.col("_o")))
+            .withColumn("side", F.when(F.col("_o") == F.col("_c"), 0).when(F.col("_o") > F.col("_c"), 1).otherwise(2)))
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                        ratio: float = CLASS_RATIO) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
@@ -352,12 +428,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     usable = summary.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     copies = (usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").cast("long").alias("rep"), F.count("*").alias("c"))
               .where("c > 1").drop("c"))
-    copies = small_side(staged(copies, "jaccard-groups"))             # groups of equal sets only
-    of_row = (usable.select("doc_id", "f1", "f2", "n_shingles").join(copies, ["f1", "f2", "n_shingles"], "left")
+    copies = staged(copies, "jaccard-groups")                         # groups of equal sets only
+    of_row = (usable.select("doc_id", "f1", "f2", "n_shingles").join(small_side(copies), ["f1", "f2", "n_shingles"], "left")
               .select(F.col("doc_id").cast("long").alias("id"), F.coalesce("rep", F.col("doc_id").cast("long")).alias("rep")))
     of_row = staged(of_row, "jaccard-copies")
+    release(copies)
     one = of_row.groupBy("id").agg(F.min("rep").alias("rep"))        # rows that share an id are one document
-    facts = (usable.select(F.col("doc_id").cast("long").alias("rep"), F.col("n_shingles").alias("n"), "sketch")
+    facts = (usable.select(F.col("doc_id").cast("long").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "wide")
              .join(of_row.where("id = rep").select("rep"), "rep", "left_semi").dropDuplicates(["rep"]))
     facts = staged(facts, "jaccard-facts")
     star = staged(star_pairs(band_rows(docs, width, percent, ratio)), "jaccard-star")
@@ -372,31 +449,27 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
              .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     first = staged(near_sketches(sized, percent), "jaccard-pairs")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def links_of(pairs: DataFrame) -> DataFrame:
         ids = staged(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "jaccard-ids")
-        return staged(token_sets(docs, small_side(ids), width), "jaccard-tokens")
+        sets = staged(token_sets(docs, small_side(ids), width), "jaccard-tokens")
+        out = staged(verified(pairs, sets, percent), "jaccard-links")
+        release(ids, sets)
+        return out
 
-    links = staged(verified(first, sets_of(first), percent), "jaccard-links")
+    links = links_of(first)
     same_id = of_row.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     labels = components(links.unionByName(same_id))
 
     # Keys whose documents are in more than one component: all their pairs across components.
     member = (star.select("key", F.col("leader").alias("id")).distinct()
-              .unionByName(star.select("key", F.col("doc_id").alias("id")))
-              .join(one, "id").join(labels, "id", "left")
-              .groupBy("key", "rep").agg(F.min(F.coalesce("component", "rep")).alias("c")))
+              .unionByName(star.select("key", F.col("doc_id").alias("id"))).join(one, "id").select("key", "rep").distinct())
     member = staged(member, "jaccard-members")
-    mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2")
-    rows = (member.join(mixed.select("key", "m"), "key").join(facts, "rep").withColumnRenamed("rep", "id")
-            .withColumn("_k", F.ceil(F.col("m") / CHUNK).cast("int"))
-            .withColumn("_c", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("_k")).cast("int"))
-            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-            .withColumn("tile", tile_of(F.col("_c"), F.col("_o")))
-            .withColumn("side", F.when(F.col("_o") == F.col("_c"), 0).when(F.col("_o") > F.col("_c"), 1).otherwise(2)))
-    second = staged(cross_pairs(rows, percent).distinct().join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+    release(star)
+    second = staged(cross_pairs(_mixed_tiles(member, labels, facts), percent).distinct().join(first, ["a", "b"], "left_anti"),
+                    "jaccard-pairs")
+    release(member, facts, first)
     if not second.isEmpty():
-        more = staged(verified(second, sets_of(second), percent), "jaccard-links")
-        labels = components(links.unionByName(more).unionByName(same_id))
+        labels = components(links.unionByName(links_of(second)).unionByName(same_id))
     return (summary.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", F.col("doc_id").cast("long")).alias("component_id")))
 
