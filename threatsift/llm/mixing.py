@@ -179,7 +179,7 @@ def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     keyed = docs.withColumn("__mix_row", F.xxhash64("doc_id", "source", "text"))
     mixed = mix(keyed.select(F.col("__mix_row").alias("doc_id"), "source", "text"), weights, share, max_copies, seed, whole_copies=True)
     copies = staged(mixed.groupBy(F.col("doc_id").alias("__mix_row")).agg(F.sum("copies").alias("__mix_c"), F.count("*").alias("__mix_m")), "mix-copies")
-    ranked = keyed.join(small_side(copies), "__mix_row")
+    ranked = keyed.join(copies, "__mix_row")          # broadcast only if Spark measures it as small
     if not copies.where("__mix_m > 1").isEmpty():
         ranked = ranked.withColumn("__mix_r", F.row_number().over(Window.partitionBy("__mix_row").orderBy("__mix_c")))
     else:
