@@ -16,7 +16,7 @@ def test_stages_are_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_classifier", "ngram_jaccard_join", "pii", "source_mixing", "best_fit_packing"]
     names = entry.queries()
-    assert "pipeline" in names and {f"op{i}" for i in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")}
+    assert "pipeline" in names and {f"op{i}" for i in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op")}
 
 
 def test_every_stage_against_brute_force(spark):
