@@ -49,4 +49,5 @@ def load_all() -> None:
         q_sources,
         q_streaming,
         q_triage,
+        q_vocabulary,
     )
