@@ -42,6 +42,7 @@ def load_all() -> None:
         q_explain,
         q_functions,
         q_history,
+        q_occlusion,
         q_profile,
         q_quality,
         q_sample,
