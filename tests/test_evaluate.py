@@ -53,3 +53,21 @@ def test_report_scans_its_source_once(spark):
     pdf = df.toPandas()
     acc = (pdf.label_true == pdf.pred).mean()
     assert abs(rep["accuracy"]["f1"] - round(acc, 6)) < 1e-9 and rep["accuracy"]["support"] == 300
+
+
+def test_targets_of_the_published_matrices(spark):
+    counts = EV.counts_from_matrix(spark, EMAIL).selectExpr("'email' AS pipeline", "*")
+    stats = EV.class_stats("_c", [0, 1, 2])
+    rows = {r["metric"]: r for r in EV.target_check(counts, ("pipeline",), stats, [0, 1, 2]).collect()}
+    tp, fn, fp = 11716, 97 + 256, 47 + 1668
+    total = sum(map(sum, EMAIL))
+    assert rows["phishing_precision"]["value"] == pytest.approx(tp / (tp + fp), abs=1e-6) and not rows["phishing_precision"]["met"]
+    assert rows["phishing_recall"]["value"] == pytest.approx(tp / (tp + fn), abs=1e-6) and rows["phishing_recall"]["met"]
+    assert rows["macro_f1"]["value"] == pytest.approx(0.938043, abs=1e-6) and rows["macro_f1"]["met"]
+    assert rows["false_negative_rate"]["value"] == pytest.approx(fn / (tp + fn), abs=1e-6) and rows["false_negative_rate"]["met"]
+    assert rows["false_positive_rate"]["value"] == pytest.approx(fp / (total - tp - fn), abs=1e-6)
+    assert not rows["false_positive_rate"]["met"]
+    # a value equal to its target does not meet it: recall 0.95 exactly
+    even = EV.counts_from_matrix(spark, [[100, 0], [5, 95]]).selectExpr("'url' AS pipeline", "*")
+    rows = {r["metric"]: r for r in EV.target_check(even, ("pipeline",), EV.class_stats("_c", [0, 1]), [0, 1]).collect()}
+    assert rows["phishing_recall"]["value"] == 0.95 and not rows["phishing_recall"]["met"] and not rows["false_negative_rate"]["met"]

@@ -7,9 +7,10 @@ one ``groupBy(label_true, pred).count()``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatsift.settings import METRIC_TARGETS
 
 
 def confusion_counts(df: DataFrame, true_col: str = "label_true", pred_col: str = "pred") -> DataFrame:
@@ -140,6 +141,27 @@ def error_rates(counts: DataFrame, classes: list[int], digits: int = 6) -> DataF
     return s.select(F.inline(rows))
 
 
+def target_check(counts: DataFrame, keys: tuple[str, ...], classes: Column, all_classes: list[int],
+                 digits: int = 6) -> DataFrame:
+    """Every key's rates against the stated targets, one row per (key,
+    metric) with ``value``, ``target`` and ``met``. ``classes`` gives the key's
+    ``class_stats`` array over ``_c``; its last class is the positive one.
+    Targets are strict: a value equal to its target does not meet it."""
+    arr = count_array(counts, keys, all_classes)
+    s = arr.select(*keys, classes.alias("_s"), _sum("_c", lambda x: x["n"], F.lit(0).cast("long")).alias("_total"))
+    last = F.element_at("_s", -1)
+    tp, fp, fn = last["tp"], last["fp"], last["fn"]
+    f1 = _sum("_s", lambda x: _ratio(2 * x["tp"], 2 * x["tp"] + x["fp"] + x["fn"]), F.lit(0.0)) / F.size("_s")
+    value = {"phishing_precision": _ratio(tp, tp + fp), "phishing_recall": _ratio(tp, tp + fn), "macro_f1": f1,
+             "false_negative_rate": _ratio(fn, tp + fn), "false_positive_rate": _ratio(fp, F.col("_total") - tp - fn)}
+    rows = []
+    for metric, (above, target) in METRIC_TARGETS.items():
+        v = F.round(value[metric], digits)
+        rows.append(F.struct(F.lit(metric).alias("metric"), v.alias("value"), F.lit(target).alias("target"),
+                             ((v > target) if above else (v < target)).alias("met")))
+    return s.select(*keys, F.inline(F.array(*rows)))
+
+
 def counts_from_matrix(spark: SparkSession, matrix: list[list[int]]) -> DataFrame:
     """Confusion-count table from a published matrix (rows = true class)."""
     rows = [(i, j, int(v)) for i, r in enumerate(matrix) for j, v in enumerate(r)]

@@ -272,22 +272,35 @@ def q_error_rates(spark, sf_dir):
 VERDICT_CODE = "CASE v.label WHEN 'Legitimate' THEN 0 WHEN 'Spam' THEN 1 WHEN 'Phishing' THEN 2 ELSE -1 END"
 
 
-def _sql_pipeline_metrics() -> str:
-    email = sql_report(sql_counts(PREDS), EMAIL_CLASSES)
+def _sql_sources() -> dict[str, tuple[str, list[int]]]:
+    """Confusion counts of each pipeline and its classes, the positive one last."""
     url_src = (f"(SELECT l.label AS label_true, CAST(coalesce(v.is_phishing, FALSE) AS INTEGER) AS pred FROM ({oracle_triage_urls()}) v "
                f"JOIN {sub('v_url_labels')} l ON l.msg_id = v.msg_id) ub")
-    url = sql_report(sql_counts(url_src), [0, 1])
     comb_src = (f"(SELECT m.label AS label_true, {VERDICT_CODE} AS pred FROM ({oracle_triage_messages()}) v "
                 f"JOIN {MSG} m ON m.msg_id = v.msg_id WHERE m.label IS NOT NULL) cb")
-    comb = sql_report(sql_counts(comb_src), EMAIL_CLASSES)
-    return (f"SELECT 'email' AS pipeline, * FROM ({email}) a UNION ALL SELECT 'url', * FROM ({url}) b "
-            f"UNION ALL SELECT 'combined', * FROM ({comb}) c")
+    return {"email": (sql_counts(PREDS), EMAIL_CLASSES), "url": (sql_counts(url_src), [0, 1]),
+            "combined": (sql_counts(comb_src), EMAIL_CLASSES)}
+
+
+def _sql_pipeline_metrics() -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS pipeline, * FROM ({sql_report(counts, classes)}) r"
+                              for name, (counts, classes) in _sql_sources().items())
 
 
 @query("pipeline_metrics", _sql_pipeline_metrics)
 def q_pipeline_metrics(spark, sf_dir):
     """Metrics of the email model, of the URL verdicts over labelled page
     URLs, and of the combined per-message verdicts."""
+    arr = EV.count_array(_pipeline_counts(spark, sf_dir), ("pipeline",), EMAIL_CLASSES)
+    return EV.report(arr.select("pipeline", _pipeline_stats().alias("_s")), ("pipeline",))
+
+
+def _pipeline_stats():
+    return (F.when(F.col("pipeline") == "url", EV.class_stats("_c", [0, 1]))
+            .otherwise(EV.class_stats("_c", EMAIL_CLASSES)))
+
+
+def _pipeline_counts(spark, sf_dir):
     preds = view(spark, sf_dir, "v_preds").select("label_true", "pred")
     urls = view(spark, sf_dir, "v_url_labels").select("msg_id", F.col("url").alias("text"), F.col("label").alias("label_true"))
     u = triage_urls(urls, carry=("label_true",)).select("label_true", F.coalesce("is_phishing", F.lit(False)).cast("int").alias("pred"))
@@ -300,8 +313,25 @@ def q_pipeline_metrics(spark, sf_dir):
     pairs = (preds.select(F.lit("email").alias("pipeline"), "label_true", "pred")
              .unionByName(u.select(F.lit("url").alias("pipeline"), "label_true", "pred"))
              .unionByName(v.select(F.lit("combined").alias("pipeline"), "label_true", code.alias("pred"))))
-    counts = pairs.groupBy("pipeline", "label_true", "pred").agg(F.count(F.lit(1)).alias("n"))
-    arr = EV.count_array(counts, ("pipeline",), EMAIL_CLASSES)
-    stats = arr.select("pipeline", F.when(F.col("pipeline") == "url", EV.class_stats("_c", [0, 1]))
-                       .otherwise(EV.class_stats("_c", EMAIL_CLASSES)).alias("_s"))
-    return EV.report(stats, ("pipeline",))
+    return pairs.groupBy("pipeline", "label_true", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sql_target_check() -> str:
+    # the targets are stated here again, so that a wrong constant shows
+    targets = [("phishing_precision", ">", 0.92), ("phishing_recall", ">", 0.95), ("macro_f1", ">", 0.93),
+               ("false_negative_rate", "<", 0.05), ("false_positive_rate", "<", 0.03)]
+    value = {"phishing_precision": _r("tp", "tp + fp"), "phishing_recall": _r("tp", "tp + fn"), "macro_f1": "macro_f1",
+             "false_negative_rate": _r("fn", "tp + fn"), "false_positive_rate": _r("fp", "total - tp - fn")}
+    parts = []
+    for name, (counts, classes) in _sql_sources().items():
+        rows = (f"(SELECT cls, tp, fp, fn, avg({_r('2 * tp', '2 * tp + fp + fn')}) OVER () AS macro_f1, "
+                f"(SELECT sum(n) FROM ({counts}) c) AS total FROM ({sql_per_class(counts, classes)}) pc) x")
+        parts += [f"SELECT '{name}' AS pipeline, '{m}' AS metric, round({value[m]}, 6) AS value, CAST({t} AS DOUBLE) AS target, "
+                  f"round({value[m]}, 6) {op} {t} AS met FROM {rows} WHERE cls = {classes[-1]}" for m, op, t in targets]
+    return " UNION ALL ".join(parts)
+
+
+@query("target_check", _sql_target_check)
+def q_target_check(spark, sf_dir):
+    """Rates of the three pipelines against the stated targets."""
+    return EV.target_check(_pipeline_counts(spark, sf_dir), ("pipeline",), _pipeline_stats(), EMAIL_CLASSES)

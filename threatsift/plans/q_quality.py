@@ -22,6 +22,20 @@ def q_input_type_check(spark, sf_dir):
     return r.select("event_id", "input_type", Q.input_type_error(F.col("input_type")).alias("error"))
 
 
+@query("request_check", lambda: (
+    f"SELECT r.event_id, r.input_type, CASE WHEN r.input_type IS NULL OR r.input_type NOT IN ('email', 'url') "
+    f"THEN 'input_type must be email or url' WHEN d.doc_id IS NULL OR d.text IS NULL THEN 'text is required' END AS error "
+    f"FROM {REQ} r LEFT JOIN documents d ON d.doc_id = r.event_id"))
+def q_request_check(spark, sf_dir):
+    """Q1: the whole request check, type and text; a request whose document is
+    missing or NULL has no text (an empty text is a text)."""
+    r = view(spark, sf_dir, "v_requests")
+    # only a mark of the text crosses the join
+    d = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.when(F.col("text").isNotNull(), F.lit("")).alias("text"))
+    j = r.join(d, "event_id", "left")
+    return j.select("event_id", "input_type", Q.input_type_error(F.col("input_type"), F.col("text")).alias("error"))
+
+
 @query("batch_size_check", lambda: (
     f"SELECT client, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00:00') AS batch_hour, count(*) AS n_items, "
     f"count(*) >= 1 AND count(*) <= {MAX_BATCH_SIZE} AS valid FROM {REQ} r GROUP BY client, date_trunc('hour', ts)"))

@@ -206,3 +206,12 @@ class Settings:
 
 
 DEFAULT = Settings()
+
+# The evaluation targets, as (must lie above, bound).
+METRIC_TARGETS = {
+    "phishing_precision": (True, 0.92),
+    "phishing_recall": (True, 0.95),
+    "macro_f1": (True, 0.93),
+    "false_negative_rate": (False, 0.05),
+    "false_positive_rate": (False, 0.03),
+}
