@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threatsift.operators import model as MD
+from threatsift.operators import sample as SM
 from threatsift.operators import vocabulary as VO
 from threatsift.plans import sqltext as S
 from threatsift.plans.catalog import query
 from threatsift.plans.q_sample import _split_sql
-from threatsift.plans.q_scoring import _splits, _text_of_digest
 from threatsift.plans.views import sub, view
 from threatsift.session import cut_lineage, fresh_path
 from threatsift.settings import EMAIL_MAX_TOKENS, URL_MAX_TOKENS
 
 
 def _split_texts(spark, sf_dir):
-    """Texts of every split, written once: counting and encoding both read them."""
-    s = _splits(spark, sf_dir).select("text_md5", "label", "split")
-    return cut_lineage(s.join(_text_of_digest(spark, sf_dir), "text_md5"))
+    """Texts of every split row (distinct text and label), written once:
+    counting and encoding both read them. Splits are made on digests, each with
+    the first document that has its text and label; texts cross one shuffle, to
+    these documents. The join is a merge at every size, as the keys grow with
+    the documents."""
+    docs = view(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = view(spark, sf_dir, "labels")
+    label = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
+    d = docs.select("doc_id", F.md5("text").alias("text_md5")).join(labels.select("doc_id", label.alias("label")), "doc_id")
+    rows = d.groupBy("text_md5", "label").agg(F.min("doc_id").alias("doc_id"))
+    rows = rows.withColumn("row_key", F.concat(F.coalesce("text_md5", F.lit("")), F.lit("|"), F.col("label").cast("string")))
+    keys = SM.stratified_split(cut_lineage(rows), "row_key").select("doc_id", "text_md5", "label", "split")
+    keys = keys.filter(F.col("text_md5").isNotNull())  # a NULL text has a place in the split but no tokens
+    return cut_lineage(docs.join(keys.hint("merge"), "doc_id").drop("doc_id"))
 
 
 def _email_vocabulary(rows):
