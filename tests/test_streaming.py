@@ -51,3 +51,31 @@ def test_requests_of_both_types_and_explanations(spark):
     assert got[3].label == got[6].label == "Unknown" and got[3].confidence == 0.0
     flagged = triage_requests(df, RuleScorer(("verify",)), RuleScorer(("evil",), "url")).collect()
     assert {r.msg_id: r.label for r in flagged if r.msg_id < 3} == {1: "Phishing", 2: "Phishing"}
+
+
+def test_windowed_counts_appended_once_over_restarts(spark, tmp_path):
+    """Each batch is a run of its own on the same checkpoint: a window is
+    written when the watermark has passed its end, an entry that comes after
+    that is left out, one within the delay counts."""
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 1, 1)
+    log, sink, ckpt = (str(tmp_path / n) for n in ("log", "out", "ckpt"))
+
+    def run(batch_id, entries):
+        rows = [(m, "t", "email", label, 0.9, label == "Phishing", "", None if m is None else t0 + timedelta(minutes=m)) for m, label in entries]
+        schema = "id long, input_text string, input_type string, prediction_label string, confidence double, is_phishing boolean, reason string, timestamp timestamp"
+        H.append_history(spark.createDataFrame(rows, schema), log, "log", batch_id)
+        H.start_windowed_counts(H.stream_history(spark, log), sink, ckpt, watermark="30 minutes").awaitTermination()
+        got = spark.read.schema(H.WINDOWED_SCHEMA).parquet(sink).collect()
+        return sorted(((r.window_start - t0).total_seconds() // 3600, r.label, r.n) for r in got)
+
+    first = run(0, [(5, "Phishing"), (10, "Phishing"), (59, "Legitimate"), (70, "Phishing"), (None, "Phishing")])
+    assert first == []                                                # watermark at minute 40
+    second = run(1, [(20, "Phishing"), (100, "Phishing")])            # 20 comes within the delay
+    assert second == [(0, "Legitimate", 1), (0, "Phishing", 3)]       # watermark at minute 70
+    third = run(2, [(30, "Phishing"), (65, "Legitimate"), (160, "Phishing")])  # 30 is late, 65 is not
+    assert third == [*second, (1, "Legitimate", 1), (1, "Phishing", 2)]
+    assert run(3, []) == third
+    # without entries after the closing of their window, stream and batch agree
+    full = H.windowed_counts(H.read_history(spark, log).filter("timestamp is not null"))
+    assert {(r.label, r.n) for r in full.collect() if r.window_start == t0} == {("Phishing", 4), ("Legitimate", 1)}

@@ -69,3 +69,26 @@ def windowed_counts(history: DataFrame, ts_col: str = "timestamp", label_col: st
     h = history.withWatermark(ts_col, watermark) if watermark else history
     g = h.groupBy(F.window(ts_col, every).alias("w"), F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "label", "n")
+
+
+WINDOWED_SCHEMA = "window_start timestamp, window_end timestamp, label string, n long"
+
+
+def stream_history(spark: SparkSession, path: str) -> DataFrame:
+    """The growing history as a stream. A batch that is appended again under its
+    id replaces files and would be read again, so restart appends before reading."""
+    return spark.readStream.schema(HISTORY_SCHEMA).parquet(path)
+
+
+def start_windowed_counts(history: DataFrame, path: str, checkpoint: str, watermark: str = "1 hour", every: str = "1 hour",
+                          ts_col: str = "timestamp", label_col: str = "prediction_label", available_now: bool = True):
+    """X4 as a stream: appends each window's counts to the table at ``path``
+    once, when the watermark has passed its end, also over restarts on the same
+    checkpoint; returns the StreamingQuery. State: the counts of open windows
+    only. Entries of a window already written are late: Spark leaves them out
+    (``numRowsDroppedByWatermark`` of its progress), while ``windowed_counts`` over the
+    table counts them. Entries without a time belong to no window."""
+    w = windowed_counts(history, ts_col, label_col, every, watermark).writeStream.format("parquet").option("path", path)
+    w = w.option("checkpointLocation", checkpoint).outputMode("append")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
