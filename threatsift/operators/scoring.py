@@ -16,6 +16,7 @@ A scorer declares ``expensive``; expensive scorers get distinct-then-join
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatsift.functions.text import char_count, substring_count
+from threatsift.functions.text import char_count, let, substring_count
 from threatsift.settings import (
     DEFAULT,
     EMAIL_CUE_CHARS,
@@ -56,9 +57,11 @@ def cue_count(c, cues) -> Column:
 
 def cue_word_pattern(words) -> str:
     """Whole-word alternation: a cue matches only a complete run of word
-    characters (letters, digits, underscore), like a token of the word split."""
+    characters (letters, digits, underscore), like a token of the word split.
+    Most positions fail by their first letter, most others by the letter before."""
     alts = "|".join(sorted(set(words), key=lambda w: (-len(w), w)))
-    return rf"(?<![\p{{L}}\p{{N}}_])(?:{alts})(?![\p{{L}}\p{{N}}_])"
+    first = "".join(sorted({re.escape(w[0]) for w in words}))
+    return rf"(?=[{first}])(?<![a-z0-9_\p{{L}}\p{{N}}])(?:{alts})(?![\p{{L}}\p{{N}}_])"
 
 
 def word_cue_counts(c, cue_words: dict, already_lower: bool = False) -> dict[str, Column]:
@@ -71,22 +74,24 @@ def word_cue_counts(c, cue_words: dict, already_lower: bool = False) -> dict[str
     for k, words in cue_words.items():
         own = [w for w in words if w not in seen]
         seen.update(own)
-        out[k] = F.regexp_count(x, F.lit(cue_word_pattern(own))).cast("long")
+        out[k] = F.regexp_count(x, F.lit(cue_word_pattern(own))).cast("long") if own else F.lit(0).cast("long")
     return out
 
 
-def lexical_scores(c, kind: str = "email", already_lower: bool = False) -> dict[str, Column]:
-    """Rational class scores: (prior_k + w * cues_k) / sum over classes.
-    Email: cue words (one split) plus cue characters; URL: cue substrings."""
-    if kind == "email":
-        counts = word_cue_counts(c, EMAIL_CUE_WORDS, already_lower)
-        for k, chars in EMAIL_CUE_CHARS.items():
-            for ch in chars:
-                counts[k] = counts[k] + char_count(c, ch)
-        priors, w = EMAIL_PRIORS, 1
-    else:
-        counts = {k: cue_count(c, URL_CUES[k]) for k in URL_CUES}
-        priors, w = URL_PRIORS, URL_CUE_WEIGHT
+def lexical_counts(c, kind: str = "email", already_lower: bool = False) -> dict[str, Column]:
+    """Cues per class. Email: cue words plus cue characters; URL: cue substrings."""
+    if kind != "email":
+        return {k: cue_count(c, URL_CUES[k]) for k in URL_CUES}
+    counts = word_cue_counts(c, EMAIL_CUE_WORDS, already_lower)
+    for k, chars in EMAIL_CUE_CHARS.items():
+        for ch in chars:
+            counts[k] = counts[k] + char_count(c, ch)
+    return counts
+
+
+def scores_of_counts(counts: dict[str, Column], kind: str = "email") -> dict[str, Column]:
+    """Rational class scores: (prior_k + w * cues_k) / sum over classes."""
+    priors, w = (EMAIL_PRIORS, 1) if kind == "email" else (URL_PRIORS, URL_CUE_WEIGHT)
     num = {k: F.lit(priors[k]) + F.lit(w) * counts[k] for k in counts}
     den = F.lit(0)
     for k in counts:
@@ -94,6 +99,11 @@ def lexical_scores(c, kind: str = "email", already_lower: bool = False) -> dict[
     return {k: (num[k].cast("double") / den.cast("double")) for k in counts}
 
 
+def lexical_scores(c, kind: str = "email", already_lower: bool = False) -> dict[str, Column]:
+    """Class scores of a text from its cues."""
+    return scores_of_counts(lexical_counts(c, kind, already_lower), kind)
+
+
 def softmax(c) -> Column:
     """M1: max-shifted softmax of an ARRAY<DOUBLE> of logits."""
     x = F.transform(_c(c), lambda v: v.cast("double"))
@@ -148,6 +158,19 @@ class Scorer:
         column (usable inside array lambdas); others return None."""
         return None
 
+    def column_struct(self, text: Column, settings: Settings, body: Callable) -> Column:
+        """``body`` of the prediction of ``column_predict``, as one expression."""
+        return body(self.column_predict(text, settings))
+
+    def word_counts(self, text: Column) -> dict[str, Column] | None:
+        """For scorers whose scores follow from counts that simply add up over
+        the whitespace-separated words of a text: these counts, else None."""
+        return None
+
+    def scores_of(self, counts: dict[str, Column]) -> dict[str, Column]:
+        """Class scores by name from (sums of) ``word_counts``."""
+        raise NotImplementedError
+
     def predict(self, df: DataFrame, text_col: str, settings: Settings = DEFAULT) -> DataFrame:
         """Adds is_phishing, confidence, message and p_* columns."""
         probs = self.probabilities(df, text_col)
@@ -169,8 +192,30 @@ class LexicalScorer(Scorer):
         self.classes = EMAIL_CLASSES if kind == "email" else URL_CLASSES
 
     def probabilities(self, df, text_col):
-        sc = lexical_scores(F.col(text_col), self.kind, self.lowercased)
-        return df.select("*", *[sc[k].alias(f"p_{k}") for k in self.classes])
+        # the counts come out of a one-row generator, so no later projection repeats the scan
+        counts = lexical_counts(F.col(text_col), self.kind, self.lowercased)
+        one = F.array(F.struct(*[counts[k].alias(f"_n_{k}") for k in self.classes]))
+        sc = self.scores_of({k: F.col(f"_n_{k}") for k in self.classes})
+        return df.select("*", F.inline(one)).select(*df.columns, *[sc[k].alias(f"p_{k}") for k in self.classes])
+
+    def word_counts(self, text):
+        # cue words hold no whitespace and match whole words only; URL cues may cross any boundary
+        return lexical_counts(text, self.kind, self.lowercased) if self.kind == "email" else None
+
+    def scores_of(self, counts):
+        return scores_of_counts(counts, self.kind)
+
+    def column_struct(self, text, settings, body):
+        # an array lambda shares no subexpressions: bind the counts, then the scores
+        def decided(sc):
+            if self.kind == "email":
+                return body(decide_email(sc["legitimate"], sc["spam"], sc["phishing"], settings))
+            return body(decide_url(sc["legitimate"], sc["phishing"], settings))
+
+        def named(d):
+            return F.struct(*[v.alias(k) for k, v in d.items()])
+        counts = named(lexical_counts(text, self.kind, self.lowercased))
+        return let(counts, lambda n: let(named(self.scores_of({k: n[k] for k in self.classes})), decided))
 
     def column_predict(self, text, settings=DEFAULT):
         sc = lexical_scores(text, self.kind, self.lowercased)

@@ -128,7 +128,7 @@ SQL_OVERLAP = "len(list_filter(spans, lambda s: char_offset < s['end'] AND char_
 def q_span_overlap(spark, sf_dir):
     """Tokens whose character range overlaps a URL span of their message."""
     m = view(spark, sf_dir, "v_messages").select("msg_id", "text")
-    hit = let(XP.url_spans(F.col("text")), lambda spans: let(XP.pieces(F.col("text")), lambda p: XP.overlapping(p, spans)))
+    hit = let(XP.url_spans(F.col("text")), lambda spans: XP.overlapping(XP.tokens(F.col("text")), spans))
     return m.select("msg_id", F.inline(hit))
 
 
