@@ -85,11 +85,13 @@ def email_predictions(df: DataFrame, scorer: Scorer, text_col: str = "text", key
 
 
 def _prediction_from_norm(norm: Column, pos: Column, scorer: Scorer, settings: Settings) -> Column:
+    """The prediction of one normalised URL; cues and host are looked up once."""
     allow = is_allowlisted(url_domain(norm, settings.strict_host), settings)
-    d = scorer.column_predict(norm, settings)
-    a = allowlisted_prediction(settings)
-    fields = [F.when(allow, a[c]).otherwise(d[c]).alias(c) for c in URL_PRED_COLUMNS]
-    return F.struct(*fields, pos.cast("int").alias("url_pos"))
+    safe = allowlisted_prediction(settings)
+
+    def chosen(d):
+        return F.struct(*[d[c].alias(c) for c in URL_PRED_COLUMNS], pos.cast("int").alias("url_pos")).cast(URL_STRUCT)
+    return F.when(allow, chosen(safe)).otherwise(scorer.column_struct(norm, settings, chosen))
 
 
 def url_prediction_array(urls: Column, scorer: Scorer, settings: Settings = DEFAULT) -> Column:
