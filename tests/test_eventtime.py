@@ -144,3 +144,24 @@ def test_stamps_outlive_a_slot_by_one_window_only():
     list(p.handleInputRows(("a",), iter([pdf]), clock))
     seen = {i: a for o in _fire(p, clock) for i, a in zip(o["request_id"], o["allowed"])}
     assert seen == {0: True, 1: False, 2: False, 3: True, 4: True} and not p.stamps.exists()
+
+
+def test_closed_slots_of_a_client_cost_one_timer_and_one_frame():
+    calls = []
+
+    class Counted(_Clock):
+        def registerTimer(self, t):
+            calls.append(t)
+            super().registerTimer(t)
+
+    p, clock = EV.SlotLimiter(2, 60_000_000, 30_000_000, "long"), Counted()
+    p.init(clock)
+    us = [k * 30_000_000 for k in range(200, 0, -1)]
+    pdf = pd.DataFrame({"request_id": range(200), "us": us, "timed": True, "mark": False, "exempt": False})
+    list(p.handleInputRows(("a",), iter([pdf]), clock))
+    assert calls == [60_000]
+    clock.now = 10_000_000
+    clock.timers.clear()
+    out = list(p.handleExpiredTimer(("a",), clock, clock))
+    assert len(out) == 1 and out[0]["us"].tolist() == us[::-1] and out[0]["allowed"].all()
+    assert not p.rows and not p.parts and not p.stamps.exists() and not clock.timers

@@ -8,16 +8,20 @@ A request whose slot was closed before it arrived is late: it gets no judgement
 and is returned as such, so every request comes out exactly once.
 
 The state of a client is its open slots (times, ids and exempt marks, in parts
-of one Arrow batch each), the accepted stamps of the last window, and timers: one
-per open slot, and one that forgets the stamps when the client has been idle for a
-window. A task holds one Arrow batch or one slot of one client, never a client's
-whole micro-batch; the rest lies in the state store (RocksDB, on disk).
+of one Arrow batch each), the accepted stamps of the last window, and a timer: at
+the end of its first open slot, or, when none is open, one that forgets the stamps
+when the client has been idle for a window. A task holds one Arrow batch or one
+slot of one client and the numbers of its open slots, never a client's whole
+micro-batch; the rest lies in the state store (RocksDB, on disk). A slot costs two
+calls of the store when it is filled and three when it is judged, and the judgements
+of a client's closed slots leave the task together (``OUT_ROWS``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +34,8 @@ from threatsift.streaming.ratelimit import US, _limiter, _micros
 PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+OUT_ROWS = 10_000  # judgements of one client that leave a task together
+
 
 class SlotLimiter(StatefulProcessor):
     """Collects a client's requests by time slot and replays each slot in
@@ -53,6 +59,7 @@ class SlotLimiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         closed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        parts = None  # of the client's open slots, read once
         for pdf in rows:
             pdf = pdf[~pdf["mark"].to_numpy(dtype=bool)]  # time marks only move the watermark
             timed = pdf["timed"].to_numpy(dtype=bool)
@@ -61,25 +68,42 @@ class SlotLimiter(StatefulProcessor):
             if late.any():
                 us = [u if t else None for u, t in zip(pdf["us"][late].tolist(), timed[late].tolist())]
                 yield self._out(key, us, pdf["request_id"][late].tolist(), [None] * int(late.sum()), True)
-            pdf, slot = pdf[~late], slot[~late]
-            for s, group in pdf.groupby(slot, sort=False):
-                s = int(s)
-                if self.parts.containsKey((s,)):
-                    n = self.parts.getValue((s,))[0]
-                else:
-                    n = 0
-                    self.handle.registerTimer((s + 1) * self.slot_us // 1000)
-                self.rows.updateValue((s, n), (group["us"].tolist(), group["request_id"].tolist(),
-                                               group["exempt"].astype(bool).tolist()))
+                pdf, slot = pdf[~late], slot[~late]
+            if not len(slot):
+                continue
+            if parts is None:
+                parts = self._open_slots()
+            order = np.argsort(slot, kind="stable")
+            slot = slot[order]
+            us, ids, exempt = (pdf[c].iloc[order].tolist() for c in ("us", "request_id", "exempt"))
+            cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), len(slot)]
+            if not parts or slot[0] < min(parts):
+                self._wake(int(slot[0]))
+            for lo, hi in zip(cuts, cuts[1:]):
+                s = int(slot[lo])
+                n = parts.get(s, 0)
+                self.rows.updateValue((s, n), (us[lo:hi], ids[lo:hi], [bool(e) for e in exempt[lo:hi]]))
                 self.parts.updateValue((s,), (n + 1,))
+                parts[s] = n + 1
+
+    def _open_slots(self) -> dict[int, int]:
+        return {s[0]: n[0] for s, n in zip(list(self.parts.keys()), list(self.parts.values()))}
+
+    def _wake(self, slot: int) -> None:
+        self.handle.registerTimer((slot + 1) * self.slot_us // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        stamps = list(self.stamps.get()[0]) if self.stamps.exists() else []
-        slot = now_us // self.slot_us - 1
-        if self.parts.containsKey((slot,)):
+        # every slot that the watermark has closed is judged now, one after another
+        now_us = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        now_us = now_us // self.slot_us * self.slot_us
+        had = self.stamps.exists()
+        stamps = list(self.stamps.get()[0]) if had else []
+        parts = self._open_slots()
+        closed = sorted(s for s in parts if (s + 1) * self.slot_us <= now_us)
+        out_us, out_ids, out_allowed = [], [], []
+        for slot in closed:
             pending = []
-            for part in range(self.parts.getValue((slot,))[0]):
+            for part in range(parts.pop(slot)):
                 us, ids, exempt = self.rows.getValue((slot, part))
                 pending += zip(us, ids, exempt)
                 self.rows.removeKey((slot, part))
@@ -89,15 +113,24 @@ class SlotLimiter(StatefulProcessor):
                 raise RuntimeError("time slots of a client were closed out of order")
             flags, stamps = _limiter(self.limit, self.window_us, [u for u, _, e in pending if not e], stamps)
             judged = iter(flags)
-            allowed = [True if e else next(judged) for _, _, e in pending]
-            yield self._out(key, [u for u, _, _ in pending], [i for _, i, _ in pending], allowed, False)
+            out_allowed += [True if e else next(judged) for _, _, e in pending]
+            out_us += [u for u, _, _ in pending]
+            out_ids += [i for _, i, _ in pending]
+            if len(out_ids) >= OUT_ROWS:
+                yield self._out(key, out_us, out_ids, out_allowed, False)
+                out_us, out_ids, out_allowed = [], [], []
+        if out_ids:
+            yield self._out(key, out_us, out_ids, out_allowed, False)
         # stamps that no later slot can see are forgotten; the last one sets the next
-        # timer, at a slot's end, for an open slot may hold requests before it
+        # timer, at a slot's end, unless an open slot has one
         stamps = [s for s in stamps if s + self.window_us > now_us]
+        if parts:
+            self._wake(min(parts))
+        elif stamps:
+            self.handle.registerTimer(-(-(stamps[-1] + self.window_us) // self.slot_us) * self.slot_us // 1000)
         if stamps:
             self.stamps.update((stamps,))
-            self.handle.registerTimer(-(-(stamps[-1] + self.window_us) // self.slot_us) * self.slot_us // 1000)
-        elif self.stamps.exists():
+        elif had:
             self.stamps.clear()
 
     def close(self) -> None:
