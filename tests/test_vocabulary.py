@@ -113,3 +113,16 @@ def test_a_library_tokenizer_plugs_in(spark, corpus, tmp_dir):
         ids = lib.encode(text, add_special_tokens=False).ids if text else []
         seq, mask = _layout([i + MD.N_SPECIAL for i in ids], 32)
         assert (got[key]["n_tokens"], got[key]["input_ids"], got[key]["attention_mask"]) == (len(ids), seq, mask)
+
+
+def test_a_task_holds_the_ids_of_few_texts(spark):
+    """Sequences come back in chunks, and a batch of texts is small, also where
+    a task has many rows."""
+    class Watched(VO.PandasTokenizer):
+        CHUNK = 7
+
+    df = spark.range(40).selectExpr("id", "repeat('a ', cast(id as int)) AS text").coalesce(1)
+    got = Watched(lambda: lambda t: list(range(len(t.split())))).encode(df, ["id"], "text", 12).collect()
+    assert {r.id: r.n_tokens for r in got} == {i: i for i in range(40)}
+    assert all(r.input_ids[1:1 + min(r.id, 10)] == [i + 3 for i in range(min(r.id, 10))] for r in got)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000

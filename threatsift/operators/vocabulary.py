@@ -12,8 +12,11 @@ A tokenizer has ``encode(df, key, text_col, max_len)``: one row per key with
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from threatsift.functions.text import all_words
 from threatsift.operators import model as MD
 from threatsift.operators.joins import checked_broadcast
-from threatsift.session import cut_lineage
+from threatsift.session import bound_arrow_batches, cut_lineage
 
 # Fixed values of the layout: start 0, padding 1, end 2 (see ``model``), then
 # the id of every word outside the vocabulary.
@@ -108,26 +111,31 @@ class RankedTokenizer:
 class PandasTokenizer:
     """Any Python tokenizer: ``factory()`` builds ``fn(str) -> list[int]`` once a
     task. Ids are moved up by the number of special ids. Only counts and the
-    kept ids come back from Python; texts are encoded one at a time."""
+    kept ids come back from Python; texts are encoded one at a time, and a task
+    holds the ids of ``CHUNK`` texts and one Arrow batch of texts."""
+
+    CHUNK = 100
 
     def __init__(self, factory: Callable[[], Callable[[str], list[int]]], shift: int = MD.N_SPECIAL):
         self.factory = factory
         self.shift = shift
 
     def encode(self, df: DataFrame, key: list[str], text_col: str, max_len: int) -> DataFrame:
-        factory, shift, room = self.factory, self.shift, max_len - 2
+        factory, shift, room, chunk = self.factory, self.shift, max_len - 2, self.CHUNK
 
         @F.pandas_udf("n int, ids array<long>")
         def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             fn = factory()
             for texts in batches:
-                counts, kept = [], []
-                for t in texts:
-                    ids = fn(t) if isinstance(t, str) else []
-                    counts.append(len(ids))
-                    kept.append([i + shift for i in ids[:room]])
-                yield pd.DataFrame({"n": counts, "ids": kept})
-
+                for lo in range(0, len(texts), chunk):
+                    counts, kept = [], []
+                    for t in texts.iloc[lo:lo + chunk]:
+                        ids = fn(t) if isinstance(t, str) else []
+                        counts.append(len(ids))
+                        kept.append(np.asarray(ids[:room], dtype=np.int64) + shift)
+                    yield pd.DataFrame({"n": counts, "ids": kept})
+
+        bound_arrow_batches(df.sparkSession)
         t = df.select(*key, encoded(F.col(text_col)).alias("_e"))
         t = t.select(*key, F.col("_e.n").alias("n_tokens"), F.col("_e.ids").alias("_ids"))
         return _laid_out(t, key, F.col("_ids"), max_len)
@@ -139,14 +147,21 @@ def file_tokenizer(path: str) -> Callable[[], Callable[[str], list[int]]]:
     strings inside a text are treated as the library's default has it; none
     are added."""
     def build():
-        from tokenizers import Tokenizer
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
+        tok = _loaded(path, os.stat(path).st_mtime_ns)
         return lambda text: tok.encode(text, add_special_tokens=False).ids
     return build
 
 
+@functools.lru_cache(maxsize=1)
+def _loaded(path: str, changed: int):
+    """One tokenizer a Python worker, whatever the number of its tasks."""
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
 def token_sink(df: DataFrame, tokenizer, key: list[str], text_col: str, max_len: int, path: str,
                partition_by: str = "split") -> DataFrame:
     """K3: sequences of any tokenizer written as Parquet, partitioned by the

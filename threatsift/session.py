@@ -109,6 +109,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_arrow_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Few whole texts in one Arrow batch, unless the session sets its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 MIN_PARTITIONS_CONF = "threatsift.scan.minPartitions"
 # Tables whose rows carry whole texts: per-row work on them is CPU-heavy.
 TEXT_TABLES = ("documents", "pages", "conversations")
