@@ -44,6 +44,19 @@ def test_feature_index_is_the_fitted_stage_s(spark, fitted):
     assert all(r["tf"].indices.tolist() == [r["ours"]] for r in rows)
 
 
+def test_training_writes_term_vectors_once_and_no_text(spark, fitted, monkeypatch):
+    """One table is written, without texts or tokens; the fit is the pipeline's own."""
+    df, model = fitted
+    written, cut = [], MD.cut_lineage
+    monkeypatch.setattr(MD, "cut_lineage", lambda t: written.append(t.columns) or cut(t))
+    again = MD.train_classifier(df, num_features=1 << 12, max_iter=20)
+    assert written == [["label", "tf"]]
+    plain = MD.text_pipeline(num_features=1 << 12, max_iter=20).fit(MD.with_class_weights(df))
+    for m in (model, again):
+        assert np.allclose(m.stages[-1].coefficientMatrix.toArray(), plain.stages[-1].coefficientMatrix.toArray(), atol=1e-9)
+        assert np.array_equal(m.stages[-2].idf.toArray(), plain.stages[-2].idf.toArray())
+
+
 def test_importance_is_the_change_of_the_logit(spark, fitted):
     """Take every word out of a message in turn and compare the fitted model's
     raw prediction."""

@@ -12,7 +12,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.ml import Pipeline
+import pyarrow as pa
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, SQLTransformer
 from pyspark.sql import Column, DataFrame
@@ -95,9 +96,14 @@ def with_class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def train_classifier(train: DataFrame, pipeline=text_pipeline, **kw):
-    """M5: fit a pipeline; returns the PipelineModel. The rows are written once:
-    weights, IDF and the iterations of the fit all read them."""
-    return pipeline(**kw).fit(cut_lineage(with_class_weights(cut_lineage(train))))
+    """M5: fit a pipeline; returns the PipelineModel. Texts are tokenised once and
+    only their term vectors written: weights, IDF and the fit all read those."""
+    tok, tf, idf, lr = pipeline(**kw).getStages()
+    label_col = lr.getLabelCol()
+    terms = cut_lineage(tf.transform(tok.transform(train)).select(label_col, tf.getOutputCol()))
+    rows = with_class_weights(terms, label_col)
+    idf_model = idf.fit(rows)
+    return PipelineModel([tok, tf, idf_model, lr.fit(idf_model.transform(rows))])
 
 
 # ---------------------------------------------------------------- M7
@@ -108,9 +114,9 @@ def coefficient_table(model, spark) -> DataFrame:
     lr = model.stages[-1]
     idf = model.stages[-2].idf.toArray()
     coef = lr.coefficientMatrix.toArray()
-    rows = [(int(k), int(j), float(coef[k, j]), float(idf[j]))
-            for k in range(coef.shape[0]) for j in np.nonzero(coef[k])[0]]
-    return spark.createDataFrame(rows, "class int, idx int, coef double, idf double")
+    k, j = np.nonzero(coef)
+    return spark.createDataFrame(pa.table({"class": k.astype(np.int32), "idx": j.astype(np.int32),
+                                           "coef": coef[k, j], "idf": idf[j]}))
 
 
 def token_importance(model, df: DataFrame, key: str, text_col: str, target_col: str) -> DataFrame:
