@@ -173,3 +173,36 @@ def test_a_hot_id_does_not_flood_the_sample(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert pii.fit_pii(df, sample_docs=3_000).threshold > 0
     assert pii.find_pii(df).count() == 3_050
+
+
+def test_the_fit_sees_every_row(spark):
+    """Personal data only in long texts, and in more documents than a sample would hold."""
+    pad = "word " * 2_500
+    long = spark.createDataFrame([(r["doc_id"], pad + r["text"]) for r in _corpus(spark).limit(40).collect()], "doc_id long, text string")
+    assert 0.5 <= pii.fit_pii(long).threshold < 1
+    many = spark.range(9_000).selectExpr("id AS doc_id", "concat('mail user', id, '@host', id, '.org now') AS text")
+    repeated = many.unionByName(many.limit(50))                  # equal documents count once
+    total = pii.training_table(repeated).agg({"n": "sum"}).first()[0]
+    assert total == 7 * 9_000
+
+
+def test_the_fit_on_the_cluster_is_the_fit_of_all_rows(spark):
+    docs = _corpus(spark).select("doc_id", "text").limit(300).unionByName(
+        spark.createDataFrame([(10_000, "years 1998 2004 in 4711 0815 or 12 345 678 9"), (10_000, None), (None, "n 11 22 33 44 5"), (10_001, "")],
+                              "doc_id long, text string"))
+    texts = {tuple(r) for r in docs.collect()}
+    made = [row for _, t in texts for row in pii._training_rows(t or "")]
+    x, y = np.array([a for a, _ in made]), np.array([b for _, b in made])
+    half = np.array([int(hashlib.md5(r.tobytes()).hexdigest()[:8], 16) % 2 for r in x])
+    want = gbdt.fit(x[half == 0], y[half == 0], trees=40, depth=4, min_hessian=1.0)
+    model = pii.fit_pii(docs.repartition(5))
+    assert np.isclose(model.trees.base, want.base)
+    assert np.abs(model.trees.probability(x) - want.probability(x)).max() < 0.02
+    table = pii.training_table(docs)
+    edges = pii.quantile_edges(table.where("half = 0"), int((half == 0).sum()))
+    assert all(np.array_equal(a, b) for a, b in zip(edges, gbdt.bin_edges(x[half == 0], pii.BINS)))
+    again = pii.fit_pii(docs.repartition(2))                     # however the rows are dealt
+    assert all(np.array_equal(getattr(model.trees, k), getattr(again.trees, k)) for k in ("feature", "threshold", "leaf"))
+    score, truth = model.trees.probability(x[half == 1]), y[half == 1]
+    good = [s for s in np.unique(score) if truth[score >= s].mean() >= pii.PRECISION]
+    assert model.threshold == again.threshold == max(0.5, min(good))

@@ -9,34 +9,40 @@ million letters before one ``@``) costs no more than its length.
 written-out addresses (``name at host dot org``), numbers without the ``+``,
 short cards, long network addresses. Boosted trees judge each candidate by its
 format and its context; a threshold per run, calibrated on the half of the
-sample the trees have not seen, selects the redactions. Candidates that overlap
+rows the trees have not seen, selects the redactions. Candidates that overlap
 a base span or a better candidate are dropped.
 
-The trees learn from the corpus itself: base spans of a bounded sample of
-documents, rewritten in the forms the generators look for, are the positives;
-numbers the checks reject, and base spans broken so that they fail their check,
-are the negatives.
+The trees learn from the corpus itself: base spans of all documents, rewritten
+in the forms the generators look for, are the positives; numbers the checks
+reject, and base spans broken so that they fail their check, are the negatives.
+These rows stay on the cluster, equal ones once with their number: the bins of
+the features, every level of a tree and the threshold come from Spark jobs over
+all of them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatsift.llm import gbdt
-from threatsift.llm.common import hash_sample
+from threatsift.llm.common import hash_sample, release, staged
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, SAMPLE_CHARS = 6_000, 10_000
 PRECISION = 0.98
+BINS = 64
+BLOCK_ROWS, MAX_BLOCKS = 20_000, 64      # rows of a task of the fit, up to this many tasks
+SCORE_BUCKETS = 4096
 Span = tuple[int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -167,51 +173,49 @@ def features(text: str, kind: str, start: int, end: int, own: str | None = None)
     ]
 
 
-def _training_rows(text: str) -> tuple[list[list[float]], list[int]]:
+def _training_rows(text: str) -> Iterator[tuple[list[float], int]]:
     """Rewritten base spans (1); rejected numbers and broken base spans (0)."""
-    x, y = [], []
     found = base_spans(text)
-    taken = [sp for spans in found.values() for sp in spans]
-    def add(kind, s, e, label, own=None):
-        x.append(features(text, kind, s, e, own))
-        y.append(label)
+    taken = sorted(sp for spans in found.values() for sp in spans)
+    starts, ends = [a for a, _ in taken], np.maximum.accumulate([b for _, b in taken] or [0])
+    def row(kind, s, e, label, own=None):
+        return features(text, kind, s, e, own), label
     for s, e in found["email"]:
         name, _, host = text[s:e].partition("@")
         for at, dot in ((" at ", " dot "), ("[at]", "[dot]"), (" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)")):
-            add("email", s, e, 1, name + at + host.replace(".", dot))
-        add("email", s, e, 0, name + " at " + host.split(".")[0])
-        add("email", s, e, 0, name + "@" + host.split(".")[0])
+            yield row("email", s, e, 1, name + at + host.replace(".", dot))
+        yield row("email", s, e, 0, name + " at " + host.split(".")[0])
+        yield row("email", s, e, 0, name + "@" + host.split(".")[0])
     for s, e in found["phone"]:
         d = digits_of(text[s:e])
         tail = d[-10:].rjust(10, "2")
         for own in (f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"{tail[:3]}-{tail[3:6]}-{tail[6:]}",
                     f"{tail[:3]}.{tail[3:6]}.{tail[6:]}", f"{tail[:3]} {tail[3:6]} {tail[6:]}"):
-            add("phone", s, e, 1, own)
-        add("phone", s, e, 0, f"{tail[:4]}-{tail[4:6]}-{tail[6:8]}")     # a date
-        add("phone", s, e, 0, f"{tail[:2]}.{tail[2:4]}.{tail[4:7]}")     # a version
-        add("phone", s, e, 0, " ".join(tail[i:i + 2] for i in range(0, 10, 2)))
-        add("phone", s, e, 0, f"{tail[:4]}-{tail[4:8]}")                 # a span of years
+            yield row("phone", s, e, 1, own)
+        yield row("phone", s, e, 0, f"{tail[:4]}-{tail[4:6]}-{tail[6:8]}")     # a date
+        yield row("phone", s, e, 0, f"{tail[:2]}.{tail[2:4]}.{tail[4:7]}")     # a version
+        yield row("phone", s, e, 0, " ".join(tail[i:i + 2] for i in range(0, 10, 2)))
+        yield row("phone", s, e, 0, f"{tail[:4]}-{tail[4:8]}")                 # a span of years
     for s, e in found["card"]:
         d = digits_of(text[s:e])
         body = d[:14]
         check = next(c for c in "0123456789" if luhn(body + c))
-        add("card", s, e, 1, body + check)
-        add("card", s, e, 1, f"{body[:4]} {body[4:10]} {body[10:]}{check}")
+        yield row("card", s, e, 1, body + check)
+        yield row("card", s, e, 1, f"{body[:4]} {body[4:10]} {body[10:]}{check}")
         wrong = str((int(check) + 5) % 10)
-        add("card", s, e, 0, body + wrong)
-        add("card", s, e, 0, d[:-1] + str((int(d[-1]) + 3) % 10))
-        add("phone", s, e, 0, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:16]}")
+        yield row("card", s, e, 0, body + wrong)
+        yield row("card", s, e, 0, d[:-1] + str((int(d[-1]) + 3) % 10))
+        yield row("phone", s, e, 0, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:16]}")
     for s, e in found["ip"]:
         parts = text[s:e].split(".")
-        add("ip", s, e, 1, ":".join(f"{int(p) * 257 % 65536:x}" for p in (parts * 2)[:8]))
-        add("phone", s, e, 0, ".".join(parts))
-        add("card", s, e, 0, "".join(p.zfill(4) for p in parts))
+        yield row("ip", s, e, 1, ":".join(f"{int(p.lstrip('0') or 0) * 257 % 65536:x}" for p in (parts * 2)[:8]))
+        yield row("phone", s, e, 0, ".".join(parts))
+        yield row("card", s, e, 0, "".join(p.zfill(4) for p in parts))
     for kind, s, e in candidates(text):
-        if kind != "email" and not any(s < b and a < e for a, b in taken):
+        if kind != "email" and not ((i := bisect_left(starts, e)) and ends[i - 1] > s):
             d = digits_of(text[s:e])
             if not (kind == "card" and luhn(d)) and len(d) != 10:
-                add(kind, s, e, 0)
-    return x, y
+                yield row(kind, s, e, 0)
 
 
 @dataclass(frozen=True)
@@ -234,33 +238,156 @@ class Model:
         return kept
 
 
-def fit_pii(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on about ``sample_docs`` documents of at most ``sample_chars``
-    characters that hold a digit or ``@``, chosen by id and text, equal rows
-    once. Half of the rows fit the trees, the
-    other half sets the smallest threshold of the wanted precision. Without
-    both kinds of rows nothing is added (threshold above 1)."""
-    text = F.col("text")
-    rows = hash_sample(docs.select("doc_id", "text"), sample_docs, "doc_id", "text") \
-        .where((F.length(text) <= sample_chars) & text.rlike("[0-9@]")).dropDuplicates(["doc_id", "text"]).toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
-    x, y = [], []
-    for t in rows["text"]:
-        a, b = _training_rows(t)
-        x += a
-        y += b
-    if not y or min(y) == max(y):
-        return Model(gbdt.constant(0.5), 2.0)
-    x, y = np.array(x), np.array(y)
-    half = np.array([int(hashlib.md5(r.tobytes()).hexdigest()[:8], 16) % 2 for r in x])
-    if len(set(y[half == 0])) < 2 or len(set(y[half == 1])) < 2:
+N_FEATURES = len(features("", KINDS[0], 0, 0))
+
+
+def training_table(docs: DataFrame) -> DataFrame:
+    """(x, y, half, n): the distinct training rows of all texts that hold a digit
+    or ``@`` and their number; x: the features, all whole numbers, as
+    little-endian int32. Equal documents (id and text) count once. Half 0 is for
+    the trees, half 1 for the threshold."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("x", T.BinaryType()),
+                           T.StructField("y", T.IntegerType()), T.StructField("half", T.IntegerType()),
+                           T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, digest, x, y, half, n = [], [], [], [], [], []
+            for i, cell in enumerate(b.column(1)):
+                text = cell.as_py()
+                counts = Counter((np.array(row).tobytes(), label) for row, label in _training_rows(text))
+                if not counts:
+                    continue
+                own = hashlib.sha256(text.encode()).digest()
+                for (row, label), count in counts.items():
+                    doc.append(i)
+                    digest.append(own)
+                    x.append(np.frombuffer(row).astype("<i4").tobytes())
+                    y.append(label)
+                    half.append(int(hashlib.md5(row).hexdigest()[:8], 16) % 2)
+                    n.append(count)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(doc, pa.int64())), pa.array(digest, pa.binary()), pa.array(x, pa.binary()),
+                 pa.array(y, pa.int32()), pa.array(half, pa.int32()), pa.array(n, pa.int64())], names=schema.names)
+
+    rows = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")).mapInArrow(run, schema)
+    rows = rows.groupBy("doc_id", "digest", "x", "y", "half").agg(F.max("n").alias("n"))
+    return rows.groupBy("x", "y", "half").agg(F.sum("n").alias("n"))
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(len(column), N_FEATURES)
+
+
+def quantile_edges(rows: DataFrame, total: int, bins: int = BINS) -> list[np.ndarray]:
+    """``gbdt.bin_edges`` of all ``total`` rows, from the number of rows of every
+    value of a feature."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = b.column(1).to_numpy()
+            for f, column in enumerate(_vectors(b.column(0)).T):
+                values, at = np.unique(column, return_inverse=True)
+                count = np.bincount(at, weights=n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), f)), pa.array(values.astype(np.int64)),
+                                                  pa.array(count)], names=["f", "v", "n"])
+
+    counts = rows.select("x", "n").mapInArrow(run, "f long, v long, n long").groupBy("f", "v").agg(F.sum("n").alias("n"))
+    below = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("f").orderBy("v")))
+    places = F.array(*[F.lit(p).cast("long") for p in sorted({(total - 1) * i // bins for i in range(1, bins)})])
+    cut = F.exists(places, lambda p: (p >= F.col("upto") - F.col("n")) & (p < F.col("upto")))
+    found: list[list[int]] = [[] for _ in range(N_FEATURES)]
+    for r in below.where(cut).select("f", "v").collect():
+        found[r["f"]].append(r["v"])
+    return [np.array(sorted(v), dtype=float) for v in found]
+
+
+def _blocks(rows: DataFrame, edges: list[np.ndarray], vectors: int) -> DataFrame:
+    """(bins, zeros, ones): the distinct rows of bin numbers with the number of
+    their labels, many rows in each."""
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _vectors(b.column(0))
+            at = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], axis=1).astype(np.uint8)
+            y, n = b.column(1).to_numpy(), b.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in at], pa.binary()), pa.array(n * (1 - y)),
+                                              pa.array(n * y)], names=["bins", "zeros", "ones"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            columns = [b"".join(v for b in held for v in b.column(0).to_pylist()),
+                       *[np.concatenate([b.column(i).to_numpy() for b in held]).tobytes() for i in (1, 2)]]
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["bins", "zeros", "ones"])
+
+        for b in batches:
+            held.append(b)
+            if sum(h.num_rows for h in held) >= BLOCK_ROWS:
+                yield block()
+                held = []
+        if any(h.num_rows for h in held):
+            yield block()
+
+    distinct = rows.select("x", "y", "n").mapInArrow(binned, "bins binary, zeros long, ones long") \
+        .groupBy("bins").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    tasks = min(MAX_BLOCKS, -(-vectors // BLOCK_ROWS))
+    return distinct.repartition(tasks).mapInArrow(packed, "bins binary, zeros binary, ones binary")
+
+
+def _unpacked(r) -> gbdt.Block:
+    return (np.frombuffer(r["bins"], np.uint8).reshape(-1, N_FEATURES), np.frombuffer(r["zeros"], np.int64),
+            np.frombuffer(r["ones"], np.int64))
+
+
+def calibrated(rows: DataFrame, trees: gbdt.Trees, precision: float = PRECISION) -> float:
+    """Smallest score, at least 0.5, from which upward a share of ``precision`` of
+    all rows are positive; 2 if there is none. Rows of equal score count together."""
+    held = rows.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score, y, n = held.value.probability(_vectors(b.column(0)).astype(float)), b.column(1).to_numpy(), b.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(score), pa.array(n * y), pa.array(n)], names=["score", "ones", "n"])
+
+    scores = rows.select("x", "y", "n").mapInArrow(run, "score double, ones long, n long") \
+        .groupBy("score").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")) \
+        .withColumn("bucket", F.floor(F.col("score") * SCORE_BUCKETS))
+    scores = staged(scores, "pii-scores")
+    above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)      # over SCORE_BUCKETS rows
+    totals = scores.groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
+    totals = totals.select("bucket", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("ones", "n")])
+    inside = Window.partitionBy("bucket").orderBy(F.desc("score"))
+    running = scores.join(F.broadcast(totals), "bucket")
+    ones, n = (F.sum(c).over(inside) + F.col(f"{c}_above") for c in ("ones", "n"))
+    best = running.select("score", (ones / n).alias("share")).where(F.col("share") >= precision).agg(F.min("score")).first()[0]
+    release(scores)
+    return 2.0 if best is None else max(0.5, best)
+
+
+def fit_pii(docs: DataFrame, sample_docs: int | None = None, sample_chars: int | None = None) -> Model:
+    """Fit on the rows of every text (``training_table``). Half of them fit the
+    trees, the other half sets the smallest threshold of the wanted precision.
+    Without both kinds of rows in both halves nothing is added (threshold above
+    1). For a trial, ``sample_docs`` bounds the number of documents and
+    ``sample_chars`` their length; no query does."""
+    if sample_docs is not None:
+        docs = hash_sample(docs.select("doc_id", "text"), sample_docs, "doc_id", "text")
+    if sample_chars is not None:
+        docs = docs.where(F.length("text") <= sample_chars)
+    rows = staged(training_table(docs), "pii-rows")
+    seen = {(r["half"], r["y"]): r for r in rows.groupBy("half", "y").agg(F.sum("n").alias("n"), F.count("x").alias("rows")).collect()}
+    if len(seen) < 4:
+        release(rows)
         return Model(gbdt.constant(0.5), 2.0)
-    trees = gbdt.fit(x[half == 0], y[half == 0], trees=40, depth=4, min_hessian=1.0)
-    score, truth = trees.probability(x[half == 1]), y[half == 1]
-    order = np.argsort(-score, kind="stable")
-    precision = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(precision >= PRECISION)
-    threshold = max(0.5, float(score[order[good[-1]]])) if len(good) else 2.0
+    mine, other = rows.where("half = 0"), rows.where("half = 1")
+    zeros, ones = seen[0, 0], seen[0, 1]
+    edges = quantile_edges(mine, zeros["n"] + ones["n"])
+    blocks = staged(_blocks(mine, edges, zeros["rows"] + ones["rows"]), "pii-blocks")
+    trees = gbdt.fit_blocks(blocks.rdd.map(_unpacked), edges, zeros["n"], ones["n"], trees=40, depth=4, min_hessian=1.0)
+    threshold = calibrated(other, trees)
+    release(rows, blocks)
     return Model(trees, threshold)
 
 
