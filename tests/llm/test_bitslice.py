@@ -74,3 +74,35 @@ def test_components_far_apart(spark):
     planes, offset = B.score_slices(slices, shift, np.array([-3, 2]))
     score = [sum((int(p[0]) >> r & 1) << w for w, p in enumerate(planes)) + offset for r in range(3)]
     assert score == [-3 * int(a) + 2 * int(b) for a, b in values]
+
+
+def test_blocks_meet_without_join_or_broadcast(spark, monkeypatch):
+    # a broadcast of the queries, once for every block of rows, ended the driver
+    rng = np.random.default_rng(4)
+    vectors = [(int(i), np.round(rng.normal(size=4), 1).tolist()) for i in range(150)] + [(i, [0.5, float(i)]) for i in range(200, 230)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    for every, group in ((10, 65_536), (2, 16), (1, 16)):        # one group of queries and several
+        monkeypatch.setattr(B, "QUERY_GROUP", group, raising=False)
+        found = B.top_k(df, every, block_rows=16, query_rows=4)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Broadcast" not in plan
+        assert {tuple(r) for r in found.collect()} == brute(vectors, every)
+
+
+def test_grid_bounds_the_queries_of_a_task():
+    for blocks, query_blocks, query_rows, tasks in ((1, 1, 256, 400), (7, 5, 256, 24), (75, 49, 256, 50), (1878, 1202, 256, 1200), (3, 2000, 256, 24)):
+        r, q = B.grid(blocks, query_blocks, query_rows, tasks)
+        assert 1 <= r <= blocks and 1 <= q <= query_blocks
+        assert query_blocks * query_rows / q <= B.QUERY_GROUP and r * q >= min(tasks, blocks * query_blocks)
+
+
+def test_signed_digits_and_rows_at_least():
+    q = np.array([0, 1, -1, 7, -7, 150, -150, 2 ** 62 - 1, 2 ** 63 - 1, -2 ** 63])
+    for part in (q[:7], q[:8], q):
+        plus, minus = B.signed_digits(part)
+        assert [int(a) - int(b) for a, b in zip(plus, minus)] == part.tolist()
+    scores = np.array([5, 3, 5, 1, 3, 3, 0, 7])
+    planes = [np.packbits(np.pad((scores >> b & 1).astype(bool), (0, 56)), bitorder="little").view(np.uint64) for b in range(3)]
+    allowed = np.packbits(np.pad(np.arange(8) != 2, (0, 56)), bitorder="little").view(np.uint64)
+    for low in (-4, 0, 1, 3, 4, 7, 8, 100):
+        assert B._positions(B.at_least(planes, allowed, low)).tolist() == [i for i in range(8) if i != 2 and scores[i] >= low]
